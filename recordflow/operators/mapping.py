@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,12 +180,18 @@ def map_wide_flat(source: DataFrame, rules: list[Rule], keep: list[str], *, comp
 def _rule_rows(spark, rules: list[Rule]) -> DataFrame:
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules exceed the supported {MAX_RULES}")
-    rows = [
-        (position, rule.field, rule.column, rule.value, list(rule.slots))
-        for position, rule in enumerate(rules) if rule.column
-    ]
+    named = [(position, rule) for position, rule in enumerate(rules) if rule.column]
+    columns = {
+        "rule_ord": pa.array([position for position, _ in named], pa.int32()),
+        "field": pa.array([rule.field for _, rule in named], pa.string()),
+        "_name": pa.array([rule.column for _, rule in named], pa.string()),
+        "target": pa.array([rule.value for _, rule in named], pa.string()),
+        "slots": pa.array([list(rule.slots) for _, rule in named], pa.list_(pa.string())),
+    }
+    # An Arrow table becomes a local relation: no job and no Python worker for the rule side.
     return spark.createDataFrame(
-        rows, "rule_ord int not null, field string not null, _name string not null, target string, slots array<string>"
+        pa.table(columns),
+        "rule_ord int not null, field string not null, _name string not null, target string, slots array<string>",
     )
 
 
@@ -293,9 +300,9 @@ def map_long(source: DataFrame, id_col: str, name_col: str, value_col: str, orde
             finish.append(F.array_compact(F.array(F.col(f"_f{i}.value"))).alias(path))
         else:
             aggregates.append(F.collect_list(mine).alias(f"_f{i}"))
-            ordered = F.array_sort(F.col(f"_f{i}"))["value"]
+            ordered = F.sort_array(F.col(f"_f{i}"))["value"]
             finish.append(resolve(ordered, method).alias(path))
-    grouped = rows.groupBy(id_col).agg(*aggregates, F.array_sort(F.collect_set("_heavy")).alias("oversize_fields"))
+    grouped = rows.groupBy(id_col).agg(*aggregates, F.sort_array(F.collect_set("_heavy")).alias("oversize_fields"))
     return grouped.select(F.col(id_col).alias("record_id"), *finish, "oversize_fields")
 
 

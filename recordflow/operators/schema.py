@@ -61,33 +61,30 @@ def check_paths(paths: list[str]) -> None:
                 raise ValueError(f"path {SEP.join(parts[:cut])!r} is both a field and a parent of {path!r}")
 
 
+_WRAPPERS = r"^((?:(?:Optional|Union|List|list)\[\s*(?:None\s*,\s*)?|None\s*\|\s*)*)"
+
+
 def type_columns(declared: Column) -> dict[str, Column]:
     """Declared type text -> base type, nullability, list-ness and Spark type name.
 
-    ``Optional[..]``, ``List[..]`` and ``.. | None`` are unwrapped in any nesting order, two deep
-    each; a union keeps its first member that is not ``None``; ``Literal[..]`` reads as text.
+    ``Optional[..]``, ``List[..]`` and ``.. | None`` are unwrapped in any order and depth; a union
+    keeps its first member that is not ``None``; ``Literal[..]`` reads as text.
     """
-    wrapper = r"^(Optional|Union|List|list)\[(.*)\]$"
     text = F.trim(declared)
-    optional = F.lit(False)
-    many = F.lit(False)
-    for _ in range(4):
-        bare = F.regexp_replace(text, r"\s*\|\s*None$|^None\s*\|\s*", "")
-        optional = optional | (bare != text)
-        head = F.regexp_extract(bare, wrapper, 1)
-        inner = F.regexp_extract(bare, wrapper, 2)
-        member = F.trim(F.regexp_replace(inner, r"^None\s*,\s*", ""))
-        member = F.when(head == "Union", F.regexp_extract(member, r"^([^\[,]*(?:\[.*?\])?)", 1)).otherwise(member)
-        optional = optional | (head == "Optional") | ((head == "Union") & inner.rlike(r"(^|,\s*)None(\s*,|$)"))
-        many = many | F.lower(head).isin("list")
-        text = F.when(head == "", bare).otherwise(F.trim(member))
-    base = F.when(text.startswith("Literal["), F.lit("str")).otherwise(text)
+    wrappers = F.regexp_extract(text, _WRAPPERS, 1)
+    inner = F.regexp_replace(text, _WRAPPERS, "")
+    none_member = text.rlike(r"^None\s*\||[|,\[]\s*None\s*([|,\]]|$)") & ~inner.startswith("Literal[")
+    optional = wrappers.contains("Optional[") | none_member
+    many = F.lower(wrappers).contains("list[")
+    base = F.when(inner.startswith("Literal["), F.lit("str")).otherwise(
+        F.regexp_extract(inner, r"^[A-Za-z_][A-Za-z0-9_.]*", 0)
+    )
     element = (
         F.when(base == "str", "string")
         .when(base == "int", "bigint")
         .when(base == "float", "double")
         .when(base == "bool", "boolean")
-        .when(base.rlike(r"^(Dict|dict)\b"), "map<string,string>")
+        .when(F.lower(base) == "dict", "map<string,string>")
         .otherwise("string")
     )
     return {
