@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Row bound under which a side table may be broadcast.
@@ -50,10 +50,32 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that loops do not grow the plan and lost executors are survived."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write the rows to the shared folder and read them back: computed once, the plan starts
+    anew, and a lost executor costs a re-read only."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def distributed_rank(df: DataFrame, order_by: list[str], out: str) -> DataFrame:
+    """Row number from 1 over the whole table, without moving it into one task.
+
+    Range partitions are written once with their number; ranks count inside each partition and are
+    shifted by the sizes of the partitions before it (one row per partition).
+    """
+    ranged = df.repartitionByRange(*order_by).withColumn("_pid", F.spark_partition_id())
+    stored = cut_lineage(ranged, "rank")
+    sizes = stored.groupBy("_pid").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_pid", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy("_pid").orderBy(*order_by)
+    return (
+        stored.join(F.broadcast(shifts), "_pid")
+        .withColumn(out, (F.row_number().over(inside) + F.col("_shift")).cast("bigint"))
+        .drop("_pid", "_shift")
+    )
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
