@@ -149,5 +149,19 @@ def coerce_list_item(col: Column, dtype: T.DataType) -> tuple[Column, Column]:
     return F.when(~empty, value), error
 
 
+_TEXT_END = "~~end-of-text~~"
+
+
+def strict_json(text: Column) -> Column:
+    """The text as a variant, null unless all of it is one JSON value.
+
+    ``try_parse_json`` stops after the first value; here the text is read as the first of two array
+    items, and the second must be the end mark.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_TEXT_END}"]')))
+    whole = F.try_variant_get(wrapped, "$[1]", "string") == _TEXT_END
+    return F.when(whole, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))

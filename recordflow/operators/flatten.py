@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordflow.functions.text import strict_json
 from recordflow.operators.schema import SEP
 
 MAX_COLUMNS = 5_000
@@ -42,7 +43,7 @@ def flatten_paths(df: DataFrame, json_col: str, keep: list[str], sep: str = SEP,
     container left below ``max_depth`` fails the query rather than losing its leaves.
     """
     spark = df.sparkSession
-    rows = df.select(*keep, F.lit("").alias("path"), F.try_parse_json(json_col).alias("_v"))
+    rows = df.select(*keep, F.lit("").alias("path"), strict_json(F.col(json_col)).alias("_v"))
     rows = rows.where(F.col("_v").isNotNull())
     for _ in range(max_depth):
         opened = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer()))
@@ -85,5 +86,5 @@ def flatten_wide(df: DataFrame, json_col: str, keep: list[str], paths: list[str]
         if len(found) > MAX_COLUMNS:
             raise ValueError(f"more than {MAX_COLUMNS} distinct paths; pass the ones to keep")
         paths = sorted(r.path for r in found)
-    parsed = df.select(*keep, F.try_parse_json(json_col).alias("_v"))
+    parsed = df.select(*keep, strict_json(F.col(json_col)).alias("_v"))
     return parsed.select(*keep, *[_leaf_at(F.col("_v"), p, sep).alias(p) for p in paths])
