@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -149,6 +150,20 @@ def coerce_list_item(col: Column, dtype: T.DataType) -> tuple[Column, Column]:
     return F.when(~empty, value), error
 
 
+def splice(text: Column, pattern: str, replacement: Callable[[Column], Column]) -> Column:
+    """Replace every match by a column expression of the match.
+
+    The text is cut at the matches and put together again, so equal substrings elsewhere are left
+    alone. The pattern must not match the empty text.
+    """
+    pieces = F.split(text, pattern, -1)
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    joined = F.zip_with(
+        pieces, matches, lambda piece, match: F.concat(piece, F.when(match.isNull(), F.lit("")).otherwise(replacement(match)))
+    )
+    return F.array_join(joined, "")
+
+
 _TEXT_END = "~~end-of-text~~"
 
 

@@ -195,6 +195,27 @@ def _rule_rows(spark, rules: list[Rule]) -> DataFrame:
     )
 
 
+_WIDTH = "1" + "0" * 20
+
+
+def pack_place(rule_ord: Column, row_ord: Column) -> Column:
+    """(rule, row) as one decimal: a fixed-width buffer keeps the aggregation hash-based."""
+    width = F.lit(_WIDTH).cast("decimal(21,0)")
+    return rule_ord.cast("decimal(16,0)") * width + row_ord.cast("decimal(19,0)")
+
+
+def unpack_place(place: Column) -> tuple[Column, Column]:
+    width = F.lit(_WIDTH).cast("decimal(21,0)")
+    rule_ord = F.round(place / width).cast("decimal(16,0)")
+    return rule_ord.cast("bigint").alias("rule_ord"), (place - rule_ord * width).cast("bigint").alias("row_ord")
+
+
+def first_places(rows: DataFrame, id_col: str) -> DataFrame:
+    """Each distinct (id, field, value) at its least ``_place``."""
+    first = rows.groupBy(id_col, "field", "value").agg(F.min("_place").alias("_place"))
+    return first.select(id_col, "field", "value", *unpack_place(F.col("_place")))
+
+
 def long_candidates(source: DataFrame, id_col: str, name_col: str, value_col: str, order_col: str,
                     rules: list[Rule]) -> DataFrame:
     """Distinct candidate values as rows: (id, field, value, rule_ord, row_ord).
@@ -213,23 +234,14 @@ def long_candidates(source: DataFrame, id_col: str, name_col: str, value_col: st
     emitted = F.when(F.col("target") == "", F.col("_value")).when(
         F.array_contains("slots", F.col("_value")), F.col("target")
     )
-    # (rule, row) packed into one decimal: a fixed-width buffer keeps the aggregation hash-based.
-    width = F.lit("1" + "0" * 20).cast("decimal(21,0)")
-    packed = F.col("rule_ord").cast("decimal(16,0)") * width + F.col(order_col).cast("decimal(19,0)")
     matched = (
         source.where(F.col(id_col).isNotNull() & F.col(name_col).isin(names))
         .select(id_col, F.col(name_col).alias("_name"), value.alias("_value"), order_col)
         .join(F.broadcast(_rule_rows(source.sparkSession, rules)), "_name")
-        .select(id_col, "field", emitted.alias("value"), packed.alias("_place"))
+        .select(id_col, "field", emitted.alias("value"), pack_place(F.col("rule_ord"), F.col(order_col)).alias("_place"))
         .where(F.col("value").isNotNull())
     )
-    first = matched.groupBy(id_col, "field", "value").agg(F.min("_place").alias("_place"))
-    rule_ord = F.round(F.col("_place") / width).cast("decimal(16,0)")
-    return first.select(
-        id_col, "field", "value",
-        rule_ord.cast("bigint").alias("rule_ord"),
-        (F.col("_place") - rule_ord * width).cast("bigint").alias("row_ord"),
-    )
+    return first_places(matched, id_col)
 
 
 def _first_fields(rules: list[Rule]) -> list[str]:
