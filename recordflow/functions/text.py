@@ -33,22 +33,13 @@ def double_text(col: Column) -> Column:
     magnitudes outside 1e-3 to 1e17.
     """
     raw = col.cast("string")
-    size = F.abs(col)
-    plain = F.regexp_replace(raw.cast("decimal(38,21)").cast("string"), r"\.?0+$", "")
-    plain = F.when(plain.contains("."), plain).otherwise(F.concat(plain, F.lit(".0")))
-    mantissa = F.regexp_replace(F.split_part(raw, F.lit("E"), F.lit(1)), r"\.0$", "")
-    exponent = F.split_part(raw, F.lit("E"), F.lit(2)).cast("int")
-    science = F.concat(
-        mantissa,
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")),
-    )
+    plain = F.regexp_replace(raw.cast("decimal(38,21)").cast("string"), r"(\.[0-9]+?)0*$", "$1")
+    science = F.regexp_replace(F.replace(raw, F.lit(".0E"), F.lit("E")), r"E([0-9])", "e+$1")
+    science = F.regexp_replace(F.replace(science, F.lit("E-"), F.lit("e-")), r"(e[+-])([0-9])$", "$10$2")
     return (
-        F.when(F.isnan(col), F.lit("nan"))
-        .when(size == float("inf"), F.when(col > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when(~raw.contains("E"), raw)
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(science)
+        F.when(raw.contains("E"), F.when(F.abs(col).between(1e-4, 9999999999999998.0), plain).otherwise(science))
+        .when(raw.contains("."), raw)
+        .otherwise(F.lower(F.replace(raw, F.lit("inity"), F.lit(""))))
     )
 
 

@@ -1,7 +1,9 @@
 """Rule-driven mapping of wide and long sources onto target paths.
 
-A mapped table holds one ``array<string>`` column per target path: empty when nothing matched, one
-item for a single value, several when the field's multi-value method keeps a list.
+A mapped table holds one column per target path. Where several values can meet it is an
+``array<string>``: empty when nothing matched, one item for a single value, several when the field's
+multi-value method keeps a list. Where the rules allow one value at most it is a plain column, of the
+source's own type when the source value is passed on.
 """
 
 from __future__ import annotations
@@ -69,8 +71,8 @@ def methods(rules: list[Rule]) -> dict[str, str]:
 
 
 def dedupe_candidates(values: Column) -> Column:
-    """Drop nulls and keep each value at its first place."""
-    return F.array_distinct(F.array_compact(values))
+    """Drop nulls and keep each value at its first place, in one compiled function."""
+    return F.array_except(values, F.array(F.lit(None).cast("string")))
 
 
 def resolve_first(values: Column) -> Column:
@@ -94,25 +96,64 @@ def resolve(values: Column, method: str) -> Column:
     return resolve_both(values)
 
 
-def cell_text(values: Column) -> Column:
-    """Flat form of a resolved list: null, the value, or the list as JSON text."""
-    return F.when(F.size(values) > 1, F.to_json(values)).when(F.size(values) == 1, values[0])
+def cell_text(column: Column, dtype: T.DataType) -> Column:
+    """Flat form of a mapped column: null, the value as text, or a list as JSON text."""
+    if not isinstance(dtype, T.ArrayType):
+        return value_text(column, dtype)
+    return F.when(F.size(column) > 1, F.to_json(column)).when(F.size(column) == 1, column[0])
 
 
-def _wide_outputs(source: DataFrame, rule: Rule, literal: bool) -> list[Column]:
-    types = {f.name: f.dataType for f in source.schema.fields}
-    if not rule.column or rule.column not in types:
-        return []
-    text = value_text(F.col(f"`{rule.column}`"), types[rule.column])
+def cell_value(column: Column, dtype: T.DataType) -> Column:
+    """A mapped column for raw JSON: the value in its own type, lists as they are, null when empty."""
+    return F.when(F.size(column) > 0, column) if isinstance(dtype, T.ArrayType) else column
+
+
+def _present(column: str, dtype: T.DataType) -> Column:
+    """The source value; a NaN counts as missing."""
+    value = F.col(f"`{column}`")
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value), value)
+    return value
+
+
+def _accepted(rule: Rule, types: dict[str, T.DataType], literal: bool) -> list[tuple[str, Column | None]]:
+    """Texts a targeted rule accepts, each with the condition it holds under."""
+    if not literal:
+        return [(text, None) for text in dict.fromkeys((rule.value, *rule.slots))]
+    slots = [(slot, F.col(f"`{slot}`").isNotNull()) for slot in rule.slots if slot in types]
+    return [(rule.value, None), *slots]
+
+
+def _wide_output(rule: Rule, types: dict[str, T.DataType], literal: bool) -> Column:
+    text = value_text(_present(rule.column, types[rule.column]), types[rule.column])
     if not rule.value:
-        return [text]
-    tests = [text == rule.value]
-    for slot in rule.slots:
-        if not literal:
-            tests.append(text == slot)
-        elif slot in types:
-            tests.append(F.col(f"`{slot}`").isNotNull() & (text == slot))
-    return [F.when(any_of(tests), F.lit(rule.value))]
+        return text
+    accepted = _accepted(rule, types, literal)
+    always = [t for t, condition in accepted if condition is None]
+    tests = [text.isin(*always)] + [condition & (text == t) for t, condition in accepted if condition is not None]
+    return F.when(any_of(tests), F.lit(rule.value))
+
+
+def _exclusive(rules: list[Rule], types: dict[str, T.DataType], literal: bool) -> bool:
+    """True when at most one rule can match a row: targets on one column, no text accepted twice."""
+    if not all(r.value for r in rules) or len({r.column for r in rules}) > 1:
+        return False
+    texts = [t for r in rules for t, _ in _accepted(r, types, literal)]
+    return len(texts) == len(set(texts))
+
+
+def _wide_field(group: list[tuple[int, Rule]], types: dict[str, T.DataType], literal: bool) -> Column:
+    """The mapped column of one field, in the plainest form its rules allow."""
+    method = group[0][1].method
+    live = [rule for _, rule in group if rule.column in types]
+    if not live:
+        return F.lit(None).cast("string")
+    if len(live) == 1 and not live[0].value:
+        return _present(live[0].column, types[live[0].column])
+    outputs = [_wide_output(rule, types, literal) for rule in live]
+    if method == "first" or len(live) == 1 or _exclusive(live, types, literal):
+        return F.coalesce(*outputs)
+    return resolve(dedupe_candidates(F.array(*outputs)), method)
 
 
 def map_wide(source: DataFrame, rules: list[Rule], keep: list[str], *, compat: str = "intended") -> DataFrame:
@@ -122,54 +163,16 @@ def map_wide(source: DataFrame, rules: list[Rule], keep: list[str], *, compat: s
     column exists and is set, and only against the slot's own text.
     """
     literal = compat == "literal"
-    columns = []
-    for path, group in by_field(rules).items():
-        outputs = [out for _, rule in group for out in _wide_outputs(source, rule, literal)]
-        method = group[0][1].method
-        if not outputs:
-            values = F.array().cast("array<string>")
-        elif method == "first":
-            values = F.array_compact(F.array(F.coalesce(*outputs)))
-        elif len(outputs) == 1:
-            values = F.array_compact(F.array(*outputs))
-        else:
-            values = resolve(dedupe_candidates(F.array(*outputs)), method)
-        columns.append(values.alias(path))
+    types = {f.name: f.dataType for f in source.schema.fields}
+    columns = [_wide_field(group, types, literal).alias(path) for path, group in by_field(rules).items()]
     return source.select(*[F.col(f"`{k}`") for k in keep], *columns)
 
 
-def source_kinds(schema: T.StructType, rules: list[Rule]) -> dict[str, str]:
-    """Kind of the value each field receives: that of its source column, or ``str``.
-
-    Passing a number or boolean to a text field is an error at validation; emitted target values
-    are text.
-    """
-    types = {f.name: f.dataType for f in schema.fields}
-
-    def kind_of(rule: Rule) -> str:
-        dtype = types.get(rule.column)
-        if rule.value or dtype is None:
-            return "str"
-        if isinstance(dtype, T.BooleanType):
-            return "bool"
-        if isinstance(dtype, T.IntegralType):
-            return "int"
-        if isinstance(dtype, T.FractionalType):
-            return "float"
-        return "str"
-
-    kinds = {}
-    for path, group in by_field(rules).items():
-        seen = {kind_of(rule) for _, rule in group if rule.column in types}
-        kinds[path] = seen.pop() if len(seen) == 1 else "str"
-    return kinds
-
-
 def flat_cells(mapped: DataFrame, paths: list[str], keep: list[str]) -> DataFrame:
     """One text column per path, in sorted path order, after the kept columns."""
     return mapped.select(
         *[F.col(f"`{k}`") for k in keep],
-        *[cell_text(F.col(f"`{p}`")).alias(p) for p in sorted(paths)],
+        *[cell_text(F.col(f"`{p}`"), mapped.schema[p].dataType).alias(p) for p in sorted(paths)],
     )
 
 
@@ -230,7 +233,7 @@ def long_candidates(source: DataFrame, id_col: str, name_col: str, value_col: st
     if not isinstance(types[order_col], T.IntegralType):
         raise TypeError("the order column must be an integer")
     names = sorted({r.column for r in rules if r.column})
-    value = value_text(F.col(value_col), types[value_col])
+    value = value_text(_present(value_col, types[value_col]), types[value_col])
     emitted = F.when(F.col("target") == "", F.col("_value")).when(
         F.array_contains("slots", F.col("_value")), F.col("target")
     )
@@ -309,7 +312,7 @@ def map_long(source: DataFrame, id_col: str, name_col: str, value_col: str, orde
         mine = F.when(F.col("field") == path, F.col("_p"))
         if method == "first":
             aggregates.append(F.min(mine).alias(f"_f{i}"))
-            finish.append(F.array_compact(F.array(F.col(f"_f{i}.value"))).alias(path))
+            finish.append(F.col(f"_f{i}.value").alias(path))
         else:
             aggregates.append(F.collect_list(mine).alias(f"_f{i}"))
             ordered = F.sort_array(F.col(f"_f{i}"))["value"]
@@ -323,6 +326,6 @@ def map_long_flat(source: DataFrame, id_col: str, name_col: str, value_col: str,
     """Flat form: the id first, then one text column per path in sorted order. A path named like the
     id column takes its place."""
     mapped = map_long(source, id_col, name_col, value_col, order_col, rules, **options)
-    flat = [cell_text(F.col(f"`{p}`")).alias(p) for p in sorted(by_field(rules))]
+    flat = [cell_text(F.col(f"`{p}`"), mapped.schema[p].dataType).alias(p) for p in sorted(by_field(rules))]
     lead = [] if id_col in by_field(rules) else [F.col("record_id").alias(id_col)]
     return mapped.select(*lead, *flat, F.array_join("oversize_fields", ";").alias("oversize_fields"))

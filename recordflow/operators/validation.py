@@ -1,7 +1,7 @@
 """Typing, validation, nesting and quarantine of mapped records.
 
-Works on mapped tables: one ``array<string>`` per path (see ``mapping``). Everything here is narrow:
-one projection adds the typed record and its errors.
+Works on mapped tables (see ``mapping``): per path a plain column or an ``array<string>``. Everything
+here is narrow: projections add the typed record and its errors.
 """
 
 from __future__ import annotations
@@ -11,19 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordflow.functions.text import lax_cast
+from recordflow.operators.mapping import cell_value
 from recordflow.operators.schema import SEP, leaf_map, options_of
 
 _NAMES = {T.StringType: "string", T.LongType: "int", T.DoubleType: "float", T.BooleanType: "bool"}
 
-# Kinds of source value a declared type takes without being text.
-_ACCEPTS = {
-    "string": {"str"},
-    "int": {"str", "int", "float", "bool"},
-    "float": {"str", "int", "float", "bool"},
-    "bool": {"str", "int", "float", "bool"},
-}
-
-
 def _type_name(dtype: T.DataType) -> str:
     return _NAMES.get(type(dtype), dtype.simpleString())
 
@@ -33,65 +25,83 @@ def enum_or_null(col: Column, options: list[str]) -> Column:
     return F.when(col.isin(*options), col)
 
 
-def _typed_item(text: Column, field: T.StructField, dtype: T.DataType) -> Column:
+def _typed(value: Column, source: T.DataType, field: T.StructField, dtype: T.DataType) -> Column:
+    """One source value as the declared type; null where it is not accepted.
+
+    Text follows the lax rules; numbers and booleans convert among each other when nothing is lost.
+    """
     options = options_of(field)
-    return enum_or_null(text, options) if options else lax_cast(text, dtype)
+    if isinstance(source, T.StringType):
+        return enum_or_null(value, options) if options else lax_cast(value, dtype)
+    if options or isinstance(dtype, T.StringType):
+        return F.lit(None).cast("string")
+    if isinstance(dtype, T.LongType):
+        whole = value == F.floor(value) if isinstance(source, T.FractionalType) else F.lit(True)
+        return F.when(whole, value.try_cast("bigint"))
+    if isinstance(dtype, T.BooleanType) and not isinstance(source, T.BooleanType):
+        return F.when(value.isin(0, 1), value == 1)
+    return value.try_cast(dtype)
 
 
-def _item_error(text: Column, field: T.StructField, dtype: T.DataType, kind: str) -> Column:
-    """Error kind of one non-null item, or null."""
+def _item_error(value: Column, source: T.DataType, field: T.StructField, dtype: T.DataType) -> Column:
+    """Error kind of one value, null when it is accepted or absent."""
     name = _type_name(dtype)
-    if kind not in _ACCEPTS.get(name, {kind}):
-        return F.when(text.isNotNull(), F.lit("enum" if options_of(field) else f"{name}_type"))
+    text = isinstance(source, T.StringType)
     if options_of(field):
-        return F.when(~text.isin(*options_of(field)), F.lit("enum"))
+        return F.when(~value.isin(*options_of(field)), F.lit("enum")) if text else F.when(value.isNotNull(), F.lit("enum"))
     if isinstance(dtype, T.StringType):
+        return F.lit(None).cast("string") if text else F.when(value.isNotNull(), F.lit("string_type"))
+    safe = isinstance(source, T.IntegralType) and isinstance(dtype, (T.LongType, T.DoubleType))
+    if safe or source == dtype:
         return F.lit(None).cast("string")
-    failed = text.isNotNull() & lax_cast(text, dtype).isNull()
-    return F.when(failed, F.lit(f"{name}_parsing"))
+    return F.when(value.isNotNull() & _typed(value, source, field, dtype).isNull(), F.lit(f"{name}_parsing"))
 
 
 class _Leaf:
     """Value, presence and error expressions of one target leaf over a mapped column."""
 
-    def __init__(self, path: str, field: T.StructField, mapped: bool, kind: str, compat: str):
+    def __init__(self, path: str, field: T.StructField, source: T.DataType | None, compat: str):
         many = isinstance(field.dataType, T.ArrayType)
         dtype = field.dataType.elementType if many else field.dataType
-        self.path, self.field, self.mapped = path, field, mapped
-        if not mapped:
+        if source is None:
             self.value = F.lit(None).cast(field.dataType)
             self.present = F.lit(False)
             self.error = F.lit(None if field.nullable else "missing").cast("string")
             return
-        values = F.col(f"`{path}`")
-        self.present = F.size(values) > 0
-        absent = F.lit(None if field.nullable else ("list_type" if many else f"{_type_name(dtype)}_type"))
-        if options_of(field) and not field.nullable and not many:
-            absent = F.lit("enum")
-        if many:
-            bad = F.filter(F.transform(values, lambda v: _item_error(v, field, dtype, kind)), lambda e: e.isNotNull())
-            error = F.when(F.size(values) == 0, absent).otherwise(F.get(bad, F.lit(0)))
-            if compat == "literal":
-                error = F.when(F.size(values) == 1, F.lit("list_type")).otherwise(error)
-            self.value = F.when(self.present, F.transform(values, lambda v: _typed_item(v, field, dtype)))
+        column = F.col(f"`{path}`")
+        wrong = "enum" if options_of(field) else f"{_type_name(dtype)}_type"
+        absent = F.lit(None if field.nullable else ("list_type" if many else wrong)).cast("string")
+        listed = isinstance(source, T.ArrayType)
+        if listed:
+            self.present = F.size(column) > 0
+            several = F.size(column) > 1
+        else:
+            self.present = column.isNotNull()
+            several = F.lit(False)
+        if many and listed:
+            text = T.StringType()
+            bad = F.filter(F.transform(column, lambda v: _item_error(v, text, field, dtype)), lambda e: e.isNotNull())
+            error = F.get(bad, F.lit(0))
+            value = F.transform(column, lambda v: _typed(v, text, field, dtype))
+        elif many:
+            error = _item_error(column, source, field, dtype)
+            value = F.array(_typed(column, source, field, dtype))
+        elif listed:
+            one = F.get(column, F.lit(0))
+            error = F.when(several, F.lit(wrong)).otherwise(_item_error(one, T.StringType(), field, dtype))
+            value = F.when(~several, _typed(one, T.StringType(), field, dtype))
         else:
-            one = F.get(values, F.lit(0))
-            several = F.lit("enum" if options_of(field) else f"{_type_name(dtype)}_type")
-            error = (
-                F.when(F.size(values) == 0, absent)
-                .when(F.size(values) > 1, several)
-                .otherwise(_item_error(one, field, dtype, kind))
-            )
-            self.value = F.when(F.size(values) == 1, _typed_item(one, field, dtype))
-        self.error = error.cast("string")
+            error = _item_error(column, source, field, dtype)
+            value = _typed(column, source, field, dtype)
+        if many and compat == "literal":
+            error = F.when(~several, F.lit("list_type")).otherwise(error)
+        self.value = F.when(self.present, value) if many or listed else value
+        self.error = F.when(self.present, error).otherwise(absent).cast("string")
 
 
-def _leaf_table(mapped: DataFrame, schema: T.StructType, kinds: dict[str, str], compat: str) -> dict[str, _Leaf]:
-    columns = set(mapped.columns)
-    return {
-        path: _Leaf(path, field, path in columns, kinds.get(path, "str"), compat)
-        for path, field in leaf_map(schema).items()
-    }
+def _leaf_table(mapped: DataFrame, schema: T.StructType, compat: str) -> dict[str, _Leaf]:
+    types = {f.name: f.dataType for f in mapped.schema.fields}
+    return {path: _Leaf(path, field, types.get(path), compat) for path, field in leaf_map(schema).items()}
 
 
 def _any_present(schema: T.StructType, prefix: str, table: dict[str, _Leaf]) -> Column:
@@ -119,69 +129,83 @@ def _nest(schema: T.StructType, prefix: str, table: dict[str, _Leaf], compat: st
     return F.struct(*parts)
 
 
-def _errors(schema: T.StructType, prefix: str, table: dict[str, _Leaf], compat: str) -> list[Column]:
-    out = []
+def _errors(schema: T.StructType, prefix: str, table: dict[str, _Leaf], compat: str) -> dict[str, Column]:
+    """Error kind per leaf path, null when the leaf is fine."""
+    out: dict[str, Column] = {}
     for field in schema.fields:
         path = f"{prefix}{SEP}{field.name}" if prefix else field.name
         if isinstance(field.dataType, T.StructType):
             inner = _errors(field.dataType, path, table, compat)
             if field.nullable and compat != "literal":
                 guard = _any_present(field.dataType, path, table)
-                inner = [F.when(guard, e) for e in inner]
-            out.extend(inner)
+                inner = {p: F.when(guard, e) for p, e in inner.items()}
+            out.update(inner)
         else:
-            error = table[path].error
-            out.append(F.when(error.isNotNull(), F.struct(F.lit(path).alias("field"), error.alias("kind"))))
+            out[path] = table[path].error
     return out
 
 
+def keep_where(df: DataFrame, condition: Column, columns: list[Column]) -> DataFrame:
+    """Columns of the rows that meet a condition, the condition evaluated where it stands.
+
+    A plain filter on validation results is pushed below the mapping, which then runs twice; an
+    array of one or no row is not.
+    """
+    return df.select(F.inline(F.when(condition, F.array(F.struct(*columns)))))
+
+
 def nest_paths(mapped: DataFrame, schema: T.StructType, keep: list[str], *, compat: str = "intended",
                out: str = "record") -> DataFrame:
     """Typed nested record from the path columns. An optional struct without any value is null
     (``literal`` keeps it, empty)."""
-    table = _leaf_table(mapped, schema, {}, compat)
+    table = _leaf_table(mapped, schema, compat)
     return mapped.select(*keep, _nest(schema, "", table, compat).alias(out))
 
 
 def validate_rows(mapped: DataFrame, schema: T.StructType, keep: list[str], *,
-                  kinds: dict[str, str] | None = None, compat: str = "intended",
-                  raw: bool = False) -> DataFrame:
+                  compat: str = "intended", raw: bool = False) -> DataFrame:
     """Add record, errors (array of field and kind), valid and error text.
 
-    ``kinds`` names the kind of source value per path (``source_kinds``); a number is not accepted
-    where text is declared. ``raw`` adds the untyped nested record as JSON text.
+    A number is not accepted where text is declared. ``raw`` adds the mapped values as JSON text.
     """
-    table = _leaf_table(mapped, schema, kinds or {}, compat)
-    errors = F.array_compact(F.array(*_errors(schema, "", table, compat)))
+    table = _leaf_table(mapped, schema, compat)
+    kinds_by_path = _errors(schema, "", table, compat)
+    marks = {path: f"_error_{i}" for i, path in enumerate(kinds_by_path)}
     checked = mapped.select(
         *keep,
         *([raw_json(mapped, keep).alias("data")] if raw else []),
         _nest(schema, "", table, compat).alias("record"),
-        errors.alias("errors"),
+        *[kinds_by_path[path].alias(mark) for path, mark in marks.items()],
+    )
+    wrong = [
+        F.when(F.col(mark).isNotNull(), F.struct(F.lit(path).alias("field"), F.col(mark).alias("kind")))
+        for path, mark in marks.items()
+    ]
+    errors = F.array_except(F.array(*wrong), F.array(F.lit(None).cast("struct<field:string,kind:string>")))
+    texts = [F.when(F.col(mark).isNotNull(), F.concat(F.lit(f"{path}: "), F.col(mark))) for path, mark in marks.items()]
+    return checked.select(
+        *keep, *(["data"] if raw else []), "record", errors.alias("errors"),
+        F.coalesce(*[F.col(mark) for mark in marks.values()]).isNull().alias("valid"),
+        F.concat_ws("; ", *texts).alias("error"),
     )
-    text = F.array_join(F.transform("errors", lambda e: F.concat_ws(": ", e["field"], e["kind"])), "; ")
-    return checked.withColumns({"valid": F.size("errors") == 0, "error": text})
 
 
 def raw_json(mapped: DataFrame, keep: list[str]) -> Column:
-    """The mapped values before typing, as one JSON object of path -> list of texts."""
-    entries = [
-        F.when(F.size(F.col(f"`{p}`")) > 0, F.concat(F.lit(f'"{p}":'), F.to_json(F.col(f"`{p}`"))))
-        for p in sorted(c for c in mapped.columns if c not in keep and c != "oversize_fields")
-    ]
-    return F.concat(F.lit("{"), F.concat_ws(",", *entries), F.lit("}"))
+    """The mapped values before typing, as one JSON object of path -> value or list."""
+    paths = sorted(c for c in mapped.columns if c not in keep and c != "oversize_fields")
+    return F.to_json(F.struct(*[cell_value(F.col(f"`{p}`"), mapped.schema[p].dataType).alias(p) for p in paths]))
 
 
 def records_json(checked: DataFrame, keep: list[str]) -> DataFrame:
     """Valid records as JSON text with nulls pruned at every level."""
-    return checked.where("valid").select(
-        *keep, F.to_json("record", {"ignoreNullFields": "true"}).alias("record_json")
-    )
+    text = F.to_json("record", {"ignoreNullFields": "true"}).alias("record_json")
+    return keep_where(checked, F.col("valid"), [*[F.col(k) for k in keep], text])
 
 
 def quarantine(checked: DataFrame, identifier: Column) -> DataFrame:
     """Rows that failed validation: (row_identifier, error, data). Needs ``validate_rows(raw=True)``."""
-    return checked.where(~F.col("valid")).select(identifier.alias("row_identifier"), "error", "data")
+    columns = [identifier.alias("row_identifier"), F.col("error"), F.col("data")]
+    return keep_where(checked, ~F.col("valid"), columns)
 
 
 def inject_id(mapped: DataFrame, schema: T.StructType, id_col: str) -> DataFrame:
@@ -190,7 +214,7 @@ def inject_id(mapped: DataFrame, schema: T.StructType, id_col: str) -> DataFrame
     names = set(schema.fieldNames())
     for name in (id_col, "patient_id"):
         if name in names and name not in mapped.columns:
-            return mapped.withColumn(name, F.array_compact(F.array(F.col("record_id").cast("string"))))
+            return mapped.withColumn(name, F.col("record_id"))
     return mapped
 
 

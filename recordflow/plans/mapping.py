@@ -72,9 +72,8 @@ def _wide(spark, sf_dir):
 
 def q_map_wide(spark, sf_dir):
     mapped = _wide(spark, sf_dir)
-    return mapped.select("o_orderkey", *[
-        F.array_join(f"`{p}`", "|").alias(p) for p in m.by_field(WIDE_RULES)
-    ])
+    lists = F.array_join("tags", "|").alias("tags"), F.array_join("note", "|").alias("note")
+    return mapped.select(*[c for c in mapped.columns if c not in ("tags", "note")], *lists)
 
 
 def q_map_wide_literal(spark, sf_dir):
@@ -143,14 +142,8 @@ def q_inject_id(spark, sf_dir):
     )
 
 
-def _wide_kinds(spark, sf_dir):
-    return m.source_kinds(_orders(spark, sf_dir).schema, WIDE_RULES)
-
-
 def q_validate_rows(spark, sf_dir):
-    checked = v.validate_rows(
-        _wide(spark, sf_dir), STRICT_WIDE_SCHEMA, ["o_orderkey"], kinds=_wide_kinds(spark, sf_dir)
-    )
+    checked = v.validate_rows(_wide(spark, sf_dir), STRICT_WIDE_SCHEMA, ["o_orderkey"])
     return checked.select(
         "o_orderkey", "valid", "error", F.size("errors").cast("bigint").alias("n_errors"),
         F.col("record.is_urgent").alias("is_urgent"), F.col("record.amounts.total").alias("total"),
@@ -204,11 +197,10 @@ def _resolved_sql(method):
 
 ORACLE = {
     "map_wide": f"""
-      SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS order_id, coalesce({_STATUS}, '') AS status,
-             coalesce({_PRIORITY}, '') AS priority, coalesce({_URGENT}, '') AS is_urgent,
-             CAST(o_totalprice AS VARCHAR) AS "amounts::total", CAST(o_custkey AS VARCHAR) AS "amounts::customer",
+      SELECT o_orderkey, o_orderkey AS order_id, {_STATUS} AS status, {_PRIORITY} AS priority, {_URGENT} AS is_urgent,
+             o_totalprice AS "amounts::total", o_custkey AS "amounts::customer",
              o_orderstatus || '|' || o_orderpriority AS tags, o_orderpriority || ';' || o_orderstatus AS note,
-             '' AS missing
+             CAST(NULL AS VARCHAR) AS missing
       FROM orders""",
     "map_wide_literal": f"""
       SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS order_id,
@@ -270,10 +262,9 @@ ORACLE = {
       SELECT 'Wide format, index ' || o_orderkey AS row_identifier,
         concat_ws('; ', CASE WHEN o_orderstatus = 'F' THEN 'status: enum' END,
           CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'is_urgent: bool_type' END) AS error,
-        '{{' || concat_ws(',', '"amounts::customer":["' || o_custkey || '"]', '"amounts::total":["' || o_totalprice || '"]',
-          '"is_urgent":["' || ({_URGENT}) || '"]', '"note":["' || o_orderpriority || ';' || o_orderstatus || '"]',
-          '"order_id":["' || o_orderkey || '"]', '"priority":["' || o_orderpriority || '"]',
-          '"status":["' || ({_STATUS}) || '"]',
+        '{{' || concat_ws(',', '"amounts::customer":' || o_custkey, '"amounts::total":' || o_totalprice,
+          '"is_urgent":"' || ({_URGENT}) || '"', '"note":["' || o_orderpriority || ';' || o_orderstatus || '"]',
+          '"order_id":' || o_orderkey, '"priority":"' || o_orderpriority || '"', '"status":"' || ({_STATUS}) || '"',
           '"tags":["' || o_orderstatus || '","' || o_orderpriority || '"]') || '}}' AS data
       FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority = '3-MEDIUM'""",
 }
