@@ -141,14 +141,16 @@ def coerce_list_item(col: Column, dtype: T.DataType) -> tuple[Column, Column]:
     return F.when(~empty, value), error
 
 
-def splice(text: Column, pattern: str, replacement: Callable[[Column], Column]) -> Column:
-    """Replace every match by a column expression of the match.
+def splice(text: Column, pattern: str, replacement: Callable[[Column], Column],
+           matches: Column | None = None) -> Column:
+    """Replace every match by a column expression of the match; ``matches`` may pass them ready.
 
     The text is cut at the matches and put together again, so equal substrings elsewhere are left
     alone. The pattern must not match the empty text.
     """
     pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if matches is None:
+        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     joined = F.zip_with(
         pieces, matches, lambda piece, match: F.concat(piece, F.when(match.isNull(), F.lit("")).otherwise(replacement(match)))
     )
@@ -165,8 +167,13 @@ def strict_json(text: Column) -> Column:
     items, and the second must be the end mark.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_TEXT_END}"]')))
-    whole = F.try_variant_get(wrapped, "$[1]", "string") == _TEXT_END
-    return F.when(whole, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+    def first_if_whole(value: Column) -> Column:
+        whole = F.try_variant_get(value, "$[1]", "string") == _TEXT_END
+        return F.when(whole, F.try_variant_get(value, "$[0]", "variant"))
+
+    # A lambda over one item binds the parsed text, so it is parsed once.
+    return F.get(F.transform(F.array(wrapped), first_if_whole), F.lit(0))
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -101,7 +101,7 @@ def _mapped_leaf(doc: Column, path: str, field: T.StructField) -> Column:
     if isinstance(field.dataType, T.ArrayType):
         items = F.coalesce(F.try_variant_get(doc, at, "array<string>"), F.array().cast("array<string>"))
         return F.array_compact(items)
-    return F.array_compact(F.array(F.try_variant_get(doc, at, "string")))
+    return F.try_variant_get(doc, at, "string")
 
 
 def parse_generation(results: DataFrame, schema: T.StructType, keep: list[str], raw: str = "raw_response") -> DataFrame:

@@ -50,12 +50,14 @@ def parse_json_array(df: DataFrame, text_col: str) -> DataFrame:
     where both fail is kept as a ``failed`` row.
     """
     text = F.col(text_col)
-    whole = strict_json(text)
-    span = strict_json(F.regexp_extract(text, r"(?s)\[.*\]", 0))
-    return df.withColumns({
-        "parsed": F.to_json(F.coalesce(whole, span)),
-        "parse_status": F.when(whole.isNotNull(), "whole").when(span.isNotNull(), "span").otherwise("failed"),
-    })
+    span = F.regexp_extract(text, r"(?s)\[.*\]", 0)
+    staged = df.withColumn("_whole", strict_json(text))
+    staged = staged.withColumn("_span", F.when(F.col("_whole").isNull(), strict_json(span)))
+    return staged.select(
+        *df.columns,
+        F.to_json(F.coalesce("_whole", "_span")).alias("parsed"),
+        F.when(F.col("_whole").isNotNull(), "whole").when(F.col("_span").isNotNull(), "span").otherwise("failed").alias("parse_status"),
+    )
 
 
 def rules_from_responses(parsed: DataFrame, keep: list[str]) -> DataFrame:
