@@ -62,17 +62,22 @@ def q_build_extraction_prompts(spark, sf_dir):
     return e.build_extraction_prompts(table(spark, sf_dir, "documents"), "text", ["doc_id"], _CONFIGS, [("a b", '{"n": 2}')])
 
 
-def make_stub_client():
-    """A stand-in client: answers with the length and language length, refuses short texts."""
-    def client(texts):
-        if any(len(one) < 400 for one in texts):
-            raise ValueError("text too short")
-        return [f'Sure: {{"n": {len(one)}, "kind": "{"long" if len(one) > 3000 else "short"}"}}' for one in texts]
-    return client
+def stub_factory():
+    """Factory of a stand-in client that answers with the text's length and refuses short texts.
+
+    Nested functions travel to the tasks by value, so workers need not import this module.
+    """
+    def make_client():
+        def client(texts):
+            if any(len(one) < 400 for one in texts):
+                raise ValueError("text too short")
+            return [f'Sure: {{"n": {len(one)}, "kind": "{"long" if len(one) > 3000 else "short"}"}}' for one in texts]
+        return client
+    return make_client
 
 
 def _extracted(spark, sf_dir):
-    return e.batch_extract(table(spark, sf_dir, "documents"), "text", ["doc_id"], make_stub_client)
+    return e.batch_extract(table(spark, sf_dir, "documents"), "text", ["doc_id"], stub_factory())
 
 
 def q_batch_extract(spark, sf_dir):

@@ -26,7 +26,7 @@ def read_csv_lenient(spark: SparkSession, path: str, schema: T.StructType | None
     Without a schema the header names text columns (read from the first file only). Missing tokens
     become null unless ``keep_na``. Declared types are cast leniently after reading; text that does
     not fit is null. Files are split across tasks unless quoted fields hold line breaks
-    (``multiline``).
+    (``multiline``). Text after a closing quote keeps its quotes.
     """
     options = {"header": str(header).lower(), "sep": sep, "escape": '"', "multiLine": str(multiline).lower()}
     if schema is None:
