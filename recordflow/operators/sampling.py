@@ -8,7 +8,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordflow.runtime import checked_broadcast
+from recordflow.runtime import checked_broadcast, cut_lineage
+
+# Cluster means broadcast up to this many; more of them join by shuffle.
+MAX_CENTERS = 10_000
 
 
 def assign_clusters(emb: DataFrame, vector: str, k: int, seed: int = 7, out: str = "cluster") -> DataFrame:
@@ -33,7 +36,9 @@ def cluster_sample(emb: DataFrame, key: str, vector: str, cluster: str, k: int)
     centers = emb.groupBy(cluster).agg(
         vector_to_array(Summarizer.mean(array_to_vector(as_double))).alias("_center")
     )
-    near = emb.join(checked_broadcast(centers, 10_000), cluster).withColumn(
+    # Stored once: its size is counted before the broadcast without computing the means again.
+    centers = checked_broadcast(cut_lineage(centers, "centers"), MAX_CENTERS)
+    near = emb.join(centers, cluster).withColumn(
         "_distance", _distance(as_double, F.col("_center"))
     ).select(key, cluster, "_distance")
     order = Window.partitionBy(cluster).orderBy("_distance", key)

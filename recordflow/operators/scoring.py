@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 
 def _pairs(gold: DataFrame, pred: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(field, gold, pred) as text, over every key of either side."""
+    """(field, gold, pred) as text, over every key of either side.
+
+    The outer join is made of a left join and an anti join: adaptive execution splits a dominant
+    key in those, but not in a full join.
+    """
     left = gold.select(key, *[F.col(f).cast("string").alias(f"_g_{f}") for f in fields])
     right = pred.select(key, *[F.col(f).cast("string").alias(f"_p_{f}") for f in fields])
+    only_gold = left.join(right.select(key), key, "left_anti")
+    none = F.lit(None).cast("string")
+    both = right.join(left, key, "left").unionByName(only_gold.select("*", *[none.alias(f"_p_{f}") for f in fields]))
     cells = F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f"_g_{f}").alias("gold"), F.col(f"_p_{f}").alias("pred")) for f in fields
     ])
-    return left.join(right, key, "full_outer").select(F.inline(cells))
+    return both.select(F.inline(cells))
 
 
 def score_fields(gold: DataFrame, pred: DataFrame, key: str, fields: list[str], digits: int = 6) -> DataFrame:

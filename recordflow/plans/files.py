@@ -40,12 +40,11 @@ def q_read_csv_lenient(spark, sf_dir):
 
 
 def q_read_json_records(spark, sf_dir):
-    """Parts written as JSON arrays of objects, one array per brand and size."""
+    """Parts written as JSON, a document per line: arrays of one object and bare objects."""
     item = F.to_json(F.struct("p_partkey", "p_name", "p_retailprice"))
-    arrays = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.array_join(F.collect_list(item), ",\n").alias("items"))
+    line = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("["), item, F.lit("]"))).otherwise(item)
     path = scratch_path(spark, "json")
-    # A JSON document per line: arrays and single objects alike give rows.
-    arrays.select(F.concat(F.lit("["), F.replace("items", F.lit("\n"), F.lit(" ")), F.lit("]")).alias("value")).write.text(path)
+    table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
     schema = T.StructType([
         T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType()), T.StructField("p_retailprice", T.DoubleType()),
     ])
@@ -53,13 +52,12 @@ def q_read_json_records(spark, sf_dir):
 
 
 def q_read_text_docs(spark, sf_dir):
-    """One text file per language and source; files are compared by number and total length."""
-    docs = table(spark, sf_dir, "documents").select("text", F.concat_ws("-", "lang", "source").alias("batch"))
+    """Documents written as text files of at most five hundred each, compared by length and lines."""
     path = scratch_path(spark, "texts")
-    docs.repartition("batch").write.partitionBy("batch").text(path)
-    read = files.read_text_docs(spark, f"{path}/*")
-    return read.agg(
-        F.countDistinct("file_name").alias("files"), F.sum(F.length("text")).cast("bigint").alias("characters")
+    table(spark, sf_dir, "documents").select("text").write.option("maxRecordsPerFile", 500).text(path)
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return files.read_text_docs(spark, path).agg(
+        F.sum(F.length("text")).cast("bigint").alias("characters"), F.sum(breaks).cast("bigint").alias("lines")
     )
 
 
@@ -109,7 +107,9 @@ ORACLE = {
       FROM part WHERE p_partkey % 10 > 1""",
     "read_json_records": "SELECT p_partkey, p_name, p_retailprice FROM part",
     "read_text_docs": """
-      SELECT count(DISTINCT lang || '-' || source) AS files, CAST(sum(length(text) + 1) AS BIGINT) AS characters FROM documents""",
+      SELECT CAST(sum(length(text) + 1) AS BIGINT) AS characters,
+             CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines
+      FROM documents""",
     "write_records_json": f"SELECT record_json FROM ({mapping_plans.ORACLE['records_json']})",
     "write_flat_csv": mapping_plans.ORACLE["map_wide_flat"],
     "stream_long_records": mapping_plans.ORACLE["map_long_flat"],

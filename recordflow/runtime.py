@@ -23,6 +23,8 @@ def local_session(cores: str = "8", app: str = "recordflow") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # Larger generated methods are not compiled by HotSpot; Spark then runs operators one by one.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     return builder.getOrCreate()
 
