@@ -51,7 +51,8 @@ def parse_json_array(df: DataFrame, text_col: str) -> DataFrame:
     """
     text = F.col(text_col)
     span = F.regexp_extract(text, r"(?s)\[.*\]", 0)
-    staged = df.withColumn("_whole", strict_json(text))
+    # A text that cannot start a JSON value is not parsed: failures cost more than parses.
+    staged = df.withColumn("_whole", F.when(text.rlike(r'^\s*[\[{"0-9tfn-]'), strict_json(text)))
     staged = staged.withColumn("_span", F.when(F.col("_whole").isNull(), strict_json(span)))
     return staged.select(
         *df.columns,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordflow.functions.text import title_text
+from recordflow.functions.text import blank, title_text
 from recordflow.runtime import cut_lineage
 
 SEP = "::"
@@ -105,10 +105,11 @@ def schema_paths(fields: DataFrame, main: DataFrame, *, literal: bool = False,
     """Leaf paths of many schemas at once.
 
     ``fields``: (schema_id, parent_class, ord, name, field_type); ``main``: (schema_id, main_class).
-    Each level is one join of the frontier with the class members on (schema_id, class); the
-    frontier is checkpointed per level, so the plan stays one level deep. Output: schema_id, path,
-    leaf_type, sort_key (declaration order). ``literal`` stops at an optional list, whose leaf type
-    is then ``List``. Nesting deeper than ``max_depth`` is an error: the classes refer to themselves.
+    Each level is one join of the frontier (the members that are classes themselves) with the class
+    members on (schema_id, class). Members and frontiers are stored, so the plan of a level starts
+    from tables; the leaves of all levels are one lazy union. Output: schema_id, path, leaf_type,
+    sort_key (declaration order). ``literal`` stops at an optional list, whose leaf type is then
+    ``List``. Nesting deeper than ``max_depth`` is an error: the classes refer to themselves.
     """
     typed = resolve_field_type(fields)
     shown = F.col("base_type")
@@ -116,38 +117,29 @@ def schema_paths(fields: DataFrame, main: DataFrame, *, literal: bool = False,
         hidden = F.col("field_type").rlike(r"^(Optional|Union)\[\s*(List|list)\[")
         shown = F.when(hidden, F.lit("List")).otherwise(shown)
     members = typed.select(
-        "schema_id", F.col("parent_class").alias("class"), "ord", "name", shown.alias("leaf_type")
+        "schema_id", F.col("parent_class").alias("class"), "name", shown.alias("leaf_type"),
+        F.lpad(F.col("ord").cast("string"), 6, "0").alias("step"),
     )
-    classes = members.select("schema_id", F.col("class").alias("leaf_type")).distinct()
-    members = (
+    classes = fields.select("schema_id", F.col("parent_class").alias("leaf_type")).distinct()
+    members = cut_lineage(
         members.join(classes.withColumn("nested", F.lit(True)), ["schema_id", "leaf_type"], "left")
-        .withColumn("nested", F.coalesce("nested", F.lit(False)))
-        .withColumn("step", F.lpad(F.col("ord").cast("string"), 6, "0"))
+        .withColumn("nested", F.coalesce("nested", F.lit(False))), "members",
     )
-    members = cut_lineage(members)
-    level = (
-        main.select("schema_id", F.col("main_class").alias("class"))
-        .join(members, ["schema_id", "class"])
-        .select("schema_id", F.col("name").alias("path"), "leaf_type", "nested", F.col("step").alias("sort_key"))
+    above = main.select(
+        "schema_id", F.col("main_class").alias("class"), F.lit("").alias("path"), F.lit("").alias("sort_key")
     )
     found = []
     for _ in range(max_depth):
-        level = cut_lineage(level)
+        level = above.join(members, ["schema_id", "class"]).select(
+            "schema_id", "leaf_type", "nested",
+            F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws(SEP, "path", "name")).alias("path"),
+            F.when(F.col("sort_key") == "", F.col("step")).otherwise(F.concat_ws(".", "sort_key", "step")).alias("sort_key"),
+        )
         found.append(level.where(~F.col("nested")))
-        frontier = level.where("nested")
-        if frontier.isEmpty():
+        frontier = level.where("nested").select("schema_id", F.col("leaf_type").alias("class"), "path", "sort_key")
+        above = cut_lineage(frontier, "frontier")
+        if above.isEmpty():
             break
-        parent = frontier.select(
-            "schema_id", F.col("leaf_type").alias("class"),
-            F.col("path").alias("above"), F.col("sort_key").alias("above_key"),
-        )
-        level = parent.join(members, ["schema_id", "class"]).select(
-            "schema_id",
-            F.concat_ws(SEP, "above", "name").alias("path"),
-            "leaf_type",
-            "nested",
-            F.concat_ws(".", "above_key", "step").alias("sort_key"),
-        )
     else:
         raise ValueError(f"schema nesting exceeds {max_depth} levels")
     result = found[0]
@@ -170,14 +162,18 @@ def mapping_template(paths: DataFrame, enums: DataFrame) -> DataFrame:
     Option rows join by (schema_id, type), so a large option set spreads over its rows and is
     never gathered into one array.
     """
-    options = enums.select(
+    named = enums.select(
         "schema_id", F.col("enum_name").alias("leaf_type"), F.col("ord").alias("option_ord"),
         F.col("value").alias("option"),
     )
-    is_bool = F.lower("leaf_type") == "bool"
-    bools = paths.where(is_bool).select(
-        "*", F.posexplode(F.array(F.lit("True"), F.lit("False"))).alias("option_ord", "option")
+    truth = F.posexplode(F.array(F.lit("True"), F.lit("False"))).alias("option_ord", "option")
+    # An enum whose name starts with "bool" is filled in like a boolean.
+    boolish = F.lower("leaf_type").startswith("bool")
+    options = named.where(~boolish).unionByName(
+        named.where(boolish).select("schema_id", "leaf_type").distinct().select("*", truth)
     )
+    is_bool = F.lower("leaf_type") == "bool"
+    bools = paths.where(is_bool).select("*", truth)
     others = paths.where(~is_bool).join(options, ["schema_id", "leaf_type"], "left")
     rows = bools.select(*others.columns).unionByName(others)
     fill = {
@@ -213,7 +209,7 @@ def validate_mapping(rules: DataFrame, enums: DataFrame, keys: list[str] | None
     )
     value_set = F.coalesce(F.col("pydantic_value"), F.lit("")) != ""
     unknown = F.col("_is_enum") & value_set & F.col("_allowed").isNull()
-    no_column = F.coalesce(F.trim("Observation_ColName") == "", F.lit(True))
+    no_column = blank(F.col("Observation_ColName"))
     error = F.concat_ws(
         "; ",
         F.when(unknown, F.concat(F.lit("unknown enum value: "), F.col("pydantic_value"))),

@@ -208,6 +208,16 @@ def quarantine(checked: DataFrame, identifier: Column) -> DataFrame:
     return keep_where(checked, ~F.col("valid"), columns)
 
 
+def wide_identifier(index: Column) -> Column:
+    """Identifier of a row of a wide source in the quarantine."""
+    return F.concat(F.lit("Wide format, index "), index.cast("string"))
+
+
+def long_identifier(id_col: str, value: Column) -> Column:
+    """Identifier of a record of a long source in the quarantine."""
+    return F.concat(F.lit(f"Long format, {id_col}: "), value.cast("string"))
+
+
 def inject_id(mapped: DataFrame, schema: T.StructType, id_col: str) -> DataFrame:
     """Set the schema's field named like the id column, or else its ``patient_id``, when the rules
     leave it open. The id is the mapped table's ``record_id``."""

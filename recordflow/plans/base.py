@@ -97,6 +97,16 @@ LONG_SCHEMA = T.StructType([
 ])
 
 
+# Sign-ups must be one number and errors low.
+STRICT_LONG_SCHEMA = T.StructType([
+    target("user_id", "int", required=True),
+    target("first_view", "int", required=True),
+    target("signups", "int"),
+    target("purchases", "int", many=True),
+    target("error", T.StructType([target("level", "str", options=["Low"], enum="LowOnly")])),
+])
+
+
 def long_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as (user_id, event_type, k, event_id): the observation value is the text of props.k."""
     return table(spark, sf_dir, "events").select(

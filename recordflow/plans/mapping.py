@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recordflow.operators import mapping as m
 from recordflow.operators import validation as v
 from recordflow.plans.base import (
-    LONG_RULES, LONG_SCHEMA, QUARANTINE_SCHEMA, STRICT_WIDE_SCHEMA, WIDE_RULES, WIDE_SCHEMA,
+    LONG_RULES, LONG_SCHEMA, QUARANTINE_SCHEMA, STRICT_LONG_SCHEMA, STRICT_WIDE_SCHEMA, WIDE_RULES, WIDE_SCHEMA,
     long_source, table,
 )
 
@@ -157,7 +157,14 @@ def q_records_json(spark, sf_dir):
 
 def q_quarantine(spark, sf_dir):
     checked = v.validate_rows(_wide(spark, sf_dir), QUARANTINE_SCHEMA, ["o_orderkey"], raw=True)
-    return v.quarantine(checked, F.concat(F.lit("Wide format, index "), F.col("o_orderkey").cast("string")))
+    return v.quarantine(checked, v.wide_identifier(F.col("o_orderkey")))
+
+
+def q_quarantine_long(spark, sf_dir):
+    mapped = m.map_long(long_source(spark, sf_dir), *LONG_ARGS, LONG_RULES)
+    mapped = v.inject_id(mapped, STRICT_LONG_SCHEMA, "user_id")
+    checked = v.validate_rows(mapped, STRICT_LONG_SCHEMA, ["record_id"], raw=True)
+    return v.quarantine(checked, v.long_identifier("user_id", F.col("record_id")))
 
 
 QUERIES = {
@@ -175,6 +182,7 @@ QUERIES = {
     "validate_rows": q_validate_rows,
     "records_json": q_records_json,
     "quarantine": q_quarantine,
+    "quarantine_long": q_quarantine_long,
 }
 
 _PRIORITY = "CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW') THEN o_orderpriority END"
@@ -195,7 +203,36 @@ def _resolved_sql(method):
     return f"SELECT user_id, clicks FROM ({flat_long_sql(_clicks(method))})"
 
 
+def _values_sql(path):
+    return f"list(value ORDER BY rule_ord, row_ord) FILTER (field = {_text(path)})"
+
+
+def _listed(path):
+    """SQL of a list member of the raw record JSON, null when there is no value."""
+    return f"""'"{path}":' || CAST(to_json({_values_sql(path)}) AS VARCHAR)"""
+
+
+def _single(path):
+    return f"""'"{path}":"' || ({_values_sql(path)})[1] || '"'"""
+
+
+_QUARANTINE_LONG = f"""{long_cte(LONG_RULES)},
+  g AS (
+    SELECT i.user_id, ({_values_sql("first_view")})[1] AS first_view, {_values_sql("signups")} AS signups,
+      ({_values_sql("error::level")})[1] AS level,
+      '{{' || concat_ws(',', {_listed("clicks")}, {_single("error::level")}, {_single("first_view")}, {_listed("mixed")}, {_listed("purchases")},
+        '"signups":["' || array_to_string({_values_sql("signups")}, ';') || '"]', '"user_id":' || i.user_id) || '}}' AS data
+    FROM (SELECT DISTINCT user_id FROM events) i LEFT JOIN cand c USING (user_id) GROUP BY i.user_id
+  ),
+  e AS (
+    SELECT user_id, data, concat_ws('; ', CASE WHEN first_view IS NULL THEN 'first_view: int_type' END,
+      CASE WHEN len(signups) > 1 THEN 'signups: int_parsing' END, CASE WHEN level = 'High' THEN 'error::level: enum' END) AS error
+    FROM g
+  )
+  SELECT 'Long format, user_id: ' || user_id AS row_identifier, error, data FROM e WHERE error <> ''"""
+
 ORACLE = {
+    "quarantine_long": _QUARANTINE_LONG,
     "map_wide": f"""
       SELECT o_orderkey, o_orderkey AS order_id, {_STATUS} AS status, {_PRIORITY} AS priority, {_URGENT} AS is_urgent,
              o_totalprice AS "amounts::total", o_custkey AS "amounts::customer",
