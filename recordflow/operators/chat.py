@@ -15,7 +15,7 @@ def transcript(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
                text: str = "text", part_turns: int = PART_TURNS) -> DataFrame:
     """``ROLE: content`` blocks joined by blank lines, in turn order.
 
-    A part covers a fixed range of turn numbers, so one very long conversation spreads over parts
+    A part covers a fixed range of turn numbers (which tell the turns of a conversation apart), so one very long conversation spreads over parts
     (joined by blank lines they are the whole) and no task gathers more than a part.
     """
     block = F.concat(F.upper(role), F.lit(": "), F.col(text))

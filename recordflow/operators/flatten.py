@@ -39,12 +39,11 @@ def flatten_paths(df: DataFrame, json_col: str, keep: list[str], sep: str = SEP,
     """Any JSON text -> (keep, path, value) rows, one per leaf.
 
     Each level opens containers in place and passes leaves on, so all levels run in one pass over
-    the input without a shuffle. Empty containers give no row, null leaves give a null value, and a
+    the input without a shuffle. Texts that are not JSON and empty containers give no row, null leaves give a null value, and a
     container left below ``max_depth`` fails the query rather than losing its leaves.
     """
     spark = df.sparkSession
     rows = df.select(*keep, F.lit("").alias("path"), strict_json(F.col(json_col)).alias("_v"))
-    rows = rows.where(F.col("_v").isNotNull())
     for _ in range(max_depth):
         opened = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer()))
         segment = F.coalesce(F.col("key"), F.col("pos").cast("string"))

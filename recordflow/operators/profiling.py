@@ -77,7 +77,8 @@ def profile_wide(df: DataFrame, order: str, columns: list[str] | None = None) ->
 
 
 def profile_long(df: DataFrame, name: str, value: str, order: str) -> DataFrame:
-    """The same per observation name, names numbered by first appearance."""
+    """The same per observation name, names numbered by first appearance (their ranking is stored, so
+    building the plan runs a job over the distinct names)."""
     types = {f.name: f.dataType for f in df.schema.fields}
     rows = df.select(
         F.col(name).alias("observation"), value_text(F.col(value), types[value]).alias("value"),

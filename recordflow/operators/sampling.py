@@ -29,7 +29,7 @@ def _distance(a: Column, b: Column) -> Column:
 def cluster_sample(emb: DataFrame, key: str, vector: str, cluster: str, k: int) -> DataFrame:
     """The ``k`` members nearest to each cluster's mean vector.
 
-    Means reduce map-side to one row per cluster; ``row_number() <= k`` is applied per task before
+    Means are stored first (one job) and reduce map-side to one row per cluster; ``row_number() <= k`` is applied per task before
     the shuffle, so a cluster holding most rows sends only ``k`` rows per task.
     """
     as_double = F.col(vector).cast("array<double>")

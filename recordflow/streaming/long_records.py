@@ -16,8 +16,10 @@ from recordflow.operators.mapping import Rule, first_places, long_candidates, ma
 
 
 def start_long_records(stream: DataFrame, id_col: str, name_col: str, value_col: str, order_col: str,
-                       rules: list[Rule], log_path: str, checkpoint_path: str) -> StreamingQuery:
-    """Start the stream over everything available. Both paths must be reachable by all executors."""
+                       rules: list[Rule], log_path: str, checkpoint_path: str,
+                       trigger: dict | None = None) -> StreamingQuery:
+    """Start the stream, by default over everything available and then stopping; ``trigger`` takes
+    the writer's trigger options. Both paths must be reachable by all executors."""
     def reduce_batch(batch: DataFrame, batch_id: int) -> None:
         folder = f"batch={batch_id}"
         candidates = long_candidates(batch, id_col, name_col, value_col, order_col, rules)
@@ -27,7 +29,7 @@ def start_long_records(stream: DataFrame, id_col: str, name_col: str, value_col:
 
     return (
         stream.writeStream.foreachBatch(reduce_batch)
-        .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint_path).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
