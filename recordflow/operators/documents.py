@@ -74,16 +74,15 @@ def _entities(text: Column) -> Column:
 
 
 def _tidy(text: Column) -> Column:
-    lines = F.regexp_replace(text, r"[ \t\r\f]+", " ")
+    lines = F.regexp_replace(text, r"[ \t\r\f]{2,}|[\t\r\f]", " ")
     return F.btrim(F.regexp_replace(lines, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def html_to_text(pages: DataFrame, html: str) -> DataFrame:
     """Add title and visible text. Scripts, styles, the head and comments go; block tags break lines."""
     source = F.col(html)
-    visible = source
-    for part in ("script", "style", "head", "noscript", "template"):
-        visible = F.regexp_replace(visible, rf"(?is)<{part}(?:\s[^>]*)?>.*?</{part}\s*>", " ")
+    visible = F.regexp_replace(source, r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>", " ")
+    visible = F.regexp_replace(visible, r"(?is)<(style|head|noscript|template)(?:\s[^>]*)?>.*?</\1\s*>", " ")
     visible = F.regexp_replace(visible, r"(?s)<!--.*?-->", "")
     blocks = "p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|main|blockquote|pre"
     visible = F.regexp_replace(visible, r"[\r\n]", " ")
