@@ -76,10 +76,10 @@ def entries(spark, sf_dir):
 
 
 def updates(spark, sf_dir):
-    """Later saves: the toxic flag turned, for every third row and again for every sixth."""
-    again = F.when(F.col("row_index") % 6 == 0, F.array(*map(F.lit, (2, 3)))).otherwise(F.array(F.lit(2))).cast("array<bigint>")
+    """Later saves of the good rows: the toxic flag turned, twice where it was set."""
+    again = F.when(F.col("toxic") == 1, F.array(*map(F.lit, (2, 3)))).otherwise(F.array(F.lit(2))).cast("array<bigint>")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_index"), "quality", "toxic")
-    return labels.where(F.col("row_index") % 3 == 0).select(
+    return labels.where(F.col("quality") == 1).select(
         "row_index", F.explode(again).alias("version"), "quality", "toxic"
     ).select(
         "row_index", "version",
@@ -179,10 +179,10 @@ ORACLE = {
              CAST(CASE WHEN quality IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_tags
       FROM documents LEFT JOIN labels USING (doc_id)""",
     "upsert_extractions": f"""WITH {_ENTRIES}
-      SELECT row_index, CAST(CASE WHEN row_index % 6 = 0 THEN 3 WHEN row_index % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version,
-        CASE WHEN row_index % 3 = 0 THEN '{{"quality":' || (quality + CASE WHEN row_index % 6 = 0 THEN 3 ELSE 2 END) || ',"flags":{{"toxic":' || (1 - toxic) || '}}}}'
+      SELECT row_index, CAST(CASE WHEN quality = 1 AND toxic = 1 THEN 3 WHEN quality = 1 THEN 2 ELSE 1 END AS BIGINT) AS version,
+        CASE WHEN quality = 1 THEN '{{"quality":' || (quality + CASE WHEN toxic = 1 THEN 3 ELSE 2 END) || ',"flags":{{"toxic":' || (1 - toxic) || '}}}}'
           ELSE values_json END AS "values",
-        CASE WHEN row_index % 3 <> 0 THEN source_data END AS source_data
+        CASE WHEN quality <> 1 THEN source_data END AS source_data
       FROM entries""",
     "assign_id": """
       SELECT doc_id AS row_index, CASE WHEN doc_id % 4 <> 0 THEN lang || '-' || doc_id ELSE 'row_' || (doc_id + 1) END AS id FROM documents""",

@@ -124,11 +124,11 @@ def q_best_config(spark, sf_dir):
 
 
 def _iterations(spark, sf_dir):
-    """Mean k per event type and stretch of events; odd stretches of one type are missing."""
+    """Mean k per event type and stretch of twenty events."""
     logged = long_source(spark, sf_dir).select(
         F.col("event_type").alias("prompt"), F.floor(F.col("event_id") / 20).cast("bigint").alias("iteration"),
         F.col("k").cast("bigint").alias("k"),
-    ).where((F.col("prompt") != "view") | (F.col("iteration") % 2 == 0))
+    )
     return logged.groupBy("prompt", "iteration").agg((F.sum("k") / F.count("k")).alias("score"))
 
 
@@ -213,7 +213,7 @@ _ITERATIONS = """
   iterations AS (
     SELECT event_type AS prompt, event_id // 20 AS iteration,
            sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) / count(*) AS score
-    FROM events WHERE event_type <> 'view' OR (event_id // 20) % 2 = 0 GROUP BY 1, 2
+    FROM events GROUP BY 1, 2
   )"""
 
 _UNIFY = ", ".join(f"({i}, '{x}')" for i, x in enumerate(_TYPES))
