@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recordflow.runtime import cut_lineage
+
 # White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -99,3 +101,25 @@ def bitmap_bytes(bitmap: DataFrame, bits: int = BITMAP_BITS) -> bytes:
         start = (row["slot"] - 1) * size
         whole[start:start + size] = row["bitmap"]
     return bytes(whole)
+
+
+def total_before(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows of the same group that come earlier.
+
+    Range partitions are stored once with their number; sums run inside (partition, group) and are
+    shifted by the group's sums in earlier partitions, so a hot group is spread over many tasks.
+    ``group`` columns hold no nulls; the order within ties is stored and so stays the same.
+    """
+    part, size, shift = fresh(df, "_part"), fresh(df, "_size"), fresh(df, "_shift")
+    stored = cut_lineage(
+        df.repartitionByRange(*[F.col(f"`{c}`") for c in [*group, *order]])
+        .sortWithinPartitions(*group, *order)
+        .withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = stored.groupBy(part, *group).agg(F.sum(value).alias(size))
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(part, *group, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(shift))
+    inside = Window.partitionBy(part, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        stored.join(shifts, [part, *group])
+        .withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col(shift))
+        .drop(part, shift))

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recordflow.llm import exact_dedup, quality, simhash
+from recordflow.llm import bpe_chunks, exact_dedup, mixing, quality, simhash
 from recordflow.llm.common import table
 
 
+def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = bpe_chunks.tokenizer_spec(public_tokenizers.path("word_bpe_49k.json"))
+    return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), spec)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -21,7 +31,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_bpe_chunks": op2_bpe_chunks,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_mixing": op5_mixing,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
 }
