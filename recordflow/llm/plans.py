@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recordflow.llm import bpe_chunks, exact_dedup, mixing, quality, simhash
+from recordflow.llm import bpe_chunks, exact_dedup, mixing, quality, simhash, topk, url_filter
 from recordflow.llm.common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = bpe_chunks.tokenizer_spec(public_tokenizers.path("word_bpe_49k.json"))
     return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), spec)
@@ -30,19 +34,78 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_bpe_chunks": op2_bpe_chunks,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
+    "op10_va_file": op10_va_file,
 }
 
 ORACLE = {
+    "op1_url_filter": r"""
+        WITH RECURSIVE rules(verdict, rule, h, p) AS (
+            VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+                   ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+        tags AS (
+            SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag
+            FROM pages WHERE contains(url, '://')),
+        targets AS (
+            SELECT url AS base, trim(replace(CASE
+                WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')
+                THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''>\s]*)', 1)
+                WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?\s*refresh\b')
+                THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1) END, '&amp;', '&')) AS href
+            FROM tags),
+        edges AS (
+            SELECT regexp_extract(base, '^[^#]*') AS a, regexp_extract(CASE
+                WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
+                WHEN starts_with(href, '//') THEN regexp_extract(base, '^[^/?#]*:') || href
+                WHEN starts_with(href, '/') THEN regexp_extract(base, '^[^/?#]*://[^/?#]*') || href
+                WHEN starts_with(href, '?') THEN regexp_extract(base, '^[^?#]*') || href
+                ELSE regexp_extract(regexp_extract(base, '^[^?#]*'), '^.*/') || href END, '^[^#]*') AS b
+            FROM targets WHERE length(href) > 0),
+        both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+        reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b),
+        split AS (
+            SELECT u AS url, regexp_extract(u, '://([^/?#]*)', 1) AS host0,
+                   regexp_extract(u, '://[^/?#]*([^?#]*)', 1) AS path
+            FROM (SELECT url AS u FROM pages UNION SELECT b FROM edges) WHERE u IS NOT NULL),
+        judged AS (
+            SELECT s.url, lower(host0) AS host, s.path, r.rule, r.verdict
+            FROM split s LEFT JOIN rules r
+              ON (lower(host0) = r.h OR ends_with(lower(host0), '.' || r.h)) AND starts_with(s.path, r.p)
+            QUALIFY row_number() OVER (PARTITION BY s.url ORDER BY length(r.rule) DESC NULLS LAST) = 1),
+        classes AS (
+            SELECT r.a, min(least(r.a, r.b)) AS alias_class, bool_or(j.verdict = 'block') AS blocks, bool_or(j.verdict = 'allow') AS allows
+            FROM reach r JOIN judged j ON regexp_extract(j.url, '^[^#]*') = r.b GROUP BY r.a)
+        SELECT p.page_id, coalesce(j.host, '') AS host, coalesce(j.path, '') AS path, j.rule,
+               coalesce(j.verdict, CASE WHEN coalesce(c.blocks, false) AND NOT coalesce(c.allows, false) THEN 'block' ELSE 'allow' END) AS verdict,
+               c.alias_class
+        FROM pages p LEFT JOIN judged j ON j.url = p.url LEFT JOIN classes c ON c.a = regexp_extract(p.url, '^[^#]*')
+    """,
     "op4_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY body)
     """,
+    "op10_va_file": """
+        WITH sound AS (
+            SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, b.vec_id,
+                   list_sum([z[1] * z[2] for z in list_zip(q.v, b.v)])::BIGINT AS score
+            FROM sound q JOIN sound b ON q.vec_id <> b.vec_id AND len(q.v) = len(b.v) WHERE q.vec_id % 50 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+    """,
 }
