@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recordflow.llm import bpe_chunks, exact_dedup, mixing, quality, simhash, topk, url_filter
+from recordflow.llm import bpe_chunks, exact_dedup, mixing, pii, quality, simhash, topk, url_filter
 from recordflow.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op2_bpe_chunks": op2_bpe_chunks,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op6_pii": op6_pii,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_va_file": op10_va_file,
