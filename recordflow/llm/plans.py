@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recordflow.llm import bpe_chunks, exact_dedup, mixing, pii, quality, simhash, topk, url_filter
+from recordflow.llm import bpe_chunks, exact_dedup, mixing, pii, quality, simhash, topk, toxicity, url_filter
 from recordflow.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
+    "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_va_file": op10_va_file,
