@@ -76,14 +76,14 @@ def bitmap_of(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> DataFrame:
     A key sets the bit at its remainder. A clear bit proves absence; a set bit may be another key's,
     which costs work but no result. The size is fixed by ``bits``, not by the data.
     """
-    place = F.pmod(F.col(key), F.lit(bits))
+    place = F.pmod(F.col(key), F.lit(bits)) + 1  # the bitmap functions count from 1
     return keys.groupBy(F.bitmap_bucket_number(place).alias("slot")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
 
 
 def in_bitmap(df: DataFrame, key: Column, bitmap: DataFrame, out: str, bits: int = BITMAP_BITS) -> DataFrame:
     """Add ``out``: whether the key's bit is set. The bitmap has a fixed size and is broadcast."""
-    place = F.pmod(key, F.lit(bits))
+    place = F.pmod(key, F.lit(bits)) + 1
     position = F.bitmap_bit_position(place)
     slot, bits_col = fresh(df, "_slot"), fresh(df, "_bitmap")
     named = bitmap.select(F.col("slot").alias(slot), F.col("bitmap").alias(bits_col))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recordflow.llm import bpe_chunks, exact_dedup, mixing, pii, quality, simhash, topk, toxicity, url_filter
+from recordflow.llm import bpe_chunks, exact_dedup, line_dedup, mixing, pii, quality, simhash, topk, toxicity, url_filter
 from recordflow.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), spec)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_matches(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_bpe_chunks": op2_bpe_chunks,
+    "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
