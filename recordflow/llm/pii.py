@@ -115,8 +115,9 @@ def revealing_terms(documents: int, entities: DataFrame, contexts: DataFrame, te
         contexts.groupBy("entity", "term", "unit").agg(F.count_distinct("row").alias("n"))
         .groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("texts")).where(F.col("texts") >= support), "pairs")
     held = entities.groupBy("entity").agg(F.count("*").alias("n_c"))
-    seen = texts.select(F.explode(F.array_distinct(F.transform(
-        F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # Stored, so that the counts of all terms are combined before any are looked up.
+    seen = cut_lineage(texts.select(F.explode(F.array_distinct(F.transform(
+        F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "term-counts")
     share = F.when(F.col("n_c") >= documents, F.lit(0.0)).otherwise(
         1 - F.log(F.greatest(F.col("n_t"), F.col("n_ct")) / F.col("n_ct")) / F.log(F.lit(float(documents)) / F.col("n_c")))
     wanted = cut_lineage(seen.join(pairs.select("term").distinct(), "term", "left_semi"), "terms")
