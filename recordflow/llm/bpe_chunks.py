@@ -25,7 +25,7 @@ ship(__name__)
 
 MEAN_BITS = 10          # a chunk ends where so many bits of the rolling hash are zero: 1 KiB on average
 SHORTEST, LONGEST = 256, 8_192
-MEMO_WORDS = 600_000    # words a worker remembers before it starts anew
+MEMO_WORDS = 300_000    # words a worker remembers before it starts anew
 _MASK = (1 << 64) - 1
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 5) for b in range(256)], dtype=np.uint32)
 
@@ -167,8 +167,8 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text: str
         encoder = Encoder.of_worker(json_text.value)
         bits, arrow = bitmap.value, _arrow(part_schema)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
                 index: list[int] = []
                 found: list[tuple] = []
                 for n, value in enumerate(part.column(1)):
