@@ -91,7 +91,7 @@ def links(prints: DataFrame, fingerprint: str = "fingerprint", max_bits: int = M
     masks = _masks()
     keys = F.array(*[
         F.struct(F.lit(j).alias("j"),
-                 F.xxhash64(F.lit(i), F.lit(j), value.bitwiseAND(F.lit(masks[i])), value.bitwiseAND(F.lit(masks[j]))).alias("key"))
+                 F.xxhash64(F.lit(i), F.lit(j), F.col("f").bitwiseAND(F.lit(masks[i])), F.col("f").bitwiseAND(F.lit(masks[j]))).alias("key"))
         for j in range(_BLOCKS) for i in range(j)])
     rows = prints.where(value.isNotNull()).select(value.alias("f"), *packed).select("*", F.inline(keys))
     left, right = rows.alias("x"), rows.alias("y")
