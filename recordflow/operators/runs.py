@@ -15,6 +15,13 @@ def resume_pending(docs: DataFrame, results: DataFrame, key: str, success: str)
     return docs.join(done, key, "left_anti")
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which null keys meet null keys."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    met = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, met, "left").drop(*[f"_right_{k}" for k in keys])
+
+
 def _nearest_rank(results: DataFrame, config: str, millis: str, share: float) -> DataFrame:
     """Exact nearest-rank percentile of whole milliseconds per configuration.
 
@@ -29,13 +36,13 @@ def _nearest_rank(results: DataFrame, config: str, millis: str, share: float) ->
     total = seconds.groupBy(config).agg(F.sum("_n").alias("_total"))
     placed = (
         seconds.withColumn("_before", F.coalesce(F.sum("_n").over(above), F.lit(0)))
-        .join(total, config)
+        .transform(lambda df: _null_safe_join(df, total, [config]))
         .withColumn("_rank", F.ceil(F.col("_total") * share))
         .where((F.col("_before") < F.col("_rank")) & (F.col("_before") + F.col("_n") >= F.col("_rank")))
         .select(config, "_second", "_before", "_rank")
     )
     inside = Window.partitionBy(config).orderBy(millis).rowsBetween(Window.unboundedPreceding, 0)
-    fine = histogram.withColumn("_second", F.floor(F.col(millis) / 1000)).join(placed, [config, "_second"])
+    fine = _null_safe_join(histogram.withColumn("_second", F.floor(F.col(millis) / 1000)), placed, [config, "_second"]).where(F.col("_rank").isNotNull())
     reached = fine.withColumn("_upto", F.sum("_n").over(inside) + F.col("_before"))
     return reached.where(F.col("_upto") >= F.col("_rank")).groupBy(config).agg(F.min(millis).alias("_p"))
 
@@ -53,7 +60,7 @@ def run_report(results: DataFrame, config: str, digits: int = 6) -> DataFrame:
         F.round(F.sum("cost"), digits).alias("cost"),
     )
     p95 = _nearest_rank(results.where(F.col("time_ms").isNotNull()), config, "time_ms", 0.95)
-    return base.join(p95, config, "left").withColumn("p95_time", F.round(F.col("_p") / 1000, digits)).drop("_p")
+    return _null_safe_join(base, p95, [config]).withColumn("p95_time", F.round(F.col("_p") / 1000, digits)).drop("_p")
 
 
 def best_config(runs: DataFrame, group: str, config: str, score: str) -> DataFrame:
@@ -70,12 +77,15 @@ def iteration_delta(runs: DataFrame, prompt: str, iteration: str, score: str) ->
     from one row per block, so a prompt with very many iterations is not one task's work.
     """
     blocked = runs.withColumn("_block", F.floor(F.col(iteration) / _BLOCK))
-    last = blocked.groupBy(prompt, "_block").agg(F.max(F.struct(iteration, score)).alias("_last"))
+    # Rows without an iteration are returned but come before nothing.
+    numbered = blocked.where(F.col(iteration).isNotNull())
+    last = numbered.groupBy(prompt, "_block").agg(F.max(F.struct(iteration, score)).alias("_last"))
     by_block = Window.partitionBy(prompt).orderBy("_block")
     carried = last.select(prompt, "_block", F.lag(f"_last.{score}").over(by_block).alias("_carried"))
     inside = Window.partitionBy(prompt, "_block").orderBy(iteration)
-    joined = blocked.withColumn("_lag", F.lag(score).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
-    joined = joined.join(carried, [prompt, "_block"])
+    joined = numbered.withColumn("_lag", F.lag(score).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    joined = joined.unionByName(blocked.where(F.col(iteration).isNull()), allowMissingColumns=True)
+    joined = _null_safe_join(joined, carried, [prompt, "_block"])
     previous = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag"))
     delta = F.col(score) - F.col("previous_score")
     return joined.select(prompt, iteration, score, previous.alias("previous_score")).withColumns({
