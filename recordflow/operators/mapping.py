@@ -17,12 +17,16 @@ from pyspark.sql import types as T
 
 from recordflow.functions.text import any_of, value_text
 from recordflow.operators.schema import check_paths
+from recordflow.runtime import cut_lineage, rank_in_groups
 
 # Rule tables are configuration; this is the proven bound under which they are broadcast.
 MAX_RULES = 10_000
 
-# Longest list held in one cell; longer lists stay whole as rows.
-MAX_CELL_VALUES = 1_000_000
+# Values of one list in one part of a record; longer lists go on in further parts.
+PART_VALUES = 1_000
+
+# Column that numbers the parts of a record.
+PART = "record_part"
 
 
 @dataclass(frozen=True)
@@ -266,46 +270,46 @@ def long_rows(candidates: DataFrame, id_col: str, rules: list[Rule]) -> DataFram
     return candidates.where(~F.col("field").isin(firsts)).unionByName(one)
 
 
-def oversize_groups(candidates: DataFrame, id_col: str, rules: list[Rule], max_values: int) -> DataFrame:
-    """(id, field) whose list would exceed ``max_values`` distinct values. Counts combine map-side."""
-    listed = F.when(~F.col("field").isin(_first_fields(rules)), F.col("row_ord"))
-    return (
-        candidates.groupBy(id_col, "field").agg(F.count(listed).alias("_n"))
-        .where(F.col("_n") > max_values).select(id_col, "field")
-    )
-
+def in_parts(candidates: DataFrame, id_col: str, rules: list[Rule], part_values: int = PART_VALUES) -> DataFrame:
+    """Candidates with ``record_part``: the part of the record, from 0, that holds the value.
 
-def long_oversize(candidates: DataFrame, id_col: str, rules: list[Rule],
-                  max_values: int = MAX_CELL_VALUES) -> DataFrame:
-    """The whole lists that are too long for a cell, as ordered rows."""
-    return candidates.join(
-        oversize_groups(candidates, id_col, rules, max_values), [id_col, "field"], "left_semi"
+    A list of n values takes ceil(n / part_values) parts of nearly equal length, in its order; a
+    shorter list and a field resolved by ``first`` are in part 0. Only values of lists with several
+    parts are ranked, by range partitions, so a list of any length spreads over many tasks.
+    """
+    listed = ~F.col("field").isin(_first_fields(rules))
+    long_lists = (
+        candidates.where(listed).groupBy(id_col, "field").agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > part_values)
     )
+    ranked = rank_in_groups(
+        candidates.join(long_lists, [id_col, "field"]), [id_col, "field"], ["rule_ord", "row_ord", "value"], "_rank")
+    parts = F.ceil(F.col("_n") / part_values)
+    split = ranked.withColumn("record_part", F.floor((F.col("_rank") - 1) * parts / F.col("_n")).cast("bigint"))
+    whole = candidates.join(long_lists, [id_col, "field"], "left_anti")
+    return whole.withColumn("record_part", F.lit(0).cast("bigint")).unionByName(split.drop("_n", "_rank"))
 
 
 def map_long(source: DataFrame, id_col: str, name_col: str, value_col: str, order_col: str,
-             rules: list[Rule], *, max_values: int = MAX_CELL_VALUES,
+             rules: list[Rule], *, part_values: int = PART_VALUES,
              candidates: DataFrame | None = None) -> DataFrame:
-    """One mapped record per non-null id, matched or not, the id as ``record_id``.
+    """The mapped record of every non-null id, matched or not, the id as ``record_id``, in parts.
 
-    Reduced candidates and the distinct ids meet in one aggregation by id; both sides combine before
-    the shuffle, and ``first`` fields keep a single row each. A list of more than ``max_values``
-    distinct values does not enter a cell: its field is named in ``oversize_fields`` and its values
-    stay whole, as ordered rows, in ``long_oversize``. ``candidates`` may pass a stored table of
-    ``long_candidates`` rows.
+    ``record_part`` counts from 0. Every id has part 0 with its single values and the start of each
+    list; a list of more than ``part_values`` distinct values goes on in further parts (``in_parts``),
+    so nothing is lost and no cell, task or group grows with an id. Reduced candidates are stored once;
+    they meet the distinct ids in one aggregation by id and part, which combines before the shuffle.
+    ``candidates`` may pass a stored table of ``long_candidates`` rows.
     """
     if candidates is None:
-        candidates = long_candidates(source, id_col, name_col, value_col, order_col, rules)
-    heavy = oversize_groups(candidates, id_col, rules, max_values)
-    normal = candidates.join(heavy, [id_col, "field"], "left_anti")
+        candidates = cut_lineage(long_candidates(source, id_col, name_col, value_col, order_col, rules), "candidates")
     place = F.struct("rule_ord", "row_ord", "value")
-    empty_place = F.lit(None).cast("struct<rule_ord:bigint,row_ord:bigint,value:string>")
     ids = source.where(F.col(id_col).isNotNull()).select(id_col).distinct()
-    no_field = F.lit(None).cast("string")
     rows = (
-        normal.select(id_col, "field", place.alias("_p"), no_field.alias("_heavy"))
-        .unionByName(ids.select(id_col, no_field.alias("field"), empty_place.alias("_p"), no_field.alias("_heavy")))
-        .unionByName(heavy.select(id_col, no_field.alias("field"), empty_place.alias("_p"), F.col("field").alias("_heavy")))
+        in_parts(candidates, id_col, rules, part_values).select(id_col, "record_part", "field", place.alias("_p"))
+        .unionByName(ids.select(
+            id_col, F.lit(0).cast("bigint").alias("record_part"), F.lit(None).cast("string").alias("field"),
+            F.lit(None).cast("struct<rule_ord:bigint,row_ord:bigint,value:string>").alias("_p")))
     )
     aggregates, finish = [], []
     for i, (path, method) in enumerate(methods(rules).items()):
@@ -317,15 +321,15 @@ def map_long(source: DataFrame, id_col: str, name_col: str, value_col: str, orde
             aggregates.append(F.collect_list(mine).alias(f"_f{i}"))
             ordered = F.sort_array(F.col(f"_f{i}"))["value"]
             finish.append(resolve(ordered, method).alias(path))
-    grouped = rows.groupBy(id_col).agg(*aggregates, F.sort_array(F.collect_set("_heavy")).alias("oversize_fields"))
-    return grouped.select(F.col(id_col).alias("record_id"), *finish, "oversize_fields")
+    grouped = rows.groupBy(id_col, "record_part").agg(*aggregates)
+    return grouped.select(F.col(id_col).alias("record_id"), "record_part", *finish)
 
 
 def map_long_flat(source: DataFrame, id_col: str, name_col: str, value_col: str, order_col: str,
                   rules: list[Rule], **options) -> DataFrame:
-    """Flat form: the id first, then one text column per path in sorted order. A path named like the
+    """Flat form: the id and the part first, then one text column per path in sorted order. A path named like the
     id column takes its place."""
     mapped = map_long(source, id_col, name_col, value_col, order_col, rules, **options)
     flat = [cell_text(F.col(f"`{p}`"), mapped.schema[p].dataType).alias(p) for p in sorted(by_field(rules))]
     lead = [] if id_col in by_field(rules) else [F.col("record_id").alias(id_col)]
-    return mapped.select(*lead, *flat, F.array_join("oversize_fields", ";").alias("oversize_fields"))
+    return mapped.select(*lead, "record_part", *flat)

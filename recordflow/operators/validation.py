@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordflow.functions.text import lax_cast
-from recordflow.operators.mapping import cell_value
+from recordflow.operators.mapping import PART, cell_value
 from recordflow.operators.schema import SEP, leaf_map, options_of
 
 _NAMES = {T.StringType: "string", T.LongType: "int", T.DoubleType: "float", T.BooleanType: "bool"}
@@ -166,10 +166,14 @@ def validate_rows(mapped: DataFrame, schema: T.StructType, keep: list[str], *,
                   compat: str = "intended", raw: bool = False) -> DataFrame:
     """Add record, errors (array of field and kind), valid and error text.
 
-    A number is not accepted where text is declared. ``raw`` adds the mapped values as JSON text.
+    A number is not accepted where text is declared. ``raw`` adds the mapped values as JSON text. Of a
+    record in parts each part is checked by itself; what is absent counts against part 0 only, which
+    holds something of every field that has a value.
     """
     table = _leaf_table(mapped, schema, compat)
     kinds_by_path = _errors(schema, "", table, compat)
+    if PART in mapped.columns:
+        kinds_by_path = {p: F.when((F.col(PART) == 0) | table[p].present, e) for p, e in kinds_by_path.items()}
     marks = {path: f"_error_{i}" for i, path in enumerate(kinds_by_path)}
     checked = mapped.select(
         *keep,
@@ -192,7 +196,7 @@ def validate_rows(mapped: DataFrame, schema: T.StructType, keep: list[str], *,
 
 def raw_json(mapped: DataFrame, keep: list[str]) -> Column:
     """The mapped values before typing, as one JSON object of path -> value or list."""
-    paths = sorted(c for c in mapped.columns if c not in keep and c != "oversize_fields")
+    paths = sorted(c for c in mapped.columns if c not in keep and c != PART)
     return F.to_json(F.struct(*[cell_value(F.col(f"`{p}`"), mapped.schema[p].dataType).alias(p) for p in paths]))
 
 

@@ -86,7 +86,7 @@ def q_stream_long_records(spark, sf_dir):
     log, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "stream")
     query = stream.start_long_records(source, *mapping_plans.LONG_ARGS, LONG_RULES, log, checkpoint)
     query.awaitTermination()
-    return stream.long_records(spark, log, "user_id", LONG_RULES)
+    return stream.long_records(spark, log, "user_id", LONG_RULES, part_values=mapping_plans.SHORT_PARTS)
 
 
 QUERIES = {

@@ -18,6 +18,10 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+# Values of a part in the queries, so few that the given ids take several parts.
+SHORT_PARTS = 4
+
+
 def rule_values(rules: list[m.Rule]) -> str:
     """The rules as a SQL VALUES list: rule_ord, field, name, target, slots."""
     rows = [
@@ -54,12 +58,21 @@ def _cell(path: str, method: str) -> str:
     return f"CASE WHEN len({values}) > 1 THEN {several} ELSE ({values})[1] END"
 
 
-def flat_long_sql(rules: list[m.Rule]) -> str:
+def flat_long_sql(rules: list[m.Rule], part_values: int = m.PART_VALUES) -> str:
     cells = ", ".join(f'{_cell(p, how)} AS "{p}"' for p, how in m.methods(rules).items())
-    return f"""{long_cte(rules)}
-      SELECT i.user_id, {cells}, '' AS oversize_fields
-      FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL) i
-      LEFT JOIN cand c ON c.user_id = i.user_id GROUP BY i.user_id"""
+    firsts = ", ".join(_text(p) for p, how in m.methods(rules).items() if how == "first") or "NULL"
+    return f"""{long_cte(rules)}, counted AS (
+        SELECT *, row_number() OVER (PARTITION BY user_id, field ORDER BY rule_ord, row_ord) AS rn,
+          count(*) OVER (PARTITION BY user_id, field) AS n FROM cand
+      ), placed AS (
+        SELECT *, CASE WHEN field IN ({firsts}) THEN 0
+          ELSE CAST(((rn - 1) * ((n + {part_values} - 1) // {part_values})) // n AS BIGINT) END AS record_part FROM counted
+      ), ids AS (
+        SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS record_part FROM events WHERE user_id IS NOT NULL
+        UNION SELECT user_id, record_part FROM placed
+      )
+      SELECT i.user_id, i.record_part, {cells}
+      FROM ids i LEFT JOIN placed c ON c.user_id = i.user_id AND c.record_part = i.record_part GROUP BY i.user_id, i.record_part"""
 
 
 def _orders(spark, sf_dir):
@@ -93,7 +106,7 @@ def q_map_long(spark, sf_dir):
 
 
 def q_map_long_flat(spark, sf_dir):
-    return m.map_long_flat(long_source(spark, sf_dir), *LONG_ARGS, LONG_RULES)
+    return m.map_long_flat(long_source(spark, sf_dir), *LONG_ARGS, LONG_RULES, part_values=SHORT_PARTS)
 
 
 def _clicks(method):
@@ -102,8 +115,8 @@ def _clicks(method):
 
 def _resolved(method):
     def run(spark, sf_dir):
-        flat = m.map_long_flat(long_source(spark, sf_dir), *LONG_ARGS, _clicks(method))
-        return flat.select("user_id", "clicks")
+        flat = m.map_long_flat(long_source(spark, sf_dir), *LONG_ARGS, _clicks(method), part_values=SHORT_PARTS)
+        return flat.select("user_id", "record_part", "clicks")
     return run
 
 
@@ -200,7 +213,7 @@ def _first_sql():
 
 
 def _resolved_sql(method):
-    return f"SELECT user_id, clicks FROM ({flat_long_sql(_clicks(method))})"
+    return f"SELECT user_id, record_part, clicks FROM ({flat_long_sql(_clicks(method), SHORT_PARTS)})"
 
 
 def _values_sql(path):
@@ -255,7 +268,7 @@ ORACLE = {
              o_orderpriority || ';' || o_orderstatus AS note, CAST(NULL AS VARCHAR) AS missing
       FROM orders""",
     "map_long": _first_sql(),
-    "map_long_flat": flat_long_sql(LONG_RULES),
+    "map_long_flat": flat_long_sql(LONG_RULES, SHORT_PARTS),
     "dedupe_candidates": """
       SELECT event_id,
              CASE WHEN event_type = 'view' THEN 'view|' || k ELSE event_type || '|' || k || '|view' END AS candidates

@@ -80,6 +80,25 @@ def distributed_rank(df: DataFrame, order_by: list[str], out: str) -> DataFrame:
     )
 
 
+def rank_in_groups(df: DataFrame, group: list[str], order_by: list[str], out: str) -> DataFrame:
+    """Row number from 1 inside each group, a hot group being spread over many range partitions.
+
+    Partitions are stored with their number; ranks count inside (partition, group) and are shifted by
+    the group's sizes in the partitions before. ``group`` columns hold no nulls.
+    """
+    ranged = df.repartitionByRange(*group, *order_by).withColumn("_pid", F.spark_partition_id())
+    stored = cut_lineage(ranged, "ranges")
+    sizes = stored.groupBy("_pid", *group).agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_pid", *group, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy("_pid", *group).orderBy(*order_by)
+    return (
+        stored.join(shifts, ["_pid", *group])
+        .withColumn(out, (F.row_number().over(inside) + F.col("_shift")).cast("bigint"))
+        .drop("_pid", "_shift")
+    )
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that the side has at most ``max_rows`` rows.
 

@@ -110,25 +110,41 @@ def hot_rows():
 def test_long_equals_nested_loops_under_skew(spark):
     rows = hot_rows()
     got = m.map_long_flat(spark.createDataFrame(rows, LONG), "id", "name", "value", "ord", RULES)
-    found = {r["id"]: {k: x for k, x in r.asDict().items() if k not in ("id", "oversize_fields")} for r in got.collect()}
+    found = {r["id"]: {k: x for k, x in r.asDict().items() if k not in ("id", "record_part")} for r in got.collect()}
     assert found == brute_long(rows, RULES)
 
 
-def test_oversize_lists_stay_whole_as_rows(spark):
+def test_long_lists_go_on_in_parts(spark):
     rows = hot_rows()
     source = spark.createDataFrame(rows, LONG)
-    candidates = m.long_candidates(source, "id", "name", "value", "ord", RULES)
-    flat_rows = m.map_long_flat(source, "id", "name", "value", "ord", RULES, max_values=100).collect()
-    hot = next(r for r in flat_rows if r["id"] == 1)
-    assert hot["oversize_fields"] == "all;joined" and hot["all"] is None and hot["first"] is not None
-    expected = brute_long(rows, RULES)[1]
-    lists = defaultdict(list)
-    for r in m.long_oversize(candidates, "id", RULES, 100).orderBy("rule_ord", "row_ord").collect():
-        assert r["id"] == 1
-        lists[r["field"]].append(r["value"])
-    assert lists["all"] == json.loads(expected["all"]) and ";".join(lists["joined"]) == expected["joined"]
-    others = {r["id"]: r["all"] for r in flat_rows if r["id"] != 1}
-    assert others == {k: x["all"] for k, x in brute_long(rows, RULES).items() if k != 1}
+    flat = m.map_long_flat(source, "id", "name", "value", "ord", RULES, part_values=7).collect()
+    parts = defaultdict(list)
+    for r in sorted(flat, key=lambda r: r["record_part"]):
+        parts[r["id"]].append(r)
+    assert len(parts[1]) > 20
+    for key, expected in brute_long(rows, RULES).items():
+        mine = parts[key]
+        assert [r["record_part"] for r in mine] == list(range(len(mine)))
+        for path, cell in expected.items():
+            cells = [r[path] for r in mine if r[path] is not None]
+            if len(mine) == 1 or path == "first":
+                assert cells == ([] if cell is None else [cell])
+            elif path == "all":
+                values = [json.loads(c) if c.startswith("[") else [c] for c in cells]
+                assert max(map(len, values)) <= 7 and sum(values, []) == json.loads(cell)
+            elif path == "joined":
+                assert ";".join(cells) == cell
+
+
+def test_parts_are_checked_for_their_own_values(spark):
+    source = spark.createDataFrame([(1, "a", f"v{i:03d}", i) for i in range(50)] + [(1, "b", "x", 99)], LONG)
+    rules = [Rule("tags", "a", method="haveBoth"), Rule("s", "b", method="first")]
+    checked = v.validate_rows(m.map_long(source, "id", "name", "value", "ord", rules, part_values=6), SCHEMA, ["record_id", "record_part"], raw=True)
+    rows = sorted(checked.collect(), key=lambda r: r["record_part"])
+    assert len(rows) == 9 and all(r["valid"] for r in rows)
+    assert sum((r["record"]["tags"] for r in rows), []) == [f"v{i:03d}" for i in range(50)]
+    assert sum((json.loads(r["data"])["tags"] for r in rows), []) == [f"v{i:03d}" for i in range(50)]
+    assert [r["record"]["s"] for r in rows] == ["x"] + [None] * 8
 
 
 def test_negative_and_large_orders_keep_their_place(spark):
