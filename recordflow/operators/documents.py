@@ -97,13 +97,17 @@ def html_to_text(pages: DataFrame, html: str) -> DataFrame:
 
 def evidence_spans(docs: DataFrame, text: str, value: str) -> DataFrame:
     """Add span_start and span_end (0-based, end exclusive) of the value in its text, ignoring case;
-    null when it does not occur."""
-    at = F.expr(f"locate(lower(`{value}`), lower(`{text}`))")
-    found = (at > 0) & (F.length(value) > 0)
-    return docs.withColumns({
-        "span_start": F.when(found, at - 1).cast("bigint"),
-        "span_end": F.when(found, at - 1 + F.length(value)).cast("bigint"),
-    })
+    null when it does not occur. Offsets count characters of the text as it is, also where changing
+    case changes lengths."""
+    literal = F.replace(F.col(f"`{value}`"), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    pattern = F.concat(F.lit("(?iu)\\Q"), literal, F.lit("\\E"))
+    # The first occurrence in any case, as it is written in the text.
+    hit = F.when(F.length(f"`{value}`") > 0, F.regexp_substr(F.col(f"`{text}`"), pattern))
+    staged = docs.withColumn("_hit", hit)
+    at = F.expr(f"locate(`_hit`, `{text}`)") - 1
+    return staged.withColumns({
+        "span_start": at.cast("bigint"), "span_end": (at + F.length("_hit")).cast("bigint"),
+    }).drop("_hit")
 
 
 def normal_label(col: Column) -> Column:

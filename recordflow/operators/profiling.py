@@ -77,11 +77,12 @@ def profile_wide(df: DataFrame, order: str, columns: list[str] | None = None) ->
 
 
 def profile_long(df: DataFrame, name: str, value: str, order: str) -> DataFrame:
-    """The same per observation name, names numbered by first appearance (their ranking is stored, so
+    """The same per observation name, null being one; names numbered by first appearance (their ranking is stored, so
     building the plan runs a job over the distinct names)."""
     types = {f.name: f.dataType for f in df.schema.fields}
+    # Structs are equal when their members are both null, so a null name survives the joins.
     rows = df.select(
-        F.col(name).alias("observation"), value_text(F.col(value), types[value]).alias("value"),
+        F.struct(F.col(name).alias("name")).alias("observation"), value_text(F.col(value), types[value]).alias("value"),
         F.col(order).alias("place"),
     )
     head = _top(rows, "observation", "place", _HEAD)
@@ -95,7 +96,7 @@ def profile_long(df: DataFrame, name: str, value: str, order: str) -> DataFrame:
     positions = distributed_rank(appeared, ["_first"], "position")
     return (
         _summary(firsts, sample, "observation").join(positions, "observation")
-        .select("position", "observation", F.lit(dict(df.dtypes)[value]).alias("type"), "unique_values", "sample")
+        .select("position", F.col("observation.name").alias("observation"), F.lit(dict(df.dtypes)[value]).alias("type"), "unique_values", "sample")
     )
 
 

@@ -112,9 +112,9 @@ def valid_analysis(df: DataFrame, analysis: str = "analysis") -> DataFrame:
 
 
 def recommendations_by_priority(df: DataFrame, keep: list[str], analysis: str = "analysis") -> DataFrame:
-    """The recommendations of each analysis by priority, with group size and input order.
+    """The recommendations of each valid analysis by priority, with group size and input order.
 
-    Groups live inside their analysis row, so nothing is shuffled.
+    An analysis that ``valid_analysis`` rejects shows none. Groups live inside their analysis row, so nothing is shuffled.
     """
     recs = F.col(f"{analysis}.recommendations")
 
@@ -128,13 +128,14 @@ def recommendations_by_priority(df: DataFrame, keep: list[str], analysis: str =
         )
         for rank, name in enumerate(PRIORITIES, 1)
     ])
-    grouped = df.select(*keep, F.inline(groups)).where(F.size("items") > 0)
+    shown = valid_analysis(df.select(*keep, analysis), analysis)
+    grouped = shown.where("valid").select(*keep, F.inline(groups)).where(F.size("items") > 0)
     return grouped.select(
         *keep, "priority_rank", "priority", F.size("items").cast("bigint").alias("n"),
         F.posexplode("items").alias("_pos", "_rec"),
     ).select(
         *keep, "priority_rank", "priority", "n", (F.col("_pos") + 1).cast("bigint").alias("position"),
-        F.col("_rec.type").alias("type"), F.col("_rec.description").alias("description"),
+        *[F.col(f"_rec.{c}").alias(c) for c in ("type", "description", "reason", "example")],
     )
 
 

@@ -155,8 +155,8 @@ def q_build_messages(spark, sf_dir):
 
 
 def calls(spark, sf_dir):
-    """A model call per assistant turn."""
-    return _turns(spark, sf_dir).where(F.col("role") == "assistant").select(
+    """A model call per turn."""
+    return _turns(spark, sf_dir).select(
         "conv_id", "turn",
         _pick(_AGENTS, F.col("turn") % 5).alias("agent"),
         _pick(_MODELS, F.col("conv_id") % 7).alias("model"),
@@ -231,7 +231,7 @@ _CALLS = f"""
   calls AS (
     SELECT conv_id, turn, ({_list(_AGENTS)})[turn % 5 + 1] AS agent, ({_list(_MODELS)})[conv_id % 7 + 1] AS model,
            length(text) AS prompt_tokens, length(text) // 4 AS completion_tokens
-    FROM conversations WHERE role = 'assistant'
+    FROM conversations
   ),
   priced AS (
     SELECT c.*, p.* FROM calls c JOIN (VALUES ('gpt-4o', 'gpt-4o', 2.5::DOUBLE, 10.0::DOUBLE), ('gpt-4.1', 'gpt-4.1', 2.0, 8.0),
@@ -273,8 +273,10 @@ ORACLE = {
       WITH {_RECS}
       SELECT conv_id, turn, CAST(CASE priority WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS BIGINT) AS priority_rank, priority,
              count(*) OVER (PARTITION BY conv_id, turn, priority) AS n,
-             row_number() OVER (PARTITION BY conv_id, turn, priority ORDER BY step) AS position, type, description
-      FROM recs WHERE priority IN ('high', 'medium', 'low')""",
+             row_number() OVER (PARTITION BY conv_id, turn, priority ORDER BY step) AS position, type, description,
+             'because' AS reason, CAST(NULL AS VARCHAR) AS example
+      FROM (SELECT *, bool_and(type IS NOT NULL AND coalesce(priority IN ('high', 'medium', 'low'), false)) OVER (PARTITION BY conv_id, turn) AS valid FROM recs)
+      WHERE valid""",
     "accept_optimized": f"""
       SELECT p_partkey, p_partkey % 4 = 0 AS is_optimized,
         CASE p_partkey % 4 WHEN 0 THEN 'flatter' WHEN 1 THEN 'flatter' || chr(10) || chr(10) || 'The proposed optimized schema had validation errors and couldn''t be applied.'

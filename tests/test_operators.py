@@ -134,6 +134,28 @@ def test_profiles_equal_brute_force(spark):
     assert json.loads(wide["few"]["sample"]) == few[:3]
 
 
+def test_profile_of_a_null_name(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "a", "y"), (3, None, "z")], "ord long, name string, value string")
+    got = {r["observation"]: (r["position"], json.loads(r["unique_values"])) for r in profiling.profile_long(df, "name", "value", "ord").collect()}
+    assert got == {None: (1, ["x", "z"]), "a": (2, ["y"])}
+
+
+def test_evidence_offsets_are_those_of_the_text(spark):
+    rows = [("İİ abc", "ABC"), ("x \\E [a", "\\e [A"), ("a😀b Q", "q"), ("abc", ""), ("abc", "d"), (None, "a"), ("a", None)]
+    got = [tuple(r)[2:] for r in documents.evidence_spans(spark.createDataFrame(rows, "text string, value string").coalesce(1), "text", "value").collect()]
+    assert got == [(3, 6), (2, 7), (4, 5)] + [(None, None)] * 4
+
+
+def test_recommendations_show_for_valid_analyses_only(spark):
+    def analysis(*priorities):
+        recs = [{"type": "general", "priority": p, "description": "d", "reason": "r", "example": "e"} for p in priorities]
+        return json.dumps({"recommendations": recs, "general_feedback": "f"})
+
+    df = spark.createDataFrame([(1, analysis("low", "high")), (2, analysis("low", "High"))], "id long, advice string")
+    got = responses.recommendations_by_priority(responses.normalize_recommendations(df, "advice"), ["id"]).collect()
+    assert [(r["id"], r["priority"], r["reason"], r["example"]) for r in got] == [(1, "high", "r", "e"), (1, "low", "r", "e")]
+
+
 def test_distributed_rank(spark):
     df = spark.range(1_000).select((F.col("id") * 7919 % 1009).alias("k"))
     got = distributed_rank(df, ["k"], "n").orderBy("k").collect()
