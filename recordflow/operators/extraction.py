@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from recordflow.functions.text import strict_json
 from recordflow.operators.schema import SEP, leaf_map
-from recordflow.operators.validation import validate_rows
+from recordflow.operators.validation import type_name, validate_rows
 
 RESULT_SCHEMA = "execution_time double, generation_success boolean, raw_response string, error string"
 
@@ -96,41 +96,51 @@ def batch_extract(docs: DataFrame, text: str, keep: list[str], make_client: Call
     return source.mapInPandas(run, schema)
 
 
-def _mapped_leaf(doc: Column, path: str, field: T.StructField) -> Column:
-    at = "$" + "".join(f"['{s}']" for s in path.split(SEP))
-    if isinstance(field.dataType, T.ArrayType):
-        items = F.coalesce(F.try_variant_get(doc, at, "array<string>"), F.array().cast("array<string>"))
-        return F.array_compact(items)
-    return F.try_variant_get(doc, at, "string")
+def _kind_errors(path: str, field: T.StructField, leaf: Column) -> Column:
+    """Errors of one leaf that its JSON kind shows, as an array of texts; null where there are none.
+
+    Text takes JSON strings only, a list field takes lists only, and a null is no item of a list.
+    """
+    kind = F.schema_of_variant(leaf)
+    given = leaf.isNotNull() & (kind != "VOID")
+    if not isinstance(field.dataType, T.ArrayType):
+        return F.when(given & (kind != "STRING"), F.lit(f"{path}: string_type")) if isinstance(field.dataType, T.StringType) else F.lit(None).cast("string")
+    element = field.dataType.elementType
+    items = F.transform(F.try_variant_get(leaf, "$", "array<variant>"), F.schema_of_variant)
+    text = isinstance(element, T.StringType)
+    wrong = F.exists(items, lambda k: k != "STRING") if text else F.exists(items, lambda k: k == "VOID")
+    return F.when(given & ~kind.startswith("ARRAY"), F.lit(f"{path}: list_type")).when(wrong, F.lit(f"{path}: {type_name(element)}_type"))
 
 
 def parse_generation(results: DataFrame, schema: T.StructType, keep: list[str], raw: str = "raw_response") -> DataFrame:
     """Parse and validate answers: parsing_success, parsed_response (JSON, nulls pruned) and error.
 
-    The whole text or its outermost object is parsed. Text fields take JSON strings only. A failed
-    generation keeps its own error.
+    The whole text or its outermost object is parsed. Text takes JSON strings only, also in lists; a
+    scalar is no list, a null no item, and an empty list is a valid list. A failed generation keeps its
+    own error.
     """
     text = F.col(raw)
     doc = F.coalesce(strict_json(text), strict_json(F.regexp_extract(text, r"(?s)\{.*\}", 0)))
     leaf_fields = leaf_map(schema)
-    staged = results.select(*keep, "error", F.col(raw), doc.alias("_doc"))
-    not_text = [
-        F.when(~F.startswith(F.to_json(F.try_variant_get("_doc", "$" + "".join(f"['{s}']" for s in p.split(SEP)), "variant")), F.lit('"'))
-               & F.try_variant_get("_doc", "$" + "".join(f"['{s}']" for s in p.split(SEP)), "string").isNotNull(),
-               F.lit(f"{p}: string_type"))
-        for p, f in leaf_fields.items() if isinstance(f.dataType, T.StringType)
-    ]
+    at = {p: "$" + "".join(f"['{s}']" for s in p.split(SEP)) for p in leaf_fields}
+    staged = results.select(*keep, F.col("error").alias("_error"), doc.alias("_doc")).select(
+        *keep, "_error", F.col("_doc").isNotNull().alias("_parsed"),
+        *[F.try_variant_get("_doc", at[p], "variant").alias(f"_leaf_{i}") for i, p in enumerate(leaf_fields)],
+    )
+    leaves = {p: F.col(f"_leaf_{i}") for i, p in enumerate(leaf_fields)}
     mapped = staged.select(
-        *keep, F.col("error").alias("_error"), F.col("_doc").isNotNull().alias("_parsed"),
-        F.concat_ws("; ", *not_text).alias("_not_text"),
-        *[_mapped_leaf(F.col("_doc"), p, f).alias(p) for p, f in leaf_fields.items()],
+        *keep, "_error", "_parsed",
+        F.array_compact(F.array(*[_kind_errors(p, f, leaves[p]) for p, f in leaf_fields.items()])).alias("_kinds"),
+        *[F.try_variant_get(leaves[p], "$", "array<string>" if isinstance(f.dataType, T.ArrayType) else "string").alias(p)
+          for p, f in leaf_fields.items()],
     )
-    checked = validate_rows(mapped, schema, [*keep, "_error", "_parsed", "_not_text"])
-    ok = F.col("_parsed") & F.col("valid") & (F.col("_not_text") == "")
-    problems = F.concat_ws("; ", F.when(F.col("_not_text") != "", F.col("_not_text")), F.when(F.col("error") != "", F.col("error")))
+    checked = validate_rows(mapped, schema, [*keep, "_error", "_parsed", "_kinds"], compat="json")
+    ok = F.coalesce(F.col("_parsed") & F.col("valid") & (F.size("_kinds") == 0), F.lit(False))
+    found = F.transform("errors", lambda e: F.concat(e["field"], F.lit(": "), e["kind"]))
+    problems = F.array_join(F.array_distinct(F.concat("_kinds", found)), "; ")
     return checked.select(
         *keep,
-        F.coalesce(ok, F.lit(False)).alias("parsing_success"),
+        ok.alias("parsing_success"),
         F.when(ok, F.to_json("record")).alias("parsed_response"),
         F.coalesce(F.col("_error"), F.when(~F.col("_parsed"), F.lit("invalid JSON")), F.when(~ok, problems)).alias("error"),
     )

@@ -16,7 +16,7 @@ from recordflow.operators.schema import SEP, leaf_map, options_of
 
 _NAMES = {T.StringType: "string", T.LongType: "int", T.DoubleType: "float", T.BooleanType: "bool"}
 
-def _type_name(dtype: T.DataType) -> str:
+def type_name(dtype: T.DataType) -> str:
     return _NAMES.get(type(dtype), dtype.simpleString())
 
 
@@ -45,7 +45,7 @@ def _typed(value: Column, source: T.DataType, field: T.StructField, dtype: T.Dat
 
 def _item_error(value: Column, source: T.DataType, field: T.StructField, dtype: T.DataType) -> Column:
     """Error kind of one value, null when it is accepted or absent."""
-    name = _type_name(dtype)
+    name = type_name(dtype)
     text = isinstance(source, T.StringType)
     if options_of(field):
         return F.when(~value.isin(*options_of(field)), F.lit("enum")) if text else F.when(value.isNotNull(), F.lit("enum"))
@@ -69,11 +69,12 @@ class _Leaf:
             self.error = F.lit(None if field.nullable else "missing").cast("string")
             return
         column = F.col(f"`{path}`")
-        wrong = "enum" if options_of(field) else f"{_type_name(dtype)}_type"
+        wrong = "enum" if options_of(field) else f"{type_name(dtype)}_type"
         absent = F.lit(None if field.nullable else ("list_type" if many else wrong)).cast("string")
         listed = isinstance(source, T.ArrayType)
         if listed:
-            self.present = F.size(column) > 0
+            # In JSON an empty list is a value and a missing one is null.
+            self.present = column.isNotNull() if many and compat == "json" else F.size(column) > 0
             several = F.size(column) > 1
         else:
             self.present = column.isNotNull()
@@ -168,7 +169,7 @@ def validate_rows(mapped: DataFrame, schema: T.StructType, keep: list[str], *,
 
     A number is not accepted where text is declared. ``raw`` adds the mapped values as JSON text. Of a
     record in parts each part is checked by itself; what is absent counts against part 0 only, which
-    holds something of every field that has a value.
+    holds something of every field that has a value. With ``compat="json"`` an empty list is a value.
     """
     table = _leaf_table(mapped, schema, compat)
     kinds_by_path = _errors(schema, "", table, compat)

@@ -134,6 +134,20 @@ def test_profiles_equal_brute_force(spark):
     assert json.loads(wide["few"]["sample"]) == few[:3]
 
 
+def test_list_answers_by_their_json_kind(spark):
+    answers = T.StructType([target("tags", "str", required=True, many=True), target("opt", "str", many=True), target("ns", "int", many=True)])
+    cases = {
+        '{"tags":["a"],"opt":"scalar"}': "opt: list_type", '{"tags":["a",null]}': "tags: string_type", '{"tags":[1,2]}': "tags: string_type",
+        '{"tags":[]}': None, '{"tags":["a"],"opt":null,"ns":[1,2]}': None, '{"tags":"a"}': "tags: list_type", '{}': "tags: list_type",
+        '{"tags":["a"],"ns":[1,null]}': "ns: int_type", '{"tags":["a"],"ns":["x"]}': "ns: int_parsing", "nothing": "invalid JSON",
+    }
+    df = spark.createDataFrame([(k, None) for k in cases], "raw_response string, error string")
+    got = {r["raw_response"]: r for r in extraction.parse_generation(df, answers, ["raw_response"]).collect()}
+    assert {k: r["error"] for k, r in got.items()} == cases
+    assert got['{"tags":[]}']["parsed_response"] == '{"tags":[]}'
+    assert got['{"tags":["a"],"opt":null,"ns":[1,2]}']["parsed_response"] == '{"tags":["a"],"ns":[1,2]}'
+
+
 def test_profile_of_a_null_name(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "a", "y"), (3, None, "z")], "ord long, name string, value string")
     got = {r["observation"]: (r["position"], json.loads(r["unique_values"])) for r in profiling.profile_long(df, "name", "value", "ord").collect()}
