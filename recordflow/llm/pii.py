@@ -10,7 +10,7 @@ from recordflow.runtime import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone", "removed", "general")
 WINDOW = 160        # characters on either side of an entity in which terms count as its context
-SUPPORT = 3         # different texts in which a term must stand beside an entity
+SMOOTHING = 0.5     # weight, in documents, of the whole table's rate in the estimate of an entity given a term
 REMOVE_AT = 0.9     # share of an entity's information that a term gives away
 GENERALISE_AT = 0.7
 TERM = r"\p{L}{4,}"
@@ -102,31 +102,31 @@ def _context(text: Column, span: Column) -> Column:
     return F.concat(terms(before, low, low > 0, F.lit(False)), terms(after, span["end"], F.lit(False), F.length(after) == WINDOW))
 
 
-def revealing_terms(documents: int, entities: DataFrame, contexts: DataFrame, texts: DataFrame, support: int = SUPPORT,
+def revealing_terms(documents: int, entities: DataFrame, contexts: DataFrame, texts: DataFrame,
                     remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """(entity, term, kind) of the terms that give an entity away.
 
     A term's pointwise mutual information with an entity, as a share of the information the entity
-    carries, is 1 when it stands in no other document: 1 - log(n_t / n_ct) / log(N / n_c). From
-    ``remove_at`` on the term is removed (kind 4), from ``generalise_at`` on it is generalised (kind 5).
-    Pairs seen in fewer than ``support`` different texts say nothing. Document counts are over all rows.
+    carries: 1 + log P(entity | term) / log(N / n_c). The probability is smoothed by the entity's rate in
+    the whole table, (n_ct + a n_c / N) / (n_t + a), so that an entity of one text counts too, for less
+    than one that always recurs with the term. From ``remove_at`` on the term is removed (kind 4), from
+    ``generalise_at`` on it is generalised (kind 5). Document counts are over all rows.
     """
-    pairs = cut_lineage(
-        contexts.groupBy("entity", "term", "unit").agg(F.count_distinct("row").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("texts")).where(F.col("texts") >= support), "pairs")
+    pairs = cut_lineage(contexts.groupBy("entity", "term").agg(F.count_distinct("row").alias("n_ct")), "pairs")
     held = entities.groupBy("entity").agg(F.count("*").alias("n_c"))
     # Stored, so that the counts of all terms are combined before any are looked up.
     seen = cut_lineage(texts.select(F.explode(F.array_distinct(F.transform(
         F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "term-counts")
-    share = F.when(F.col("n_c") >= documents, F.lit(0.0)).otherwise(
-        1 - F.log(F.greatest(F.col("n_t"), F.col("n_ct")) / F.col("n_ct")) / F.log(F.lit(float(documents)) / F.col("n_c")))
+    share = F.when(F.col("n_c") >= documents, F.lit(0.0)).otherwise(1 + F.log(
+        (F.col("n_ct") + SMOOTHING * F.col("n_c") / documents) / (F.greatest(F.col("n_t"), F.col("n_ct")) + SMOOTHING))
+        / F.log(F.lit(float(documents)) / F.col("n_c")))
     wanted = cut_lineage(seen.join(pairs.select("term").distinct(), "term", "left_semi"), "terms")
     return cut_lineage(
         pairs.join(held, "entity").join(wanted, "term").withColumn("share", share).where(F.col("share") >= generalise_at)
         .select("entity", "term", F.when(F.col("share") >= remove_at, 4).otherwise(5).alias("kind")), "revealing")
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text", support: int = SUPPORT) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, row, unit, all_spans.
 
     ``spans`` lists kind:start:end of the base spans and of the terms to remove or generalise, by start,
@@ -144,7 +144,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     near = found.where(F.size("near") > 0).select("row", "unit", F.explode("near").alias("n")).select("row", "unit", "n.entity", "n.terms")
     contexts = near.select("row", "unit", "entity", F.explode("terms").alias("t")).select(
         "row", "unit", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    flagged = revealing_terms(found.count(), near.select("row", "entity").distinct(), contexts, rows.select("text"), support)
+    flagged = revealing_terms(found.count(), near.select("row", "entity").distinct(), contexts, rows.select("text"))
     added = cut_lineage(
         contexts.join(flagged, ["entity", "term"]).groupBy("row", "start", "end").agg(F.min("kind").alias("kind"), F.min("term").alias("value"))
         .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "value")).alias("more")), "term-spans")
@@ -160,13 +160,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
         _listed(F.col("all_spans")).alias("spans"), "row", "unit", "all_spans")
 
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text: str = "text", support: int = SUPPORT) -> DataFrame:
+def sanitised(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text) with personal data and revealing terms taken out.
 
     Base spans become their kind in brackets, terms to generalise ``[term]``, terms to remove nothing;
     overlapping spans are cut out together under the first one's name. Rows equal in id and text give one row.
     """
-    found = personal_data(docs, id_col, text, support).dropDuplicates(["doc_id", "unit"]).select(F.col("doc_id").alias("found_id"), "unit", "all_spans")
+    found = personal_data(docs, id_col, text).dropDuplicates(["doc_id", "unit"]).select(F.col("doc_id").alias("found_id"), "unit", "all_spans")
     body = text_or_empty(f"`{text}`")
     rows = docs.select(F.col(id_col).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("key")).dropDuplicates(["doc_id", "key"])
     names = F.array(*[F.lit(x) for x in ("[email]", "[ip]", "[card]", "[phone]", "", "[term]")])

@@ -161,6 +161,16 @@ def test_pii(spark, docs, empty, sf_dir):
     assert pii.digest(empty).count() == 0
 
 
+def test_pii_of_rare_entities(spark):
+    planted = [(1, "please call Quillfeather at only@one.org or write"), (2, "please ask Bramblewick for in.two@two.org again"),
+               (3, "please tell Bramblewick that in.two@two.org failed")]
+    others = [(10 + i, f"please call or write at once, ask again and tell us for what that failed number {i}") for i in range(200)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(spark.createDataFrame(planted + others, "doc_id long, text string")).collect()}
+    assert clean[1] == "please call  at [email] or write"
+    assert clean[2] == "please ask  for [email] again" and clean[3] == "please tell  that [email] failed"
+    assert all(clean[i] == t for i, t in others)
+
+
 def test_classifiers(spark, docs, empty):
     good = ["A calm sentence number %d. You are an honest reader and more words of many lengths." % i for i in range(300)]
     bad = ["BUY!! NOW!! %d!! BUY!! NOW!! CHEAP!!" % i for i in range(300)]
