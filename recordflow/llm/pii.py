@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordflow.llm.common import text_or_empty
+from recordflow.llm.common import bitmap_of, in_bitmap, text_or_empty
 from recordflow.runtime import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone", "removed", "general")
-WINDOW = 160        # characters on either side of an entity in which terms count as its context
 SMOOTHING = 0.5     # weight, in documents, of the whole table's rate in the estimate of an entity given a term
 REMOVE_AT = 0.9     # share of an entity's information that a term gives away
 GENERALISE_AT = 0.7
-TERM = r"\p{L}{4,}"
+# Scripts written without blanks: their terms are pairs of neighbouring characters.
+_DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+_WORD = r"[\p{L}\p{M}\p{N}]++"
+# What lies before a term, the term or its first character, and the second one of a pair.
+_SCAN = rf"((?:[^\p{{L}}\p{{M}}\p{{N}}]|(?<={_DENSE}){_DENSE}(?!{_DENSE}))*+)({_DENSE}(?=({_DENSE}?))|(?:(?!{_DENSE})[\p{{L}}\p{{M}}\p{{N}}])++)"
+_CHUNK = 256        # terms whose places are added up together
 
 # Possessive forms of the kinds' patterns; a run is entered at its start or where the last match ended.
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -88,74 +94,121 @@ def _listed(spans: Column) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _context(text: Column, span: Column) -> Column:
-    """Terms on either side of a span, whole words only, as (start, kind, end, value)."""
-    low = F.greatest(F.lit(0), span["start"] - WINDOW)
-    before, after = F.substring(text, low + 1, span["start"] - low), F.substring(text, span["end"] + 1, F.lit(WINDOW))
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _without_spans(text: Column, spans: Column) -> Column:
+    """The text with blanks in the place of its spans, so that all other places stay as they are."""
+    def step(done: Column, s: Column) -> Column:
+        start, end = F.greatest(done["at"], s["start"]), F.greatest(done["at"], s["end"])
+        parts = F.array(F.substring(text, done["at"] + 1, start - done["at"]), F.repeat(F.lit(" "), end - start))
+        return F.struct(end.alias("at"), F.concat(done["parts"], parts).alias("parts"))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    masked = F.aggregate(spans, first, step, lambda done: F.concat(
+        F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, masked).otherwise(text)
 
-    def terms(part: Column, at: Column, cut_left: Column, cut_right: Column) -> Column:
-        size = F.length(part)
-        whole = F.filter(_places(part, TERM, 4, None), lambda s: ~(cut_left & (s["start"] == 0)) & ~(cut_right & (s["end"] == size)))
-        return F.transform(whole, lambda s: F.struct(
-            (s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end"), F.lower(s["value"]).alias("value")))
 
-    return F.concat(terms(before, low, low > 0, F.lit(False)), terms(after, span["end"], F.lit(False), F.length(after) == WINDOW))
+def terms(text: Column) -> Column:
+    """The terms of a whole text, in lower case: runs of letters, marks and digits of any length."""
+    plain = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
+    paired = F.zip_with(
+        F.regexp_extract_all(text, F.lit(_SCAN), F.lit(2)), F.regexp_extract_all(text, F.lit(_SCAN), F.lit(3)),
+        lambda hit, after: F.lower(F.concat(hit, after)))
+    return F.when(text.rlike(_DENSE), paired).otherwise(plain)
 
 
-def revealing_terms(documents: int, entities: DataFrame, contexts: DataFrame, texts: DataFrame,
-                    remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """(entity, term, kind) of the terms that give an entity away.
+def term_places(text: Column) -> Column:
+    """``terms`` as (start, end, term) in code points. Lengths add up inside chunks, then over them."""
+    none = F.array().cast("array<struct<start:int,end:int,term:string>>")
+    found = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(_SCAN), F.lit(i)).alias(n) for i, n in ((1, "gap"), (2, "hit"), (3, "after"))])
+
+    def step(seen: Column, x: Column) -> Column:
+        start = seen["at"] + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        place = F.struct(start.alias("start"), (end + F.length(x["after"])).alias("end"), F.lower(F.concat(x["hit"], x["after"])).alias("term"))
+        return F.struct(end.alias("at"), F.concat(seen["places"], F.array(place)).alias("places"))
+
+    def chunks(all_: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), none.alias("places"))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(_CHUNK))
+        return F.transform(starts, lambda k: F.aggregate(F.slice(all_, k, _CHUNK), first, step))
+
+    def moved(parts: Column) -> Column:
+        before = F.aggregate(parts, F.array(F.lit(0)), lambda at, c: F.concat(at, F.array(F.element_at(at, -1) + c["at"])))
+        return F.flatten(F.zip_with(parts, F.slice(before, 1, F.size(parts)), lambda c, at: F.transform(c["places"], lambda s: F.struct(
+            (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["term"].alias("term")))))
+
+    return _with(found, lambda all_: _with(chunks(all_), moved))
+
+
+def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose term may be among the wanted ones, and all whose term is; of a fixed size, so no row moves."""
+    bits = bitmap_of(wanted.select(F.xxhash64("term").alias("key")), "key")
+    return in_bitmap(rows, F.xxhash64("term"), bits, "_may").where("_may").drop("_may")
+
+
+def revealing_terms(found: DataFrame, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT) -> DataFrame:
+    """(term, kind) of the terms that give an entity away, from (row, entities, masked).
 
     A term's pointwise mutual information with an entity, as a share of the information the entity
     carries: 1 + log P(entity | term) / log(N / n_c). The probability is smoothed by the entity's rate in
     the whole table, (n_ct + a n_c / N) / (n_t + a), so that an entity of one text counts too, for less
     than one that always recurs with the term. From ``remove_at`` on the term is removed (kind 4), from
-    ``generalise_at`` on it is generalised (kind 5). Document counts are over all rows.
+    ``generalise_at`` on it is generalised (kind 5). All counts are of whole documents, over all rows.
+
+    Entities of the same rows are judged as one. A pair is made only if the term is rare enough to reach
+    ``generalise_at`` were all its documents the entity's.
     """
-    pairs = cut_lineage(contexts.groupBy("entity", "term").agg(F.count_distinct("row").alias("n_ct")), "pairs")
-    held = entities.groupBy("entity").agg(F.count("*").alias("n_c"))
+    documents = found.count()
     # Stored, so that the counts of all terms are combined before any are looked up.
-    seen = cut_lineage(texts.select(F.explode(F.array_distinct(F.transform(
-        F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "term-counts")
-    share = F.when(F.col("n_c") >= documents, F.lit(0.0)).otherwise(1 + F.log(
-        (F.col("n_ct") + SMOOTHING * F.col("n_c") / documents) / (F.greatest(F.col("n_t"), F.col("n_ct")) + SMOOTHING))
-        / F.log(F.lit(float(documents)) / F.col("n_c")))
-    wanted = cut_lineage(seen.join(pairs.select("term").distinct(), "term", "left_semi"), "terms")
+    seen = cut_lineage(found.select(F.explode(F.array_distinct(terms(F.col("masked")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "term-counts")
+    named = found.where(F.size("entities") > 0)
+    held = named.select("row", F.explode("entities").alias("entity"))
+    alike = held.groupBy("entity").agg(
+        F.count("*").alias("n_c"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b")).where(F.col("n_c") < documents)
+
+    def limit(n_c: Column) -> Column:
+        return (n_c + SMOOTHING) * F.pow(F.lit(float(documents)) / n_c, F.lit(1 - generalise_at))
+
+    classes = cut_lineage(held.join(alike, "entity").select("row", "n_c", "a", "b").distinct().withColumn("most", limit(F.col("n_c"))), "classes")
+    most = classes.agg(F.max("most")).first()[0] or 0.0
+    rare = seen.where(F.col("n_t") <= most)
+    beside = _among(named.select("row", F.explode(F.array_distinct(terms(F.col("masked")))).alias("term")), rare).join(rare, "term")
+    pairs = beside.join(classes, "row").where(F.col("n_t") <= F.col("most")).groupBy("a", "b", "n_c", "term", "n_t").agg(F.count("*").alias("n_ct"))
+    share = 1 + F.log((F.col("n_ct") + SMOOTHING * F.col("n_c") / documents) / (F.col("n_t") + SMOOTHING)) / F.log(F.lit(float(documents)) / F.col("n_c"))
     return cut_lineage(
-        pairs.join(held, "entity").join(wanted, "term").withColumn("share", share).where(F.col("share") >= generalise_at)
-        .select("entity", "term", F.when(F.col("share") >= remove_at, 4).otherwise(5).alias("kind")), "revealing")
+        pairs.select("term", share.alias("share")).where(F.col("share") >= generalise_at).groupBy("term").agg(F.max("share").alias("share"))
+        .select("term", F.when(F.col("share") >= remove_at, 4).otherwise(5).alias("kind")), "revealing")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, row, unit, all_spans.
 
     ``spans`` lists kind:start:end of the base spans and of the terms to remove or generalise, by start,
-    then kind. Places are code points of the whole text, null texts are empty. A term counts only in
-    the context of the entity it reveals; one that overlaps a base span is left to that span. Rows that
-    repeat are judged each; an empty table gives no rows; other columns are ignored.
+    then kind. Places are code points of the whole text, null texts are empty. A revealing term is
+    listed wherever it stands outside base spans, with or without the entity it reveals in the text. Rows
+    that repeat are judged each; an empty table gives no rows; other columns are ignored.
     """
-    body = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(f"`{text}`").alias("text"))
-    spanned = rows.select("doc_id", "text", F.xxhash64("text").alias("unit"), base_spans(body).alias("spans"))
+    spanned = rows.select("doc_id", "text", F.xxhash64("text").alias("unit"), base_spans(F.col("text")).alias("spans"))
     found = cut_lineage(spanned.select(
-        F.expr("uuid()").alias("row"), "doc_id", "unit", "spans",
-        F.transform("spans", lambda s: F.struct(
-            F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])).alias("entity"), _context(body, s).alias("terms"))).alias("near")), "spans")
-    near = found.where(F.size("near") > 0).select("row", "unit", F.explode("near").alias("n")).select("row", "unit", "n.entity", "n.terms")
-    contexts = near.select("row", "unit", "entity", F.explode("terms").alias("t")).select(
-        "row", "unit", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    flagged = revealing_terms(found.count(), near.select("row", "entity").distinct(), contexts, rows.select("text"))
+        F.expr("uuid()").alias("row"), "doc_id", "unit", "spans", _without_spans(F.col("text"), F.col("spans")).alias("masked"),
+        F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])))).alias("entities")), "spans")
+    flagged = revealing_terms(found.select("row", "entities", "masked"))
+    places = found.select("row", F.explode(term_places(F.col("masked"))).alias("p")).select("row", "p.start", "p.end", "p.term")
     added = cut_lineage(
-        contexts.join(flagged, ["entity", "term"]).groupBy("row", "start", "end").agg(F.min("kind").alias("kind"), F.min("term").alias("value"))
-        .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "value")).alias("more")), "term-spans")
-    apart = F.filter(F.coalesce("more", F.array().cast(f"array<{_SPAN}>")), lambda t: ~F.exists(
-        "spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    every = F.array_sort(F.concat("spans", apart))
+        _among(places, flagged).join(flagged, "term").groupBy("row").agg(
+            F.collect_list(F.struct("start", "kind", "end", F.col("term").alias("value"))).alias("more")), "term-spans")
+    every = F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast(f"array<{_SPAN}>"))))
 
     def count(kind: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
 
-    return found.join(added, "row", "left").select("doc_id", "row", "unit", F.col("spans").alias("base"), every.alias("all_spans")).select(
+    return found.drop("masked", "entities").join(added, "row", "left").select("doc_id", "row", "unit", F.col("spans").alias("base"), every.alias("all_spans")).select(
         "doc_id", *map(count, range(4)), F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _listed(F.col("all_spans")).alias("spans"), "row", "unit", "all_spans")
 

@@ -171,6 +171,19 @@ def test_pii_of_rare_entities(spark):
     assert all(clean[i] == t for i, t in others)
 
 
+def test_pii_terms_of_whole_texts(spark):
+    filler = "plain filler words that every text holds " * 20
+    planted = [(1, f"Kim {filler}x9@far.org {filler}号 王小 Ab7 {filler * 10}Kim"), (2, f"{filler}kim stands here without it, 王小 too")]
+    table = spark.createDataFrame(planted + [(10 + i, f"{filler}{filler}stands here without it, too") for i in range(100)], "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(table).collect()}
+    assert not re.search("(?i)kim|ab7|王小|号", clean[1] + clean[2])
+    assert all(clean[10 + i] == f"{filler}{filler}stands here without it, too" for i in range(100))
+    text = "É 王小明 a1😀b " + "word " * 1000 + "明"
+    places = spark.createDataFrame([(text,)], "t string").select(pii.term_places(F.col("t")), pii.terms(F.col("t"))).first()
+    assert all(text[p["start"]:p["end"]].lower() == p["term"] for p in places[0]) and [p["term"] for p in places[0]] == places[1]
+    assert places[1] == ["é", "王小", "小明", "a1", "b", *["word"] * 1000, "明"]
+
+
 def test_classifiers(spark, docs, empty):
     good = ["A calm sentence number %d. You are an honest reader and more words of many lengths." % i for i in range(300)]
     bad = ["BUY!! NOW!! %d!! BUY!! NOW!! CHEAP!!" % i for i in range(300)]
