@@ -31,21 +31,19 @@ MEMO_WORDS = 400_000    # words a worker remembers before it starts anew
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _NO_LETTER = re.compile(r"[^\w\s]+|[\d_]+")
+_EDGE = ".,;:!?\"'()[]{}"  # what may stand around a word and is no part of it
+_MARK = r"[^\w\s]|[\d_]"
 
 
-def sentences(text: str) -> list[list[str]]:
-    """Words of each sentence: letters only, lower-cased; three or more single letters in a row are one word."""
-    found = []
-    for sentence in _SENTENCE.split(text.lower()):
-        words = _NO_LETTER.sub("", sentence).split()
-        sizes = list(map(len, words))
-        if sizes.count(1) >= 3:
-            words = _joined(words)
-        if sizes and max(sizes) > WINDOW:
-            words = [v for w in words for v in _windows(w)]
-        if words:
-            found.append(words)
-    return found
+def words_of(sentence: str) -> list[str]:
+    """Words of a lower-cased sentence: letters only; three or more single letters in a row are one word."""
+    words = _NO_LETTER.sub("", sentence).split()
+    sizes = list(map(len, words))
+    if sizes.count(1) >= 3:
+        words = _joined(words)
+    if sizes and max(sizes) > WINDOW:
+        words = [v for w in words for v in _windows(w)]
+    return words
 
 
 def _joined(words: list[str]) -> list[str]:
@@ -103,12 +101,13 @@ class Similarity:
     """Normalised kernel values of words against the landmarks, powers of those from ``FLOOR`` on.
 
     A word is compared with a landmark only if it has three quarters of the landmark's letters; otherwise
-    the value is zero.
+    the value is zero. A disguised landmark, see ``disguised``, counts as the landmark itself.
     """
 
     landmarks: list[str]
     known: set[str] = field(default_factory=set)          # words met so far
     hot: dict[str, np.ndarray] = field(default_factory=dict)  # those of them with a value other than zero
+    hidden: set[str] = field(default_factory=set)         # those of them that are or hide a landmark
 
     def __post_init__(self):
         self.width = max([LENGTH, *map(len, self.landmarks)])
@@ -116,12 +115,16 @@ class Similarity:
         self.codes = _codes(self.landmarks, self.width, -2) if self.landmarks else np.zeros((0, self.width), np.int32)
         self.letters = _letters(self.codes)
         self.needed = np.ceil(0.75 * np.bitwise_count(self.letters))
+        self.plain = self.of(self.landmarks)
+        spread = [".?".join(map(re.escape, w)) for w in self.landmarks]
+        marked = ["".join(f"(?:{re.escape(c)}|{_MARK})" for c in w) for w in self.landmarks]
+        self.spread, self.marked = (re.compile("|".join(f"({p})" for p in ps) or "(?!)") for ps in (spread, marked))
 
     def __getstate__(self):
         return {"landmarks": self.landmarks}
 
     def __setstate__(self, state):
-        self.landmarks, self.known, self.hot = state["landmarks"], set(), {}
+        self.landmarks, self.known, self.hot, self.hidden = state["landmarks"], set(), {}, set()
         self.__post_init__()
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -149,17 +152,36 @@ class Similarity:
                     out[part[r], c] = np.where(value >= FLOOR, np.minimum(value, 1.0) ** POWER, 0.0)
         return out
 
+    def disguised(self, word: str) -> np.ndarray | None:
+        """The values of the landmark that a word hides, None if it hides none.
+
+        All letters in order with at most one other character between two of them, or marks and digits
+        in the place of letters, two letters and two fifths of them being left.
+        """
+        core = word.strip(_EDGE)
+        hit = self.spread.fullmatch(core)
+        if hit is None and not core.isalpha():
+            hit = self.marked.fullmatch(core)
+            if hit and sum(map(str.isalpha, core)) < max(2, 0.4 * len(core)):
+                hit = None
+        return None if hit is None else self.plain[hit.lastindex - 1]
+
     def learn(self, words: set[str]) -> None:
         """Meet words, with or without other characters than letters in them."""
         new = words - self.known
         if len(self.known) + len(new) > MEMO_WORDS:
-            self.known, self.hot = set(), {}
+            self.known, self.hot, self.hidden = set(), {}, set()
             new = words
         whole = sorted(new)
         pieces = [(n, v) for n, w in enumerate(whole) for v in _windows(_NO_LETTER.sub("", w))]
         for (n, _), v in zip(pieces, self.of([v for _, v in pieces])):
             if v.any():
                 self.hot[whole[n]] = v
+        for w in whole:
+            v = self.disguised(w)
+            if v is not None:
+                self.hot[w] = v
+                self.hidden.add(w)
         self.known |= new
 
     def sentence(self, words: list[str]) -> np.ndarray | None:
@@ -175,9 +197,13 @@ class Similarity:
         self.learn(met)
         if self.hot.keys().isdisjoint(met) and not _three_running(spaced):
             return []
-        split = sentences(text)
-        self.learn({w for s in split for w in s})
-        return [v for v in map(self.sentence, split) if v is not None]
+        split = _SENTENCE.split(text.lower())
+        words = list(map(words_of, split))
+        self.learn({w for s in words for w in s} | met)
+        for found, sentence in zip(words, split):
+            # Words that only their marks and digits give away.
+            found += [w for w in sentence.split() if w in self.hidden and _NO_LETTER.sub("", w) not in self.hidden]
+        return [v for v in map(self.sentence, words) if v is not None]
 
 
 def _three_running(flags: list[bool]) -> bool:

@@ -204,6 +204,17 @@ def test_classifiers(spark, docs, empty):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_disguised_insults():
+    landmarks = ["clown", "idiot", "loser", "moron", "scum", "stupid", "trash"]
+    model = toxicity.ToxicityModel(toxicity.Similarity(landmarks), np.ones(len(landmarks)), -0.5, 10.0, 0.0)
+    hidden = ["idxixot", "ixdxixoxt", "stuxpxid", "moxrxon", "m0r0n", "sc*m", "scxum", "tr*sh", "cl0wn", "lo5er", "1d10t", "i*d*i*o*t"]
+    hidden += ["x".join(w) for w in landmarks] + [w[:i] + c + w[i + 1:] for w in landmarks for i in range(1, len(w) - 1) for c in "*0"]
+    assert (model.scores([f"you are a {w}!" for w in hidden] + [f"({w}), he said. A calm line" for w in hidden]) >= 0.5).all()
+    clean = ["crown", "flown", "lower", "moon", "studio", "trait", "patio", "12345", "s-1", "1a2b3c4", "2024-12-01", "*****", "i'd", "to 1 d 1 0 t"]
+    assert (model.scores([f"this is a {w} of ours" for w in clean]) < 0.5).all()
+    assert model.similarity.sums("an id-iot")[0].tolist() == model.similarity.sums("an idiot")[0].tolist()
+
+
 def _fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:
