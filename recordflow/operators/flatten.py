@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 
 from recordflow.functions.text import strict_json
 from recordflow.operators.schema import SEP
+from recordflow.runtime import cut_lineage
 
 MAX_COLUMNS = 5_000
+LEVELS = 8  # of nesting that one pass opens
 
 
 def flatten_struct(df: DataFrame, col: str, sep: str = SEP) -> DataFrame:
@@ -34,17 +36,10 @@ def _container(value: Column) -> Column:
     return F.substring(F.to_json(value), 1, 1).isin("{", "[")
 
 
-def flatten_paths(df: DataFrame, json_col: str, keep: list[str], sep: str = SEP,
-                  max_depth: int = 8) -> DataFrame:
-    """Any JSON text -> (keep, path, value) rows, one per leaf.
-
-    Each level opens containers in place and passes leaves on, so all levels run in one pass over
-    the input without a shuffle. Texts that are not JSON and empty containers give no row, null leaves give a null value, and a
-    container left below ``max_depth`` fails the query rather than losing its leaves.
-    """
-    spark = df.sparkSession
-    rows = df.select(*keep, F.lit("").alias("path"), strict_json(F.col(json_col)).alias("_v"))
-    for _ in range(max_depth):
+def _opened(rows: DataFrame, keep: list[str], sep: str, levels: int) -> DataFrame:
+    """(keep, path, _v) with the containers of so many levels opened in place; leaves pass."""
+    spark = rows.sparkSession
+    for _ in range(levels):
         opened = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer()))
         segment = F.coalesce(F.col("key"), F.col("pos").cast("string"))
         below = F.when(F.col("path") == "", segment).otherwise(F.concat_ws(sep, "path", segment))
@@ -54,12 +49,36 @@ def flatten_paths(df: DataFrame, json_col: str, keep: list[str], sep: str = SEP,
             F.when(inside, below).otherwise(F.col("path")).alias("path"),
             F.when(inside, F.col("value")).otherwise(F.col("_v")).alias("_v"),
         )
-    text = F.to_json("_v")
-    too_deep = F.raise_error(F.lit(f"nesting exceeds {max_depth} levels"))
-    value = F.when(_container(F.col("_v")) & ~text.isin("{}", "[]"), too_deep).otherwise(
-        F.col("_v").cast("string")
-    )
-    return rows.where(~text.isin("{}", "[]") & (F.col("path") != "")).select(*keep, "path", value.alias("value"))
+    return rows.where(~F.to_json("_v").isin("{}", "[]"))
+
+
+def flatten_paths(df: DataFrame, json_col: str, keep: list[str], sep: str = SEP,
+                  max_depth: int | None = None) -> DataFrame:
+    """Any JSON text -> (keep, path, value) rows, one per leaf, whatever the depth.
+
+    Some levels are opened in one pass over the input without a shuffle; the result is stored, and
+    containers that are left are opened in further passes over them alone. Texts that are not JSON and
+    empty containers give no row, null leaves give a null value. A container left below a ``max_depth``
+    that a caller sets fails the query rather than losing its leaves.
+    """
+    rows = df.select(*keep, F.lit("").alias("path"), strict_json(F.col(json_col)).alias("_v"))
+    found = []
+    while True:
+        deeper = _container(F.col("_v"))
+        stored = cut_lineage(_opened(rows, keep, sep, max_depth or LEVELS).select(
+            *keep, "path", F.coalesce(deeper, F.lit(False)).alias("_deeper"),
+            F.when(deeper, F.col("_v")).alias("_v"), F.when(~deeper, F.col("_v").cast("string")).alias("value")), "paths")
+        found.append(stored.where(~F.col("_deeper") & (F.col("path") != "")).select(*keep, "path", "value"))
+        left = stored.where("_deeper")
+        if left.isEmpty():
+            break
+        if max_depth:
+            raise ValueError(f"nesting exceeds {max_depth} levels")
+        rows = left.select(*keep, "path", "_v")
+    result = found[0]
+    for part in found[1:]:
+        result = result.unionByName(part)
+    return result
 
 
 def _leaf_at(variant: Column, path: str, sep: str) -> Column:

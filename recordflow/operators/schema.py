@@ -101,7 +101,7 @@ def resolve_field_type(fields: DataFrame, type_col: str = "field_type") -> DataF
 
 
 def schema_paths(fields: DataFrame, main: DataFrame, *, literal: bool = False,
-                 max_depth: int = 16) -> DataFrame:
+                 max_depth: int | None = None) -> DataFrame:
     """Leaf paths of many schemas at once.
 
     ``fields``: (schema_id, parent_class, ord, name, field_type); ``main``: (schema_id, main_class).
@@ -109,16 +109,18 @@ def schema_paths(fields: DataFrame, main: DataFrame, *, literal: bool = False,
     members on (schema_id, class). Members and frontiers are stored, so the plan of a level starts
     from tables; the leaves of all levels are one lazy union. Output: schema_id, path, leaf_type,
     sort_key (declaration order). ``literal`` stops at an optional list, whose leaf type is then
-    ``List``. Nesting deeper than ``max_depth`` is an error: the classes refer to themselves.
+    ``List``. Nesting may be of any depth; a class that stands twice on a path is an error, as is
+    nesting deeper than a ``max_depth`` that a caller sets. Steps of the sort key have six digits, those of larger places a tilde and twenty, which sort after them.
     """
     typed = resolve_field_type(fields)
     shown = F.col("base_type")
     if literal:
         hidden = F.col("field_type").rlike(r"^(Optional|Union)\[\s*(List|list)\[")
         shown = F.when(hidden, F.lit("List")).otherwise(shown)
+    place = F.col("ord").cast("string")
     members = typed.select(
         "schema_id", F.col("parent_class").alias("class"), "name", shown.alias("leaf_type"),
-        F.lpad(F.col("ord").cast("string"), 6, "0").alias("step"),
+        F.when(F.length(place) <= 6, F.lpad(place, 6, "0")).otherwise(F.concat(F.lit("~"), F.lpad(place, 20, "0"))).alias("step"),
     )
     classes = fields.select("schema_id", F.col("parent_class").alias("leaf_type")).distinct()
     members = cut_lineage(
@@ -126,22 +128,30 @@ def schema_paths(fields: DataFrame, main: DataFrame, *, literal: bool = False,
         .withColumn("nested", F.coalesce("nested", F.lit(False))), "members",
     )
     above = main.select(
-        "schema_id", F.col("main_class").alias("class"), F.lit("").alias("path"), F.lit("").alias("sort_key")
+        "schema_id", F.col("main_class").alias("class"), F.lit("").alias("path"), F.lit("").alias("sort_key"),
+        F.array("main_class").alias("entered"),
     )
     found = []
-    for _ in range(max_depth):
+    while True:
         level = above.join(members, ["schema_id", "class"]).select(
-            "schema_id", "leaf_type", "nested",
+            "schema_id", "leaf_type", "nested", "entered",
             F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws(SEP, "path", "name")).alias("path"),
             F.when(F.col("sort_key") == "", F.col("step")).otherwise(F.concat_ws(".", "sort_key", "step")).alias("sort_key"),
         )
-        found.append(level.where(~F.col("nested")))
-        frontier = level.where("nested").select("schema_id", F.col("leaf_type").alias("class"), "path", "sort_key")
+        found.append(level.where(~F.col("nested")).drop("entered"))
+        again = F.array_contains("entered", F.col("leaf_type")).alias("again")
+        frontier = level.where("nested").select(
+            "schema_id", F.col("leaf_type").alias("class"), "path", "sort_key",
+            F.concat("entered", F.array("leaf_type")).alias("entered"), again)
         above = cut_lineage(frontier, "frontier")
+        looped = above.where("again").select("class", "path").first()
+        if looped is not None:
+            raise ValueError(f"class {looped['class']!r} refers to itself at {looped['path']!r}, so its levels have no end")
         if above.isEmpty():
             break
-    else:
-        raise ValueError(f"schema nesting exceeds {max_depth} levels")
+        if len(found) == max_depth:
+            raise ValueError(f"schema nesting exceeds {max_depth} levels")
+        above = above.drop("again")
     result = found[0]
     for part in found[1:]:
         result = result.unionByName(part)

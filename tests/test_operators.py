@@ -378,3 +378,18 @@ def test_scratch_space_follows_the_session(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
     df = cut_lineage(spark.range(10).where("id > 3"))
     assert df.count() == 6 and "Range" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nesting_of_any_depth(spark):
+    deep = "".join(f'{{"k{i}":' for i in range(20)) + "1.5" + "}" * 20
+    df = spark.createDataFrame([(1, deep), (2, '{"a": [1, null]}')], "id long, doc string")
+    got = {(r["id"], r["path"]): r["value"] for r in flatten.flatten_paths(df, "doc", ["id"]).collect()}
+    assert got == {(1, "::".join(f"k{i}" for i in range(20))): "1.5", (2, "a::0"): "1", (2, "a::1"): None}
+    members = [("s", f"C{i}", 0, "next", f"C{i + 1}") for i in range(20)] + [("s", "C20", 999_999, "x", "int"), ("s", "C20", 1_000_000, "y", "int")]
+    fields = spark.createDataFrame(members, "schema_id string, parent_class string, ord long, name string, field_type string")
+    main = spark.createDataFrame([("s", "C0")], "schema_id string, main_class string")
+    paths = [r["path"] for r in sorted(schema.schema_paths(fields, main).collect(), key=lambda r: r["sort_key"])]
+    assert paths == ["next::" * 20 + "x", "next::" * 20 + "y"]
+    loop = fields.unionByName(spark.createDataFrame([("s", "C20", 3, "z", "C18")], fields.schema))
+    with pytest.raises(ValueError, match="refers to itself"):
+        schema.schema_paths(loop, main)
