@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recordflow.llm import bpe_chunks, exact_dedup, line_dedup, mixing, pii, quality, simhash, topk, toxicity, url_filter
+from recordflow.llm import (
+    alignment, bpe_chunks, conversation_trie, exact_dedup, line_dedup, mixing, pii, quality, simhash, token_counts, topk, toxicity, url_filter)
 from recordflow.llm.common import table
 
 
@@ -50,6 +51,22 @@ def op10_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    spec = bpe_chunks.tokenizer_spec(public_tokenizers.path("byte_bpe_50k.json"))
+    return alignment.alignment(table(spark, sf_dir, "documents"), spec, model)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = bpe_chunks.tokenizer_spec(public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), spec)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_bpe_chunks": op2_bpe_chunks,
@@ -61,6 +78,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_va_file": op10_va_file,
+    "op11_alignment": op11_alignment,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE = {
@@ -123,4 +143,38 @@ ORACLE = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
     """,
+    "op12_conversation_trie": """
+        WITH own AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+            FROM conversations WHERE conv_id IS NOT NULL),
+        plan AS (
+            SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(
+                list_concat([4294967295::UBIGINT], [ascii(c)::UBIGINT for c in string_split(conv_id::VARCHAR, '')]),
+                lambda x, y: list_reduce(list_concat([xor(x, y)], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+                    lambda p, q: CASE WHEN p & 1 = 1 THEN xor(p >> 1, 3988292384::UBIGINT) ELSE p >> 1 END)),
+                4294967295::UBIGINT)::BIGINT % 9 AS h
+            FROM own),
+        rebuilt AS (
+            SELECT p.conv_id, o.n AS place, o.role, o.text FROM plan p JOIN own o ON o.conv_id = p.base AND o.n <= p.h
+            UNION ALL SELECT p.conv_id, o.n + 9, o.role, o.text FROM plan p JOIN own o ON o.conv_id = p.conv_id AND o.n > p.h),
+        turns AS (
+            SELECT p.conv_id, coalesce(list({'r': role, 't': text} ORDER BY place) FILTER (WHERE place IS NOT NULL), []) AS seq
+            FROM plan p LEFT JOIN rebuilt r ON r.conv_id = p.conv_id GROUP BY p.conv_id),
+        steps AS (SELECT conv_id, len(seq) AS size, unnest(range(0, len(seq) + 1)) AS depth, seq FROM turns),
+        nodes AS (
+            SELECT list_slice(seq, 1, depth) AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256,
+                   bool_and(size = depth)::BIGINT AS leaf
+            FROM steps GROUP BY ALL),
+        valued AS (
+            SELECT *, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(path[depth].t) ELSE 0 END AS saved FROM nodes),
+        below AS (
+            SELECT a.conv_id, a.depth, sum(b.leaf)::BIGINT AS n_leaves, sum(b.saved)::BIGINT AS saved_tokens,
+                   count(*) FILTER (WHERE b.depth = a.depth + 1) AS n_children
+            FROM valued a JOIN valued b ON b.depth >= a.depth AND list_slice(b.path, 1, a.depth) = a.path GROUP BY ALL)
+        SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, b.n_children, b.n_leaves, b.saved_tokens, v.ends_sha256
+        FROM valued v JOIN below b ON b.conv_id = v.conv_id AND b.depth = v.depth
+        LEFT JOIN valued p ON p.depth = v.depth - 1 AND p.path = list_slice(v.path, 1, v.depth - 1)
+    """,
 }
