@@ -21,7 +21,7 @@ ship(__name__)
 
 RANGE = 1 << 16        # bytes of a range; longer texts are cut into several
 MARGIN = 1 << 10       # how far a cut looks for a blank on either side; a range without one goes on
-SLICE = 1 << 20        # bytes of short texts that are encoded together
+SLICE = 4 << 20        # bytes of short texts whose words are encoded together
 FAN_IN = 16            # neighbours that one step of the reduction composes
 FREQUENT = 1 << 18     # pairs that hold this part of all links or more are told by a table of as many rows at most
 
@@ -154,31 +154,53 @@ def _arrow(batch: pa.RecordBatch, keep: int, index: list[int], found: list[tuple
         [*[batch.column(i).take(rows) for i in range(keep)], *columns], names=[*batch.schema.names[:keep], *schema.names])
 
 
+def words_of(data: bytes) -> list[bytes]:
+    """A text in stretches that start at its cuts; both tokenizers end a token with each."""
+    cuts = [0, *[m.end() - 1 for m in _CUT.finditer(data)], len(data)]
+    return [data[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def align_words(pair: Pair, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """(good or not, numbers of A, B and groups, groups as written, link keys end to end) of stretches."""
+    ids_a, ids_b, same = pair.encode(words)
+    good = [k for k, s in enumerate(same) if s]
+    sizes, groups = np.zeros((3, len(words)), np.int64), [""] * len(words)
+    if not good:
+        return np.array(same), sizes, groups, np.zeros(0, np.int64)
+    # stretches lie end to end; both token streams end with each of them, so no group crosses a border
+    sizes[0][good], sizes[1][good] = [len(ids_a[k]) for k in good], [len(ids_b[k]) for k in good]
+    a = np.fromiter((i for k in good for i in ids_a[k]), np.int64, int(sizes[0].sum()))
+    b = np.fromiter((i for k in good for i in ids_b[k]), np.int64, int(sizes[1].sum()))
+    ends_a, _, at_a, at_b = shared_ends(pair, a, b)
+    borders = np.searchsorted(ends_a[at_a], np.cumsum([len(words[k]) for k in good]))
+    sizes[2][good] = np.diff(np.r_[-1, borders])
+    for k, text in zip(good, written(pair, a, b, at_a, at_b, borders)):
+        groups[k] = text
+    return np.array(same), sizes, groups, a[at_a] * len(pair.bytes_b) + b[at_b]
+
+
 def align_texts(pair: Pair, texts: list[bytes]) -> list[tuple]:
-    """Rows of ``_SHORT`` for texts that start with a blank; texts of a blank alone have no tokens."""
-    none = (True, 0, 0, 0, "", [], [])
-    found = [none] * len(texts)
+    """Rows of ``_SHORT`` for texts that start with a blank; texts of a blank alone have no tokens.
+
+    Stretches that texts share are aligned once; their closed fragments follow one another in each text.
+    """
+    found = [(True, 0, 0, 0, "", [], [])] * len(texts)
     some = [i for i, t in enumerate(texts) if len(t) > 1]
     if not some:
         return found
-    ids_a, ids_b, same = pair.encode([texts[i] for i in some])
-    good = [k for k, s in enumerate(same) if s]
-    if not good:
-        return found
-    # texts lie end to end; both token streams end with each of them, so no group crosses a border
-    a = np.concatenate([np.array(ids_a[k], np.int64) for k in good])
-    b = np.concatenate([np.array(ids_b[k], np.int64) for k in good])
-    ends_a, _, at_a, at_b = shared_ends(pair, a, b)
-    borders = np.searchsorted(ends_a[at_a], np.cumsum([len(texts[some[k]]) for k in good]))
-    groups = written(pair, a, b, at_a, at_b, borders)
-    sizes = np.diff(np.r_[-1, borders])
-    span = len(pair.bytes_a) * len(pair.bytes_b)
-    held, counts = np.unique(np.repeat(np.arange(len(good)), sizes) * span + a[at_a] * len(pair.bytes_b) + b[at_b], return_counts=True)
-    stops = np.searchsorted(held, np.arange(1, len(good) + 1) * span)
-    keys, begin = held % span, 0
-    for n, k in enumerate(good):
-        found[some[k]] = (True, len(ids_a[k]), len(ids_b[k]), int(sizes[n]), groups[n], keys[begin:stops[n]], counts[begin:stops[n]])
-        begin = stops[n]
+    known: dict[bytes, int] = {}
+    of = [[known.setdefault(w, len(known)) for w in words_of(texts[i])] for i in some]
+    good, sizes, groups, keys = align_words(pair, list(known))
+    starts = np.cumsum(sizes[2]) - sizes[2]
+    for i, words in zip(some, of):
+        at = np.array(words, np.int64)
+        if not good[at].all():
+            continue
+        n_a, n_b, n_groups = sizes[:, at].sum(axis=1).tolist()
+        lengths = sizes[2][at]
+        place = np.repeat(starts[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(n_groups)
+        held, counts = np.unique(keys[place], return_counts=True)
+        found[i] = (True, n_a, n_b, n_groups, ";".join([groups[w] for w in words]), held, counts)
     return found
 
 
