@@ -1,7 +1,7 @@
 """Typing, validation, nesting and quarantine of mapped records.
 
-Works on mapped tables (see ``mapping``): per path a plain column or an ``array<string>``. Everything
-here is narrow: projections add the typed record and its errors.
+Works on mapped tables (see ``mapping``): per path a plain column or an ``array<string>``. Projections
+add the typed record and its errors; only records in several parts need a shuffle, for their verdict.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from recordflow.functions.text import lax_cast
 from recordflow.operators.mapping import PART, cell_value
 from recordflow.operators.schema import SEP, leaf_map, options_of
+from recordflow.runtime import cut_lineage
 
 _NAMES = {T.StringType: "string", T.LongType: "int", T.DoubleType: "float", T.BooleanType: "bool"}
 
@@ -167,21 +168,30 @@ def validate_rows(mapped: DataFrame, schema: T.StructType, keep: list[str], *,
                   compat: str = "intended", raw: bool = False) -> DataFrame:
     """Add record, errors (array of field and kind), valid and error text.
 
-    A number is not accepted where text is declared. ``raw`` adds the mapped values as JSON text. Of a
-    record in parts each part is checked by itself; what is absent counts against part 0 only, which
-    holds something of every field that has a value. With ``compat="json"`` an empty list is a value.
+    A number is not accepted where text is declared. ``raw`` adds the mapped values as JSON text. With
+    ``compat="json"`` an empty list is a value.
+
+    Of a record in parts (``record_part``, which stays) every part has the verdict of the whole record: it is
+    valid if all its parts are, and its errors are those of all parts. What is absent counts against part
+    0, which holds something of every field that has a value. Parts are checked and stored once; errors
+    of records with several parts are combined by ``record_id`` before they move, a row per invalid record.
     """
     table = _leaf_table(mapped, schema, compat)
     kinds_by_path = _errors(schema, "", table, compat)
-    if PART in mapped.columns:
+    parted = PART in mapped.columns
+    if parted:
         kinds_by_path = {p: F.when((F.col(PART) == 0) | table[p].present, e) for p, e in kinds_by_path.items()}
+        keep = [*keep, *([] if PART in keep else [PART])]
     marks = {path: f"_error_{i}" for i, path in enumerate(kinds_by_path)}
     checked = mapped.select(
         *keep,
+        *([F.col("record_id").alias("_record")] if parted else []),
         *([raw_json(mapped, keep).alias("data")] if raw else []),
         _nest(schema, "", table, compat).alias("record"),
         *[kinds_by_path[path].alias(mark) for path, mark in marks.items()],
     )
+    if parted:
+        checked = _whole_verdicts(checked, list(marks.values()))
     wrong = [
         F.when(F.col(mark).isNotNull(), F.struct(F.lit(path).alias("field"), F.col(mark).alias("kind")))
         for path, mark in marks.items()
@@ -195,6 +205,23 @@ def validate_rows(mapped: DataFrame, schema: T.StructType, keep: list[str], *,
     )
 
 
+def _whole_verdicts(checked: DataFrame, marks: list[str]) -> DataFrame:
+    """Parts with the errors of their whole record: per leaf its own, else the least of the other parts.
+
+    Only records with several parts and an error take part in the join; without any, there is none.
+    """
+    stored = cut_lineage(checked, "checked-parts")
+    several = stored.where(F.col(PART) > 0).select("_record").distinct()
+    if several.isEmpty():
+        return stored
+    # A record without errors in any part is left out before the aggregation.
+    wrong = stored.where(F.coalesce(*[F.col(mark) for mark in marks]).isNotNull()).select("_record", *marks)
+    verdicts = wrong.join(several, "_record", "left_semi").groupBy("_record").agg(
+        *[F.min(mark).alias(f"{mark}_whole") for mark in marks])
+    joined = stored.join(verdicts, "_record", "left")
+    return joined.withColumns({mark: F.coalesce(mark, f"{mark}_whole") for mark in marks})
+
+
 def raw_json(mapped: DataFrame, keep: list[str]) -> Column:
     """The mapped values before typing, as one JSON object of path -> value or list."""
     paths = sorted(c for c in mapped.columns if c not in keep and c != PART)
@@ -202,15 +229,26 @@ def raw_json(mapped: DataFrame, keep: list[str]) -> Column:
 
 
 def records_json(checked: DataFrame, keep: list[str]) -> DataFrame:
-    """Valid records as JSON text with nulls pruned at every level."""
+    """Valid records as JSON text with nulls pruned at every level; a record in parts gives a row per part
+    (keep ``record_part`` to tell them apart), or none if any part is invalid."""
     text = F.to_json("record", {"ignoreNullFields": "true"}).alias("record_json")
     return keep_where(checked, F.col("valid"), [*[F.col(k) for k in keep], text])
 
 
 def quarantine(checked: DataFrame, identifier: Column) -> DataFrame:
-    """Rows that failed validation: (row_identifier, error, data). Needs ``validate_rows(raw=True)``."""
+    """Rows that failed validation: (row_identifier, error, data). Needs ``validate_rows(raw=True)``.
+
+    A record in parts is named once, with the errors of all its parts and the values of part 0;
+    ``quarantine_data`` has the values of every part.
+    """
     columns = [identifier.alias("row_identifier"), F.col("error"), F.col("data")]
-    return keep_where(checked, ~F.col("valid"), columns)
+    once = F.col(PART) == 0 if PART in checked.columns else F.lit(True)
+    return keep_where(checked, ~F.col("valid") & once, columns)
+
+
+def quarantine_data(checked: DataFrame, identifier: Column) -> DataFrame:
+    """The values of the records that failed, whole, a row per part: (row_identifier, record_part, data)."""
+    return keep_where(checked, ~F.col("valid"), [identifier.alias("row_identifier"), F.col(PART), F.col("data")])
 
 
 def wide_identifier(index: Column) -> Column:

@@ -106,6 +106,13 @@ STRICT_LONG_SCHEMA = T.StructType([
     target("error", T.StructType([target("level", "str", options=["Low"], enum="LowOnly")])),
 ])
 
+# Few clicks are wrong, so that a record's only error may be in a late part.
+PARTS_SCHEMA = T.StructType([
+    target("user_id", "int", required=True),
+    target("clicks", "str", many=True, options=[str(n) for n in range(96)], enum="Click"),
+    target("purchases", "int", many=True),
+])
+
 
 def long_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as (user_id, event_type, k, event_id): the observation value is the text of props.k."""

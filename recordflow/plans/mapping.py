@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recordflow.operators import mapping as m
 from recordflow.operators import validation as v
 from recordflow.plans.base import (
-    LONG_RULES, LONG_SCHEMA, QUARANTINE_SCHEMA, STRICT_LONG_SCHEMA, STRICT_WIDE_SCHEMA, WIDE_RULES, WIDE_SCHEMA,
+    LONG_RULES, LONG_SCHEMA, PARTS_SCHEMA, QUARANTINE_SCHEMA, STRICT_LONG_SCHEMA, STRICT_WIDE_SCHEMA, WIDE_RULES, WIDE_SCHEMA,
     long_source, table,
 )
 
@@ -180,6 +180,25 @@ def q_quarantine_long(spark, sf_dir):
     return v.quarantine(checked, v.long_identifier("user_id", F.col("record_id")))
 
 
+def _checked_parts(spark, sf_dir):
+    rules = [r for r in LONG_RULES if r.field in ("clicks", "purchases")]
+    mapped = m.map_long(long_source(spark, sf_dir), *LONG_ARGS, rules, part_values=SHORT_PARTS)
+    return v.validate_rows(v.inject_id(mapped, PARTS_SCHEMA, "user_id"), PARTS_SCHEMA, ["record_id"], raw=True)
+
+
+def q_records_json_parts(spark, sf_dir):
+    return v.records_json(_checked_parts(spark, sf_dir), ["record_id", "record_part"])
+
+
+def q_quarantine_parts(spark, sf_dir):
+    return v.quarantine_data(_checked_parts(spark, sf_dir), v.long_identifier("user_id", F.col("record_id")))
+
+
+def q_quarantine_once(spark, sf_dir):
+    return v.quarantine(_checked_parts(spark, sf_dir), F.col("record_id")).select(
+        F.col("row_identifier").alias("user_id"), "error")
+
+
 QUERIES = {
     "map_wide": q_map_wide,
     "map_wide_literal": q_map_wide_literal,
@@ -196,6 +215,9 @@ QUERIES = {
     "records_json": q_records_json,
     "quarantine": q_quarantine,
     "quarantine_long": q_quarantine_long,
+    "records_json_parts": q_records_json_parts,
+    "quarantine_parts": q_quarantine_parts,
+    "quarantine_once": q_quarantine_once,
 }
 
 _PRIORITY = "CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW') THEN o_orderpriority END"
@@ -244,7 +266,31 @@ _QUARANTINE_LONG = f"""{long_cte(LONG_RULES)},
   )
   SELECT 'Long format, user_id: ' || user_id AS row_identifier, error, data FROM e WHERE error <> ''"""
 
+_PARTS = f"""{long_cte(LONG_RULES)}, listed AS (SELECT * FROM cand WHERE field IN ('clicks', 'purchases')),
+  counted AS (
+    SELECT *, row_number() OVER (PARTITION BY user_id, field ORDER BY rule_ord, row_ord) AS rn,
+      count(*) OVER (PARTITION BY user_id, field) AS n FROM listed),
+  placed AS (
+    SELECT *, CAST(((rn - 1) * ((n + {SHORT_PARTS} - 1) // {SHORT_PARTS})) // n AS BIGINT) AS record_part FROM counted),
+  ids AS (
+    SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS record_part FROM events WHERE user_id IS NOT NULL
+    UNION SELECT user_id, record_part FROM placed),
+  whole AS (SELECT DISTINCT user_id FROM listed WHERE field = 'clicks' AND value::INT >= 96),
+  parts AS (
+    SELECT i.user_id, i.record_part, i.user_id IN (FROM whole) AS bad, {_values_sql("clicks")} AS clicks, {_values_sql("purchases")} AS purchases
+    FROM ids i LEFT JOIN placed p ON p.user_id = i.user_id AND p.record_part = i.record_part GROUP BY i.user_id, i.record_part)"""
+
+
 ORACLE = {
+    "records_json_parts": f"""{_PARTS}
+      SELECT user_id AS record_id, record_part, '{{' || concat_ws(',', '"user_id":' || user_id,
+        '"clicks":' || CAST(to_json(clicks) AS VARCHAR), '"purchases":' || CAST(to_json([p::BIGINT for p in purchases]) AS VARCHAR)) || '}}' AS record_json
+      FROM parts WHERE NOT bad""",
+    "quarantine_parts": f"""{_PARTS}
+      SELECT 'Long format, user_id: ' || user_id AS row_identifier, record_part, '{{' || concat_ws(',',
+        '"clicks":' || CAST(to_json(clicks) AS VARCHAR), '"purchases":' || CAST(to_json(purchases) AS VARCHAR), '"user_id":' || user_id) || '}}' AS data
+      FROM parts WHERE bad""",
+    "quarantine_once": f"{_PARTS} SELECT user_id, 'clicks: enum' AS error FROM parts WHERE bad AND record_part = 0",
     "quarantine_long": _QUARANTINE_LONG,
     "map_wide": f"""
       SELECT o_orderkey, o_orderkey AS order_id, {_STATUS} AS status, {_PRIORITY} AS priority, {_URGENT} AS is_urgent,

@@ -147,6 +147,25 @@ def test_parts_are_checked_for_their_own_values(spark):
     assert [r["record"]["s"] for r in rows] == ["x"] + [None] * 8
 
 
+def test_one_verdict_for_all_parts(spark):
+    """A bad value in a late part, and in a single part; a good record of several parts stays whole."""
+    rows = [(1, "a", str(i), i) for i in range(20)] + [(1, "a", "bad", 20)] + [(2, "a", str(i), i) for i in range(20)]
+    rows += [(3, "a", "1", 0), (4, "a", "bad", 0), (5, "b", "x", 0), (6, "a", "bad", -1)] + [(6, "a", str(i), i) for i in range(20)]
+    schema = T.StructType([target("vals", "int", many=True, required=True), target("s", "str")])
+    rules = [Rule("vals", "a"), Rule("s", "b", method="first")]
+    mapped = m.map_long(spark.createDataFrame(rows, LONG), "id", "name", "value", "ord", rules, part_values=3)
+    checked = v.validate_rows(mapped, schema, ["record_id"], raw=True)
+    good = [(r["record_id"], json.loads(r["record_json"])["vals"]) for r in v.records_json(checked, ["record_id", "record_part"]).orderBy("record_id", "record_part").collect()]
+    assert {k for k, _ in good} == {2, 3} and sum((x for k, x in good if k == 2), []) == list(range(20))
+    failed = sorted((r["row_identifier"], r["error"]) for r in v.quarantine(checked, F.col("record_id")).collect())
+    assert failed == [(1, "vals: int_parsing"), (4, "vals: int_parsing"), (5, "vals: list_type"), (6, "vals: int_parsing")]
+    data = defaultdict(list)
+    for r in v.quarantine_data(checked, F.col("record_id")).orderBy("record_part").collect():
+        data[r["row_identifier"]] += json.loads(r["data"]).get("vals") or []
+    assert data[1] == [str(i) for i in range(20)] + ["bad"] and data[6] == ["bad"] + [str(i) for i in range(20)]
+    assert {len(r["errors"]) for r in checked.where("record_id = 1").collect()} == {1}
+
+
 def test_negative_and_large_orders_keep_their_place(spark):
     rows = [(1, "a", "late", 2**62), (1, "a", "early", -(2**62)), (1, "b", "other", -5)]
     got = m.long_candidates(spark.createDataFrame(rows, LONG), "id", "name", "value", "ord", RULES)
