@@ -157,6 +157,11 @@ def splice(text: Column, pattern: str, replacement: Callable[[Column], Column],
     return F.array_join(joined, "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it: a lambda over one item binds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 _TEXT_END = "~~end-of-text~~"
 
 
@@ -172,8 +177,7 @@ def strict_json(text: Column) -> Column:
         whole = F.try_variant_get(value, "$[1]", "string") == _TEXT_END
         return F.when(whole, F.try_variant_get(value, "$[0]", "variant"))
 
-    # A lambda over one item binds the parsed text, so it is parsed once.
-    return F.get(F.transform(F.array(wrapped), first_if_whole), F.lit(0))
+    return bound(wrapped, first_if_whole)
 
 
 def any_of(conditions: list[Column]) -> Column:

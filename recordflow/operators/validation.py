@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordflow.functions.text import lax_cast
+from recordflow.functions.text import any_of, lax_cast
 from recordflow.operators.mapping import PART, cell_value
 from recordflow.operators.schema import SEP, leaf_map, options_of
 from recordflow.runtime import cut_lineage
@@ -70,6 +70,11 @@ class _Leaf:
             self.error = F.lit(None if field.nullable else "missing").cast("string")
             return
         column = F.col(f"`{path}`")
+        if many and isinstance(dtype, T.StructType):
+            # A list of records that is typed already.
+            self.value, self.present = column, column.isNotNull()
+            self.error = F.when(~self.present, F.lit(None if field.nullable else "list_type"))
+            return
         wrong = "enum" if options_of(field) else f"{type_name(dtype)}_type"
         absent = F.lit(None if field.nullable else ("list_type" if many else wrong)).cast("string")
         listed = isinstance(source, T.ArrayType)
@@ -101,23 +106,59 @@ class _Leaf:
         self.error = F.when(self.present, error).otherwise(absent).cast("string")
 
 
-def _leaf_table(mapped: DataFrame, schema: T.StructType, compat: str) -> dict[str, _Leaf]:
+def _is_records(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType)
+
+
+class _Group:
+    """A list of nested records over indexed columns, such as ``items::0::a`` and ``items::1::a``."""
+
+    def __init__(self, path: str, field: T.StructField, indexes: list[int]):
+        self.path, self.field, self.items = path, field, [f"{path}{SEP}{i}" for i in indexes]
+
+
+def _indexes(columns: list[str], path: str) -> list[int]:
+    """Index steps that follow a path in column names, ascending."""
+    lead = path + SEP
+    steps = {c[len(lead):].split(SEP)[0] for c in columns if c.startswith(lead)}
+    return sorted(int(s) for s in steps if s.isdecimal())
+
+
+def _leaf_table(mapped: DataFrame, schema: T.StructType, compat: str) -> dict[str, _Leaf | _Group]:
+    """Leaves and groups by path; elements of a group have the paths of their columns, index included."""
     types = {f.name: f.dataType for f in mapped.schema.fields}
-    return {path: _Leaf(path, field, types.get(path), compat) for path, field in leaf_map(schema).items()}
+    table: dict[str, _Leaf | _Group] = {}
 
+    def enter(inner: T.StructType, prefix: str) -> None:
+        for field in inner.fields:
+            path = f"{prefix}{SEP}{field.name}" if prefix else field.name
+            if isinstance(field.dataType, T.StructType):
+                enter(field.dataType, path)
+            elif _is_records(field.dataType) and path not in types:
+                table[path] = group = _Group(path, field, _indexes(list(types), path))
+                for item in group.items:
+                    enter(field.dataType.elementType, item)
+            else:
+                table[path] = _Leaf(path, field, types.get(path), compat)
 
-def _any_present(schema: T.StructType, prefix: str, table: dict[str, _Leaf]) -> Column:
-    found = F.lit(False)
-    for field in schema.fields:
-        path = f"{prefix}{SEP}{field.name}" if prefix else field.name
-        if isinstance(field.dataType, T.StructType):
-            found = found | _any_present(field.dataType, path, table)
-        else:
-            found = found | table[path].present
-    return found
+    enter(schema, "")
+    return table
+
+
+def _present(field: T.StructField, path: str, table: dict[str, _Leaf | _Group]) -> Column:
+    if isinstance(field.dataType, T.StructType):
+        return _any_present(field.dataType, path, table)
+    entry = table[path]
+    if isinstance(entry, _Group):
+        return any_of([_any_present(field.dataType.elementType, item, table) for item in entry.items])
+    return entry.present
 
 
-def _nest(schema: T.StructType, prefix: str, table: dict[str, _Leaf], compat: str) -> Column:
+def _any_present(schema: T.StructType, prefix: str, table: dict[str, _Leaf | _Group]) -> Column:
+    return any_of([_present(f, f"{prefix}{SEP}{f.name}" if prefix else f.name, table) for f in schema.fields])
+
+
+def _nest(schema: T.StructType, prefix: str, table: dict[str, _Leaf | _Group], compat: str) -> Column:
     parts = []
     for field in schema.fields:
         path = f"{prefix}{SEP}{field.name}" if prefix else field.name
@@ -125,14 +166,20 @@ def _nest(schema: T.StructType, prefix: str, table: dict[str, _Leaf], compat: st
             inner = _nest(field.dataType, path, table, compat)
             if field.nullable and compat != "literal":
                 inner = F.when(_any_present(field.dataType, path, table), inner)
-            parts.append(inner.alias(field.name))
+        elif isinstance(table[path], _Group):
+            # elements without any value are left out; those that stay keep the order of their indexes
+            element = field.dataType.elementType
+            items = [F.when(_any_present(element, i, table), _nest(element, i, table, compat)) for i in table[path].items]
+            listed = F.array_compact(F.array(*items)) if items else F.lit(None).cast(field.dataType)
+            inner = F.when(F.size(listed) > 0, listed)
         else:
-            parts.append(table[path].value.alias(field.name))
+            inner = table[path].value
+        parts.append(inner.alias(field.name))
     return F.struct(*parts)
 
 
-def _errors(schema: T.StructType, prefix: str, table: dict[str, _Leaf], compat: str) -> dict[str, Column]:
-    """Error kind per leaf path, null when the leaf is fine."""
+def _errors(schema: T.StructType, prefix: str, table: dict[str, _Leaf | _Group], compat: str) -> dict[str, Column]:
+    """Error kind per leaf path, null when the leaf is fine; elements of lists have their index in the path."""
     out: dict[str, Column] = {}
     for field in schema.fields:
         path = f"{prefix}{SEP}{field.name}" if prefix else field.name
@@ -142,6 +189,13 @@ def _errors(schema: T.StructType, prefix: str, table: dict[str, _Leaf], compat:
                 guard = _any_present(field.dataType, path, table)
                 inner = {p: F.when(guard, e) for p, e in inner.items()}
             out.update(inner)
+        elif isinstance(table[path], _Group):
+            if not field.nullable:
+                absent = "list_type" if table[path].items else "missing"
+                out[path] = F.when(~_present(field, path, table), F.lit(absent))
+            for item in table[path].items:
+                guard = _any_present(field.dataType.elementType, item, table)
+                out.update({p: F.when(guard, e) for p, e in _errors(field.dataType.elementType, item, table, compat).items()})
         else:
             out[path] = table[path].error
     return out
@@ -159,7 +213,8 @@ def keep_where(df: DataFrame, condition: Column, columns: list[Column]) -> DataF
 def nest_paths(mapped: DataFrame, schema: T.StructType, keep: list[str], *, compat: str = "intended",
                out: str = "record") -> DataFrame:
     """Typed nested record from the path columns. An optional struct without any value is null
-    (``literal`` keeps it, empty)."""
+    (``literal`` keeps it, empty). Columns ``items::0::a``, ``items::1::a`` make the list of records ``items``,
+    which may hold further lists; elements without any value are left out."""
     table = _leaf_table(mapped, schema, compat)
     return mapped.select(*keep, _nest(schema, "", table, compat).alias(out))
 
@@ -180,7 +235,7 @@ def validate_rows(mapped: DataFrame, schema: T.StructType, keep: list[str], *,
     kinds_by_path = _errors(schema, "", table, compat)
     parted = PART in mapped.columns
     if parted:
-        kinds_by_path = {p: F.when((F.col(PART) == 0) | table[p].present, e) for p, e in kinds_by_path.items()}
+        kinds_by_path = {p: _in_part(table.get(p), e) for p, e in kinds_by_path.items()}
         keep = [*keep, *([] if PART in keep else [PART])]
     marks = {path: f"_error_{i}" for i, path in enumerate(kinds_by_path)}
     checked = mapped.select(
@@ -205,6 +260,12 @@ def validate_rows(mapped: DataFrame, schema: T.StructType, keep: list[str], *,
     )
 
 
+def _in_part(entry: _Leaf | _Group | None, error: Column) -> Column:
+    """The error of a leaf where its part is asked for it: part 0, and later ones that hold a value of it."""
+    held = entry.present if isinstance(entry, _Leaf) else F.lit(False)
+    return F.when((F.col(PART) == 0) | held, error)
+
+
 def _whole_verdicts(checked: DataFrame, marks: list[str]) -> DataFrame:
     """Parts with the errors of their whole record: per leaf its own, else the least of the other parts.
 

@@ -113,6 +113,17 @@ PARTS_SCHEMA = T.StructType([
     target("purchases", "int", many=True),
 ])
 
+# Lists of records, three levels deep.
+VISIT = T.StructType([
+    target("code", "str", required=True, options=["F", "O", "Open"], enum="Code"),
+    T.StructField("drugs", T.ArrayType(T.StructType([
+        target("name", "str", required=True),
+        T.StructField("doses", T.ArrayType(T.StructType([target("mg", "int", required=True)]))),
+    ]))),
+])
+
+VISITS_SCHEMA = T.StructType([target("order_id", "int", required=True), T.StructField("visits", T.ArrayType(VISIT), False)])
+
 
 def long_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as (user_id, event_type, k, event_id): the observation value is the text of props.k."""

@@ -9,7 +9,7 @@ from recordflow.operators import documents as d
 from recordflow.operators import extraction as e
 from recordflow.operators import runs, sampling, scoring
 from recordflow.operators.schema import target
-from recordflow.plans.base import long_source, table
+from recordflow.plans.base import VISITS_SCHEMA, long_source, table
 
 _TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
@@ -172,7 +172,22 @@ def q_extend_enum(spark, sf_dir):
     return d.extend_enum(registry, batch, "value", "p_partkey")
 
 
+def q_parse_nested_generation(spark, sf_dir):
+    """Answers with three levels of lists: good ones, a wrong number, a missing member, no list, an unknown option."""
+    key = F.col("c_custkey")
+    kind = key % 6
+    dose = F.when(kind == 1, F.lit('"much"')).otherwise((key % 9).cast("string"))
+    second = F.when(kind == 2, F.lit("{}")).when(kind == 3, F.lit('{"code":"Z"}')).otherwise(F.lit('{"code":"O","drugs":[]}'))
+    visits = F.concat(
+        F.lit('[{"code":"F","drugs":[{"name":"'), F.col("c_mktsegment"), F.lit('","doses":[{"mg":'), key.cast("string"),
+        F.lit('},{"mg":'), dose, F.lit("}]}]},"), second, F.lit("]"))
+    answer = F.concat(F.lit('So: {"order_id":'), key.cast("string"), F.lit(',"visits":'), F.when(kind == 4, F.lit('"none"')).otherwise(visits), F.lit("}"))
+    answers = table(spark, sf_dir, "customer").select("c_custkey", answer.alias("raw_response"), F.lit(None).cast("string").alias("error"))
+    return e.parse_generation(answers, VISITS_SCHEMA, ["c_custkey"])
+
+
 QUERIES = {
+    "parse_nested_generation": q_parse_nested_generation,
     "score_fields": q_score_fields,
     "valid_option_rate": q_valid_option_rate,
     "edge_cases": q_edge_cases,
@@ -311,6 +326,13 @@ ORACLE = {
       SELECT p_partkey, raw, CASE WHEN dist <= 2 THEN label END AS label,
              CASE WHEN dist = 0 THEN 'exact' WHEN dist <= 2 THEN 'near' ELSE 'none' END AS match, CASE WHEN dist <= 2 THEN dist END AS distance
       FROM b WHERE n = 1""",
+    "parse_nested_generation": """
+      SELECT c_custkey, c_custkey % 6 IN (0, 5) AS parsing_success,
+        CASE WHEN c_custkey % 6 IN (0, 5) THEN '{"order_id":' || c_custkey || ',"visits":[{"code":"F","drugs":[{"name":"' || c_mktsegment
+          || '","doses":[{"mg":' || c_custkey || '},{"mg":' || c_custkey % 9 || '}]}]},{"code":"O","drugs":[]}]}' END AS parsed_response,
+        CASE c_custkey % 6 WHEN 1 THEN 'visits::0::drugs::0::doses::1::mg: int_parsing' WHEN 2 THEN 'visits::1::code: enum'
+          WHEN 3 THEN 'visits::1::code: enum' WHEN 4 THEN 'visits: list_type' END AS error
+      FROM customer""",
     "extend_enum": """
       SELECT value, count(*) AS n, min(p_partkey) AS first_seen
       FROM (SELECT CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_type || ' ' || p_brand END AS value, p_partkey FROM part)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recordflow.operators import mapping as m
 from recordflow.operators import validation as v
 from recordflow.plans.base import (
-    LONG_RULES, LONG_SCHEMA, PARTS_SCHEMA, QUARANTINE_SCHEMA, STRICT_LONG_SCHEMA, STRICT_WIDE_SCHEMA, WIDE_RULES, WIDE_SCHEMA,
+    LONG_RULES, LONG_SCHEMA, PARTS_SCHEMA, QUARANTINE_SCHEMA, STRICT_LONG_SCHEMA, STRICT_WIDE_SCHEMA, VISITS_SCHEMA, WIDE_RULES, WIDE_SCHEMA,
     long_source, table,
 )
 
@@ -199,8 +199,27 @@ def q_quarantine_once(spark, sf_dir):
         F.col("row_identifier").alias("user_id"), "error")
 
 
+# Three levels of lists; the second drug and the second visit stand in some rows only.
+VISIT_RULES = [
+    m.Rule("order_id", "o_orderkey", kind="int"),
+    m.Rule("visits::0::code", "o_orderstatus"),
+    m.Rule("visits::0::drugs::0::name", "o_orderpriority"),
+    m.Rule("visits::0::drugs::0::doses::0::mg", "o_custkey", kind="int"),
+    m.Rule("visits::0::drugs::0::doses::1::mg", "o_orderkey", kind="int"),
+    m.Rule("visits::0::drugs::1::name", "o_orderpriority", "urgent", ("1-URGENT",)),
+    m.Rule("visits::1::code", "o_orderstatus", "Open", ("O",)),
+]
+
+
+def q_nested_lists(spark, sf_dir):
+    mapped = m.map_wide(_orders(spark, sf_dir), VISIT_RULES, ["o_orderkey"])
+    checked = v.validate_rows(mapped, VISITS_SCHEMA, ["o_orderkey"])
+    return checked.select("o_orderkey", "valid", "error", F.when(F.col("valid"), F.to_json("record")).alias("record_json"))
+
+
 QUERIES = {
     "map_wide": q_map_wide,
+    "nested_lists": q_nested_lists,
     "map_wide_literal": q_map_wide_literal,
     "map_wide_flat": q_map_wide_flat,
     "map_long": q_map_long,
@@ -282,6 +301,12 @@ _PARTS = f"""{long_cte(LONG_RULES)}, listed AS (SELECT * FROM cand WHERE field I
 
 
 ORACLE = {
+    "nested_lists": """
+      SELECT o_orderkey, o_orderstatus <> 'P' AS valid, CASE WHEN o_orderstatus = 'P' THEN 'visits::0::code: enum' ELSE '' END AS error,
+        CASE WHEN o_orderstatus <> 'P' THEN '{"order_id":' || o_orderkey || ',"visits":[{"code":"' || o_orderstatus || '","drugs":[{"name":"' || o_orderpriority
+          || '","doses":[{"mg":' || o_custkey || '},{"mg":' || o_orderkey || '}]}' || CASE WHEN o_orderpriority = '1-URGENT' THEN ',{"name":"urgent"}' ELSE '' END
+          || ']}' || CASE WHEN o_orderstatus = 'O' THEN ',{"code":"Open"}' ELSE '' END || ']}' END AS record_json
+      FROM orders""",
     "records_json_parts": f"""{_PARTS}
       SELECT user_id AS record_id, record_part, '{{' || concat_ws(',', '"user_id":' || user_id,
         '"clicks":' || CAST(to_json(clicks) AS VARCHAR), '"purchases":' || CAST(to_json([p::BIGINT for p in purchases]) AS VARCHAR)) || '}}' AS record_json

@@ -166,6 +166,50 @@ def test_one_verdict_for_all_parts(spark):
     assert {len(r["errors"]) for r in checked.where("record_id = 1").collect()} == {1}
 
 
+DEEP = T.StructType([
+    T.StructField("items", T.ArrayType(T.StructType([
+        target("a", "str", required=True), target("n", "int"), target("tags", "str", many=True),
+        T.StructField("parts", T.ArrayType(T.StructType([target("x", "float", required=True), target("k", "str", options=["p", "q"])]))),
+    ])), False),
+    target("note", "str"),
+])
+
+
+def test_lists_of_records_from_indexed_columns(spark):
+    names = ["id", "items::0::a", "items::0::n", "items::0::parts::0::x", "items::0::parts::2::x", "items::0::parts::2::k", "items::3::a", "items::10::n"]
+    rows = [(1, "u", "5", "1.5", "2", "q", None, None), (2, None, None, None, None, None, "v", None), (3, None, None, None, None, None, None, None),
+            (4, "u", "x", "y", None, "z", "w", "7")]
+    mapped = spark.createDataFrame(rows, ", ".join(f"`{n}` {'int' if n == 'id' else 'string'}" for n in names))
+    got = {r["id"]: r.asDict(recursive=True) for r in v.validate_rows(mapped, DEEP, ["id"]).collect()}
+    first = {"a": "u", "n": 5, "tags": None, "parts": [{"x": 1.5, "k": None}, {"x": 2.0, "k": "q"}]}
+    assert got[1]["valid"] and got[1]["record"]["items"] == [first]
+    assert got[2]["valid"] and got[2]["record"]["items"] == [{"a": "v", "n": None, "tags": None, "parts": None}]
+    assert got[3]["error"] == "items: list_type" and got[3]["record"]["items"] is None
+    assert got[4]["error"] == (
+        "items::0::n: int_parsing; items::0::parts::0::x: float_parsing; items::0::parts::2::x: float_type; items::0::parts::2::k: enum; items::10::a: missing")
+    nested = v.nest_paths(mapped.select("id"), DEEP, ["id"]).first()["record"]
+    assert nested["items"] is None
+    missing = v.validate_rows(mapped.select("id"), DEEP, ["id"]).first()
+    assert missing["error"] == "items: missing"
+
+
+def test_lists_of_records_in_answers(spark):
+    texts = ['{"items":[{"a":"u","parts":[{"x":1},{"x":"2.5","k":"p"}],"tags":["t"]},{"a":"v","parts":[]}]}', '{"items":[]}', '{"items":null}', "{}",
+             '{"items":[{"a":1,"parts":[{"x":"no","k":"r"},null,[]]}, 7]}', '{"items":{"a":"u"},"note":"n"}', '{"items":[{"a":"u","tags":"t"}]}', "no json", None]
+    results = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "id int, raw_response string, error string")
+    from recordflow.operators import extraction
+    got = {r["id"]: r for r in extraction.parse_generation(results, DEEP, ["id"]).collect()}
+    assert json.loads(got[0]["parsed_response"]) == {
+        "items": [{"a": "u", "tags": ["t"], "parts": [{"x": 1.0}, {"x": 2.5, "k": "p"}]}, {"a": "v", "parts": []}]}
+    assert json.loads(got[1]["parsed_response"]) == {"items": []}
+    assert [got[i]["error"] for i in (2, 3)] == ["items: list_type"] * 2
+    assert got[4]["error"] == (
+        "items::0::a: string_type; items::0::parts::0::x: float_parsing; items::0::parts::0::k: enum; items::0::parts::1: model_type; "
+        "items::0::parts::2: model_type; items::1: model_type")
+    assert got[5]["error"] == "items: list_type" and got[6]["error"] == "items::0::tags: list_type"
+    assert got[7]["error"] == got[8]["error"] == "invalid JSON" and not got[8]["parsing_success"]
+
+
 def test_negative_and_large_orders_keep_their_place(spark):
     rows = [(1, "a", "late", 2**62), (1, "a", "early", -(2**62)), (1, "b", "other", -5)]
     got = m.long_candidates(spark.createDataFrame(rows, LONG), "id", "name", "value", "ord", RULES)
