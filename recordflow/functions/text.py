@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,19 +160,77 @@ def splice(text: Column, pattern: str, replacement: Callable[[Column], Column],
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, however often ``use`` names it: a lambda over one item binds it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda one: use(one)), F.lit(0))
 
 
 _TEXT_END = "~~end-of-text~~"
 
+# A number held as text inside parsed JSON starts with this; in JSON text the first character is escaped.
+NUMBER_TAG = "\x01#"
+_NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|-?Infinity|NaN"
 
-def strict_json(text: Column) -> Column:
+
+def _tagged_numbers(text: Column) -> Column:
+    """JSON text with every number, NaN and Infinity as a tagged string; what was no JSON stays none.
+
+    Escaped quotes are hidden first, so that a string is a run without quotes; strings and numbers are
+    then told apart by one scan that does not recurse. The marks are control characters, which JSON
+    does not allow as they are.
+    """
+    hidden = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x04")), F.lit('\\"'), F.lit("\x05"))
+    marked = F.regexp_replace(hidden, f'("[^"]*+")|({_NUMBER})', "$1\x02$2\x03")
+    marked = F.replace(marked, F.lit("\x02\x03"), F.lit(""))
+    marked = F.replace(F.replace(marked, F.lit("\x02"), F.lit('"\\u0001#')), F.lit("\x03"), F.lit('"'))
+    shown = F.replace(F.replace(marked, F.lit("\x05"), F.lit('\\"')), F.lit("\x04"), F.lit("\\\\"))
+    return F.when(~text.rlike("[\x01-\x05]"), shown)
+
+
+def scalar_text(value: Column) -> Column:
+    """Text of a scalar that was parsed with ``as_written``: numbers as they stood in the JSON."""
+    shown = value.cast("string")
+    return F.when(shown.startswith(NUMBER_TAG), F.substring(shown, len(NUMBER_TAG) + 1, 2**31 - 1)).otherwise(shown)
+
+
+def json_text(value: Column) -> Column:
+    """Compact JSON of a value that was parsed with ``as_written``: numbers as they stood."""
+    return F.regexp_replace(F.to_json(value), r'"\\u0001#([^"]*)"', "$1")
+
+
+def tagged_json(text: Column) -> Column:
+    """JSON text for readers that would rewrite numbers; ``untagged`` takes their answers back."""
+    return _tagged_numbers(text)
+
+
+def untagged(text: Column) -> Column:
+    """A member read from ``tagged_json``: a number as it stood, also inside a nested value's JSON."""
+    whole = F.substring(text, len(NUMBER_TAG) + 1, 2**31 - 1)
+    return F.when(text.startswith(NUMBER_TAG), whole).otherwise(F.regexp_replace(text, r'"\\u0001#([^"]*)"', "$1"))
+
+
+@contextmanager
+def last_key_wins(spark: SparkSession) -> Iterator[None]:
+    """While plans are built inside, JSON objects may repeat a key, the last of which counts.
+
+    Spark fixes this when it analyses a plan; the session's own setting is put back.
+    """
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def strict_json(text: Column, as_written: bool = False) -> Column:
     """The text as a variant, null unless all of it is one JSON value.
 
     ``try_parse_json`` stops after the first value; here the text is read as the first of two array
-    items, and the second must be the end mark.
+    items, and the second must be the end mark. ``as_written`` takes NaN and Infinity too and keeps
+    numbers as tagged text, for ``scalar_text`` and ``json_text``.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_TEXT_END}"]')))
+    body = _tagged_numbers(text) if as_written else text
+    wrapped = F.try_parse_json(F.concat(F.lit("["), body, F.lit(f',"{_TEXT_END}"]')))
 
     def first_if_whole(value: Column) -> Column:
         whole = F.try_variant_get(value, "$[1]", "string") == _TEXT_END

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordflow.functions.text import strict_json
+from recordflow.functions.text import json_text, last_key_wins, strict_json, tagged_json, untagged
 from recordflow.operators.schema import RULE_COLUMNS, normalize_enum_values
 
 # Recommendation types and priorities.
@@ -47,26 +47,32 @@ def parse_json_array(df: DataFrame, text_col: str) -> DataFrame:
     """Add ``parsed`` (compact JSON) and ``parse_status``.
 
     The whole text is tried first, then the span from the first ``[`` to the last ``]``; a text
-    where both fail is kept as a ``failed`` row.
+    where both fail is kept as a ``failed`` row. Numbers stay as written, NaN and Infinity are numbers, of
+    a repeated key the last one counts.
     """
     text = F.col(text_col)
     span = F.regexp_extract(text, r"(?s)\[.*\]", 0)
     # A text that cannot start a JSON value is not parsed: failures cost more than parses.
-    staged = df.withColumn("_whole", F.when(text.rlike(r'^\s*[\[{"0-9tfn-]'), strict_json(text)))
-    staged = staged.withColumn("_span", F.when(F.col("_whole").isNull(), strict_json(span)))
-    return staged.select(
-        *df.columns,
-        F.to_json(F.coalesce("_whole", "_span")).alias("parsed"),
-        F.when(F.col("_whole").isNotNull(), "whole").when(F.col("_span").isNotNull(), "span").otherwise("failed").alias("parse_status"),
-    )
+    starts = text.rlike(r'^\s*[\[{"0-9tfnNI-]')
+    with last_key_wins(df.sparkSession):
+        staged = df.withColumn("_whole", F.when(starts, strict_json(text, as_written=True)))
+        staged = staged.withColumn("_span", F.when(F.col("_whole").isNull(), strict_json(span, as_written=True)))
+        return staged.select(
+            *df.columns,
+            json_text(F.coalesce("_whole", "_span")).alias("parsed"),
+            F.when(F.col("_whole").isNotNull(), "whole").when(F.col("_span").isNotNull(), "span").otherwise("failed").alias("parse_status"),
+        )
 
 
 def rules_from_responses(parsed: DataFrame, keep: list[str]) -> DataFrame:
-    """Parsed responses -> rule rows with their position; a failed response gives no rows."""
+    """Parsed responses -> rule rows with their position; a failed response gives no rows.
+
+    Every member is text; numbers read as they were written.
+    """
     element = "struct<" + ",".join(f"{c}:string" for c in RULE_COLUMNS) + ">"
-    items = F.from_json(F.col("parsed"), f"array<{element}>")
+    items = F.from_json(tagged_json(F.col("parsed")), f"array<{element}>")
     rows = parsed.select(*keep, F.posexplode(items).alias("rule_ord", "_rule"))
-    return rows.select(*keep, F.col("rule_ord").cast("bigint").alias("rule_ord"), "_rule.*")
+    return rows.select(*keep, F.col("rule_ord").cast("bigint").alias("rule_ord"), *[untagged(F.col(f"_rule.{c}")).alias(c) for c in RULE_COLUMNS])
 
 
 def _normal_recommendation(rec: Column) -> Column:

@@ -45,6 +45,33 @@ def q_flatten_paths(spark, sf_dir):
     return f.flatten_paths(customer_json(spark, sf_dir), "doc", ["c_custkey"])
 
 
+def written_json(spark, sf_dir):
+    """Numbers in several notations, NaN and Infinity, repeated keys, quotes in keys and in text."""
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(
+        F.lit('{"n":'), key, F.lit('.50,"e":'), key, F.lit('e2,"k":1,"k":'), key, F.lit(',"odd":[NaN,-Infinity],"a\'b":"say \\"'), key,
+        F.lit('\\" 1.0","both\\"\'":-0.0}'))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, F.concat(text, F.lit("1"))).otherwise(text).alias("doc"))
+
+
+def q_flatten_as_written(spark, sf_dir):
+    return f.flatten_paths(written_json(spark, sf_dir), "doc", ["c_custkey"])
+
+
+def q_flatten_groups(spark, sf_dir):
+    """A path per customer and part of a name, put together from groups of columns."""
+    docs = written_json(spark, sf_dir)
+    first, second = f.flatten_groups(docs, "doc", ["c_custkey"], width=4)
+    return first.join(second.drop("c_custkey"), "row_number").drop("row_number")
+
+
+def q_union_paths(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    wide = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit('{"k'), key, F.lit('":{"'), F.lit("a'"), F.col("c_mktsegment"), F.lit('":null,"n":[1.0,2]},"same":1}')).alias("doc"))
+    return f.union_paths(wide, "doc")
+
+
 def q_flatten_wide(spark, sf_dir):
     return f.flatten_wide(customer_json(spark, sf_dir), "doc", ["c_custkey"], _PATHS)
 
@@ -71,6 +98,9 @@ def q_profile_text(spark, sf_dir):
 QUERIES = {
     "flatten_struct": q_flatten_struct,
     "flatten_paths": q_flatten_paths,
+    "flatten_as_written": q_flatten_as_written,
+    "flatten_groups": q_flatten_groups,
+    "union_paths": q_union_paths,
     "flatten_wide": q_flatten_wide,
     "profile_wide": q_profile_wide,
     "profile_long": q_profile_long,
@@ -109,6 +139,20 @@ _WIDE_ROWS = " UNION ALL ".join(
 _WIDE_INFO = ", ".join(f"({i}, '{name}', '{kind}')" for i, (name, kind, _) in enumerate(_WIDE_COLUMNS, 1))
 
 ORACLE = {
+    "flatten_as_written": """
+      SELECT c_custkey, unnest(['n', 'e', 'k', 'odd::0', 'odd::1', 'a' || chr(39) || 'b', 'both"' || chr(39)]) AS path,
+        unnest([c_custkey || '.50', c_custkey || 'e2', c_custkey::VARCHAR, 'NaN', '-Infinity', 'say "' || c_custkey || '" 1.0', '-0.0']) AS value
+      FROM customer WHERE c_custkey % 10 <> 0""",
+    "flatten_groups": """
+      SELECT c_custkey, CASE WHEN c_custkey % 10 <> 0 THEN c_custkey || '.50' END AS n, CASE WHEN c_custkey % 10 <> 0 THEN c_custkey || 'e2' END AS e,
+        CASE WHEN c_custkey % 10 <> 0 THEN c_custkey::VARCHAR END AS k, CASE WHEN c_custkey % 10 <> 0 THEN 'NaN' END AS "odd::0",
+        CASE WHEN c_custkey % 10 <> 0 THEN '-Infinity' END AS "odd::1", CASE WHEN c_custkey % 10 <> 0 THEN 'say "' || c_custkey || '" 1.0' END AS "a'b",
+        CASE WHEN c_custkey % 10 <> 0 THEN '-0.0' END AS "both""'"
+      FROM customer""",
+    "union_paths": """
+      SELECT 'same' AS path, count(*) AS n_rows, 0::BIGINT AS n_null FROM customer
+      UNION ALL SELECT 'k' || c_custkey || '::a' || chr(39) || c_mktsegment, count(*), count(*) FROM customer GROUP BY ALL
+      UNION ALL SELECT 'k' || c_custkey || '::n::' || i, count(*), 0 FROM customer, range(2) AS r(i) GROUP BY ALL""",
     "flatten_struct": """
       SELECT o_orderkey, o_orderstatus AS status, c_name AS "customer::name",
              CAST(c_nationkey AS BIGINT) AS "customer::place::nation", o_totalprice AS total

@@ -299,6 +299,40 @@ def test_html_to_text(spark):
     assert r["visible_text"] == "Top\ncafé € 😀 &lt; &bogus;\none\ntwo"
 
 
+def test_json_as_written(spark):
+    docs = ['{"a":5.0,"b":1e2,"c":-0,"d":1.10E-07,"a":12345678901234567890.123}', '{"x":NaN,"y":[Infinity,-Infinity]}',
+            '{"s":"1.0 \\\\","t":"q\\" 2","u\'v":"\\n3"}', "[01]", "[1.]", '{"a":1} 2', '{"a: 1}', "[-NaN]", "[1 2]", '["\\u0041", "é", true, null]',
+            '{"long":"' + '\\n\\"' * 20_000 + '7"}', "NaN", "", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, doc string")
+    got = {}
+    for r in flatten.flatten_paths(df, "doc", ["id"]).collect():
+        got.setdefault(r["id"], {})[r["path"]] = r["value"]
+    assert got[0] == {"a": "12345678901234567890.123", "b": "1e2", "c": "-0", "d": "1.10E-07"}
+    assert got[1] == {"x": "NaN", "y::0": "Infinity", "y::1": "-Infinity"}
+    assert got[2] == {"s": "1.0 \\", "t": 'q" 2', "u'v": "\n3"} and got[9] == {"0": "A", "1": "é", "2": "true", "3": None}
+    assert got[10]["long"] == '\n"' * 20_000 + "7" and set(got) == {0, 1, 2, 9, 10}
+    wide = {r["id"]: r for r in flatten.flatten_wide(df, "doc", ["id"], ["a", "u'v", "y::1", "0"]).collect()}
+    assert wide[0]["a"] == "12345678901234567890.123" and wide[2]["u'v"] == "\n3" and wide[1]["y::1"] == "-Infinity" and wide[9]["0"] == "A"
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+    texts = spark.createDataFrame([(0, '[{"pydantic_field":1.50,"pydantic_type":NaN,"pydantic_type":"b","pydantic_value":{"n":2.0}}]'), (1, "x [1e2, 1.0] y")], "id int, s string")
+    parsed = responses.parse_json_array(texts, "s")
+    assert [r["parsed"] for r in parsed.orderBy("id").collect()][1] == "[1e2,1.0]"
+    rule = responses.rules_from_responses(parsed, ["id"]).where("id = 0").first()
+    assert (rule["pydantic_field"], rule["pydantic_type"], rule["pydantic_value"]) == ("1.50", "b", '{"n":2.0}')
+
+
+def test_wide_form_of_many_paths(spark):
+    rows = [(i, json.dumps({f"k{i}": {"a'\"b": i, "n": [None, 1.5]}, "same": "x"})) for i in range(400)] + [(400, "{}"), (401, "no"), (401, '{"same":null}')]
+    df = spark.createDataFrame(rows, "id int, doc string")
+    groups = flatten.flatten_groups(df, "doc", ["id"], width=500)
+    assert [len(g.columns) for g in groups] == [502, 502, 203] and flatten.union_paths(df, "doc").count() == 1201
+    first = {r["id"]: r for r in groups[0].where("id < 3").collect()}
+    assert first[1]["k1::a'\"b"] == "1" and first[1]["k1::n::0"] is None and first[1]["k1::n::1"] == "1.5" and first[1]["k0::n::1"] is None
+    assert all(g.count() == 403 for g in groups[:1])
+    with pytest.raises(ValueError):
+        flatten.flatten_wide(df, "doc", ["id"])
+
+
 def test_unify_labels(spark):
     df = spark.createDataFrame([("stage II",), ("STAGE  ii!",), ("stage IIx",), ("other",)], "s string")
     got = [(r["label"], r["match"]) for r in documents.unify_labels(df, "s", ["Stage I", "Stage II"], 1).collect()]
