@@ -1,13 +1,15 @@
-"""Text operators over documents and pages. All are narrow."""
+"""Text operators over documents and pages. All are narrow but the label index."""
 
 from __future__ import annotations
 
 from html.entities import name2codepoint
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordflow.functions.text import splice
+from recordflow.runtime import checked_broadcast, cut_lineage
 
 # What counts as identifying text. Only syntax that common regex engines share.
 PII_PATTERNS = {
@@ -22,8 +24,6 @@ _FAST_PATTERN = PII_PATTERN.replace("[A-Za-z0-9._%+-]+@", "[A-Za-z0-9._%+-]++@",
 # Every match holds one of these; texts without any are left alone.
 _HINT = r"@|[0-9]{7}|[0-9][ .-]\("
 
-MAX_LABELS = 5_000
-
 
 def pii_kind(match: Column) -> Column:
     return F.when(match.contains("@"), F.lit("EMAIL")).when(match.contains("("), F.lit("PHONE")).otherwise(F.lit("ID"))
@@ -115,28 +115,65 @@ def normal_label(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]+", " "))
 
 
-def unify_labels(df: DataFrame, col: str, labels: list[str], max_distance: int = 2) -> DataFrame:
+def _label_pieces(labels: DataFrame, distance: int) -> DataFrame:
+    """(length, piece_no, piece, label_no): each label cut into ``distance`` + 1 pieces of nearly equal length."""
+    n = F.length("norm")
+    pieces = F.array(*[
+        F.struct(F.lit(i).alias("piece_no"), F.substring("norm", (F.floor(n * i / (distance + 1)) + 1).cast("int"),
+                 (F.floor(n * (i + 1) / (distance + 1)) - F.floor(n * i / (distance + 1))).cast("int")).alias("piece"))
+        for i in range(distance + 1)])
+    return labels.select("norm", "label_no", n.alias("length"), F.inline(pieces)).select("length", "piece_no", "piece", "label_no")
+
+
+def _value_probes(values: DataFrame, distance: int) -> DataFrame:
+    """(length, piece_no, piece, norm): the pieces that a value can share with a label of each near length.
+
+    A label within the distance has a piece that no edit touches; it stands in the value as it is, moved by
+    the distance at most.
+    """
+    n = F.length("norm")
+    lengths = F.sequence(F.greatest(n - distance, F.lit(0)), n + distance)
+    staged = values.select("norm", F.explode(lengths).alias("length")).select("norm", "length", F.explode(F.sequence(F.lit(0), F.lit(distance))).alias("piece_no"))
+    start = F.floor(F.col("length") * F.col("piece_no") / (distance + 1)).cast("int")
+    size = F.floor(F.col("length") * (F.col("piece_no") + 1) / (distance + 1)).cast("int") - start
+    first, last = F.greatest(start - distance, F.lit(0)), F.least(start + distance, n - size)
+    placed = staged.select("norm", "length", "piece_no", size.alias("size"), F.explode(F.when(first <= last, F.sequence(first, last))).alias("at"))
+    return placed.select(
+        "length", "piece_no", F.substring("norm", F.col("at") + 1, F.col("size")).alias("piece"), "norm").distinct()
+
+
+def unify_labels(df: DataFrame, col: str, labels: list[str] | DataFrame, max_distance: int = 2) -> DataFrame:
     """Add label, match (exact, near, none) and distance.
 
-    Labels are an option list and travel in the plan. Equal normalised text wins; else the label at
-    the least edit distance up to ``max_distance``, earlier labels first.
+    ``labels`` is a list or a table (label_no, label), of any size. Equal normalised text wins; else the label at
+    the least edit distance up to ``max_distance``, earlier labels first. Each different value is looked
+    up once: equal texts by a join, the others by an index of label pieces, whose candidates alone are
+    measured. The work of a value does not depend on the number of labels but on those that share a
+    piece with it. A null value has no label.
     """
-    if len(labels) > MAX_LABELS:
-        raise ValueError(f"{len(labels)} labels exceed the supported {MAX_LABELS}")
-    known = F.array(*[F.struct(F.lit(i).alias("o"), F.lit(v).alias("label"), normal_label(F.lit(v)).alias("norm")) for i, v in enumerate(labels)])
+    spark = df.sparkSession
+    if not isinstance(labels, DataFrame):
+        labels = spark.createDataFrame(pa.table({"label_no": pa.array(range(len(labels)), pa.int64()), "label": pa.array(labels, pa.string())}))
+    named = labels.select("label_no", "label", normal_label(F.col("label")).alias("norm")).where("norm is not null")
+    first = cut_lineage(named.groupBy("norm").agg(F.min(F.struct("label_no", "label")).alias("first")).select("norm", "first.label_no", "first.label"), "labels")
+    values = df.select(normal_label(F.col(col)).alias("norm")).where("norm is not null").distinct()
+    known = cut_lineage(values.join(checked_broadcast(first), "norm", "left"), "values")
+    found = known.where("label_no is not null").select("norm", "label", F.lit(0).alias("distance"))
+    if max_distance > 0:
+        probes = _value_probes(known.where("label_no is null").select("norm"), max_distance)
+        pieces = checked_broadcast(_label_pieces(first, max_distance))
+        candidates = probes.join(pieces, ["length", "piece_no", "piece"]).select("norm", "label_no").distinct()
+        texts = first.select("label_no", "label", F.col("norm").alias("label_norm"))
+        measured = candidates.join(checked_broadcast(texts), "label_no").withColumn("distance", F.levenshtein("norm", "label_norm", max_distance))
+        best = measured.where("distance >= 0").groupBy("norm").agg(F.min(F.struct("distance", "label_no", "label")).alias("best"))
+        found = found.unionByName(best.select("norm", "best.label", "best.distance"))
+    answers = cut_lineage(found.select("norm", F.col("label").alias("_label"), F.col("distance").cast("bigint").alias("_distance")), "label-of-value")
     staged = df.withColumn("_norm", normal_label(F.col(col)))
-    distances = F.transform(
-        known, lambda x: F.struct(
-            F.levenshtein(x["norm"], F.col("_norm"), max_distance).alias("d"), x["o"].alias("o"), x["label"].alias("label")
-        )
-    )
-    nearest = F.array_min(F.filter(distances, lambda x: x["d"] >= 0))
-    staged = staged.withColumn("_best", nearest)
-    return staged.select(
-        *df.columns,
-        F.col("_best.label").alias("label"),
-        F.when(F.col("_best.d") == 0, "exact").when(F.col("_best").isNotNull(), "near").otherwise("none").alias("match"),
-        F.col("_best.d").cast("bigint").alias("distance"),
+    joined = staged.join(checked_broadcast(answers), staged["_norm"] == answers["norm"], "left")
+    return joined.select(
+        *[staged[c] for c in df.columns], F.col("_label").alias("label"),
+        F.when(F.col("_distance") == 0, "exact").when(F.col("_distance") > 0, "near").otherwise("none").alias("match"),
+        F.col("_distance").alias("distance"),
     )
 
 

@@ -163,6 +163,18 @@ def q_unify_labels(spark, sf_dir):
     return d.unify_labels(table(spark, sf_dir, "part").select("p_partkey", noisy.alias("raw")), "raw", _TYPES)
 
 
+def q_unify_many_labels(spark, sf_dir):
+    """Thousands of labels, the names of the parts, against names with a letter lost, put in, changed or all of them."""
+    part = table(spark, sf_dir, "part")
+    labels = part.groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("label_no"))
+    kind, name = F.col("p_partkey") % 5, F.col("p_name")
+    noisy = (
+        F.when(kind == 0, F.concat(F.substring(name, 1, 2), F.substring(name, 4, 99)))
+        .when(kind == 1, F.concat(F.lit("q"), name, F.lit("!"))).when(kind == 2, F.concat(F.substring(name, 2, 99), F.lit("zz")))
+        .when(kind == 3, F.upper(name)).otherwise(F.reverse(name)))
+    return d.unify_labels(part.select("p_partkey", noisy.alias("raw")), "raw", labels)
+
+
 def q_extend_enum(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     registry = part.select(F.col("p_type").alias("value"))
@@ -204,6 +216,7 @@ QUERIES = {
     "pseudonymize": q_pseudonymize,
     "html_to_text": q_html_to_text,
     "unify_labels": q_unify_labels,
+    "unify_many_labels": q_unify_many_labels,
     "extend_enum": q_extend_enum,
 }
 
@@ -333,6 +346,15 @@ ORACLE = {
         CASE c_custkey % 6 WHEN 1 THEN 'visits::0::drugs::0::doses::1::mg: int_parsing' WHEN 2 THEN 'visits::1::code: enum'
           WHEN 3 THEN 'visits::1::code: enum' WHEN 4 THEN 'visits: list_type' END AS error
       FROM customer""",
+    "unify_many_labels": f"""
+      WITH n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name[1:2] || p_name[4:] WHEN 1 THEN 'q' || p_name || '!' WHEN 2 THEN p_name[2:] || 'zz'
+                   WHEN 3 THEN upper(p_name) ELSE reverse(p_name) END AS raw FROM part),
+      l AS (SELECT p_name AS label, min(p_partkey) AS ord FROM part GROUP BY p_name),
+      c AS (SELECT p_partkey, raw, l.label, l.ord, levenshtein({_NORM.format("raw")}, {_NORM.format("l.label")}) AS dist FROM n, l),
+      b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY dist, ord) AS n FROM c)
+      SELECT p_partkey, raw, CASE WHEN dist <= 2 THEN label END AS label,
+             CASE WHEN dist = 0 THEN 'exact' WHEN dist <= 2 THEN 'near' ELSE 'none' END AS match, CASE WHEN dist <= 2 THEN dist END AS distance
+      FROM b WHERE n = 1""",
     "extend_enum": """
       SELECT value, count(*) AS n, min(p_partkey) AS first_seen
       FROM (SELECT CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_type || ' ' || p_brand END AS value, p_partkey FROM part)

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -333,6 +334,34 @@ def test_wide_form_of_many_paths(spark):
         flatten.flatten_wide(df, "doc", ["id"])
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("distance", [0, 1, 2, 3])
+def test_unify_labels_against_every_pair(spark, distance):
+    """Short labels and values over few letters, so that every kind of edit and many ties occur; nulls and blanks."""
+    rnd = random.Random(distance)
+    labels = list(dict.fromkeys("".join(rnd.choice("abé") for _ in range(rnd.randint(0, 7))) for _ in range(60)))
+    values = ["".join(rnd.choice("abcé") for _ in range(rnd.randint(0, 9))) for _ in range(300)] + [None, " ", "!A?", "\U0001f600ab"]
+    df = spark.createDataFrame([(i, s, "kept") for i, s in enumerate(values)], "norm int, s string, label_no string")
+    got = {r["norm"]: (r["label"], r["match"], r["distance"]) for r in documents.unify_labels(df, "s", labels, distance).collect()}
+    assert len(got) == len(values)
+    for i, s in enumerate(values):
+        if s is None:
+            assert got[i] == (None, "none", None)
+            continue
+        norm = " ".join(re.findall(r"\w+", s.lower()))
+        best = min((_edits(norm, label), n) for n, label in enumerate(labels))
+        wanted = (labels[best[1]], "near" if best[0] else "exact", best[0]) if best[0] <= distance else (None, "none", None)
+        assert got[i] == wanted, (s, got[i], wanted)
+
+
 def test_unify_labels(spark):
     df = spark.createDataFrame([("stage II",), ("STAGE  ii!",), ("stage IIx",), ("other",)], "s string")
     got = [(r["label"], r["match"]) for r in documents.unify_labels(df, "s", ["Stage I", "Stage II"], 1).collect()]
