@@ -39,6 +39,42 @@ def q_read_csv_lenient(spark, sf_dir):
     return files.read_csv_lenient(spark, path, schema)
 
 
+def q_read_csv_files(spark, sf_dir):
+    """Two tables of part files whose columns stand in different order, one with line breaks in quotes: types of
+    all rows and the row's number over all files."""
+    path = scratch_path(spark, "csv-files")
+    part = table(spark, sf_dir, "part").repartitionByRange("p_partkey").sortWithinPartitions("p_partkey")
+    first, second = part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1")
+    first.select("p_partkey", F.concat(F.lit("a\n"), "p_name").alias("name"), F.when(F.col("p_size") > 9, F.col("p_size")).alias("size")).write.option(
+        "header", True).option("escape", '"').csv(f"{path}/n=1")
+    second.select(
+        F.concat("p_size", F.lit(".0")).alias("size"), "p_partkey", (F.col("p_size") > 9).alias("big"), F.col("p_name").alias("name")
+    ).write.option("header", True).csv(f"{path}/n=2")
+    return files.read_csv_lenient(spark, f"{path}/*", infer=True, row_index="row_index")
+
+
+def q_csv_without_order(spark, sf_dir):
+    """Events as files without an order column: the row number orders the long mapping and names failed rows."""
+    path = scratch_path(spark, "events")
+    source = table(spark, sf_dir, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"), "event_id")
+    source.repartitionByRange("event_id").sortWithinPartitions("event_id").drop("event_id").write.option("header", True).csv(path)
+    schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("k", T.StringType())])
+    rows = files.read_csv_lenient(spark, path, schema, row_index="row_index")
+    return m.map_long_flat(rows, "user_id", "event_type", "k", "row_index", LONG_RULES, part_values=mapping_plans.SHORT_PARTS)
+
+
+def q_quarantine_by_row(spark, sf_dir):
+    """Orders as files without an index: failed rows are named by their number."""
+    path = scratch_path(spark, "orders")
+    orders = table(spark, sf_dir, "orders").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
+    orders.select("o_orderkey", "o_orderstatus").write.option("header", True).csv(path)
+    rows = files.read_csv_lenient(spark, path, infer=True, row_index="row_index")
+    rules = [m.Rule("order_id", "o_orderkey"), m.Rule("status", "o_orderstatus", "Open", ("O",))]
+    target = T.StructType([T.StructField("order_id", T.LongType(), False), T.StructField("status", T.StringType(), False)])
+    checked = v.validate_rows(m.map_wide(rows, rules, ["row_index"]), target, ["row_index"], raw=True)
+    return v.quarantine(checked, v.wide_identifier(F.col("row_index")))
+
+
 def q_read_json_records(spark, sf_dir):
     """Parts written as JSON, a document per line: arrays of one object and bare objects."""
     item = F.to_json(F.struct("p_partkey", "p_name", "p_retailprice"))
@@ -91,6 +127,9 @@ def q_stream_long_records(spark, sf_dir):
 
 QUERIES = {
     "read_csv_lenient": q_read_csv_lenient,
+    "read_csv_files": q_read_csv_files,
+    "csv_without_order": q_csv_without_order,
+    "quarantine_by_row": q_quarantine_by_row,
     "read_json_records": q_read_json_records,
     "read_text_docs": q_read_text_docs,
     "write_records_json": q_write_records_json,
@@ -105,6 +144,14 @@ ORACLE = {
         CASE WHEN p_partkey % 10 NOT IN (2, 3, 5) THEN p_brand END AS brand,
         CASE WHEN p_partkey % 10 NOT IN (2, 4, 5) THEN CAST(p_size AS BIGINT) END AS size
       FROM part WHERE p_partkey % 10 > 1""",
+    "read_csv_files": """
+      WITH placed AS (SELECT *, p_partkey % 2 AS odd, row_number() OVER (ORDER BY p_partkey % 2, p_partkey) - 1 AS row_index FROM part)
+      SELECT p_partkey, CASE WHEN odd = 0 THEN 'a' || chr(10) || p_name ELSE p_name END AS name,
+        CASE WHEN odd = 1 OR p_size > 9 THEN p_size::DOUBLE END AS size, CASE WHEN odd = 1 THEN p_size > 9 END AS big, row_index FROM placed""",
+    "csv_without_order": mapping_plans.ORACLE["map_long_flat"],
+    "quarantine_by_row": """
+      SELECT 'Wide format, index ' || row_index AS row_identifier, 'status: string_type' AS error, '{"order_id":' || o_orderkey || '}' AS data
+      FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders) WHERE o_orderstatus <> 'O'""",
     "read_json_records": "SELECT p_partkey, p_name, p_retailprice FROM part",
     "read_text_docs": """
       SELECT CAST(sum(length(text) + 1) AS BIGINT) AS characters,

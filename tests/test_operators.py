@@ -403,6 +403,35 @@ def test_pending_keeps_failed_and_new(spark):
 CSV = 'a,b,c\n1,x,y\n2,"q, ""r""",\n3\n4,x,y,z\n5,x,y,\nNA,None,n/a\n6,"x,y"\n7,"a","b","c"\n'
 
 
+def test_csv_files_of_different_headers(spark, tmp_path):
+    """Columns by name, quoted line breaks, types over all rows, row numbers; long and blank lines, odd names, empty files."""
+    texts = {"a 1.csv": 'i,t,f,b\n1,"x\ny",1.5,True\n\n2,z\n3,q,2,False,extra\n', "b.csv": '\ufefft,i,"new, col"\n"say ""hi""",7,NA\nw,,5\n',
+             "c.csv": "i,t,f,b\n-4,NaN,1e3,true\n99999999999,k,inf,false\n", "d.csv": "", "e.csv": "i,t,f,b\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    got = files.read_csv_lenient(spark, str(tmp_path), infer=True, row_index="n").orderBy("n")
+    assert dict(got.dtypes) == {"i": "bigint", "t": "string", "f": "double", "b": "boolean", "new, col": "bigint", "n": "bigint"}
+    assert [tuple(r) for r in got.collect()] == [
+        (1, "x\ny", 1.5, True, None, 0), (2, "z", None, None, None, 1), (7, 'say "hi"', None, None, None, 2), (None, "w", None, None, 5, 3),
+        (-4, None, 1000.0, True, None, 4), (99999999999, "k", float("inf"), False, None, 5)]
+    frame = pd.concat([pd.read_csv(p, on_bad_lines="skip", encoding="utf-8-sig") for p in sorted(tmp_path.iterdir()) if p.stat().st_size])
+    assert [x for x in frame["t"].fillna("-")] == [r["t"] or "-" for r in got.collect()]
+    (tmp_path / "none").mkdir()
+    assert files.read_csv_lenient(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_row_numbers_over_many_splits(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "x.csv").write_text("v\n" + "".join(f"{i}\n" if i % 7 else f"{i},bad\n" for i in range(20_000)))
+    (tmp_path / "y.csv").write_text("v\n" + "".join(f"{i}\n" for i in range(20_000, 21_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        rows = files.read_csv_lenient(spark, str(tmp_path), row_index="n", infer=True)
+        assert [tuple(r) for r in rows.orderBy("n").collect()] == [(x, n) for n, x in enumerate([i for i in range(21_000) if i % 7 or i >= 20_000])]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_lenient_csv_equals_pandas(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text(CSV)
