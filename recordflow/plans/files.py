@@ -125,6 +125,20 @@ def q_stream_long_records(spark, sf_dir):
     return stream.long_records(spark, log, "user_id", LONG_RULES, part_values=mapping_plans.SHORT_PARTS)
 
 
+def q_stream_batches(spark, sf_dir):
+    """The events in eight files, a batch each, later ones first; the last batch is merged twice."""
+    folder, log = scratch_path(spark, "event-files"), scratch_path(spark, "log")
+    source = table(spark, sf_dir, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"), "event_id")
+    source.repartitionByRange(8, F.col("event_id").desc()).write.parquet(folder)
+    events = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = stream.start_long_records(events, *mapping_plans.LONG_ARGS, LONG_RULES, log, scratch_path(spark, "stream"), buckets=4)
+    query.awaitTermination()
+    last = query.lastProgress["batchId"]
+    stream.merge_batch(*mapping_plans.LONG_ARGS, LONG_RULES, log, buckets=4)(source.where("event_id % 7 = 0"), last + 1)
+    stream.merge_batch(*mapping_plans.LONG_ARGS, LONG_RULES, log, buckets=4)(source.where("event_id % 7 = 0"), last + 1)
+    return stream.long_records(spark, log, "user_id", LONG_RULES, part_values=mapping_plans.SHORT_PARTS)
+
+
 QUERIES = {
     "read_csv_lenient": q_read_csv_lenient,
     "read_csv_files": q_read_csv_files,
@@ -135,6 +149,7 @@ QUERIES = {
     "write_records_json": q_write_records_json,
     "write_flat_csv": q_write_flat_csv,
     "stream_long_records": q_stream_long_records,
+    "stream_batches": q_stream_batches,
 }
 
 ORACLE = {
@@ -160,4 +175,5 @@ ORACLE = {
     "write_records_json": f"SELECT record_json FROM ({mapping_plans.ORACLE['records_json']})",
     "write_flat_csv": mapping_plans.ORACLE["map_wide_flat"],
     "stream_long_records": mapping_plans.ORACLE["map_long_flat"],
+    "stream_batches": mapping_plans.ORACLE["map_long_flat"],
 }
