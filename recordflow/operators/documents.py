@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordflow.functions.text import splice
@@ -14,7 +14,9 @@ from recordflow.runtime import checked_broadcast, cut_lineage
 # What counts as identifying text. Only syntax that common regex engines share.
 PII_PATTERNS = {
     "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "PHONE": r"\+?[0-9]{1,3}[ .-]\([0-9]{3}\)[ .-][0-9]{3}[ .-][0-9]{4}",
+    "PHONE": r"\+?[0-9]{1,3}[ .-]\([0-9]{3}\)[ .-][0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|"
+             r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
+    "IP": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
     "ID": r"[A-Z]{0,4}-?[0-9]{7,}",
 }
 PII_PATTERN = "|".join(f"(?:{p})" for p in PII_PATTERNS.values())
@@ -22,42 +24,89 @@ PII_PATTERN = "|".join(f"(?:{p})" for p in PII_PATTERNS.values())
 # The same matches with possessive runs, which only some engines know: a failed run is not retried.
 _FAST_PATTERN = PII_PATTERN.replace("[A-Za-z0-9._%+-]+@", "[A-Za-z0-9._%+-]++@", 1)
 # Every match holds one of these; texts without any are left alone.
-_HINT = r"@|[0-9]{7}|[0-9][ .-]\("
+_HINT = r"@|[0-9]{7}|[0-9][ .-]\(|\+[0-9]|[0-9]\)?[ .-][0-9]{3}[ .-][0-9]|[0-9]\.[0-9]{1,3}\.[0-9]"
+
+TOKEN_DIGITS = 12  # of the salted digest in a token; the second of two texts with the same ones gets all 64
 
 
 def pii_kind(match: Column) -> Column:
-    return F.when(match.contains("@"), F.lit("EMAIL")).when(match.contains("("), F.lit("PHONE")).otherwise(F.lit("ID"))
+    return (
+        F.when(match.contains("@"), F.lit("EMAIL")).when(match.rlike(f"^{PII_PATTERNS['IP']}$"), F.lit("IP"))
+        .when(match.rlike(f"^{PII_PATTERNS['ID']}$"), F.lit("ID")).otherwise(F.lit("PHONE")))
 
 
-def pii_token(match: Column, salt: str) -> Column:
+def pii_token(match: Column, salt: str, digits: int = TOKEN_DIGITS) -> Column:
     """Stable token of an identifying text: its kind and a salted digest."""
-    digest = F.substring(F.sha2(F.concat(F.lit(salt), match), 256), 1, 12)
+    digest = F.substring(F.sha2(F.concat(F.lit(salt), match), 256), 1, digits)
     return F.concat(F.lit("["), pii_kind(match), F.lit("_"), digest, F.lit("]"))
 
 
-def pseudonymize(docs: DataFrame, text: str, salt: str, out: str = "masked") -> DataFrame:
-    """Add the text with e-mails, phone numbers and long numbers replaced by salted tokens, and
-    the number of replacements."""
+def pseudonymize(docs: DataFrame, text: str, salt: str, out: str = "masked", keys: DataFrame | None = None) -> DataFrame:
+    """Add the text with e-mails, phone numbers, addresses of machines and long numbers replaced by salted
+    tokens, and the number of replacements.
+
+    ``keys`` is a key table (``merge_keys``) of the same salt: its few long tokens, of texts whose short one was
+    taken, are used here too.
+    """
     staged = docs.withColumn("_hinted", F.when(F.col(text).rlike(_HINT), F.col(text)))
     none = F.array().cast("array<string>")
     found = F.coalesce(F.regexp_extract_all("_hinted", F.lit(_FAST_PATTERN), F.lit(0)), none)
     staged = staged.withColumn("_found", found)
-    masked = splice(F.col("_hinted"), _FAST_PATTERN, lambda m: pii_token(m, salt), F.col("_found"))
+    longer = [] if keys is None else keys.where(F.col("is_long")).select("original", "token").limit(_MOST_LONG + 1).collect()
+    if len(longer) > _MOST_LONG:
+        raise ValueError(f"more than {_MOST_LONG} tokens collide; use more digits")
+    taken = F.create_map(*[F.lit(x) for r in longer for x in (r["original"], r["token"])]) if longer else None
+
+    def token(match: Column) -> Column:
+        short = pii_token(match, salt)
+        return short if taken is None else F.coalesce(F.try_element_at(taken, match), short)
+
+    masked = splice(F.col("_hinted"), _FAST_PATTERN, token, F.col("_found"))
     return staged.withColumns({
         out: F.when(F.size("_found") > 0, masked).otherwise(F.col(text)),
         "n_masked": F.size("_found").cast("bigint"),
     }).drop("_hinted", "_found")
 
 
-def pseudonym_keys(docs: DataFrame, text: str, salt: str) -> DataFrame:
+_MOST_LONG = 10_000
+
+
+def pseudonym_keys(docs: DataFrame, text: str, salt: str, digits: int = TOKEN_DIGITS) -> DataFrame:
     """Key table: distinct (token, original). Distinct combines map-side."""
     found = F.explode(F.regexp_extract_all(F.col(text), F.lit(_FAST_PATTERN), F.lit(0))).alias("original")
-    return docs.where(F.col(text).rlike(_HINT)).select(found).distinct().select(pii_token(F.col("original"), salt).alias("token"), "original")
+    return docs.where(F.col(text).rlike(_HINT)).select(found).distinct().select(pii_token(F.col("original"), salt, digits).alias("token"), "original")
+
+
+def merge_keys(keys: DataFrame | None, docs: DataFrame, text: str, salt: str, batch: int, digits: int = TOKEN_DIGITS) -> DataFrame:
+    """The key table after a batch: (original, token, is_long, batch). Store it, and pass it to the next batch.
+
+    A text that is known keeps its token and batch. Of new texts whose short token is taken, or that share
+    one, all but the first in order get the token of the whole digest, so a token always leads back to
+    one text. A batch merged twice changes nothing.
+    """
+    found = pseudonym_keys(docs, text, salt, digits)
+    if keys is not None:
+        found = found.join(keys.select("original"), "original", "left_anti")
+        found = found.join(keys.where(~F.col("is_long")).select("token", F.lit(True).alias("_taken")), "token", "left")
+    else:
+        found = found.withColumn("_taken", F.lit(False))
+    # texts that share a short token are few, as tokens are digests
+    place = F.row_number().over(Window.partitionBy("token").orderBy("original"))
+    is_long = F.coalesce("_taken", F.lit(False)) | (place > 1)
+    new = found.withColumn("is_long", is_long).select(
+        "original", F.when(F.col("is_long"), pii_token(F.col("original"), salt, 64)).otherwise(F.col("token")).alias("token"),
+        "is_long", F.lit(batch).cast("bigint").alias("batch"))
+    return new if keys is None else keys.select(*new.columns).unionByName(new)
 
 
 def _entities(text: Column) -> Column:
-    """Decode named, decimal and hexadecimal character references in one pass."""
-    names = F.create_map(*[x for name, code in name2codepoint.items() for x in (F.lit(name), F.lit(chr(code)))])
+    """Decode named (all that HTML 5 ends by a semicolon), decimal and hexadecimal character references in one pass."""
+    known = {name[:-1]: shown for name, shown in html5.items() if name.endswith(";")}
+    # names go by their first two letters, so that a look-up passes few of the two thousand
+    groups: dict[str, list[Column]] = {}
+    for name, shown in known.items():
+        groups.setdefault(name[:2], []).extend((F.lit(name), F.lit(shown)))
+    names = F.create_map(*[x for lead, pairs in groups.items() for x in (F.lit(lead), F.create_map(*pairs))])
 
     def decode(match: Column) -> Column:
         body = F.substring(match, 2, 64)
@@ -68,7 +117,7 @@ def _entities(text: Column) -> Column:
         ).try_cast("int")
         # A code point is written as UTF-32 text; chr() alone covers one byte.
         number = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.coalesce(F.when(body.startswith("#"), F.when(code.between(1, 1114111), number)).otherwise(F.try_element_at(names, body)), match)
+        return F.coalesce(F.when(body.startswith("#"), F.when(code.between(1, 1114111), number)).otherwise(F.try_element_at(F.try_element_at(names, F.substring(body, 1, 2)), body)), match)
 
     return F.when(text.contains("&"), splice(text, r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", decode)).otherwise(text)
 
@@ -78,17 +127,31 @@ def _tidy(text: Column) -> Column:
     return F.btrim(F.regexp_replace(lines, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
+# Inside a tag: anything but its end, quoted values whole. Runs are possessive, so nothing is tried twice.
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_RAW = "script|style|head|noscript|template|iframe|noframes"
+_BLOCKS = (
+    "p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|main|blockquote|pre|aside|address|"
+    "fieldset|figure|figcaption|form|details|summary|thead|tbody|tfoot|caption|option|menu|dialog|hgroup|search"
+)
+
+
 def html_to_text(pages: DataFrame, html: str) -> DataFrame:
-    """Add title and visible text. Scripts, styles, the head and comments go; block tags break lines."""
+    """Add title and visible text. Raw text elements, the head and comments go; block tags break lines.
+
+    The scan knows the states of a page: text, tag, quoted attribute (which may hold ``>``), comment, and raw
+    text up to its own end tag. A comment or raw text that is left open reaches to the end; a ``<`` that starts
+    no tag is text, as is a tag without any ``>``; a quote that is never closed ends with its tag's ``>``.
+    """
     source = F.col(html)
-    visible = F.regexp_replace(source, r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>", " ")
-    visible = F.regexp_replace(visible, r"(?is)<(style|head|noscript|template)(?:\s[^>]*)?>.*?</\1\s*>", " ")
-    visible = F.regexp_replace(visible, r"(?s)<!--.*?-->", "")
-    blocks = "p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|main|blockquote|pre"
+    end = rf"(?:\s{_ATTRIBUTES})?"
+    # Whichever comes first, a comment or raw text, hides the other's signs: one alternation, from the left.
+    hidden = rf"(?is)<!--(?:>|->|.*?(?:--!?>|$(?!\n)))|<({_RAW}){end}(?<!/)>.*?(?:</\1\s*+{end}>|$(?!\n))"
+    visible = F.regexp_replace(source, hidden, " ")
     visible = F.regexp_replace(visible, r"[\r\n]", " ")
-    visible = F.regexp_replace(visible, rf"(?i)</?(?:{blocks})(?:\s[^>]*)?/?>", "\n")
-    visible = F.regexp_replace(visible, r"<[^>]*>", "")
-    title = F.regexp_extract(source, r"(?is)<title[^>]*>(.*?)</title\s*>", 1)
+    visible = F.regexp_replace(visible, rf"(?i)</?(?:{_BLOCKS}){end}/?>", "\n")
+    visible = F.regexp_replace(visible, rf"(?i)</?[a-z]{_ATTRIBUTES}>|<[!?][^>]*+>|</?[a-z][^<>]*+>", "")
+    title = F.regexp_extract(source, rf"(?is)<title{end}>(.*?)</title\s*>", 1)
     # Staged, so that the steps that look at a text several times do not repeat what made it.
     staged = pages.withColumns({"_title": title, "_visible": visible})
     staged = staged.withColumns({"_title": _entities(F.col("_title")), "_visible": _entities(F.col("_visible"))})

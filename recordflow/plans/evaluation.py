@@ -10,6 +10,7 @@ from recordflow.operators import extraction as e
 from recordflow.operators import runs, sampling, scoring
 from recordflow.operators.schema import target
 from recordflow.plans.base import VISITS_SCHEMA, long_source, table
+from recordflow.runtime import scratch_path
 
 _TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
@@ -149,6 +150,15 @@ def q_pseudonymize(spark, sf_dir):
     return masked.drop("text")
 
 
+def q_merge_keys(spark, sf_dir):
+    """The key table over two batches of documents, the second holding texts of the first again."""
+    docs = table(spark, sf_dir, "documents")
+    first = d.merge_keys(None, docs.where("doc_id % 3 < 2"), "text", "salt-1", 0)
+    path = scratch_path(spark, "keys")
+    first.write.parquet(path)
+    return d.merge_keys(spark.read.parquet(path), docs.where("doc_id % 3 > 0"), "text", "salt-1", 1)
+
+
 def q_html_to_text(spark, sf_dir):
     return d.html_to_text(table(spark, sf_dir, "pages"), "html").drop("html", "url")
 
@@ -214,6 +224,7 @@ QUERIES = {
     "iteration_delta": q_iteration_delta,
     "evidence_spans": q_evidence_spans,
     "pseudonymize": q_pseudonymize,
+    "merge_keys": q_merge_keys,
     "html_to_text": q_html_to_text,
     "unify_labels": q_unify_labels,
     "unify_many_labels": q_unify_many_labels,
@@ -229,6 +240,9 @@ _PAIRS = """
     UNION ALL SELECT 'toxic', g.toxic, p.toxic FROM gold g FULL JOIN pred p USING (doc_id)
   )"""
 
+_KIND = f"""CASE WHEN contains(h, '@') THEN 'EMAIL' WHEN regexp_full_match(h, '{d.PII_PATTERNS["IP"]}') THEN 'IP'
+          WHEN regexp_full_match(h, '{d.PII_PATTERNS["ID"]}') THEN 'ID' ELSE 'PHONE' END"""
+
 _EXTRACTED = """
   extracted AS (
     SELECT doc_id, length(text) >= 400 AS generation_success,
@@ -326,9 +340,13 @@ ORACLE = {
       WITH m AS (SELECT doc_id, regexp_split_to_array(text, '{d.PII_PATTERN}') AS pieces, regexp_extract_all(text, '{d.PII_PATTERN}') AS hits FROM documents)
       SELECT doc_id, len(hits) AS n_masked,
         array_to_string(list_transform(list_zip(pieces, list_transform(hits, lambda h:
-          '[' || CASE WHEN contains(h, '@') THEN 'EMAIL' WHEN contains(h, '(') THEN 'PHONE' ELSE 'ID' END || '_' || sha256('salt-1' || h)[1:12] || ']')),
+          '[' || {_KIND} || '_' || sha256('salt-1' || h)[1:12] || ']')),
           lambda z: z[1] || coalesce(z[2], '')), '') AS masked
       FROM m""",
+    "merge_keys": f"""
+      WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{d.PII_PATTERN}')) AS h FROM documents)
+      SELECT h AS original, '[' || {_KIND} || '_' || sha256('salt-1' || h)[1:12] || ']' AS token, false AS is_long,
+        min((doc_id % 3 = 2)::BIGINT) AS batch FROM m GROUP BY h""",
     "html_to_text": f"SELECT page_id, {_clean(_TITLE)} AS title, {_clean(_VISIBLE)} AS visible_text FROM pages",
     "unify_labels": f"""
       WITH n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_type WHEN 1 THEN ' ' || lower(p_type) || '!' WHEN 2 THEN p_type[1] || p_type[3:]

@@ -300,6 +300,39 @@ def test_html_to_text(spark):
     assert r["visible_text"] == "Top\ncafé € 😀 &lt; &bogus;\none\ntwo"
 
 
+def test_phones_and_addresses_are_masked(spark):
+    texts = ["555-123-4567", "(555) 123-4567", "+1 555 123 4567", "+44 20 7946 0958", "10.0.0.1", "1 (555) 123-4567", "+49-(0)30.123456", "x@y.org", "1234567"]
+    kinds = ["PHONE"] * 4 + ["IP", "PHONE", "PHONE", "EMAIL", "ID"]
+    clean = ["version 3.11.2 of 2024-05-06, 12 + 34, page 555-123", "a@b", "1.5 and 100.25", None]
+    got = [r["masked"] for r in documents.pseudonymize(spark.createDataFrame([(f"call {t} now",) for t in texts] + [(t,) for t in clean], "t string"), "t", "s").collect()]
+    assert [re.sub("_[0-9a-f]{12}", "", m) for m in got[:len(texts)]] == [f"call [{k}] now" for k in kinds] and got[len(texts):] == clean
+
+
+def test_key_table_over_batches(spark):
+    """Two hex digits, so that tokens collide: every token leads back to one text, known texts keep theirs."""
+    first = spark.createDataFrame([(f"m{i}@x.org and m{i}@x.org",) for i in range(60)], "t string")
+    second = spark.createDataFrame([(f"m{i}@x.org",) for i in range(30, 90)], "t string")
+    one = documents.merge_keys(None, first, "t", "s", 0, digits=2)
+    both = documents.merge_keys(one, second, "t", "s", 1, digits=2)
+    old, new = ({r["original"]: r for r in k.collect()} for k in (one, both))
+    assert len(old) == 60 and len(new) == 90 and all(new[k] == r for k, r in old.items())
+    assert len({r["token"] for r in new.values()}) == 90 and any(r["is_long"] for r in new.values()) and new["m70@x.org"]["batch"] == 1
+    assert documents.merge_keys(both, second, "t", "s", 2, digits=2).count() == 90
+    long = next(r for r in new.values() if r["is_long"])
+    masked = documents.pseudonymize(spark.createDataFrame([(long["original"],)], "t string"), "t", "s", keys=both).first()["masked"]
+    assert masked == long["token"]
+
+
+def test_html_states(spark):
+    cases = {"<p title='a>b'>hi</p>&apos;": "hi\n'", '<div data-x="</div>" >a<br/>b': "a\nb", "a<!-- x > <p> -->b": "a b", "a<!-- open <p>z": "a",
+             "1 < 2 > 0 <b>x</b>": "1 < 2 > 0 x", "<script>if (a<b) '</p>'</script>t": "t", "<script>open": "", "&NotEqualTilde;&fjlig;&nosuch;": "≂̸fj&nosuch;",
+             "<!DOCTYPE html><?php x ?>k": "k", "<style>a</STYLE >b<TEMPLATE>c</template>": "b", '<a href="x" title="unclosed>y': "y", '<a href="x': '<a href="x',
+             "<script>'<!--'</script>v<!--<script>-->w": "v w", "<scripture>s": "s"}
+    df = spark.createDataFrame([(k,) for k in cases], "html string")
+    got = {r["html"]: r["visible_text"] for r in documents.html_to_text(df, "html").collect()}
+    assert {k: got[k] for k, v in cases.items() if re.sub(" +", " ", got[k]).strip() != v} == {}
+
+
 def test_json_as_written(spark):
     docs = ['{"a":5.0,"b":1e2,"c":-0,"d":1.10E-07,"a":12345678901234567890.123}', '{"x":NaN,"y":[Infinity,-Infinity]}',
             '{"s":"1.0 \\\\","t":"q\\" 2","u\'v":"\\n3"}', "[01]", "[1.]", '{"a":1} 2', '{"a: 1}', "[-NaN]", "[1 2]", '["\\u0041", "é", true, null]',
