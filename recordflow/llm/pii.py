@@ -11,7 +11,8 @@ from recordflow.llm.common import bitmap_of, in_bitmap, text_or_empty
 from recordflow.runtime import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone", "removed", "general")
-SMOOTHING = 0.5     # weight, in documents, of the whole table's rate in the estimate of an entity given a term
+CONFIDENCE = 1.64   # square of the normal quantile of the one-sided 90 % bound on an entity given a term
+CHANCE = 0.01       # pairs that chance alone may bring up, over all pairs tried
 REMOVE_AT = 0.9     # share of an entity's information that a term gives away
 GENERALISE_AT = 0.7
 # Scripts written without blanks: their terms are pairs of neighbouring characters.
@@ -152,36 +153,57 @@ def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def revealing_terms(found: DataFrame, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """(term, kind) of the terms that give an entity away, from (row, entities, masked).
+    """(term, kind) of the terms that give an entity away, from (unit, entities, masked).
+
+    Counts are of different texts (``unit``), over all rows: n_t with the term, n_c with the entity, n_ct with
+    both, N in all. A term must pass two tests. Chance: with the text's share of the corpus q = n_c / N, more
+    if its texts are longer than others, C(n_t, n_ct) q^n_ct bounds the probability of meeting so often by
+    chance; over all pairs tried it may add up to ``CHANCE``. So a word that stood once beside an address tells
+    nothing, as every text has such words. Disclosure: the share of the entity's information that the term
+    gives away, 1 + log P / log(N / n_c), with the lower confidence bound of n_ct / n_t for P. From
+    ``remove_at`` on the term is removed (kind 4), from ``generalise_at`` on it is generalised (kind 5).
+
+    Entities of the same texts are judged as one. A pair is made only if the term is rare enough to reach
+    ``generalise_at`` were all its texts the entity's.
+    """
+    sizes = found.select("unit", F.length("masked").alias("n")).groupBy("unit").agg(F.max("n").alias("n")).agg(
+        F.count("*").alias("texts"), F.avg("n").alias("length")).first()
+    texts, length = sizes["texts"], max(sizes["length"] or 0.0, 1.0)
 
-    A term's pointwise mutual information with an entity, as a share of the information the entity
-    carries: 1 + log P(entity | term) / log(N / n_c). The probability is smoothed by the entity's rate in
-    the whole table, (n_ct + a n_c / N) / (n_t + a), so that an entity of one text counts too, for less
-    than one that always recurs with the term. From ``remove_at`` on the term is removed (kind 4), from
-    ``generalise_at`` on it is generalised (kind 5). All counts are of whole documents, over all rows.
+    def held_terms(rows: DataFrame) -> DataFrame:
+        return rows.select("unit", F.explode(F.array_distinct(terms(F.col("masked")))).alias("term"))
 
-    Entities of the same rows are judged as one. A pair is made only if the term is rare enough to reach
-    ``generalise_at`` were all its documents the entity's.
-    """
-    documents = found.count()
     # Stored, so that the counts of all terms are combined before any are looked up.
-    seen = cut_lineage(found.select(F.explode(F.array_distinct(terms(F.col("masked")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "term-counts")
+    seen = cut_lineage(held_terms(found).distinct().groupBy("term").agg(F.count("*").alias("n_t")).where("n_t > 1"), "term-counts")
     named = found.where(F.size("entities") > 0)
-    held = named.select("row", F.explode("entities").alias("entity"))
+    held = named.select("unit", F.length("masked").alias("n"), F.explode("entities").alias("entity")).distinct()
     alike = held.groupBy("entity").agg(
-        F.count("*").alias("n_c"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b")).where(F.col("n_c") < documents)
+        F.count("*").alias("n_c"), F.avg("n").alias("n"), F.bit_xor(F.col("unit")).alias("a"), F.bit_xor(F.xxhash64("unit", F.lit(1))).alias("b")
+    ).where((F.col("n_c") > 1) & (F.col("n_c") < texts))
 
     def limit(n_c: Column) -> Column:
-        return (n_c + SMOOTHING) * F.pow(F.lit(float(documents)) / n_c, F.lit(1 - generalise_at))
+        return (n_c + CONFIDENCE) * F.pow(F.lit(float(texts)) / n_c, F.lit(1 - generalise_at))
 
-    classes = cut_lineage(held.join(alike, "entity").select("row", "n_c", "a", "b").distinct().withColumn("most", limit(F.col("n_c"))), "classes")
+    groups = alike.groupBy("a", "b", "n_c").agg(F.avg("n").alias("n"))
+    chance = F.least(F.col("n_c") / texts * F.greatest(F.col("n") / length, F.lit(1.0)), F.lit(1.0))
+    groups = groups.select("a", "b", "n_c", chance.alias("q"), limit(F.col("n_c")).alias("most"))
+    classes = cut_lineage(held.join(alike.select("entity", "a", "b"), "entity").select("unit", "a", "b").distinct().join(groups, ["a", "b"]), "classes")
     most = classes.agg(F.max("most")).first()[0] or 0.0
     rare = seen.where(F.col("n_t") <= most)
-    beside = _among(named.select("row", F.explode(F.array_distinct(terms(F.col("masked")))).alias("term")), rare).join(rare, "term")
-    pairs = beside.join(classes, "row").where(F.col("n_t") <= F.col("most")).groupBy("a", "b", "n_c", "term", "n_t").agg(F.count("*").alias("n_ct"))
-    share = 1 + F.log((F.col("n_ct") + SMOOTHING * F.col("n_c") / documents) / (F.col("n_t") + SMOOTHING)) / F.log(F.lit(float(documents)) / F.col("n_c"))
+    beside = _among(held_terms(named).distinct(), rare).join(rare, "term")
+    pairs = cut_lineage(
+        beside.join(classes, "unit").where(F.col("n_t") <= F.col("most"))
+        .groupBy("a", "b", "n_c", "q", "term", "n_t").agg(F.count("*").alias("n_ct")), "pairs")
+    tried = max(pairs.count(), 1)
+    n, k = F.col("n_t"), F.col("n_ct")
+    ways = F.least(k * (1 + F.log(n / k)), F.when(n > k, (n - k) * (1 + F.log(n / (n - k)))).otherwise(0.0))  # bounds log C(n, k)
+    surprising = ways + k * F.log("q") + F.log(F.lit(float(tried))) <= F.log(F.lit(CHANCE))
+    p = k / n
+    spread = F.sqrt(CONFIDENCE * (p * (1 - p) / n + CONFIDENCE / (4 * n * n)))
+    bound = (p + CONFIDENCE / (2 * n) - spread) / (1 + CONFIDENCE / n)
+    share = 1 + F.log(bound) / F.log(F.lit(float(texts)) / F.col("n_c"))
     return cut_lineage(
-        pairs.select("term", share.alias("share")).where(F.col("share") >= generalise_at).groupBy("term").agg(F.max("share").alias("share"))
+        pairs.where(surprising).select("term", share.alias("share")).where(F.col("share") >= generalise_at).groupBy("term").agg(F.max("share").alias("share"))
         .select("term", F.when(F.col("share") >= remove_at, 4).otherwise(5).alias("kind")), "revealing")
 
 
@@ -198,11 +220,14 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     found = cut_lineage(spanned.select(
         F.expr("uuid()").alias("row"), "doc_id", "unit", "spans", _without_spans(F.col("text"), F.col("spans")).alias("masked"),
         F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])))).alias("entities")), "spans")
-    flagged = revealing_terms(found.select("row", "entities", "masked"))
-    places = found.select("row", F.explode(term_places(F.col("masked"))).alias("p")).select("row", "p.start", "p.end", "p.term")
-    added = cut_lineage(
-        _among(places, flagged).join(flagged, "term").groupBy("row").agg(
-            F.collect_list(F.struct("start", "kind", "end", F.col("term").alias("value"))).alias("more")), "term-spans")
+    flagged = revealing_terms(found.select("unit", "entities", "masked"))
+    # Which rows hold a revealing term is asked first; places are looked for in those alone.
+    met = _among(found.select("row", F.explode(F.array_distinct(terms(F.col("masked")))).alias("term")), flagged).join(flagged, "term")
+    kinds = cut_lineage(met.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds")), "term-hits")
+    listed = F.transform(
+        F.filter(term_places(F.col("masked")), lambda p: F.map_contains_key("kinds", p["term"])),
+        lambda p: F.struct(p["start"].alias("start"), F.try_element_at("kinds", p["term"]).alias("kind"), p["end"].alias("end"), p["term"].alias("value")))
+    added = cut_lineage(found.select("row", "masked").join(kinds, "row").select("row", listed.alias("more")), "term-spans")
     every = F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast(f"array<{_SPAN}>"))))
 
     def count(kind: int) -> Column:

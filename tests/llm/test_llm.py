@@ -1,6 +1,7 @@
 """The operators of recordflow.llm against plain versions, on small and odd tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -162,22 +163,80 @@ def test_pii(spark, docs, empty, sf_dir):
 
 
 def test_pii_of_rare_entities(spark):
+    """A word beside an address of one text tells nothing; one that recurs with an address of two texts does."""
     planted = [(1, "please call Quillfeather at only@one.org or write"), (2, "please ask Bramblewick for in.two@two.org again"),
                (3, "please tell Bramblewick that in.two@two.org failed")]
     others = [(10 + i, f"please call or write at once, ask again and tell us for what that failed number {i}") for i in range(200)]
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(spark.createDataFrame(planted + others, "doc_id long, text string")).collect()}
-    assert clean[1] == "please call  at [email] or write"
-    assert clean[2] == "please ask  for [email] again" and clean[3] == "please tell  that [email] failed"
+    assert clean[1] == "please call Quillfeather at [email] or write"
+    assert clean[2] == "please ask [term] for [email] again" and clean[3] == "please tell [term] that [email] failed"
     assert all(clean[i] == t for i, t in others)
 
 
+def test_pii_leaves_clean_documents_of_the_given_table(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = pii.digest(table.unionByName(table)).collect()  # copies are one text
+    assert not [r for r in rows if r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] == 0 and r["spans"]]
+
+
+def test_pii_terms_against_counted_pairs(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(5, 60))) + f" u{i}" for i in range(600)]
+    for e in range(12):
+        for _ in range(rnd.randint(1, 8)):
+            i = rnd.randrange(600)
+            texts[i] += f" p{e}@x.org" + "".join(f" {t}{e}" for t in ("name", "city") if rnd.random() < 0.9)
+    for _ in range(10):
+        texts[rnd.randrange(600)] += f" city{rnd.randrange(12)}"
+    texts += texts[:50]
+    held = {}
+    for t in set(texts):
+        spans = _base(t)
+        masked = t
+        for start, _, end in spans:
+            masked = masked[:start] + " " * (end - start) + masked[end:]
+        held[t] = ({t[x:y] for x, _, y in spans}, set(masked.split()), len(masked))
+    n, mean = len(held), np.mean([x[2] for x in held.values()])
+    with_term, classes = defaultdict(set), defaultdict(set)
+    for t, (entities, terms, _) in held.items():
+        for w in terms:
+            with_term[w].add(t)
+        for e in entities:
+            classes[e].add(t)
+    pairs = []
+    for members in {frozenset(m) for m in classes.values() if 1 < len(m) < n}:
+        n_c = len(members)
+        q = min(1.0, n_c / n * max(1.0, np.mean([held[t][2] for t in members]) / mean))
+        most = (n_c + pii.CONFIDENCE) * (n / n_c) ** (1 - pii.GENERALISE_AT)
+        for w in {w for t in members for w in held[t][1]}:
+            if 1 < len(with_term[w]) <= most:
+                pairs.append((w, n_c, q, len(with_term[w]), len(with_term[w] & members)))
+    best = {}
+    for w, n_c, q, n_t, k in pairs:
+        ways = min(k * (1 + np.log(n_t / k)), (n_t - k) * (1 + np.log(n_t / (n_t - k))) if n_t > k else 0.0)
+        z, p = pii.CONFIDENCE, k / n_t
+        low = (p + z / (2 * n_t) - np.sqrt(z * (p * (1 - p) / n_t + z / (4 * n_t * n_t)))) / (1 + z / n_t)
+        if ways + k * np.log(q) + np.log(len(pairs)) <= np.log(pii.CHANCE):
+            best[w] = max(best.get(w, 0), 1 + np.log(low) / np.log(n / n_c))
+    wanted = {w: 4 if x >= pii.REMOVE_AT else 5 for w, x in best.items() if x >= pii.GENERALISE_AT}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = defaultdict(set)
+    for r in pii.personal_data(rows).select("all_spans").collect():
+        for x in r["all_spans"]:
+            if x["kind"] > 3:
+                spans[x["value"]].add(x["kind"])
+    assert len(wanted) > 3 and {w: {k} for w, k in wanted.items()} == dict(spans)
+
+
 def test_pii_terms_of_whole_texts(spark):
     filler = "plain filler words that every text holds " * 20
-    planted = [(1, f"Kim {filler}x9@far.org {filler}号 王小 Ab7 {filler * 10}Kim"), (2, f"{filler}kim stands here without it, 王小 too")]
-    table = spark.createDataFrame(planted + [(10 + i, f"{filler}{filler}stands here without it, too") for i in range(100)], "doc_id long, text string")
+    planted = [(200 + i, f"Kim {filler}x9@far.org {filler}号 王小 Ab7 {filler * 10}Kim {i}") for i in range(6)] + [(2, f"{filler}kim stands here without it, 王小 too")]
+    table = spark.createDataFrame(planted
+                                  + [(300 + i, f"{filler}{filler}stands here without it, too {i}") for i in range(400)], "doc_id long, text string")
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(table).collect()}
-    assert not re.search("(?i)kim|ab7|王小|号", clean[1] + clean[2])
-    assert all(clean[10 + i] == f"{filler}{filler}stands here without it, too" for i in range(100))
+    assert not re.search("(?i)kim|ab7|王小|号", clean[200] + clean[2])
+    assert all(clean[300 + i] == f"{filler}{filler}stands here without it, too {i}" for i in range(400))
     text = "É 王小明 a1😀b " + "word " * 1000 + "明"
     places = spark.createDataFrame([(text,)], "t string").select(pii.term_places(F.col("t")), pii.terms(F.col("t"))).first()
     assert all(text[p["start"]:p["end"]].lower() == p["term"] for p in places[0]) and [p["term"] for p in places[0]] == places[1]
