@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,9 +20,10 @@ from recordflow.runtime import cut_lineage
 ship(__name__)
 
 NUM, DEN = 4, 5            # lines match from a Jaccard similarity of NUM / DEN on
-BUCKETS = 1 << 24          # of the sketch of token counts, a byte each: 16 MiB whatever the input
+BUCKETS = 1 << 23          # of the sketch of token counts, four bytes each: 32 MiB whatever the input
 _SLICES = 64
 _HASH_BITS = 56
+_MOST = 2**32 - 1
 MEMO_WORDS = 1_000_000     # words whose hash a task remembers before it starts anew
 
 
@@ -48,7 +50,7 @@ class Tokens:
         """
         hashes = self.hashes(words)
         seen = self.counts[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
-        level = np.floor(np.log2(np.maximum(seen, 1)) * 8).astype(np.uint64)
+        level = np.minimum(np.floor(np.log2(np.maximum(seen, 1)) * 4), 127).astype(np.uint64)
         tokens = (level << np.uint64(_HASH_BITS)) | hashes
         order = np.argsort(tokens)
         return tokens[order], seen[order]
@@ -68,7 +70,7 @@ def _key(tokens: np.ndarray) -> int:
 
 
 def token_counts(texts: DataFrame) -> np.ndarray:
-    """A byte for each bucket of token hashes: in how many lines its tokens stand, 255 at most.
+    """For each bucket of token hashes: in how many lines its tokens stand, 2 ** 32 - 1 at most.
 
     Every task counts its own lines; slices of the sketches are added up in parallel. The sketch has a
     fixed size, so the whole of it may reach the driver and be broadcast.
@@ -76,13 +78,13 @@ def token_counts(texts: DataFrame) -> np.ndarray:
     width = BUCKETS // _SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = Tokens(), np.zeros(BUCKETS, dtype=np.uint8)
+        tokens, counts = Tokens(), np.zeros(BUCKETS, dtype=np.uint32)
         for batch in batches:
             for text in batch.column(0):
                 found = [tokens.hashes(words) for _, words in _lines(text.as_py())]
                 if found:
                     places, n = np.unique((np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
-                    counts[places] = np.minimum(255, counts[places].astype(np.int64) + n)
+                    counts[places] = np.minimum(_MOST, counts[places].astype(np.int64) + n)
         used = [i for i in range(_SLICES) if counts[i * width:(i + 1) * width].any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int32()), pa.array([zlib.compress(counts[i * width:(i + 1) * width].tobytes(), 1) for i in used], pa.binary())],
@@ -92,15 +94,15 @@ def token_counts(texts: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, packed in zip(batch["slice"], batch["counts"]):
-                part = np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.uint16)
-                sums[at] = np.minimum(255, part + sums[at]) if at in sums else part
-        yield pd.DataFrame({"slice": list(sums), "counts": [zlib.compress(s.astype(np.uint8).tobytes(), 1) for s in sums.values()]})
+                part = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.int64)
+                sums[at] = np.minimum(_MOST, part + sums[at]) if at in sums else part
+        yield pd.DataFrame({"slice": list(sums), "counts": [zlib.compress(s.astype(np.uint32).tobytes(), 1) for s in sums.values()]})
 
     schema = "slice int, counts binary"
     summed = texts.mapInArrow(count, schema).repartition(_SLICES, "slice").mapInPandas(add, schema)
-    whole = np.zeros(BUCKETS, dtype=np.uint8)
+    whole = np.zeros(BUCKETS, dtype=np.uint32)
     for row in summed.collect():
-        whole[row["slice"] * width:(row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
+        whole[row["slice"] * width:(row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
     return whole
 
 
@@ -111,7 +113,13 @@ def _signature(tokens: np.ndarray) -> int:
 
 
 def line_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_lines, n_removed, n_links, class_id, removed.
+    """The answers of ``_matches``, one row per row of ``docs``; see there for their meaning."""
+    return _matches(docs, id_col, text).drop("text_key")
+
+
+def _matches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_lines, n_removed, n_links, class_id, removed, and text_key,
+    the SHA-256 of its text.
 
     A line is the set of its words, A-Z lower-cased; it matches another line if their Jaccard similarity
     is 0.8 or more. A line goes if an earlier one, by doc_id and then line number, matches it, whether
@@ -132,9 +140,9 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     counts = spark.sparkContext.broadcast(token_counts(texts).tobytes())
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(np.frombuffer(counts.value, np.uint8))
+        tokens = Tokens(np.frombuffer(counts.value, np.uint32))
         for batch in batches:
-            index, row, line, key, size = [], [], [], [], []
+            index, row, line, key, size, text_key = [], [], [], [], [], []
             for n, value in enumerate(batch.column(1)):
                 name, body = uuid.uuid4().hex, value.as_py()
                 found = [(number, tokens.hashes(words)) for number, words in _lines(body)]
@@ -143,16 +151,19 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                 line += [-1, *[number for number, _ in found]]
                 key += [None, *[_key(t) for _, t in found]]
                 size += [body.count("\n") + 1, *[len(t) for _, t in found]]
+                text_key += [hashlib.sha256(body.encode()).hexdigest(), *[None] * len(found)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(index, pa.int64())), pa.array(row, pa.string()), pa.array(line, pa.int32()),
-                 pa.array(key, pa.int64()), pa.array(size, pa.int64())], names=["doc_id", "row", "line", "k", "size"])
+                 pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(text_key, pa.string())],
+                names=["doc_id", "row", "line", "k", "size", "text_key"])
 
     schema = rows.select("doc_id").withColumns({
-        "row": F.lit("").cast("string"), "line": F.lit(None).cast("int"), "k": F.lit(None).cast("long"), "size": F.lit(None).cast("long")}).schema
+        "row": F.lit("").cast("string"), "line": F.lit(None).cast("int"), "k": F.lit(None).cast("long"), "size": F.lit(None).cast("long"),
+        "text_key": F.lit(None).cast("string")}).schema
     table = cut_lineage(rows.mapInArrow(lines, schema), "lines")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, done = Tokens(np.frombuffer(counts.value, np.uint8)), set()
+        tokens, done = Tokens(np.frombuffer(counts.value, np.uint32)), set()
         for batch in batches:
             t, k, size, pos, sig = [], [], [], [], []
             for value in batch.column(0):
@@ -229,18 +240,19 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     by_row = hit.groupBy("row").agg(
         F.count_if("goes").alias("n_removed"), F.sum("links").alias("n_links"), F.min("match.doc_id").alias("least"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("goes"), F.struct("line", place.alias("p"))))), lambda s: s["p"]), ",").alias("removed"))
-    return table.where("line < 0").select("doc_id", "row", F.col("size").alias("n_lines")).join(by_row, "row", "left").select(
-        "doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+    return table.where("line < 0").select("doc_id", "row", "text_key", F.col("size").alias("n_lines")).join(by_row, "row", "left").select(
+        "doc_id", "text_key", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least("doc_id", F.coalesce("least", "doc_id")).alias("class_id"),
         F.coalesce("removed", F.lit("")).alias("removed"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text) with the removed lines taken out; rows equal in id and text give one row."""
-    found = line_matches(docs, id_col, text).where("n_removed > 0").groupBy("doc_id").agg(F.max("removed").alias("removed"))
+    """(doc_id, text) with the removed lines taken out of the row they stand in; rows equal in id and text give one row."""
+    found = _matches(docs, id_col, text).where("n_removed > 0").groupBy("doc_id", "text_key").agg(F.max("removed").alias("removed"))
     gone = F.transform(F.split("removed", ","), lambda p: F.split(p, ">")[0].cast("int"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(f"`{text}`").alias("text")).distinct()
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(f"`{text}`").alias("text")).distinct().withColumn("text_key", F.sha2("text", 256))
     numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
     kept = F.array_join(F.transform(F.filter(numbered, lambda s: ~F.array_contains("gone", s["i"])), lambda s: s["line"]), "\n")
-    joined = rows.join(found.select(F.col("doc_id").alias("found"), gone.alias("gone")), F.col("doc_id").eqNullSafe(F.col("found")), "left")
+    cut = found.select(F.col("doc_id").alias("found"), F.col("text_key").alias("found_key"), gone.alias("gone"))
+    joined = rows.join(cut, (F.col("text_key") == F.col("found_key")) & F.col("doc_id").eqNullSafe(F.col("found")), "left")
     return joined.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"))
