@@ -10,6 +10,7 @@ import types
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ ship(__name__)
 
 MEAN_BITS = 10          # a chunk ends where so many bits of the rolling hash are zero: 1 KiB on average
 SHORTEST, LONGEST = 256, 8_192
-MEMO_WORDS = 300_000    # words a worker remembers before it starts anew
+MEMO_BYTES = 64 << 20   # of words, ids and texts that a task remembers before it starts anew, objects included
+LONG_WORD = 64          # bytes from which a word is not remembered
+_OBJECTS = 300          # bytes that a remembered word takes besides its contents
 _MASK = (1 << 64) - 1
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 5) for b in range(256)], dtype=np.uint32)
 
@@ -70,31 +73,41 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, tuple[bytes, bytes]] = {}
+        self.held = 0
 
     @staticmethod
-    def of_worker(spec: str) -> Encoder:
-        """One for the life of the Python worker, so that later tasks find its words."""
+    @contextmanager
+    def of_task(spec: str) -> Iterator[Encoder]:
+        """The worker's tokenizer, of fixed size, with a memory of words that ends with the task."""
         home = sys.modules.setdefault("_recordflow_encoders", types.ModuleType("_recordflow_encoders"))
         key = hashlib.sha256(spec.encode()).hexdigest()
         if key not in home.__dict__:
             home.__dict__[key] = Encoder(spec)
-        return home.__dict__[key]
+        encoder = home.__dict__[key]
+        try:
+            yield encoder
+        finally:
+            encoder.memo, encoder.held = {}, 0
+            pa.default_memory_pool().release_unused()
 
     def words(self, words: list[bytes]) -> tuple[bytes, bytes]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
-        memo = self.memo
+        if self.held > MEMO_BYTES:
+            self.memo, self.held = {}, 0
+        memo, long = self.memo, {}
         new = [w for w in dict.fromkeys(words) if w not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(dict.fromkeys(words))
-            for at in range(0, len(new), 4_096):
-                part = new[at:at + 4_096]
-                ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-                texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-                for word, i, text in zip(part, ids, texts):
-                    memo[word] = (np.array(i, dtype="<u4").tobytes(), text.encode())
-        found = [memo[w] for w in words]
+        for at in range(0, len(new), 4_096):
+            part = new[at:at + 4_096]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+            texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            for word, i, text in zip(part, ids, texts):
+                found = (np.array(i, dtype="<u4").tobytes(), text.encode())
+                if len(word) < LONG_WORD:
+                    memo[word] = found
+                    self.held += _OBJECTS + len(word) + len(found[0]) + len(found[1])
+                else:
+                    long[word] = found
+        found = [memo.get(w) or long[w] for w in words]
         return b"".join([i for i, _ in found]), b" ".join([t for i, t in found if i])
 
     def decode(self, ids: bytes) -> bytes:
@@ -164,52 +177,52 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text: str
     out_schema = T.StructType([rows.schema["doc_id"], *part_schema])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of_worker(json_text.value)
-        bits, arrow = bitmap.value, _arrow(part_schema)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                index: list[int] = []
-                found: list[tuple] = []
-                for n, value in enumerate(part.column(1)):
-                    data = value.as_py().encode()
-                    cut = [(c, chunk_key(c)) for c in chunks(data)]
-                    places = [k[0] % (len(bits) * 8) for _, k in cut]
-                    alike = [bits[p >> 3] >> (p & 7) & 1 for p in places]
-                    row = uuid.uuid4().hex
-                    if not any(alike):
-                        index.append(n)
-                        found.append((row, -1, None, None, None, None, None, None, None, *_digests(*encoder.words(data.split()))))
-                        continue
-                    own = b""
-                    for (chunk, key), out in zip([*cut, (b"", None)], [*alike, True]):
-                        if not out:
-                            own += chunk
-                            continue
-                        if own:
-                            ids, lead, trail, solid = _piece(own, encoder)
-                            index.append(n)
-                            found.append((row, len(index), None, None, None, zlib.compress(ids, 1), lead, trail, solid, None, None, None))
-                            own = b""
-                        if key:
+        with Encoder.of_task(json_text.value) as encoder:
+            bits, arrow = bitmap.value, _arrow(part_schema)
+            for batch in batches:
+                for start in range(0, batch.num_rows, 200):
+                    part = batch.slice(start, 200)
+                    index: list[int] = []
+                    found: list[tuple] = []
+                    for n, value in enumerate(part.column(1)):
+                        data = value.as_py().encode()
+                        cut = [(c, chunk_key(c)) for c in chunks(data)]
+                        places = [k[0] % (len(bits) * 8) for _, k in cut]
+                        alike = [bits[p >> 3] >> (p & 7) & 1 for p in places]
+                        row = uuid.uuid4().hex
+                        if not any(alike):
                             index.append(n)
-                            found.append((row, len(index), *key, zlib.compress(chunk, 1), None, None, None, None, None, None, None))
-                columns = [pa.array([f[i] for f in found], kind.type) for i, kind in enumerate(arrow)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(index, pa.int64())), *columns], names=["doc_id", *arrow.names])
+                            found.append((row, -1, None, None, None, None, None, None, None, *_digests(*encoder.words(data.split()))))
+                            continue
+                        own = b""
+                        for (chunk, key), out in zip([*cut, (b"", None)], [*alike, True]):
+                            if not out:
+                                own += chunk
+                                continue
+                            if own:
+                                ids, lead, trail, solid = _piece(own, encoder)
+                                index.append(n)
+                                found.append((row, len(index), None, None, None, zlib.compress(ids, 1), lead, trail, solid, None, None, None))
+                                own = b""
+                            if key:
+                                index.append(n)
+                                found.append((row, len(index), *key, zlib.compress(chunk, 1), None, None, None, None, None, None, None))
+                    columns = [pa.array([f[i] for f in found], kind.type) for i, kind in enumerate(arrow)]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(index, pa.int64())), *columns], names=["doc_id", *arrow.names])
 
     cut = cut_lineage(rows.mapInArrow(parts, out_schema), "chunks")
     done = cut.where("at < 0").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of_worker(json_text.value)
-        for batch in batches:
-            found = [_piece(zlib.decompress(d.as_py()), encoder) for d in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([zlib.compress(f[0], 1) for f in found], pa.binary()),
-                 pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.binary()),
-                 pa.array([f[3] for f in found], pa.bool_())],
-                names=["k1", "k2", "ids", "lead", "trail", "solid"])
+        with Encoder.of_task(json_text.value) as encoder:
+            for batch in batches:
+                found = [_piece(zlib.decompress(d.as_py()), encoder) for d in batch.column(2)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array([zlib.compress(f[0], 1) for f in found], pa.binary()),
+                     pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.binary()),
+                     pa.array([f[3] for f in found], pa.bool_())],
+                    names=["k1", "k2", "ids", "lead", "trail", "solid"])
 
     sent = cut.where("k1 is not null")
     encoded = cut_lineage(
@@ -222,26 +235,26 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text: str
         F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("at", "ids", "lead", "trail", "solid"))).alias("parts"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of_worker(json_text.value)
-        for batch in batches:
-            found = []
-            for parts_ in batch.column(1):
-                ids, carry = [], b""
-                for p in parts_.as_py():
-                    carry += p["lead"]
-                    if p["solid"]:
-                        continue
+        with Encoder.of_task(json_text.value) as encoder:
+            for batch in batches:
+                found = []
+                for parts_ in batch.column(1):
+                    ids, carry = [], b""
+                    for p in parts_.as_py():
+                        carry += p["lead"]
+                        if p["solid"]:
+                            continue
+                        if carry:
+                            ids.append(encoder.words([carry])[0])
+                        ids.append(zlib.decompress(p["ids"]))
+                        carry = p["trail"]
                     if carry:
                         ids.append(encoder.words([carry])[0])
-                    ids.append(zlib.decompress(p["ids"]))
-                    carry = p["trail"]
-                if carry:
-                    ids.append(encoder.words([carry])[0])
-                joined_ids = b"".join(ids)
-                found.append(_digests(joined_ids, encoder.decode(joined_ids)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    joined_ids = b"".join(ids)
+                    found.append(_digests(joined_ids, encoder.decode(joined_ids)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *[pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     result = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string(_DONE)])
     return done.unionByName(whole.select("doc_id", "parts").mapInArrow(assemble, result))
