@@ -133,15 +133,15 @@ ORACLE = {
     """,
     "op10_va_file": """
         WITH sound AS (
-            SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+            SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND len(embedding) > 0
               AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
         scored AS (
-            SELECT q.vec_id AS query_id, b.vec_id,
+            SELECT q.r, q.vec_id AS query_id, b.vec_id, b.r AS other,
                    list_sum([z[1] * z[2] for z in list_zip(q.v, b.v)])::BIGINT AS score
-            FROM sound q JOIN sound b ON q.vec_id <> b.vec_id AND len(q.v) = len(b.v) WHERE q.vec_id % 50 = 0)
-        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
-        FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+            FROM sound q JOIN sound b ON q.r <> b.r AND len(q.v) = len(b.v) WHERE q.vec_id % 50 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other)::INTEGER AS rank, vec_id, score
+        FROM scored QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) <= 5
     """,
     "op12_conversation_trie": """
         WITH own AS (

@@ -21,16 +21,15 @@ _ROWS = 1_024        # approximations compared with a block of queries at once
 
 
 def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v): vectors of whole numbers floor(256 * x).
+    """(row, vec_id, v): vectors of whole numbers floor(256 * x), each row under a number of its own.
 
     Rows with a null id, and vectors that are null, empty or hold null or non-finite components, take no
-    part. Of rows that share an id the greatest vector stays.
+    part. Rows may share an id. The numbers hold once the rows are stored.
     """
     x = F.col(embedding).cast("array<double>")
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return vectors.where(F.col(id_col).isNotNull() & (F.size(embedding) > 0) & sound).select(
-        F.col(id_col).alias("vec_id"), F.transform(x, lambda c: F.floor(c * SCALE)).alias("v")
-    ).groupBy("vec_id").agg(F.max("v").alias("v"))
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("vec_id"), F.transform(x, lambda c: F.floor(c * SCALE)).alias("v"))
 
 
 def _edges(base: DataFrame) -> dict[int, np.ndarray]:
@@ -135,17 +134,19 @@ def search(vectors: DataFrame, is_query=None, k: int = 5, id_col: str = "vec_id"
     """(query_id, rank, vec_id, score): each query's ``k`` highest integer inner products, exact.
 
     Queries are the rows that ``is_query`` holds for (by default ids divisible by 50), candidates are
-    all rows of the same length but the query's own; ties go to the smaller id, and a query with fewer
-    candidates has them all. One block of at most ``query_block`` queries is broadcast at a time; each
+    all rows of the same length but the query's own row, so other rows of its id too; ties go to the smaller
+    id, and a query with fewer candidates has them all. One block of at most ``query_block`` queries is broadcast at a time; each
     task scans its part of the approximation file. The first scan finds the k-th best lower bound, the
     second keeps only vectors whose upper bound reaches it, and exact vectors are read for those alone.
     What takes no part is said at ``whole_vectors``. An empty table gives no rows.
     """
     is_query = F.col("vec_id") % 50 == 0 if is_query is None else is_query
-    base = cut_lineage(whole_vectors(vectors, id_col, embedding), "vectors")
+    named = cut_lineage(whole_vectors(vectors, id_col, embedding), "vectors")
+    # inside, a row's number stands for its id
+    base = named.select(F.col("row").alias("vec_id"), "v")
     edges = _edges(base)
     file = approximations(base, edges)
-    asked = cut_lineage(distributed_rank(base.where(is_query), ["vec_id"], "n").withColumn(
+    asked = cut_lineage(distributed_rank(named.where(is_query).select(F.col("row").alias("vec_id"), "v"), ["vec_id"], "n").withColumn(
         "block", F.floor((F.col("n") - 1) / query_block)), "queries")
     blocks = (asked.agg(F.max("block")).first()[0] if edges else None)
     found = None
@@ -154,10 +155,10 @@ def search(vectors: DataFrame, is_query=None, k: int = 5, id_col: str = "vec_id"
         part = cut_lineage(_block_candidates(file, edges, block, k), "candidates")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return base.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
+        return named.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
     exact = (
-        found.join(base, "vec_id")
-        .join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-        .select("query_id", "vec_id", F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x).alias("score")))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        found.select(F.col("query_id").alias("asker"), F.col("vec_id").alias("row")).join(named, "row")
+        .join(named.where(is_query).select(F.col("row").alias("asker"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "asker")
+        .select("asker", "query_id", "row", "vec_id", F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x).alias("score")))
+    order = Window.partitionBy("asker").orderBy(F.col("score").desc(), "vec_id", "row")
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -99,6 +99,10 @@ def test_line_dedup(spark, docs, empty, sf_dir):
     kept = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(docs).collect()}
     assert kept[12] == "one two three four five\n" and kept[5] == ""
     assert line_dedup.line_matches(empty).count() == 0
+    shared = spark.createDataFrame([(1, "a b c d e"), (2, "one two three four five\nkeep me safe here now"), (2, "precious text of another row\none two three four five"),
+                                    (1, "one two three four five"), (None, "a b c d e")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.without_repeats(shared).collect()) == [
+        (0, "a b c d e"), (1, ""), (1, "one two three four five"), (2, "keep me safe here now"), (2, "precious text of another row")]
 
 
 def test_exact(docs, empty):
@@ -323,15 +327,15 @@ def test_simhash_links_are_all_found(spark):
 def test_topk(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(0, 40, 6)], 1) for i in range(300)]
-    rows += [(i + 300, rows[i][1], 1) for i in range(20)] + [(400, None, 1), (450, [1.0, None], 1), (500, [float("nan")] * 6, 1), (None, [1.0] * 6, 1), (550, [3.0, 4.0], 1), (50, rows[50][1], 2)]
+    rows += [(i + 300, rows[i][1], 1) for i in range(20)] + [(400, None, 1), (450, [1.0, None], 1), (500, [float("nan")] * 6, 1), (None, [1.0] * 6, 1), (550, [3.0, 4.0], 1), (50, rows[50][1], 2), (100, [2.0, -90.0, 7.5, 0.0, 3.0, 1.0], 3)]
     got = sorted(tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int"), query_block=3).collect())
-    whole = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()}
+    whole = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()]
     wanted = []
-    for q in whole:
+    for n, (q, x) in enumerate(whole):
         if q % 50 == 0:
-            near = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:5]
-            wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(near)]
-    assert got == sorted(wanted)
+            near = sorted((-int(x @ v), i) for m, (i, v) in enumerate(whole) if m != n and len(v) == len(x))[:5]
+            wanted += [(q, rank + 1, i, -score) for rank, (score, i) in enumerate(near)]
+    assert got == sorted(wanted) and len([w for w in wanted if w[0] == 100]) == 10
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
