@@ -21,7 +21,8 @@ ship(__name__)
 
 RANGE = 1 << 16        # bytes of a range; longer texts are cut into several
 MARGIN = 1 << 10       # how far a cut looks for a blank on either side; a range without one goes on
-SLICE = 4 << 20        # bytes of short texts whose words are encoded together
+SLICE = 1 << 20        # bytes of short texts whose words are encoded together
+PACK = 1 << 11         # bytes of words that are encoded as one stretch
 FAN_IN = 16            # neighbours that one step of the reduction composes
 FREQUENT = 1 << 18     # pairs that hold this part of all links or more are told by a table of as many rows at most
 
@@ -160,23 +161,59 @@ def words_of(data: bytes) -> list[bytes]:
     return [data[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
-def align_words(pair: Pair, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """(good or not, numbers of A, B and groups, groups as written, link keys end to end) of stretches."""
-    ids_a, ids_b, same = pair.encode(words)
-    good = [k for k, s in enumerate(same) if s]
-    sizes, groups = np.zeros((3, len(words)), np.int64), [""] * len(words)
-    if not good:
-        return np.array(same), sizes, groups, np.zeros(0, np.int64)
-    # stretches lie end to end; both token streams end with each of them, so no group crosses a border
-    sizes[0][good], sizes[1][good] = [len(ids_a[k]) for k in good], [len(ids_b[k]) for k in good]
-    a = np.fromiter((i for k in good for i in ids_a[k]), np.int64, int(sizes[0].sum()))
-    b = np.fromiter((i for k in good for i in ids_b[k]), np.int64, int(sizes[1].sum()))
-    ends_a, _, at_a, at_b = shared_ends(pair, a, b)
-    borders = np.searchsorted(ends_a[at_a], np.cumsum([len(words[k]) for k in good]))
-    sizes[2][good] = np.diff(np.r_[-1, borders])
-    for k, text in zip(good, written(pair, a, b, at_a, at_b, borders)):
-        groups[k] = text
-    return np.array(same), sizes, groups, a[at_a] * len(pair.bytes_b) + b[at_b]
+def _packed(words: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
+    """Words by number in packs that are encoded as one stretch, and the others alone.
+
+    A word between two printed ASCII characters may stand beside another such word: both tokenizers end
+    a token where they meet.
+    """
+    packs, alone, now, size = [], [], [], 0
+    for i, w in enumerate(words):
+        if len(w) > 1 and 32 < w[1] < 127 and 32 < w[-1] < 127:
+            now.append(i)
+            size += len(w)
+            if size >= PACK:
+                packs.append(now)
+                now, size = [], 0
+        else:
+            alone.append([i])
+    return packs + ([now] if now else []), alone
+
+
+def align_words(pair: Pair, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """(good or not, numbers of A, B and groups, groups as written, where links start, link keys) of words."""
+    good, sizes, groups = np.zeros(len(words), bool), np.zeros((3, len(words)), np.int64), [""] * len(words)
+    starts = np.zeros(len(words), np.int64)
+    packs, alone = _packed(words)
+    units, held_a, held_b = [], [], []
+
+    def encode(these: list[list[int]]) -> list[list[int]]:
+        """Encode stretches; those whose tokens do not give their bytes come back."""
+        ids_a, ids_b, same = pair.encode([b"".join([words[i] for i in u]) for u in these]) if these else ([], [], [])
+        for u, x, y, s in zip(these, ids_a, ids_b, same):
+            if s:
+                units.append(u)
+                held_a.append(np.array(x, np.int32))
+                held_b.append(np.array(y, np.int32))
+        return [u for u, s in zip(these, same) if not s]
+
+    encode(alone + [[i] for u in encode(packs) for i in u])
+    if not units:
+        return good, sizes, groups, starts, np.zeros(0, np.int64)
+    # words lie end to end; both token streams end with each of them, so no group crosses a border
+    order = [i for u in units for i in u]
+    a, b = np.concatenate(held_a).astype(np.int64), np.concatenate(held_b).astype(np.int64)
+    ends_a, ends_b, at_a, at_b = shared_ends(pair, a, b)
+    stops = np.cumsum([len(words[i]) for i in order])
+    borders = np.searchsorted(ends_a[at_a], stops)
+    good[order] = True
+    sizes[0][order] = np.diff(np.r_[0, np.searchsorted(ends_a, stops, "right")])
+    sizes[1][order] = np.diff(np.r_[0, np.searchsorted(ends_b, stops, "right")])
+    sizes[2][order] = np.diff(np.r_[-1, borders])
+    starts[order] = np.r_[0, borders[:-1] + 1]
+    for i, text in zip(order, written(pair, a, b, at_a, at_b, borders)):
+        groups[i] = text
+    return good, sizes, groups, starts, a[at_a] * len(pair.bytes_b) + b[at_b]
 
 
 def align_texts(pair: Pair, texts: list[bytes]) -> list[tuple]:
@@ -190,8 +227,7 @@ def align_texts(pair: Pair, texts: list[bytes]) -> list[tuple]:
         return found
     known: dict[bytes, int] = {}
     of = [[known.setdefault(w, len(known)) for w in words_of(texts[i])] for i in some]
-    good, sizes, groups, keys = align_words(pair, list(known))
-    starts = np.cumsum(sizes[2]) - sizes[2]
+    good, sizes, groups, starts, keys = align_words(pair, list(known))
     for i, words in zip(some, of):
         at = np.array(words, np.int64)
         if not good[at].all():
