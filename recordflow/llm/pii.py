@@ -155,8 +155,9 @@ def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def revealing_terms(found: DataFrame, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """(term, kind) of the terms that give an entity away, from (unit, entities, masked).
 
-    Counts are of different texts (``unit``), over all rows: n_t with the term, n_c with the entity, n_ct with
-    both, N in all. A term must pass two tests. Chance: with the text's share of the corpus q = n_c / N, more
+    Counts are of different texts (``unit``), over all rows: n_c with the entity, n_ct with both, N in all; n_t, with
+    the term, counts the texts with both and every row with the term alone. So copies of a text with an entity are
+    one case, and copies elsewhere speak against a term. A term must pass two tests. Chance: with the text's share of the corpus q = n_c / N, more
     if its texts are longer than others, C(n_t, n_ct) q^n_ct bounds the probability of meeting so often by
     chance; over all pairs tried it may add up to ``CHANCE``. So a word that stood once beside an address tells
     nothing, as every text has such words. Disclosure: the share of the entity's information that the term
@@ -174,7 +175,7 @@ def revealing_terms(found: DataFrame, remove_at: float = REMOVE_AT, generalise_a
         return rows.select("unit", F.explode(F.array_distinct(terms(F.col("masked")))).alias("term"))
 
     # Stored, so that the counts of all terms are combined before any are looked up.
-    seen = cut_lineage(held_terms(found).distinct().groupBy("term").agg(F.count("*").alias("n_t")).where("n_t > 1"), "term-counts")
+    seen = cut_lineage(held_terms(found).groupBy("term").agg(F.count("*").alias("n_rows")).where("n_rows > 1"), "term-counts")
     named = found.where(F.size("entities") > 0)
     held = named.select("unit", F.length("masked").alias("n"), F.explode("entities").alias("entity")).distinct()
     alike = held.groupBy("entity").agg(
@@ -187,13 +188,16 @@ def revealing_terms(found: DataFrame, remove_at: float = REMOVE_AT, generalise_a
     groups = alike.groupBy("a", "b", "n_c").agg(F.avg("n").alias("n"))
     chance = F.least(F.col("n_c") / texts * F.greatest(F.col("n") / length, F.lit(1.0)), F.lit(1.0))
     groups = groups.select("a", "b", "n_c", chance.alias("q"), limit(F.col("n_c")).alias("most"))
-    classes = cut_lineage(held.join(alike.select("entity", "a", "b"), "entity").select("unit", "a", "b").distinct().join(groups, ["a", "b"]), "classes")
-    most = classes.agg(F.max("most")).first()[0] or 0.0
-    rare = seen.where(F.col("n_t") <= most)
+    copies = named.groupBy("unit").agg(F.count("*").alias("copies"))
+    classes = cut_lineage(
+        held.join(alike.select("entity", "a", "b"), "entity").select("unit", "a", "b").distinct().join(groups, ["a", "b"]).join(copies, "unit"), "classes")
+    most = classes.groupBy("a", "b").agg((F.max("most") + F.sum("copies")).alias("rows")).agg(F.max("rows")).first()[0] or 0.0
+    rare = seen.where(F.col("n_rows") <= most)
     beside = _among(held_terms(named).distinct(), rare).join(rare, "term")
     pairs = cut_lineage(
-        beside.join(classes, "unit").where(F.col("n_t") <= F.col("most"))
-        .groupBy("a", "b", "n_c", "q", "term", "n_t").agg(F.count("*").alias("n_ct")), "pairs")
+        beside.join(classes, "unit").groupBy("a", "b", "n_c", "q", "most", "term", "n_rows")
+        .agg(F.count("*").alias("n_ct"), F.sum("copies").alias("rows_ct"))
+        .withColumn("n_t", F.col("n_ct") + F.col("n_rows") - F.col("rows_ct")).where((F.col("n_t") <= F.col("most")) & (F.col("n_t") > 1)), "pairs")
     tried = max(pairs.count(), 1)
     n, k = F.col("n_t"), F.col("n_ct")
     ways = F.least(k * (1 + F.log(n / k)), F.when(n > k, (n - k) * (1 + F.log(n / (n - k)))).otherwise(0.0))  # bounds log C(n, k)

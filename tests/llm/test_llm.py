@@ -208,14 +208,17 @@ def test_pii_terms_against_counted_pairs(spark):
             with_term[w].add(t)
         for e in entities:
             classes[e].add(t)
+    rows_with = Counter(w for t in texts for w in held[t][1])
     pairs = []
     for members in {frozenset(m) for m in classes.values() if 1 < len(m) < n}:
         n_c = len(members)
         q = min(1.0, n_c / n * max(1.0, np.mean([held[t][2] for t in members]) / mean))
         most = (n_c + pii.CONFIDENCE) * (n / n_c) ** (1 - pii.GENERALISE_AT)
         for w in {w for t in members for w in held[t][1]}:
-            if 1 < len(with_term[w]) <= most:
-                pairs.append((w, n_c, q, len(with_term[w]), len(with_term[w] & members)))
+            both = with_term[w] & members
+            n_t = len(both) + rows_with[w] - sum(texts.count(t) for t in both)
+            if rows_with[w] > 1 and 1 < n_t <= most:
+                pairs.append((w, n_c, q, n_t, len(both)))
     best = {}
     for w, n_c, q, n_t, k in pairs:
         ways = min(k * (1 + np.log(n_t / k)), (n_t - k) * (1 + np.log(n_t / (n_t - k))) if n_t > k else 0.0)
