@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,93 +16,145 @@ from recordflow.runtime import distributed_rank
 N_DISTINCT = 10
 N_SAMPLE = 3
 
-# Rows of each group looked at first; groups showing N_DISTINCT values there need no full pass.
-_HEAD = 500
+# Rows of state after which a task hands on what it has and starts anew; states merge in any order.
+_STATE_ROWS = 200_000
 _TEXT_BLOCKS = 1_000
+_ORDER = [("key", "ascending"), ("place", "ascending"), ("value", "ascending")]
 
 
-def _top(rows: DataFrame, key: str, place: str, count: int) -> DataFrame:
-    """The ``count`` least-placed rows per key; the limit applies per task before the shuffle."""
-    order = Window.partitionBy(key).orderBy(place)
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= count).drop("_n")
+def _sorted(rows: pa.Table) -> pa.Table:
+    return rows.take(pc.sort_indices(rows, sort_keys=_ORDER, null_placement="at_start")).combine_chunks()
 
 
-def _ordered(place: str, value: str) -> Column:
-    """The values of a small group as a JSON array in place order, nulls kept."""
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(place), F.col(value))))
-    return F.to_json(F.transform(pairs, lambda p: p[value]))
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
+    """A number per row and the values by number, null being a value."""
+    whole = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+    return whole.indices.to_numpy(zero_copy_only=False), whole.dictionary.to_pylist()
 
 
-def _summary(firsts: DataFrame, heads: DataFrame, key: str) -> DataFrame:
-    uniques = _top(firsts, key, "place", N_DISTINCT).groupBy(key).agg(_ordered("place", "value").alias("unique_values"))
-    sample = heads.groupBy(key).agg(_ordered("place", "value").alias("sample"))
-    return uniques.join(sample, key)
+def _leading(rows: pa.Table, count: int) -> pa.Table:
+    """The first ``count`` rows per key of sorted rows."""
+    if not rows.num_rows:
+        return rows
+    codes, _ = _codes(rows["key"])
+    at = np.arange(len(codes))
+    begins = np.r_[True, codes[1:] != codes[:-1]]
+    return rows.filter(pa.array(at - np.maximum.accumulate(np.where(begins, at, 0)) < count))
 
 
-def _firsts(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key, "value").agg(F.min("place").alias("place"))
+def _distinct(rows: pa.Table) -> pa.Table:
+    """The first row of each (key, value) of sorted rows, in their order."""
+    if not rows.num_rows:
+        return rows
+    numbered = rows.select(["key", "value"]).append_column("at", pa.array(np.arange(rows.num_rows)))
+    first = numbered.group_by(["key", "value"]).aggregate([("at", "min")])["at_min"]
+    return rows.take(pa.array(np.sort(first.to_numpy())))
 
 
-def _complete(heads: DataFrame, key: str) -> DataFrame:
-    """Keys that already show enough distinct values among their first rows."""
-    return (
-        _firsts(heads, key).groupBy(key).agg(F.count("*").alias("_n"))
-        .where(F.col("_n") >= N_DISTINCT).select(key)
-    )
+def _within(rows: pa.Table, firsts: pa.Table) -> pa.Table:
+    """Without the rows that lie after the last of a key's ``N_DISTINCT`` first values."""
+    held: dict = {}
+    for key, place in zip(firsts["key"].to_pylist(), firsts["place"]):
+        held.setdefault(key, []).append(place)
+    codes, keys = _codes(rows["key"])
+    full = [held[k][-1].as_py() if len(held.get(k, ())) >= N_DISTINCT else None for k in keys]
+    if all(b is None for b in full):
+        return rows
+    bounds = pa.array(full, rows.schema.field("place").type).take(pa.array(codes))
+    return rows.filter(pc.fill_null(pc.less_equal(rows["place"], bounds), True))
+
+
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First distinct values and first values per key of a task's rows (key, value, place).
+
+    A task keeps ``N_DISTINCT`` and ``N_SAMPLE`` rows a key. The first of all rows are among those of
+    the tasks, so states of tasks merge by taking the first again.
+    """
+    firsts = sample = None
+
+    def out(firsts: pa.Table, sample: pa.Table) -> Iterator[pa.RecordBatch]:
+        for rows, kind in ((firsts, True), (sample, False)):
+            yield from rows.append_column("first", pa.array([kind] * rows.num_rows, pa.bool_())).to_batches()
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if not rows.num_rows:
+            continue
+        if firsts is not None:
+            rows = _within(rows, firsts)
+            if not rows.num_rows:
+                continue
+        rows = _sorted(rows)
+        some, few = _leading(_distinct(rows), N_DISTINCT), _leading(rows, N_SAMPLE)
+        if firsts is not None:
+            some = _leading(_distinct(_sorted(pa.concat_tables([firsts, some]))), N_DISTINCT)
+            few = _leading(_sorted(pa.concat_tables([sample, few])), N_SAMPLE)
+        firsts, sample = some, few
+        if firsts.num_rows > _STATE_ROWS:
+            yield from out(firsts, sample)
+            firsts = sample = None
+    if firsts is not None:
+        yield from out(firsts, sample)
+
+
+def _values(rows: Column) -> Column:
+    """The values of (place, value, n) rows, each n times, in place order."""
+    return F.flatten(F.transform(F.sort_array(rows), lambda r: F.array_repeat(r["value"], F.least(r["n"], F.lit(N_SAMPLE)).cast("int"))))
+
+
+def _summary(rows: DataFrame) -> DataFrame:
+    """(key, begins, unique_values, sample) of rows (key, value, place), which are read once and not shuffled.
+
+    Rows without a place come first.
+    Only the states of the tasks move: by value first, then the least-placed few of each key.
+    """
+    kinds = dict(rows.dtypes)
+    states = rows.mapInArrow(_states, f"key {kinds['key']}, value string, place {kinds['place']}, first boolean")
+    merged = states.groupBy("key", "first", "value", F.when(~F.col("first"), F.col("place")).alias("own")).agg(
+        F.min(F.struct("place"))["place"].alias("place"), F.count("*").alias("n"))
+    order = Window.partitionBy("key", "first").orderBy("place", "value")
+    leading = merged.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= N_DISTINCT)
+    found = F.struct("place", "value", F.when(F.col("first"), F.lit(1).cast("bigint")).otherwise(F.col("n")).alias("n"))
+    return leading.groupBy("key").agg(
+        F.min(F.struct("place"))["place"].alias("begins"),
+        F.collect_list(F.when(F.col("first"), found)).alias("firsts"),
+        F.collect_list(F.when(~F.col("first"), found)).alias("heads"),
+    ).select(
+        "key", "begins", F.to_json(_values(F.col("firsts"))).alias("unique_values"),
+        F.to_json(F.slice(_values(F.col("heads")), 1, N_SAMPLE)).alias("sample"))
 
 
 def _unpivot(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     cells = F.array(*[
-        F.struct(F.lit(i).cast("bigint").alias("position"), value_text(F.col(f"`{c}`"), types[c]).alias("value"))
+        F.struct(F.lit(i).cast("bigint").alias("key"), value_text(F.col(f"`{c}`"), types[c]).alias("value"))
         for i, c in enumerate(columns, 1)
     ])
-    return df.select(F.col(order).alias("place"), F.inline(cells))
+    return df.select(F.col(order).alias("place"), F.inline(cells)).select("key", "value", "place")
 
 
 def profile_wide(df: DataFrame, order: str, columns: list[str] | None = None) -> DataFrame:
-    """Per column: position, name, type, first distinct values (null counts) and first values.
+    """Per column: position, name, type, first distinct values (null counts) and first values, in one pass.
 
-    The first rows of the table settle every column with many values; only the others are
-    aggregated over the whole table, where map-side combine leaves few values per task.
+    Rows of one place are taken by value, null first. Each task keeps a few rows a column, so neither
+    many values nor many rows of a column move.
     """
     columns = columns or df.columns
-    head = _unpivot(df.orderBy(order).limit(_HEAD), columns, order)
-    done = _complete(head, "position")
-    marked = F.broadcast(done)  # at most one row per column
-    full = _unpivot(df, columns, order).join(marked, "position", "left_anti")
-    firsts = _firsts(full, "position").unionByName(_firsts(head.join(marked, "position", "left_semi"), "position"))
-    sample = _unpivot(df.orderBy(order).limit(N_SAMPLE), columns, order)
     types = dict(df.dtypes)
     names = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type")) for c in columns])
-    info = F.element_at(names, F.col("position").cast("int"))
-    return _summary(firsts, sample, "position").select(
-        "position", info["column"].alias("column"), info["type"].alias("type"), "unique_values", "sample"
-    )
+    info = F.element_at(names, F.col("key").cast("int"))
+    return _summary(_unpivot(df, columns, order)).select(
+        F.col("key").alias("position"), info["column"].alias("column"), info["type"].alias("type"), "unique_values", "sample")
 
 
 def profile_long(df: DataFrame, name: str, value: str, order: str) -> DataFrame:
-    """The same per observation name, null being one; names numbered by first appearance (their ranking is stored, so
-    building the plan runs a job over the distinct names)."""
+    """The same per observation name, null being one; names numbered by first appearance, those of one place by
+    name (the numbered profile is stored, so building the plan runs a job)."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    # Structs are equal when their members are both null, so a null name survives the joins.
-    rows = df.select(
-        F.struct(F.col(name).alias("name")).alias("observation"), value_text(F.col(value), types[value]).alias("value"),
-        F.col(order).alias("place"),
-    )
-    head = _top(rows, "observation", "place", _HEAD)
-    done = _complete(head, "observation")
-    full = rows.join(done, "observation", "left_anti")
-    firsts = _firsts(full, "observation").unionByName(
-        _firsts(head.join(done, "observation", "left_semi"), "observation")
-    )
-    sample = _top(rows, "observation", "place", N_SAMPLE)
-    appeared = rows.groupBy("observation").agg(F.min("place").alias("_first"))
-    positions = distributed_rank(appeared, ["_first"], "position")
-    return (
-        _summary(firsts, sample, "observation").join(positions, "observation")
-        .select("position", F.col("observation.name").alias("observation"), F.lit(dict(df.dtypes)[value]).alias("type"), "unique_values", "sample")
-    )
+    rows = df.select(F.col(name).alias("key"), value_text(F.col(value), types[value]).alias("value"), F.col(order).alias("place"))
+    return distributed_rank(_summary(rows), ["begins", "key"], "position").select(
+        "position", F.col("key").alias("observation"), F.lit(dict(df.dtypes)[value]).alias("type"), "unique_values", "sample")
 
 
 def profile_text(profile: DataFrame) -> DataFrame:

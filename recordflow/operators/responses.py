@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordflow.functions.text import json_text, last_key_wins, strict_json, tagged_json, untagged
+from recordflow.functions.text import (
+    FALSE_WORDS, TRUE_WORDS, bound, json_text, last_key_wins, strict_json, tagged_json, untagged,
+)
 from recordflow.operators.schema import RULE_COLUMNS, normalize_enum_values
 
 # Recommendation types and priorities.
@@ -37,6 +41,7 @@ DEFAULT_REASONING = "No structural optimization analysis provided."
 FAILED_REASONING = "\n\nThe proposed optimized schema had validation errors and couldn't be applied."
 FAILED_CHANGE = "Optimization failed due to schema validation errors."
 
+# Member names of the answers.
 _RECOMMENDATION = "struct<type:string,description:string,priority:string,reason:string,example:string>"
 ANALYSIS_JSON = f"struct<recommendations:array<{_RECOMMENDATION}>,missing_information:array<string>,general_feedback:string>"
 VERIFICATION_JSON = "struct<approved:boolean,reasons:array<string>,suggestions:array<string>>"
@@ -87,24 +92,74 @@ def _normal_recommendation(rec: Column) -> Column:
     )
 
 
+def _kind(value: Column, member: str) -> Column:
+    """JSON kind of a member of a variant: VOID for null, none when absent."""
+    return F.schema_of_variant(F.try_variant_get(value, f"$.{member}", "variant"))
+
+
+def _is_text(value: Column, member: str) -> Column:
+    return F.coalesce(_kind(value, member) == "STRING", F.lit(False))
+
+
+def _may_be_text(value: Column, member: str, null: bool = True) -> Column:
+    """Text or absent; null too where it is allowed."""
+    return F.coalesce(_kind(value, member).isin("STRING", *(["VOID"] if null else [])), F.lit(True))
+
+
+def _may_be_bool(value: Column, member: str) -> Column:
+    """Absent, or something that reads as true or false."""
+    shown = F.lower(F.try_variant_get(value, f"$.{member}", "string"))
+    scalar = _kind(value, member).isin("BOOLEAN", "STRING", "BIGINT")
+    return _kind(value, member).isNull() | F.coalesce(scalar & shown.isin(*TRUE_WORDS, *FALSE_WORDS), F.lit(False))
+
+
+def _items(value: Column, member: str) -> Column:
+    return F.try_variant_get(value, f"$.{member}", "array<variant>")
+
+
+def _all_items(value: Column, member: str, good: Callable[[Column], Column], absent: bool = False, null: bool = False) -> Column:
+    """The member is a list and all its items are good; it may be absent or null where that is allowed."""
+    kind = _kind(value, member)
+    listed = F.coalesce(F.forall(_items(value, member), good), F.lit(False)) & F.coalesce(kind.startswith("ARRAY"), F.lit(False))
+    return listed | (kind.isNull() & absent) | (F.coalesce(kind == "VOID", F.lit(False)) & null)
+
+
+def _texts_only(item: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(item) == "STRING", F.lit(False))
+
+
+def _analysis_kinds(whole: Column) -> Column:
+    """Whether the members of an analysis have the JSON kinds they must; what gets filled in may be absent."""
+    return (
+        _all_items(whole, "recommendations", lambda r: (
+            _is_text(r, "type") & _may_be_text(r, "priority") & _is_text(r, "description") & _is_text(r, "reason")
+            & _may_be_text(r, "example")))
+        & _all_items(whole, "missing_information", _texts_only, absent=True)
+        & _may_be_text(whole, "general_feedback")
+    )
+
+
 def normalize_recommendations(df: DataFrame, json_col: str, out: str = "analysis") -> DataFrame:
     """Parse advisor analyses and bring their types and priorities into the allowed sets.
 
     A recommendation without a type is left as it is. A priority that is allowed but for its case
-    passes unchanged. Feedback is filled in when there are recommendations but no feedback.
+    passes unchanged. Feedback is filled in when there are recommendations but no feedback. ``kinds_ok``
+    in the analysis says whether texts and lists were given as such; numbers in their place read as text.
     """
     parsed = F.from_json(F.col(json_col), ANALYSIS_JSON)
     recs = F.transform(parsed["recommendations"], _normal_recommendation)
     feedback = F.when(
         parsed["recommendations"].isNotNull(), F.coalesce(parsed["general_feedback"], F.lit(DEFAULT_FEEDBACK))
     ).otherwise(parsed["general_feedback"])
-    return df.withColumn(
-        out, F.when(parsed.isNotNull(), parsed.withField("recommendations", recs).withField("general_feedback", feedback))
-    )
+    with last_key_wins(df.sparkSession):
+        kinds = bound(F.try_parse_json(F.col(json_col)), _analysis_kinds)
+        full = parsed.withField("recommendations", recs).withField("general_feedback", feedback)
+        return df.withColumn(out, F.when(parsed.isNotNull(), full.withField("kinds_ok", F.coalesce(kinds, F.lit(False)))))
 
 
 def valid_analysis(df: DataFrame, analysis: str = "analysis") -> DataFrame:
-    """Add ``valid``: every recommendation complete and within the allowed sets, feedback present."""
+    """Add ``valid``: every recommendation complete and within the allowed sets, feedback present, all members of
+    their JSON kind."""
     recs, feedback = F.col(f"{analysis}.recommendations"), F.col(f"{analysis}.general_feedback")
 
     def good(rec: Column) -> Column:
@@ -114,7 +169,8 @@ def valid_analysis(df: DataFrame, analysis: str = "analysis") -> DataFrame:
             & rec["description"].isNotNull() & rec["reason"].isNotNull()
         )
 
-    return df.withColumn("valid", F.coalesce(F.forall(recs, good), F.lit(False)) & feedback.isNotNull())
+    kinds = F.coalesce(F.col(f"{analysis}.kinds_ok"), F.lit(False))
+    return df.withColumn("valid", F.coalesce(F.forall(recs, good), F.lit(False)) & feedback.isNotNull() & kinds)
 
 
 def recommendations_by_priority(df: DataFrame, keep: list[str], analysis: str = "analysis") -> DataFrame:
@@ -145,21 +201,26 @@ def recommendations_by_priority(df: DataFrame, keep: list[str], analysis: str =
     )
 
 
-def valid_schema(schema: Column) -> Column:
-    """True when a parsed schema definition has its required members at every level."""
-    classes = F.forall(schema["classes"], lambda c: c["name"].isNotNull() & c["description"].isNotNull())
-    fields = F.forall(
-        schema["fields"],
-        lambda f: f["name"].isNotNull() & f["field_type"].isNotNull() & f["parent_class"].isNotNull()
-        & f["description"].isNotNull() & F.coalesce(F.forall(f["enum_values"], lambda v: v.isNotNull()), F.lit(True)),
-    )
-    enums = F.forall(
-        schema["enums"], lambda e: e["name"].isNotNull() & e["description"].isNotNull() & e["values"].isNotNull()
-    )
-    no = F.lit(False)
+def valid_schema(whole: Column) -> Column:
+    """True when a schema definition, a variant, has its required members at every level, each of its JSON kind.
+
+    Options are bare strings or objects of texts.
+    """
+    def option(item: Column) -> Column:
+        members = F.map_values(F.try_variant_get(item, "$", "map<string,variant>"))
+        return _texts_only(item) | F.coalesce(F.forall(members, _texts_only), F.lit(False))
+
     return (
-        F.coalesce(schema["main_class"].isNotNull(), no) & F.coalesce(classes, no) & F.coalesce(fields, no)
-        & F.coalesce(enums, schema["enums"].isNull())
+        _is_text(whole, "main_class")
+        & _all_items(whole, "classes", lambda c: (
+            _is_text(c, "name") & _is_text(c, "description") & _may_be_bool(c, "is_base_model")
+            & _may_be_text(c, "parent_class") & _may_be_bool(c, "is_enum")))
+        & _all_items(whole, "fields", lambda f: (
+            _is_text(f, "name") & _is_text(f, "field_type") & _is_text(f, "parent_class") & _is_text(f, "description")
+            & _may_be_bool(f, "is_optional") & _all_items(f, "enum_values", option, absent=True, null=True)))
+        & _all_items(whole, "enums", lambda e: (
+            _is_text(e, "name") & _may_be_text(e, "base_type", null=False) & _is_text(e, "description")
+            & _all_items(e, "values", option)), absent=True)
     )
 
 
@@ -172,10 +233,12 @@ def accept_optimized(df: DataFrame, original_col: str, response_col: str) -> Dat
     answer = F.from_json(F.col(response_col), OPTIMIZATION_JSON)
     staged = df.withColumn("_answer", answer).withColumn("_proposal", F.col("_answer.optimized_schema"))
     staged = normalize_enum_values(staged, "_proposal", "_new")
+    with last_key_wins(df.sparkSession):
+        staged = staged.withColumn("_kinds", bound(F.try_parse_json("_proposal"), valid_schema))
     flagged = F.coalesce(F.col("_answer.is_optimized"), F.lit(False)) & F.coalesce(
         ~F.col("_proposal").isin("{}", "[]", ""), F.lit(False)
     )
-    good = flagged & valid_schema(F.col("_new"))
+    good = flagged & F.coalesce("_kinds", F.lit(False))
     failed = flagged & ~good
     changes = F.coalesce(F.col("_answer.changes_made"), F.array().cast("array<string>"))
     reasoning = F.coalesce(F.col("_answer.reasoning"), F.lit(DEFAULT_REASONING))

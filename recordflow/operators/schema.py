@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordflow.functions.text import blank, title_text
+from recordflow.functions.text import blank, last_key_wins, title_text
 from recordflow.runtime import cut_lineage
 
 SEP = "::"
@@ -237,36 +237,46 @@ def mapping_monitor(validated: DataFrame, keys: list[str] | None = None) -> Data
     )
 
 
+# Member names of schema definitions.
 _FIELD = "struct<name:string,field_type:string,parent_class:string,description:string,is_optional:boolean,enum_values:array<string>,default_value:string>"
 _ENUM = "struct<name:string,base_type:string,description:string,values:array<string>>"
 _CLASS = "struct<name:string,description:string,is_base_model:boolean,parent_class:string,is_enum:boolean>"
 SCHEMA_JSON = f"struct<main_class:string,classes:array<{_CLASS}>,fields:array<{_FIELD}>,enums:array<{_ENUM}>>"
 
 
-def _normal_option(item: Column) -> Column:
-    """A bare string option becomes {name, description}; an object is read as it is."""
-    bare = ~F.trim(item).startswith("{")
-    as_object = F.from_json(item, "struct<name:string,description:string>")
+def _normal_option(item: Column, given: Column) -> Column:
+    """A bare string option becomes {name, description}; an object keeps all its members, as text.
+
+    ``given`` is the option as a variant, which tells a string from an object that looks alike.
+    """
+    bare = F.coalesce(F.schema_of_variant(given) == "STRING", ~F.trim(item).startswith("{"))
+    as_object = F.from_json(item, "map<string,string>")
     return F.when(
         bare,
-        F.struct(
-            F.upper(item).alias("name"),
-            title_text(F.replace(item, F.lit("_"), F.lit(" "))).alias("description"),
+        F.create_map(
+            F.lit("name"), F.upper(item),
+            F.lit("description"), title_text(F.replace(item, F.lit("_"), F.lit(" "))),
         ),
     ).otherwise(as_object)
 
 
 def normalize_enum_values(df: DataFrame, json_col: str, out: str = "schema") -> DataFrame:
-    """Parse a schema-definition JSON column; bare string options become objects. Narrow."""
+    """Parse a schema-definition JSON column; options become maps of text, bare strings name and description. Narrow."""
     parsed = F.from_json(F.col(json_col), SCHEMA_JSON)
-    fields = F.transform(
-        parsed["fields"],
-        lambda f: f.withField("enum_values", F.transform(f["enum_values"], _normal_option)),
-    )
-    enums = F.transform(
-        parsed["enums"], lambda e: e.withField("values", F.transform(e["values"], _normal_option))
-    )
-    return df.withColumn(out, parsed.withField("fields", fields).withField("enums", enums))
+    whole = F.try_parse_json(F.col(json_col))
+
+    def normal(member: str, options: str) -> Column:
+        given = F.try_variant_get(whole, f"$.{member}", "array<variant>")
+
+        def one(entry: Column, at: Column) -> Column:
+            items = F.try_variant_get(F.get(given, at), f"$.{options}", "array<variant>")
+            return entry.withField(options, F.transform(entry[options], lambda v, i: _normal_option(v, F.get(items, i))))
+
+        return F.transform(parsed[member], one)
+
+    with last_key_wins(df.sparkSession):
+        return df.withColumn(
+            out, parsed.withField("fields", normal("fields", "enum_values")).withField("enums", normal("enums", "values")))
 
 
 def schema_stats(df: DataFrame, json_col: str) -> DataFrame:

@@ -98,7 +98,12 @@ def q_normalize_recommendations(spark, sf_dir):
 
 
 def q_valid_analysis(spark, sf_dir):
-    return r.valid_analysis(_analysis(spark, sf_dir)).select("conv_id", "turn", "valid")
+    """Some reasons are numbers and some missing information is no list, which is not valid."""
+    given = analyses(spark, sf_dir)
+    advice = F.when(F.col("conv_id") % 7 == 0, F.replace("advice", F.lit('"because"'), F.lit("5"))).otherwise(F.col("advice"))
+    listed = F.when(F.col("conv_id") % 5 == 0, F.lit('"x"')).otherwise(F.lit('["x"]'))
+    given = given.withColumn("advice", F.concat(F.lit('{"missing_information":'), listed, F.lit(","), F.substring(advice, 2, 2**31 - 1)))
+    return r.valid_analysis(r.normalize_recommendations(given, "advice")).select("conv_id", "turn", "valid")
 
 
 def q_recommendations_by_priority(spark, sf_dir):
@@ -267,7 +272,8 @@ ORACLE = {
       FROM recs GROUP BY conv_id, turn""",
     "valid_analysis": f"""
       WITH {_RECS}
-      SELECT conv_id, turn, bool_and(type IS NOT NULL AND coalesce(priority IN ('high', 'medium', 'low'), false)) AS valid
+      SELECT conv_id, turn, bool_and(type IS NOT NULL AND coalesce(priority IN ('high', 'medium', 'low'), false))
+             AND conv_id % 7 <> 0 AND conv_id % 5 <> 0 AS valid
       FROM recs GROUP BY conv_id, turn""",
     "recommendations_by_priority": f"""
       WITH {_RECS}

@@ -104,7 +104,7 @@ def definition_json(spark, sf_dir):
         F.lit('"classes":[{"name":"Report","description":"d","is_base_model":true}],"fields":['
               '{"name":"grade","field_type":"Grade","parent_class":"Report","description":"g","enum_values":["o\'neil_3d fit","'),
         F.lower("p_type"),
-        F.lit('_fit",{"name":"X","description":"kept As is"}]},'
+        F.lit('_fit",{"name":"X","description":"kept As is"},{"value":"A","label":"x"}]},'
               '{"name":"n","field_type":"int","parent_class":"Report","description":"n","enum_values":null}]'),
         F.when(F.col("p_size") % 4 != 0, F.concat(
             F.lit(',"enums":[{"name":"Grade","base_type":"str","description":"e","values":["'),
@@ -230,7 +230,7 @@ ORACLE = {
     "normalize_enum_values": f"""
       SELECT p_partkey AS schema_id,
         '[[{{"name":"O''NEIL_3D FIT","description":"O''Neil 3D Fit"}},{{"name":"' || p_type || '_FIT","description":"'
-          || {_TITLE.format("p_type")} || ' Fit"}},{{"name":"X","description":"kept As is"}}],null]' AS field_options,
+          || {_TITLE.format("p_type")} || ' Fit"}},{{"name":"X","description":"kept As is"}},{{"value":"A","label":"x"}}],null]' AS field_options,
         CASE WHEN p_size % 4 <> 0 THEN '[[{{"name":"' || upper(replace(p_name, ' ', '_')) || '","description":"'
           || {_TITLE.format("p_name")} || '"}}]]' END AS enum_options
       FROM part""",

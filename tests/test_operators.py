@@ -135,6 +135,23 @@ def test_profiles_equal_brute_force(spark):
     assert json.loads(wide["few"]["sample"]) == few[:3]
 
 
+def test_profiles_of_ties_nulls_and_many_names(spark):
+    rng = random.Random(6)
+    data = [(rng.choice([None, *range(300)]), rng.choice([None, *map(str, range(400))]), rng.choice([None, "x", "y", str(rng.random())])) for _ in range(6_000)]
+    df = spark.createDataFrame(data, "ord int, name string, value string").repartition(5)
+
+    def first(v):
+        return v is not None, v
+
+    for r in profiling.profile_long(df, "name", "value", "ord").collect():
+        rows = sorted(((o, v) for o, n, v in data if n == r["observation"]), key=lambda x: (first(x[0]), first(x[1])))
+        assert json.loads(r["sample"]) == [v for _, v in rows][:3]
+        assert json.loads(r["unique_values"]) == list(dict.fromkeys(v for _, v in rows))[:10]
+    plan = profiling._summary(df.selectExpr("name AS key", "value", "ord AS place"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    assert profiling.profile_wide(df.limit(0), "ord").count() == 0 and profiling.profile_long(df.limit(0), "name", "value", "ord").count() == 0
+
+
 def test_list_answers_by_their_json_kind(spark):
     answers = T.StructType([target("tags", "str", required=True, many=True), target("opt", "str", many=True), target("ns", "int", many=True)])
     cases = {
@@ -191,6 +208,36 @@ def test_synonyms_and_priorities(spark):
     assert not responses.valid_analysis(normal).first()["valid"]
 
 
+def test_analyses_and_schemas_by_json_kind(spark):
+    rec = {"type": "general", "priority": "low", "description": "d", "reason": "r"}
+    good = {"recommendations": [rec], "general_feedback": "f"}
+    cases = [
+        (good, True), ({**good, "missing_information": ["x"]}, True), ({**good, "missing_information": "x"}, False),
+        ({**good, "missing_information": [1]}, False), ({**good, "missing_information": None}, False), ({**good, "general_feedback": 7}, False),
+        ({**good, "recommendations": [{**rec, "description": 5}]}, False), ({**good, "recommendations": [{**rec, "example": None}]}, True),
+        ({**good, "recommendations": "x"}, False), ({**good, "recommendations": []}, True), ({"general_feedback": "f"}, False), ([], False), (None, False),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(a) if a is not None else None) for i, (a, _) in enumerate(cases)], "id long, j string")
+    got = {r["id"]: r["valid"] for r in responses.valid_analysis(responses.normalize_recommendations(df, "j")).collect()}
+    assert got == {i: ok for i, (_, ok) in enumerate(cases)}
+
+    field = {"name": "f", "field_type": "str", "parent_class": "M", "description": "x"}
+    schema = {"main_class": "M", "classes": [{"name": "M", "description": "m"}], "fields": [field]}
+    options = [{"value": "A", "label": "x"}, "red_hue"]
+    cases = [
+        (schema, True), ({**schema, "fields": [{**field, "enum_values": options}]}, True), ({**schema, "fields": [{**field, "enum_values": [1]}]}, False),
+        ({**schema, "fields": [{**field, "enum_values": [{"value": 1}]}]}, False), ({**schema, "fields": [{**field, "name": 3}]}, False),
+        ({**schema, "fields": [{**field, "is_optional": "no", "default_value": 3}]}, True), ({**schema, "fields": [{**field, "is_optional": [1]}]}, False),
+        ({**schema, "enums": [{"name": "E", "description": "e", "values": ["a"]}]}, True), ({**schema, "enums": [{"name": "E", "values": ["a"]}]}, False),
+        ({**schema, "classes": None}, False), ({**schema, "enums": None}, False),
+    ]
+    answers = [(i, "{}", json.dumps({"is_optimized": True, "reasoning": "r", "optimized_schema": a})) for i, (a, _) in enumerate(cases)]
+    out = responses.accept_optimized(spark.createDataFrame(answers, "id long, original string, answer string"), "original", "answer").collect()
+    assert {r["id"]: r["is_optimized"] for r in out} == {i: ok for i, (_, ok) in enumerate(cases)}
+    kept = json.loads(next(r["final_schema"] for r in out if r["id"] == 1))["fields"][0]["enum_values"]
+    assert kept == [{"value": "A", "label": "x"}, {"name": "RED_HUE", "description": "Red Hue"}]
+
+
 # Conversations
 
 def test_transcript_parts_join_to_the_whole(spark):
