@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import types
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,11 +21,17 @@ from recordflow.runtime import cut_lineage
 ship(__name__)
 
 MAX_LABELLED = 20_000   # labelled rows a fit looks at, the first ones by hash of their id
-LANDMARKS = 24          # at most; each tells the labels apart at least half as well as the best
+LANDMARKS = 32          # at most
+STEM = 8                # letters of a stem at most
+ON = "-"                # after a landmark that is a stem, which is compared with how words begin
+LESS = 0.9              # what a stem's score counts beside a whole word's
+LEAST = 0.1             # by which a landmark tells the labels apart at least, rows met before counting less
+_COUNTED, _RANKED = 50_000, 1_000  # fragments of toxic sample rows whose other rows are counted, and are looked up row by row
 LENGTH = 3              # letters of a subsequence
 DECAY = 0.6             # for each letter that a subsequence spans
 FLOOR = 0.5             # similarities below count as none
-POWER = 3
+POWER = 6
+RARE = 0.01             # added to sums for each sentence before their logarithm
 WINDOW = 48             # letters; longer words are taken in windows that overlap by half
 _PARTS = 4               # partitions of the fit
 MEMO_WORDS = 400_000    # words a worker remembers before it starts anew
@@ -110,14 +117,20 @@ class Similarity:
     hidden: set[str] = field(default_factory=set)         # those of them that are or hide a landmark
 
     def __post_init__(self):
-        self.width = max([LENGTH, *map(len, self.landmarks)])
-        self.own = _self_kernel(self.landmarks, self.width) if self.landmarks else np.zeros(0)
-        self.codes = _codes(self.landmarks, self.width, -2) if self.landmarks else np.zeros((0, self.width), np.int32)
+        self.bare = [w.rstrip(ON) for w in self.landmarks]
+        self.width = max([LENGTH, *map(len, self.bare)])
+        self.own = _self_kernel(self.bare, self.width) if self.landmarks else np.zeros(0)
+        self.codes = _codes(self.bare, self.width, -2) if self.landmarks else np.zeros((0, self.width), np.int32)
+        # Landmarks by the number of letters of a word they are compared with.
+        self.reach: dict[int, list[int]] = {}
+        for n, w in enumerate(self.landmarks):
+            self.reach.setdefault(len(self.bare[n]) + 1 if w.endswith(ON) else WINDOW, []).append(n)
+        self.whole = [n for n, w in enumerate(self.landmarks) if not w.endswith(ON)]
         self.letters = _letters(self.codes)
         self.needed = np.ceil(0.75 * np.bitwise_count(self.letters))
-        self.plain = self.of(self.landmarks)
-        spread = [".?".join(map(re.escape, w)) for w in self.landmarks]
-        marked = ["".join(f"(?:{re.escape(c)}|{_MARK})" for c in w) for w in self.landmarks]
+        self.plain = self.of(self.bare)
+        spread = [".?".join(map(re.escape, self.bare[n])) for n in self.whole]
+        marked = ["".join(f"(?:{re.escape(c)}|{_MARK})" for c in self.bare[n]) for n in self.whole]
         self.spread, self.marked = (re.compile("|".join(f"({p})" for p in ps) or "(?!)") for ps in (spread, marked))
 
     def __getstate__(self):
@@ -128,8 +141,18 @@ class Similarity:
         self.__post_init__()
 
     def of(self, words: list[str]) -> np.ndarray:
-        """A row for each word."""
+        """A row for each word; a stem is compared with the word's beginning, a letter longer than the stem."""
         out = np.zeros((len(words), len(self.landmarks)), dtype=np.float32)
+        for reach, columns in self.reach.items():
+            number: dict[str, int] = {}
+            at = [number.setdefault(w[:reach], len(number)) for w in words]
+            if at:
+                out[:, columns] = self._of(list(number), np.array(columns))[at]
+        return out
+
+    def _of(self, words: list[str], columns: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(words), len(columns)), dtype=np.float32)
+        landmarks, landmarks_own = self.codes[columns], self.own[columns]
         buckets: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if len(w) >= LENGTH:
@@ -139,17 +162,25 @@ class Similarity:
                 part = np.array(members[at:at + 8_192])
                 chosen = [words[i] for i in part]
                 codes = _codes(chosen, width, -1)
-                meets = np.bitwise_count(_letters(codes)[:, None] & self.letters[None, :]) >= self.needed[None, :]
+                meets = np.bitwise_count(_letters(codes)[:, None] & self.letters[None, columns]) >= self.needed[None, columns]
                 row, column = np.nonzero(meets)
                 if not len(row):
                     continue
+                shared = np.concatenate([
+                    subsequence_kernel(codes[row[start:start + 4_096]], landmarks[column[start:start + 4_096]])
+                    for start in range(0, len(row), 4_096)])
+                # A word's own kernel is at least that of its runs of LENGTH letters, so most pairs are known to be
+                # below FLOOR without it.
+                least = (np.array(list(map(len, chosen)), dtype=np.float32) - LENGTH + 1) * np.float32(DECAY ** (2 * LENGTH))
+                may = shared >= 0.999 * FLOOR * np.sqrt(least[row] * landmarks_own[column])
+                row, column, shared = row[may], column[may], shared[may]
                 rows = np.unique(row)
+                if not len(rows):
+                    continue
                 own = np.ones(len(chosen), dtype=np.float32)
                 own[rows] = subsequence_kernel(codes[rows], np.where(codes[rows] < 0, np.int32(-2), codes[rows]))
-                for start in range(0, len(row), 4_096):
-                    r, c = row[start:start + 4_096], column[start:start + 4_096]
-                    value = subsequence_kernel(codes[r], self.codes[c]) / np.sqrt(np.maximum(own[r] * self.own[c], 1e-12))
-                    out[part[r], c] = np.where(value >= FLOOR, np.minimum(value, 1.0) ** POWER, 0.0)
+                value = shared / np.sqrt(np.maximum(own[row] * landmarks_own[column], 1e-12))
+                out[part[row], column] = np.where(value >= FLOOR, np.minimum(value, 1.0) ** POWER, 0.0)
         return out
 
     def disguised(self, word: str) -> np.ndarray | None:
@@ -164,7 +195,7 @@ class Similarity:
             hit = self.marked.fullmatch(core)
             if hit and sum(map(str.isalpha, core)) < max(2, 0.4 * len(core)):
                 hit = None
-        return None if hit is None else self.plain[hit.lastindex - 1]
+        return None if hit is None else self.plain[self.whole[hit.lastindex - 1]]
 
     def learn(self, words: set[str]) -> None:
         """Meet words, with or without other characters than letters in them."""
@@ -172,17 +203,24 @@ class Similarity:
         if len(self.known) + len(new) > MEMO_WORDS:
             self.known, self.hot, self.hidden = set(), {}, set()
             new = words
-        whole = sorted(new)
-        pieces = [(n, v) for n, w in enumerate(whole) for v in _windows(_NO_LETTER.sub("", w))]
-        for (n, _), v in zip(pieces, self.of([v for _, v in pieces])):
-            if v.any():
-                self.hot[whole[n]] = v
-        for w in whole:
+        core = {w: w if w.isalpha() else _NO_LETTER.sub("", w) for w in new}
+        bare = sorted(set(core.values()) - self.known)
+        pieces = [(w, v) for w in bare for v in _windows(w)]
+        values = self.of([v for _, v in pieces])
+        for n in np.flatnonzero(values.any(axis=1)):
+            self.hot[pieces[n][0]] = values[n].copy()
+        for w in sorted(new | set(bare)):
             v = self.disguised(w)
             if v is not None:
                 self.hot[w] = v
                 self.hidden.add(w)
+            elif w in core and core[w] in self.hot and core[w] not in self.hidden:
+                self.hot[w] = self.hot[core[w]]
+        for w, c in core.items():
+            if c in self.hidden and w not in self.hidden:
+                self.hot[w] = self.of([c[:WINDOW]])[0]
         self.known |= new
+        self.known.update(bare)
 
     def sentence(self, words: list[str]) -> np.ndarray | None:
         """The sum over a sentence's words, None if all are zero; ``learn`` has met the words."""
@@ -221,7 +259,7 @@ class ToxicityModel:
     similarity: Similarity
     weights: np.ndarray   # of the landmarks, the Nyström map folded in
     bias: float
-    slope: float
+    slopes: np.ndarray    # of a document's best margin, what its sentences add up to, and that for each sentence, as logarithms
     intercept: float
 
     def scores(self, texts) -> np.ndarray:
@@ -231,8 +269,11 @@ class ToxicityModel:
         for batch in _batches(texts):
             known.learn({w for text in batch for w in text.lower().split()})
             for text in batch:
-                margin = max([self.bias, *[float(v @ self.weights) + self.bias for v in known.sums(text)]])
-                out.append(1 / (1 + np.exp(-np.clip(self.slope * margin + self.intercept, -30, 30))))
+                gains = [float(v @ self.weights) for v in known.sums(text)]
+                total = sum(g for g in gains if g > 0)
+                sentences = len(_SENTENCE.split(text)) if total else 1
+                found = np.array([max([0.0, *gains]) + self.bias, np.log1p(total), np.log(total / sentences + RARE)])
+                out.append(1 / (1 + np.exp(-np.clip(float(self.slopes @ found) + self.intercept, -30, 30))))
         return np.array(out, dtype=float)
 
 
@@ -248,29 +289,78 @@ def _batches(texts, chars: int = 4_000_000) -> Iterator[list[str]]:
     yield part
 
 
+def _fragments(text: str) -> set[str]:
+    """The words of a text and how they begin: landmarks may be stems that only stand with changing endings."""
+    words = {w for w in _NO_LETTER.sub("", text.lower()).split() if LENGTH <= len(w) <= WINDOW}
+    return words | {w[:n] + ON for w in words for n in range(LENGTH, min(STEM, len(w) - 1) + 1)}
+
+
+def _tell(toxic, other, all_toxic: float, all_other: float):
+    """How well a fragment tells the labels apart, from the rows of each label that hold it."""
+    rate_t, rate_o = toxic / all_toxic, other / all_other
+    return (rate_t - rate_o) / np.sqrt(np.maximum(rate_t + rate_o, 1e-12))
+
+
 def choose_landmarks(rows: DataFrame, count: int = LANDMARKS) -> list[str]:
-    """The words that tell toxic from other labelled documents best, by a score on document counts."""
+    """Words and stems that tell toxic from other labelled rows, each for rows that those before it miss.
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            met: dict[str, list[float]] = {}
-            for text, label in zip(batch["text"], batch["label"]):
-                for w in set(_NO_LETTER.sub("", text.lower()).split()):
-                    seen_ = met.setdefault(w, [0.0, 0.0])
-                    seen_[0] += label
-                    seen_[1] += 1.0 - label
-            words_ = [w for w in met if LENGTH <= len(w) <= WINDOW]
-            yield pd.DataFrame({"word": words_, "toxic": [met[w][0] for w in words_], "other": [met[w][1] for w in words_]})
-
-    seen = rows.select("text", "label").mapInPandas(words, "word string, toxic double, other double").groupBy("word").agg(
-        F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    totals = rows.agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o")).first()
-    if not totals["t"] or not totals["o"]:
+    Fragments of three toxic rows or more are counted in all rows; the best ``_RANKED`` are looked up row by
+    row. Each choice halves the weight of the toxic rows that hold it, so that insults of a language with few
+    rows come in too. A fragment is chosen if most rows holding it are toxic and no chosen one is part of it
+    or holds it.
+    """
+    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    all_toxic, all_other = totals.get(1.0, 0), totals.get(0.0, 0)
+    if not all_toxic or not all_other:
         return []
-    rate_t, rate_o = F.col("toxic") / totals["t"], F.col("other") / totals["o"]
-    best = seen.where("toxic >= 3").select("word", ((rate_t - rate_o) / F.sqrt(rate_t + rate_o)).alias("score")).where("score > 0")
-    top = best.orderBy(F.col("score").desc(), "word").limit(count).collect()
-    return [r["word"] for r in top if r["score"] >= top[0]["score"] / 2]
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            met = Counter(w for text in batch["text"] for w in _fragments(text))
+            yield pd.DataFrame({"word": list(met), "n": list(map(float, met.values()))})
+
+    common = (
+        rows.where("label = 1").select("text").mapInPandas(counted, "word string, n double").groupBy("word").agg(F.sum("n").alias("n"))
+        .where("n >= 3").orderBy(F.col("n").desc(), "word").limit(_COUNTED).collect())
+    toxic = {r["word"]: r["n"] for r in common}
+
+    def among(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                met.update(_fragments(text) & toxic.keys())
+        if met:
+            yield pd.DataFrame({"word": list(met), "n": list(map(float, met.values()))})
+
+    clean = {r["word"]: r["n"] for r in rows.where("label = 0").select("text").mapInPandas(among, "word string, n double")
+             .groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    score = {w: float(_tell(n, clean.get(w, 0.0), all_toxic, all_other)) * (LESS if w.endswith(ON) else 1.0)
+             for w, n in toxic.items() if n >= clean.get(w, 0.0)}
+    ranked = sorted(score, key=lambda w: (-score[w], -len(w), w))[:_RANKED]
+    number = {w: i for i, w in enumerate(ranked)}
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"hits": [sorted(number[w] for w in _fragments(text) & number.keys()) for text in batch["text"]]})
+
+    hits = [r["hits"] for r in rows.where("label = 1").select("text").mapInPandas(held, "hits array<int>").where("size(hits) > 0").collect()]
+    grid = np.zeros((len(hits), len(ranked)))
+    for n, row in enumerate(hits):
+        grid[n, row] = 1.0
+    weight, chosen = np.ones(len(hits)), []
+    other = np.array([clean.get(w, 0.0) for w in ranked])
+    open_ = np.ones(len(ranked), dtype=bool)
+    worth = np.array([LESS if w.endswith(ON) else 1.0 for w in ranked])
+    while len(chosen) < count and open_.any():
+        gain = np.where(open_, _tell(weight @ grid, other, all_toxic, all_other) * worth, -np.inf)
+        best = int(np.argmax(gain))
+        if gain[best] < LEAST:
+            break
+        chosen.append(ranked[best])
+        weight[grid[:, best] > 0] /= 2
+        stem = ranked[best].rstrip(ON)
+        open_ &= np.array([w not in stem and stem not in w for w in (r.rstrip(ON) for r in ranked)])
+    return chosen
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", held: tuple[int, int] = (5, 0), most: int = MAX_LABELLED) -> ToxicityModel:
@@ -278,14 +368,15 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", held: tuple[i
 
     A sentence carries its document's label. Its kernel with a landmark is the sum over its words; the
     Nyström map turns these into features of a linear SVM. Sentences without any similar word are one
-    weighted row per label. A document's margin is its best sentence's, and a logistic curve over the
-    documents' margins gives the score. Without both labels every score is 0.
+    weighted row per label. A logistic curve over a document's best margin, over what its sentences add
+    up to and over the logarithm of that sum for each sentence gives the score: a word that is rarely an insult on its own
+    counts by how often it recurs. Without both labels every score is 0.
     """
     rows = cut_lineage(labelled(docs, labels, column, held, most), "toxic-sample")
     similarity = Similarity(choose_landmarks(rows))
     if not similarity.landmarks:
-        return ToxicityModel(similarity, np.zeros(0), 0.0, 0.0, -30.0)
-    gram = similarity.of(similarity.landmarks).astype(float)
+        return ToxicityModel(similarity, np.zeros(0), 0.0, np.zeros(3), -30.0)
+    gram = similarity.of(similarity.bare).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2 + 1e-6 * np.eye(len(gram)))
     nystrom = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
 
@@ -293,25 +384,29 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", held: tuple[i
         for batch in batches:
             similarity.learn({w for text in batch["text"] for w in text.lower().split()})
             out = []
-            for n, (text, label) in enumerate(zip(batch["text"], batch["label"])):
+            for row, text, label in zip(batch["row"], batch["text"], batch["label"]):
                 sums = similarity.sums(text)
                 hits = [v @ nystrom for v in sums]
-                out += [(batch["doc_id"].iloc[n], label, 1.0, v.tolist()) for v in hits]
-                out.append((batch["doc_id"].iloc[n], label, float(max(1, len(_SENTENCE.split(text)) - len(hits))), [0.0] * len(nystrom)))
-            yield pd.DataFrame(out, columns=["doc_id", "label", "weight", "f"])
+                out += [(row, label, 1.0, v.tolist()) for v in hits]
+                out.append((row, label, float(max(0, len(_SENTENCE.split(text)) - len(hits))), [0.0] * len(nystrom)))
+            yield pd.DataFrame(out, columns=["row", "label", "weight", "f"])
 
-    measured = cut_lineage(rows.mapInPandas(features, "doc_id long, label double, weight double, f array<double>"), "toxic-features")
+    measured = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()).mapInPandas(
+        features, "row long, label double, weight double, f array<double>"), "toxic-features")
     zero = F.forall("f", lambda x: x == 0.0)
     thin = measured.where(~zero).select("label", "weight", "f").unionByName(
         measured.where(zero).groupBy("label").agg(F.sum("weight").alias("weight"), F.any_value("f").alias("f")))
     thin = cut_lineage(thin.repartition(_PARTS), "toxic-sentences")
     theta = _newton(thin, len(nystrom), _squared_hinge, 1e-3)
     weights, bias = theta[:-1], float(theta[-1])
-    margin = F.aggregate(F.zip_with("f", F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) + bias
-    margins = cut_lineage(measured.groupBy("doc_id", "label").agg(F.max(margin).alias("margin")).select(
-        "label", F.lit(1.0).alias("weight"), F.array("margin").alias("f")).repartition(_PARTS), "toxic-margins")
-    curve = _newton(margins, 1, _logistic, 1e-3)
-    return ToxicityModel(similarity, nystrom @ weights, bias, float(curve[0]), float(curve[1]))
+    gain = F.aggregate(F.zip_with("f", F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    per_row = measured.withColumn("gain", F.greatest(F.lit(0.0), gain)).groupBy("row", "label").agg(
+        F.max("gain").alias("best"), F.sum("gain").alias("total"), F.sum("weight").alias("sentences"))
+    margins = cut_lineage(per_row.select(
+        "label", F.lit(1.0).alias("weight"), F.array(F.col("best") + bias, F.log1p("total"), F.log(F.col("total") / F.col("sentences") + RARE)).alias("f")
+    ).repartition(_PARTS), "toxic-margins")
+    curve = _newton(margins, 3, _logistic, 1e-3)
+    return ToxicityModel(similarity, nystrom @ weights, bias, curve[:3], float(curve[3]))
 
 
 def _squared_hinge(f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

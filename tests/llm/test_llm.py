@@ -1,6 +1,7 @@
 """The operators of recordflow.llm against plain versions, on small and odd tables."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -270,9 +271,56 @@ def test_classifiers(spark, docs, empty):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_kernel_against_enumerated_subsequences():
+    def plain(a, b):
+        def spans(w):
+            found = Counter()
+            for at in itertools.combinations(range(len(w)), toxicity.LENGTH):
+                found["".join(w[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1)
+            return found
+        x, y = spans(a), spans(b)
+        return sum(v * y[k] for k, v in x.items())
+
+    words = ["loser", "looser", "closer", "aaaa", "abcabc", "xyz", "réeuxpa", "los"]
+    for a in words:
+        for b in words:
+            codes = toxicity._codes([a], 8, -1), toxicity._codes([b], 8, -2)
+            assert float(toxicity.subsequence_kernel(*codes)[0]) == pytest.approx(plain(a, b), rel=1e-4)
+    for landmarks in (["loser", "abcabc"], ["los-", "réeux-"]):
+        got = toxicity.Similarity(landmarks).of(words)
+        for w, row in zip(words, got):
+            for mark, value in zip(landmarks, row):
+                bare = mark.rstrip("-")
+                cut = w[:len(bare) + 1] if mark.endswith("-") else w
+                own = plain(cut, cut) * plain(bare, bare)
+                full = plain(cut, bare) / own ** 0.5 if own else 0.0
+                few = len(set(cut) & set(bare)) < 0.75 * len(set(bare))
+                assert value == pytest.approx(0.0 if few or full < toxicity.FLOOR else full ** toxicity.POWER, abs=1e-4)
+
+
+def test_insults_that_are_stems_of_a_rare_language(spark):
+    rng = random.Random(4)
+    ends = ["".join(rng.choice("abdefgiklmnorstuvz") for _ in range(rng.randint(2, 4))) for _ in range(60)]
+
+    def text(stem, times):
+        words = [rng.choice(["dro", "kel", "mus", "tan", "gro"]) + rng.choice(ends) for _ in range(60)]
+        for _ in range(times):
+            words[rng.randrange(60)] = stem + rng.choice(ends)
+        return " ".join(words) + "."
+
+    rows = [(i, text("grobix", 4), 1) for i in range(100)] + [(i, text("grobix", i % 9 == 0), 0) for i in range(100, 600)]
+    rows += [(i, text("tan", 3) + " You idiot.", 1) for i in range(600, 1000)] + [(i, text("tan", 3), 0) for i in range(1000, 2000)]
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(table, labels).collect() if r["held_out"]}
+    stems, clean = [found[i] for i, t, y in rows if i in found and i < 100], [found[i] for i, t, y in rows if i in found and y == 0]
+    assert np.mean(stems) > 0.9 and np.mean(clean) < 0.03
+    assert np.mean([found[i] for i, t, y in rows if i in found and 600 <= i < 1000]) > 0.95
+
+
 def test_disguised_insults():
     landmarks = ["clown", "idiot", "loser", "moron", "scum", "stupid", "trash"]
-    model = toxicity.ToxicityModel(toxicity.Similarity(landmarks), np.ones(len(landmarks)), -0.5, 10.0, 0.0)
+    model = toxicity.ToxicityModel(toxicity.Similarity(landmarks), np.ones(len(landmarks)), -0.5, np.array([10.0, 0.0, 0.0]), 0.0)
     hidden = ["idxixot", "ixdxixoxt", "stuxpxid", "moxrxon", "m0r0n", "sc*m", "scxum", "tr*sh", "cl0wn", "lo5er", "1d10t", "i*d*i*o*t"]
     hidden += ["x".join(w) for w in landmarks] + [w[:i] + c + w[i + 1:] for w in landmarks for i in range(1, len(w) - 1) for c in "*0"]
     assert (model.scores([f"you are a {w}!" for w in hidden] + [f"({w}), he said. A calm line" for w in hidden]) >= 0.5).all()
