@@ -15,7 +15,8 @@ BLOCK = 128            # words of a block
 SHARD = 4_096          # blocks of an output shard
 SEED = 20
 _ROUNDS = 6            # of the index permutation
-_CELLS = 4_096         # of the unit interval, for looking up a draw by equality
+_RUN = 65_536          # numbers dealt to a task together
+_TASK_SLOTS, _MOST_TASKS = 100_000, 100_000  # slots a task makes, and tasks
 
 
 def _rows(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
@@ -65,59 +66,46 @@ def _permuted(slots: DataFrame, index: str, size: str, key: list[str], seed: int
     return slots.withColumn(index, F.aggregate(rounds, F.col(index), turn))
 
 
-def _uniform(*key: Column) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(1 << 40)) / float(1 << 40)
+def _numbered(df: DataFrame, count: str, out: str) -> DataFrame:
+    """A row for each number from 0 to below ``count``, dealt to tasks in runs."""
+    low = F.col("_run") * _RUN
+    runs = df.where(F.col(count) > 0).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / _RUN))))
+    return runs.repartition("rank", "_run").withColumn(
+        out, F.explode(F.sequence(low, F.least(F.col(count), low + _RUN) - 1))).drop("_run")
 
 
 def draw(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, limit: int = LIMIT, seed: int = SEED) -> DataFrame:
     """The mix as rows (shard, rank, pass, block): which block of which source each slot of a shard takes.
 
-    A shard's count of a source is the whole part of its expected number plus multinomial draws for what
-    the whole parts leave over, so counts follow the weights within a few blocks. The source's slots over
-    all shards are numbered; slot n takes the block that the n-th place of a pseudorandom permutation of
-    the source's blocks names, and starts over with another permutation when all are taken. A source
-    gives no block more than ``limit`` times.
+    A source's slots over all shards are its expected number, rounded up or down: the fractions of all
+    sources follow one another on a line, and those that one of the points u, u + 1, u + 2 .. falls into are
+    rounded up. A shard's count of a source is the whole part of an equal share of these slots plus a
+    multinomial draw of what the whole parts leave over, so shards have about ``shard`` blocks. The source's
+    slots over all shards are numbered; slot n takes the block that the n-th place of a pseudorandom
+    permutation of the source's blocks names, and starts over with another permutation when all are taken.
+    A source gives no block more than ``limit`` times, as it has no more slots.
     """
-    spark = sources.sparkSession
-    known = cut_lineage(
-        sources.where("source_size > 0 AND target > 0")
-        .withColumn("blocks", F.ceil(F.col("source_size") / block))
-        .withColumn("wanted", F.col("target") * F.col("blocks") / F.col("source_size"))
-        .select("rank", "blocks", "wanted"), "mix-sources")
-    wanted = known.agg(F.sum("wanted")).first()[0] or 0.0
-    slots = int(round(wanted))
-    if not slots:
-        return known.select(F.lit(0).cast("long").alias("shard"), "rank", F.lit(0).cast("long").alias("pass"), F.lit(0).cast("long").alias("block")).limit(0)
-    shards, rest = -(-slots // shard), slots % shard or shard
-    expected = F.col("wanted") / wanted
-    # Sizes of a full shard and of the last one.
-    parts = known.select("rank", F.explode(F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.floor(expected * n + 1e-9).alias("whole"),
-                 F.greatest(F.lit(0.0), expected * n - F.floor(expected * n + 1e-9)).alias("part"))
-        for kind, n in (("full", shard), ("last", rest))])).alias("p")).select("rank", "p.*")
-    parts = cut_lineage(parts.where("kind = 'last'") if shards == 1 else parts, "mix-parts")
-    left = {r["kind"]: (r["w"], r["p"]) for r in parts.groupBy("kind").agg(F.sum("whole").alias("w"), F.sum("part").alias("p")).collect()}
-    sums = F.create_map(*[x for kind, (_, p) in left.items() for x in (F.lit(kind), F.lit(max(p, 1e-12)))])
-    ends = total_before(parts, ["kind"], ["rank"], "part", "low").withColumns({
-        "lo": F.col("low") / sums[F.col("kind")], "hi": (F.col("low") + F.col("part")) / sums[F.col("kind")]})
-    cells = ends.where("part > 0").select("kind", "rank", "lo", "hi", F.explode(F.sequence(
-        F.floor(F.col("lo") * _CELLS), F.least(F.lit(_CELLS - 1), F.floor(F.col("hi") * _CELLS)))).alias("cell"))
-    kind = F.when(F.col("shard") == shards - 1, F.lit("last")).otherwise(F.lit("full"))
-    over = F.create_map(*[x for k, (w, _) in left.items() for x in (F.lit(k), F.lit(int((shard if k == "full" else rest) - w)))])
-    draws = (
-        spark.range(shards).select(F.col("id").alias("shard"), kind.alias("kind"))
-        .where(over[F.col("kind")] > 0)
-        .select("shard", "kind", F.explode(F.sequence(F.lit(1), over[F.col("kind")])).alias("n"))
-        .withColumn("u", _uniform(F.col("shard"), F.col("n"), F.lit(seed))).withColumn("cell", F.floor(F.col("u") * _CELLS)))
-    extra = draws.join(cells, ["kind", "cell"]).where("u >= lo AND u < hi").select("shard", "rank", F.lit(1).cast("long").alias("count"))
-    fixed = parts.where("kind = 'full'").select("rank", "whole", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 2).cast("long"))).alias("shard")) if shards > 1 else None
-    final = parts.where("kind = 'last'").select("rank", "whole", F.lit(shards - 1).cast("long").alias("shard"))
-    fixed = final if fixed is None else fixed.unionByName(final)
-    counts = fixed.select("shard", "rank", F.col("whole").alias("count")).unionByName(extra).groupBy("shard", "rank").agg(F.sum("count").alias("count")).where("count > 0")
+    known = sources.where("source_size > 0 AND target > 0").withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn(
+        "wanted", F.least(F.col("target") * F.col("blocks") / F.col("source_size"), (F.col("blocks") * limit).cast("double")))
+    known = known.select("rank", "blocks", "wanted", (F.col("wanted") - F.floor("wanted")).alias("part"), F.lit(0).alias("all"))
+    shift = F.pmod(F.xxhash64(F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    up = F.floor(F.col("low") + F.col("part") + shift) - F.floor(F.col("low") + shift)
+    known = cut_lineage(total_before(known, ["all"], ["rank"], "part", "low").select(
+        "rank", "blocks", F.least(F.floor("wanted") + up, F.col("blocks") * limit).alias("slots")), "mix-sources")
+    slots = known.agg(F.sum("slots")).first()[0] or 0
+    shards = max(1, -(-slots // shard))
+    whole = known.select("rank", F.floor(F.col("slots") / shards).alias("count"), F.lit(shards).cast("long").alias("shards"))
+    rest = known.select("rank", F.pmod("slots", F.lit(shards)).alias("rest"))
+    counts = _numbered(whole.where("count > 0"), "shards", "shard").select("shard", "rank", "count").unionByName(
+        _numbered(rest, "rest", "n").select(
+            F.pmod(F.xxhash64("rank", "n", F.lit(seed)), F.lit(shards)).alias("shard"), "rank", F.lit(1).cast("long").alias("count"))
+    ).groupBy("shard", "rank").agg(F.sum("count").alias("count"))
     placed = total_before(counts, ["rank"], ["shard"], "count", "start").join(known.select("rank", "blocks"), "rank")
+    # Few rows become many: they are dealt by the number of slots, which is known.
+    tasks = max(1, min(_MOST_TASKS, -(-slots // _TASK_SLOTS)))
     slot = (
-        placed.select("shard", "rank", "blocks", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)).alias("n"))
-        .where(F.col("n") < F.col("blocks") * limit)
+        placed.repartition(tasks, "rank", "shard")
+        .select("shard", "rank", "blocks", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)).alias("n"))
         .select("shard", "rank", "blocks", F.floor(F.col("n") / F.col("blocks")).alias("pass"), F.pmod("n", "blocks").alias("block")))
     return _permuted(slot, "block", "blocks", ["rank", "pass"], seed).drop("blocks")
 

@@ -133,6 +133,23 @@ def test_mixing(spark, docs, empty, sf_dir):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_draw_with_many_small_sources(spark):
+    rng = random.Random(3)
+    wanted = {1: 200_000 * 0.1, **{r: 2.0 for r in range(2, 302)}, **{r: rng.random() * 4 for r in range(302, 400)}}
+    blocks = {1: 200_000, **{r: 1 for r in range(2, 302)}, **{r: 2 for r in range(302, 400)}}
+    sources = spark.createDataFrame(
+        [(f"s{r}", r, 1.0, blocks[r] * 128, wanted[r] * 128) for r in wanted], "source string, rank long, weight double, source_size long, target double")
+    rows = [tuple(r) for r in mixing.draw(sources).collect()]
+    taken, places = Counter(r[1] for r in rows), {(r, p, b) for _, r, p, b in rows}
+    assert len(places) == len(rows) and all(0 <= b < blocks[r] and 0 <= p < 2 for r, p, b in places)
+    assert all(taken[r] == 2 for r in range(2, 302)) and taken[1] == 20_000
+    assert all(int(w) <= taken[r] <= int(w) + 1 for r, w in wanted.items()) and abs(len(rows) - sum(wanted.values())) <= 1
+    assert {r for r in taken if (r, 1, 0) in places and (r, 0, 0) not in places} == set()
+    sizes = Counter(r[0] for r in rows)
+    assert len(sizes) == 6 and min(sizes.values()) > 3_000 and max(sizes.values()) < 4_096
+    assert rows and sorted(rows) == sorted(map(tuple, mixing.draw(sources).collect()))
+
+
 def _base(text):
     def luhn(s):
         return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if c > "4" else int(c) * 2) for i, c in enumerate(reversed(s))) % 10 == 0
