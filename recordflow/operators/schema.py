@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordflow.functions.text import blank, last_key_wins, title_text
-from recordflow.runtime import cut_lineage
+from recordflow.functions.text import blank, bound, last_key_wins, title_text
+from recordflow.runtime import by_shuffle, cut_lineage
 
 SEP = "::"
 
@@ -204,8 +204,8 @@ def mapping_template(paths: DataFrame, enums: DataFrame) -> DataFrame:
 def validate_mapping(rules: DataFrame, enums: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Add ``mapping_error`` to a rule table; rules with errors stay in the table.
 
-    ``enums``: (<keys>, enum_name, value) with distinct rows. Two equi-joins: is the type an
-    enum, and is the value one of its options.
+    ``enums``: (<keys>, enum_name, value). Two equi-joins: is the type an enum, and is the value one
+    of its options. Both sides are dealt by the join's keys, so a task holds its share of them only.
     """
     keys = keys or []
     known = enums.select(*keys, F.col("enum_name").alias("pydantic_type")).distinct()
@@ -213,9 +213,9 @@ def validate_mapping(rules: DataFrame, enums: DataFrame, keys: list[str] | None
         *keys, F.col("enum_name").alias("pydantic_type"), F.col("value").alias("pydantic_value")
     ).distinct()
     joined = rules.join(
-        known.withColumn("_is_enum", F.lit(True)), [*keys, "pydantic_type"], "left"
+        by_shuffle(known.withColumn("_is_enum", F.lit(True))), [*keys, "pydantic_type"], "left"
     ).join(
-        allowed.withColumn("_allowed", F.lit(True)), [*keys, "pydantic_type", "pydantic_value"], "left"
+        by_shuffle(allowed.withColumn("_allowed", F.lit(True))), [*keys, "pydantic_type", "pydantic_value"], "left"
     )
     value_set = F.coalesce(F.col("pydantic_value"), F.lit("")) != ""
     unknown = F.col("_is_enum") & value_set & F.col("_allowed").isNull()

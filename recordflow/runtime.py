@@ -99,6 +99,12 @@ def rank_in_groups(df: DataFrame, group: list[str], order_by: list[str], out: st
     )
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A join side that is never broadcast. Spark's size estimate does not see the rows that ``inline`` and
+    ``explode`` make, nor how far files were compressed, so a large side may look small to it."""
+    return df.hint("merge")
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that the side has at most ``max_rows`` rows.
 
