@@ -124,7 +124,7 @@ def schema_paths(fields: DataFrame, main: DataFrame, *, literal: bool = False,
     )
     classes = fields.select("schema_id", F.col("parent_class").alias("leaf_type")).distinct()
     members = cut_lineage(
-        members.join(classes.withColumn("nested", F.lit(True)), ["schema_id", "leaf_type"], "left")
+        members.join(by_shuffle(classes.withColumn("nested", F.lit(True))), ["schema_id", "leaf_type"], "left")
         .withColumn("nested", F.coalesce("nested", F.lit(False))), "members",
     )
     above = main.select(
@@ -133,7 +133,7 @@ def schema_paths(fields: DataFrame, main: DataFrame, *, literal: bool = False,
     )
     found = []
     while True:
-        level = above.join(members, ["schema_id", "class"]).select(
+        level = by_shuffle(above).join(members, ["schema_id", "class"]).select(
             "schema_id", "leaf_type", "nested", "entered",
             F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws(SEP, "path", "name")).alias("path"),
             F.when(F.col("sort_key") == "", F.col("step")).otherwise(F.concat_ws(".", "sort_key", "step")).alias("sort_key"),
@@ -170,7 +170,7 @@ def mapping_template(paths: DataFrame, enums: DataFrame) -> DataFrame:
 
     ``paths``: (schema_id, path, leaf_type, sort_key); ``enums``: (schema_id, enum_name, ord, value).
     Option rows join by (schema_id, type), so a large option set spreads over its rows and is
-    never gathered into one array.
+    never gathered into one array. Both sides are dealt by these keys, none is broadcast.
     """
     named = enums.select(
         "schema_id", F.col("enum_name").alias("leaf_type"), F.col("ord").alias("option_ord"),
@@ -184,7 +184,7 @@ def mapping_template(paths: DataFrame, enums: DataFrame) -> DataFrame:
     )
     is_bool = F.lower("leaf_type") == "bool"
     bools = paths.where(is_bool).select("*", truth)
-    others = paths.where(~is_bool).join(options, ["schema_id", "leaf_type"], "left")
+    others = paths.where(~is_bool).join(by_shuffle(options), ["schema_id", "leaf_type"], "left")
     rows = bools.select(*others.columns).unionByName(others)
     fill = {
         "pydantic_field": F.col("path"),

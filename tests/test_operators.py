@@ -565,3 +565,28 @@ def test_nesting_of_any_depth(spark):
     loop = fields.unionByName(spark.createDataFrame([("s", "C20", 3, "z", "C18")], fields.schema))
     with pytest.raises(ValueError, match="refers to itself"):
         schema.schema_paths(loop, main)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_and_options_are_not_broadcast(spark, tmp_path):
+    """One row of the file makes many option rows, which its size does not show."""
+    spark.range(50).write.parquet(str(tmp_path / "ids"))
+    ids = spark.read.parquet(str(tmp_path / "ids")).select(F.col("id").alias("schema_id"))
+    enums = ids.select("schema_id", F.lit("Kind").alias("enum_name"), F.explode(F.array(*[F.lit(n).cast("bigint") for n in (1, 2, 3)])).alias("ord"))
+    enums = enums.withColumn("value", F.concat(F.lit("v"), "ord"))
+    rules = ids.select(
+        "schema_id", F.lit("f").alias("pydantic_field"), F.lit("Kind").alias("pydantic_type"),
+        F.when(F.col("schema_id") == 7, "no").otherwise("v2").alias("pydantic_value"), F.lit("c").alias("Observation_ColName"))
+    checked = schema.validate_mapping(rules, enums.unionAll(enums), ["schema_id"])
+    template = schema.mapping_template(ids.select("schema_id", F.lit("f").alias("path"), F.lit("Kind").alias("leaf_type"), F.lit("1").alias("sort_key")), enums)
+    fields = ids.select("schema_id", F.lit("Top").alias("parent_class"), F.lit(1).cast("bigint").alias("ord"), F.lit("f").alias("name"), F.lit("Kind").alias("field_type"))
+    paths = schema.schema_paths(fields, ids.select("schema_id", F.lit("Top").alias("main_class")))
+    for df in (checked, template, paths, schema.mapping_monitor(checked)):
+        assert "Broadcast" not in _plan(df)
+    errors = {r["schema_id"]: r["mapping_error"] for r in checked.collect()}
+    assert len(errors) == checked.count() == 50
+    assert {k for k, e in errors.items() if e} == {7} and errors[7] == "unknown enum value: no"
+    assert template.count() == 150 and paths.count() == 50
