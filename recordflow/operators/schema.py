@@ -261,22 +261,31 @@ def _normal_option(item: Column, given: Column) -> Column:
 
 
 def normalize_enum_values(df: DataFrame, json_col: str, out: str = "schema") -> DataFrame:
-    """Parse a schema-definition JSON column; options become maps of text, bare strings name and description. Narrow."""
+    """Parse a schema-definition JSON column; options become maps of text, bare strings name and description. Narrow.
+
+    Each text is parsed once as a schema and once as a variant, and each list of options is taken from the
+    variant once: ``bound`` holds what a lambda would evaluate again for every entry and option.
+    """
     parsed = F.from_json(F.col(json_col), SCHEMA_JSON)
     whole = F.try_parse_json(F.col(json_col))
 
-    def normal(member: str, options: str) -> Column:
-        given = F.try_variant_get(whole, f"$.{member}", "array<variant>")
+    def options_of_entry(entry: Column, given: Column, options: str) -> Column:
+        items = F.try_variant_get(given, f"$.{options}", "array<variant>")
+        return entry.withField(options, bound(items, lambda each: F.transform(
+            entry[options], lambda v, i: _normal_option(v, F.get(each, i)))))
 
-        def one(entry: Column, at: Column) -> Column:
-            items = F.try_variant_get(F.get(given, at), f"$.{options}", "array<variant>")
-            return entry.withField(options, F.transform(entry[options], lambda v, i: _normal_option(v, F.get(items, i))))
+    def normal(entries: Column, variant: Column, member: str, options: str) -> Column:
+        given = F.try_variant_get(variant, f"$.{member}", "array<variant>")
+        return bound(given, lambda each: F.transform(
+            entries, lambda entry, at: options_of_entry(entry, F.get(each, at), options)))
 
-        return F.transform(parsed[member], one)
+    def both(variant: Column) -> Column:
+        return bound(parsed, lambda schema: schema
+                     .withField("fields", normal(schema["fields"], variant, "fields", "enum_values"))
+                     .withField("enums", normal(schema["enums"], variant, "enums", "values")))
 
     with last_key_wins(df.sparkSession):
-        return df.withColumn(
-            out, parsed.withField("fields", normal("fields", "enum_values")).withField("enums", normal("enums", "values")))
+        return df.withColumn(out, bound(whole, both))
 
 
 def schema_stats(df: DataFrame, json_col: str) -> DataFrame:

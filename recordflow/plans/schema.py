@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recordflow.operators import schema as s
 from recordflow.plans.base import table
+from recordflow.runtime import spread
 
 # (parent class, position, field name, declared type); the name and one type depend on the part.
 _FIELDS = [
@@ -112,7 +113,8 @@ def definition_json(spark, sf_dir):
         )).otherwise(F.lit("")),
         F.lit('}'),
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("schema_id"), text.alias("schema_json"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size"))
+    return part.select(F.col("p_partkey").alias("schema_id"), text.alias("schema_json"))
 
 
 def q_normalize_enum_values(spark, sf_dir):

@@ -105,6 +105,12 @@ def by_shuffle(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the tasks. A small file of many rows is one or two splits, so heavy work on
+    each row would take as many tasks only; adaptive execution fits the number of partitions to the data."""
+    return df.hint("rebalance")
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that the side has at most ``max_rows`` rows.
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from recordflow.functions import text as t
 from recordflow.operators import chat, cost, documents, extraction, flatten, profiling, responses, runs, sampling, schema, scoring, store
 from recordflow.operators.schema import target
+from recordflow.plans import schema as schema_plans
 from recordflow.runtime import cut_lineage, distributed_rank, scratch_path, shared_dir
 from recordflow.sources import files
 
@@ -590,3 +591,22 @@ def test_rules_and_options_are_not_broadcast(spark, tmp_path):
     assert len(errors) == checked.count() == 50
     assert {k for k, e in errors.items() if e} == {7} and errors[7] == "unknown enum value: no"
     assert template.count() == 150 and paths.count() == 50
+
+
+def test_definitions_are_parsed_once(spark, sf_dir):
+    """A variant per document, not one per entry and option; options and documents without any stay as they are."""
+    docs = [
+        '{"fields":[{"name":"a","enum_values":["x_y",{"name":"N"},"{z"]},{"name":"b"}],"enums":[{"name":"E","values":["q","r"]}]}',
+        '{"fields":[{"name":"a","enum_values":[]}]}', "no json", None,
+    ]
+    given = spark.range(4).select("id", F.element_at(F.array(*[F.lit(d) for d in docs]), (F.col("id") + 1).cast("int")).alias("doc"))
+    normal = schema.normalize_enum_values(given, "doc")
+    plan = normal._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson") + plan.count("parse_json") == 1 and plan.count("from_json(structfield(main_class") == 1
+    got = {r["id"]: r["schema"] for r in normal.collect()}
+    named = [{"name": "X_Y", "description": "X Y"}, {"name": "N"}, {"name": "{Z", "description": "{Z"}]
+    assert got[0]["fields"][0]["enum_values"] == named and got[0]["fields"][1]["enum_values"] is None
+    assert [v["name"] for v in got[0]["enums"][0]["values"]] == ["Q", "R"]
+    assert got[1]["fields"][0]["enum_values"] == [] and got[1]["enums"] is None
+    assert got[2]["fields"] is None and got[3] is None
+    assert "rebalance" in _plan(schema_plans.definition_json(spark, sf_dir)).lower()
