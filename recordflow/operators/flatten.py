@@ -38,19 +38,26 @@ def _container(value: Column) -> Column:
 
 
 def _opened(rows: DataFrame, keep: list[str], sep: str, levels: int) -> DataFrame:
-    """(keep, path, _v) with the containers of so many levels opened in place; leaves pass."""
+    """(keep, path, _v, _deeper) with the containers of so many levels opened in place; leaves pass.
+
+    Only what is left at the end is looked at: an empty container opens to itself, as a leaf does.
+    """
     spark = rows.sparkSession
     for _ in range(levels):
         opened = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer()))
         segment = F.coalesce(F.col("key"), F.col("pos").cast("string"))
         below = F.when(F.col("path") == "", segment).otherwise(F.concat_ws(sep, "path", segment))
         inside = F.col("pos").isNotNull()
-        rows = opened.where(inside | ~F.to_json("_v").isin("{}", "[]")).select(
+        rows = opened.select(
             *keep,
             F.when(inside, below).otherwise(F.col("path")).alias("path"),
             F.when(inside, F.col("value")).otherwise(F.col("_v")).alias("_v"),
         )
-    return rows.where(~F.to_json("_v").isin("{}", "[]"))
+    # The type of a scalar is found without writing it out; that of a container names its members.
+    kind = F.schema_of_variant("_v")
+    deeper = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    left = rows.where(F.col("_v").isNotNull()).withColumn("_deeper", deeper)
+    return left.where(~F.col("_deeper") | ~F.to_json("_v").isin("{}", "[]"))
 
 
 def flatten_paths(df: DataFrame, json_col: str, keep: list[str], sep: str = SEP,
@@ -67,9 +74,9 @@ def flatten_paths(df: DataFrame, json_col: str, keep: list[str], sep: str = SEP,
         rows = df.select(*keep, F.lit("").alias("path"), strict_json(F.col(json_col), as_written=True).alias("_v"))
     found = []
     while True:
-        deeper = _container(F.col("_v"))
+        deeper = F.col("_deeper")
         stored = cut_lineage(_opened(rows, keep, sep, max_depth or LEVELS).select(
-            *keep, "path", F.coalesce(deeper, F.lit(False)).alias("_deeper"),
+            *keep, "path", "_deeper",
             F.when(deeper, F.col("_v")).alias("_v"), F.when(~deeper, scalar_text(F.col("_v"))).alias("value")), "paths")
         found.append(stored.where(~F.col("_deeper") & (F.col("path") != "")).select(*keep, "path", "value"))
         left = stored.where("_deeper")

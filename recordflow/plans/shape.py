@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recordflow.operators import flatten as f
 from recordflow.operators import profiling as p
 from recordflow.plans.base import long_source, table
+from recordflow.runtime import spread
 
 _PATHS = [
     "name", "address::nation", "address::segment", "skills::0", "skills::1", "none",
@@ -24,7 +25,8 @@ def customer_json(spark, sf_dir):
         F.lit('},{"b":[true]}]}'),
         F.when(F.col("c_custkey") % 3 == 0, F.lit(',"flag":false')).otherwise(F.lit("")), F.lit("}"),
     )
-    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("doc"))
+    customer = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+    return customer.select("c_custkey", text.alias("doc"))
 
 
 def q_flatten_struct(spark, sf_dir):
@@ -51,7 +53,7 @@ def written_json(spark, sf_dir):
     text = F.concat(
         F.lit('{"n":'), key, F.lit('.50,"e":'), key, F.lit('e2,"k":1,"k":'), key, F.lit(',"odd":[NaN,-Infinity],"a\'b":"say \\"'), key,
         F.lit('\\" 1.0","both\\"\'":-0.0}'))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, F.concat(text, F.lit("1"))).otherwise(text).alias("doc"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, F.concat(text, F.lit("1"))).otherwise(text).alias("doc"))
 
 
 def q_flatten_as_written(spark, sf_dir):
@@ -67,7 +69,7 @@ def q_flatten_groups(spark, sf_dir):
 
 def q_union_paths(spark, sf_dir):
     key = F.col("c_custkey").cast("string")
-    wide = table(spark, sf_dir, "customer").select(
+    wide = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")).select(
         F.concat(F.lit('{"k'), key, F.lit('":{"'), F.lit("a'"), F.col("c_mktsegment"), F.lit('":null,"n":[1.0,2]},"same":1}')).alias("doc"))
     return f.union_paths(wide, "doc")
 

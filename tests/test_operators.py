@@ -14,6 +14,7 @@ from recordflow.functions import text as t
 from recordflow.operators import chat, cost, documents, extraction, flatten, profiling, responses, runs, sampling, schema, scoring, store
 from recordflow.operators.schema import target
 from recordflow.plans import schema as schema_plans
+from recordflow.plans import shape as shape_plans
 from recordflow.runtime import cut_lineage, distributed_rank, scratch_path, shared_dir
 from recordflow.sources import files
 
@@ -610,3 +611,16 @@ def test_definitions_are_parsed_once(spark, sf_dir):
     assert got[1]["fields"][0]["enum_values"] == [] and got[1]["enums"] is None
     assert got[2]["fields"] is None and got[3] is None
     assert "rebalance" in _plan(schema_plans.definition_json(spark, sf_dir)).lower()
+
+
+def test_leaves_are_not_written_out_on_every_level(spark, sf_dir):
+    docs = ['{"a":{"b":[null,{},[],"{}",[[1.0]]],"c":null},"d":"[]","e":true}', "7", "{}", "[]", "null", "no json", '["x",[null]]']
+    given = spark.createDataFrame(list(enumerate(docs)), "id long, doc string")
+    opened = flatten._opened(given.select("id", F.lit("").alias("path"), t.strict_json(F.col("doc"), as_written=True).alias("_v")), ["id"], "::", 8)
+    assert opened._jdf.queryExecution().analyzed().toString().count("to_json") == 1
+    got = {(r["id"], r["path"]): r["value"] for r in flatten.flatten_paths(given, "doc", ["id"]).collect()}
+    assert got == {
+        (0, "a::b::0"): None, (0, "a::b::3"): "{}", (0, "a::b::4::0::0"): "1.0", (0, "a::c"): None, (0, "d"): "[]", (0, "e"): "true",
+        (6, "0"): "x", (6, "1::0"): None}
+    for made in (shape_plans.customer_json, shape_plans.written_json):
+        assert "rebalance" in _plan(made(spark, sf_dir)).lower()
