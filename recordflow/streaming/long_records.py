@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from recordflow.operators.mapping import Rule, first_places, long_candidates, map_long_flat, pack_place
-from recordflow.runtime import cut_lineage
+from recordflow.runtime import cut_lineage, spread
 
 BUCKETS = 16
 _MANIFEST = "at long, bucket int, batch long"
@@ -56,7 +56,9 @@ def merge_batch(id_col: str, name_col: str, value_col: str, order_col: str, rule
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        found = long_candidates(batch, id_col, name_col, value_col, order_col, rules)
+        # A micro-batch is often one file, which one task would read and reduce alone.
+        dealt = spread(batch.select(*dict.fromkeys([id_col, name_col, value_col, order_col])))
+        found = long_candidates(dealt, id_col, name_col, value_col, order_col, rules)
         ids = batch.where(F.col(id_col).isNotNull()).select(id_col).distinct()
         new = cut_lineage(
             found.unionByName(ids, allowMissingColumns=True)

@@ -59,3 +59,19 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     # A history that starts anew forgets the old one; a batch whose past is gone is refused.
     merge(rows([1], 1), 0)
     assert {r["id"] for r in stream.long_records(spark, log, "id", rules).collect()} == {1}
+
+
+def test_a_batch_of_one_file_is_dealt_over_the_tasks(spark, tmp_path, monkeypatch):
+    plans, candidates = [], stream.long_candidates
+
+    def seen(batch, *args):
+        plans.append(batch._jdf.queryExecution().executedPlan().toString().lower())
+        return candidates(batch, *args)
+
+    monkeypatch.setattr(stream, "long_candidates", seen)
+    batch = spark.createDataFrame([(1, "x", "a", 2), (1, "x", "b", 1), (None, "x", "c", 3), (2, None, "d", 4)], "id long, name string, value string, ord long")
+    rules = [m.Rule("f", "x")]
+    stream.merge_batch("id", "name", "value", "ord", rules, str(tmp_path / "log"))(batch.coalesce(1), 0)
+    assert len(plans) == 1 and "rebalance" in plans[0]
+    got = {r["id"]: r["f"] for r in stream.long_records(spark, str(tmp_path / "log"), "id", rules).collect()}
+    assert got == {1: '["b","a"]', 2: None}
