@@ -113,37 +113,63 @@ def _without_spans(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, masked).otherwise(text)
 
 
+def _has_dense(text: Column) -> Column:
+    """Whether a text holds a script without blanks; all of them lie beyond U+0DFF, which is asked first."""
+    return text.rlike(r"[\x{E00}-\x{10FFFF}]") & text.rlike(_DENSE)
+
+
 def terms(text: Column) -> Column:
     """The terms of a whole text, in lower case: runs of letters, marks and digits of any length."""
     plain = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
     paired = F.zip_with(
         F.regexp_extract_all(text, F.lit(_SCAN), F.lit(2)), F.regexp_extract_all(text, F.lit(_SCAN), F.lit(3)),
         lambda hit, after: F.lower(F.concat(hit, after)))
-    return F.when(text.rlike(_DENSE), paired).otherwise(plain)
+    return F.when(_has_dense(text), paired).otherwise(plain)
 
 
-def term_places(text: Column) -> Column:
-    """``terms`` as (start, end, term) in code points. Lengths add up inside chunks, then over them."""
+def term_places(text: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """``terms`` as (start, end, term) in code points; of those alone that are ``wanted``, if it is given.
+
+    A term ends where the gaps and terms up to it end. Lengths are taken of chunks, then inside the
+    chunk of a wanted term, so terms that nobody wants cost no more than a look at them.
+    """
     none = F.array().cast("array<struct<start:int,end:int,term:string>>")
-    found = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(_SCAN), F.lit(i)).alias(n) for i, n in ((1, "gap"), (2, "hit"), (3, "after"))])
 
-    def step(seen: Column, x: Column) -> Column:
-        start = seen["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        place = F.struct(start.alias("start"), (end + F.length(x["after"])).alias("end"), F.lower(F.concat(x["hit"], x["after"])).alias("term"))
-        return F.struct(end.alias("at"), F.concat(seen["places"], F.array(place)).alias("places"))
+    def matches(pattern: str, *groups: int | None) -> Column:
+        names = zip(("whole", "hit", "after"), groups)
+        return F.struct(*[(F.lit(None).cast("array<string>") if g is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(g))).alias(n) for n, g in names])
+
+    found = F.when(_has_dense(text), matches(_SCAN, 0, 2, 3)).otherwise(matches(rf"[^\p{{L}}\p{{M}}\p{{N}}]*+({_WORD})", 0, 1, None))
+
+    def after(x: Column, i: Column) -> Column:
+        return F.coalesce(F.get(x["after"], i - 1), F.lit(""))
+
+    def term(x: Column, i: Column) -> Column:
+        return F.lower(F.concat(F.get(x["hit"], i - 1), after(x, i)))
+
+    def chunks(x: Column) -> Column:
+        def reach(k: Column, i: Column) -> Column:
+            return F.length(F.array_join(F.slice(x["whole"], k, i - k + 1), ""))
+
+        def place(k: Column, i: Column) -> Column:
+            end = reach(k, i)
+            return F.struct((end - F.length(F.get(x["hit"], i - 1))).alias("start"), (end + F.length(after(x, i))).alias("end"), term(x, i).alias("term"))
+
+        def chunk(k: Column) -> Column:
+            last = F.least(k + (_CHUNK - 1), F.size(x["whole"]))
+            numbers = F.sequence(k, last)
+            if wanted is not None:
+                numbers = F.filter(numbers, lambda i: wanted(term(x, i)))
+            return F.struct(reach(k, last).alias("at"), F.transform(numbers, lambda i: place(k, i)).alias("places"))
 
-    def chunks(all_: Column) -> Column:
-        first = F.struct(F.lit(0).alias("at"), none.alias("places"))
-        starts = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(_CHUNK))
-        return F.transform(starts, lambda k: F.aggregate(F.slice(all_, k, _CHUNK), first, step))
+        return F.transform(F.sequence(F.lit(1), F.size(x["whole"]), F.lit(_CHUNK)), chunk)
 
     def moved(parts: Column) -> Column:
         before = F.aggregate(parts, F.array(F.lit(0)), lambda at, c: F.concat(at, F.array(F.element_at(at, -1) + c["at"])))
         return F.flatten(F.zip_with(parts, F.slice(before, 1, F.size(parts)), lambda c, at: F.transform(c["places"], lambda s: F.struct(
             (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["term"].alias("term")))))
 
-    return _with(found, lambda all_: _with(chunks(all_), moved))
+    return _with(found, lambda x: F.when(F.size(x["whole"]) > 0, _with(chunks(x), moved)).otherwise(none))
 
 
 def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -229,7 +255,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     met = _among(found.select("row", F.explode(F.array_distinct(terms(F.col("masked")))).alias("term")), flagged).join(flagged, "term")
     kinds = cut_lineage(met.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds")), "term-hits")
     listed = F.transform(
-        F.filter(term_places(F.col("masked")), lambda p: F.map_contains_key("kinds", p["term"])),
+        term_places(F.col("masked"), lambda term: F.map_contains_key("kinds", term)),
         lambda p: F.struct(p["start"].alias("start"), F.try_element_at("kinds", p["term"]).alias("kind"), p["end"].alias("end"), p["term"].alias("value")))
     added = cut_lineage(found.select("row", "masked").join(kinds, "row").select("row", listed.alias("more")), "term-spans")
     every = F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast(f"array<{_SPAN}>"))))
