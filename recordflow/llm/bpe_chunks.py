@@ -26,9 +26,10 @@ ship(__name__)
 
 MEAN_BITS = 10          # a chunk ends where so many bits of the rolling hash are zero: 1 KiB on average
 SHORTEST, LONGEST = 256, 8_192
-MEMO_BYTES = 64 << 20   # of words, ids and texts that a task remembers before it starts anew, objects included
+MEMO_BYTES = 64 << 20   # of words and ids that a task remembers, objects included
 LONG_WORD = 64          # bytes from which a word is not remembered
-_OBJECTS = 300          # bytes that a remembered word takes besides its contents
+_OBJECTS = 200          # bytes that a remembered word takes besides its contents
+_SLICE = 200            # texts whose words are encoded together
 _MASK = (1 << 64) - 1
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 5) for b in range(256)], dtype=np.uint32)
 
@@ -59,10 +60,12 @@ def chunk_key(chunk: bytes) -> tuple[int, int]:
 
 
 class Encoder:
-    """A tokenizer with the ids and decoded text of the words it has met.
+    """A tokenizer with the ids of the words it has met.
 
     Words are runs of anything but ASCII white space. ``check_tokenizer`` has made sure that no token
-    crosses white space, so a text's ids are those of its words one after the other.
+    crosses white space, so a text's ids are those of its words one after the other, and that tokens
+    are decoded as they are, with spaces between. Half of the memory is given up at a time: words that
+    were met since the last time stay.
     """
 
     def __init__(self, spec: str):
@@ -72,7 +75,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, tuple[bytes, bytes]] = {}
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.tokens = np.full(max(names.values(), default=-1) + 1, b"", dtype=object)
+        for name, i in names.items():
+            self.tokens[i] = name.encode()
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0
 
     @staticmethod
@@ -87,31 +98,42 @@ class Encoder:
         try:
             yield encoder
         finally:
-            encoder.memo, encoder.held = {}, 0
+            encoder.forget()
             pa.default_memory_pool().release_unused()
 
-    def words(self, words: list[bytes]) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
-        if self.held > MEMO_BYTES:
-            self.memo, self.held = {}, 0
-        memo, long = self.memo, {}
-        new = [w for w in dict.fromkeys(words) if w not in memo]
+    def _remember(self, word: bytes, ids: bytes) -> None:
+        if self.held > MEMO_BYTES // 2:
+            self.memo, self.older, self.held = {}, self.memo, 0
+        self.memo[word] = ids
+        self.held += _OBJECTS + len(word) + len(ids)
+
+    def ids(self, texts: list[list[bytes]]) -> list[bytes]:
+        """For each list of words its ids, as little-endian unsigned 32-bit integers.
+
+        Every different word of the lists is looked up once, and the unknown ones are encoded together.
+        """
+        found: dict[bytes, bytes] = {}
+        new = []
+        for word in set().union(*texts):
+            ids = self.memo.get(word)
+            if ids is None:
+                ids = self.older.get(word)
+                if ids is None:
+                    new.append(word)
+                    continue
+                self._remember(word, ids)
+            found[word] = ids
         for at in range(0, len(new), 4_096):
             part = new[at:at + 4_096]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-            for word, i, text in zip(part, ids, texts):
-                found = (np.array(i, dtype="<u4").tobytes(), text.encode())
+            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                found[word] = ids = np.array(e.ids, dtype="<u4").tobytes()
                 if len(word) < LONG_WORD:
-                    memo[word] = found
-                    self.held += _OBJECTS + len(word) + len(found[0]) + len(found[1])
-                else:
-                    long[word] = found
-        found = [memo.get(w) or long[w] for w in words]
-        return b"".join([i for i, _ in found]), b" ".join([t for i, t in found if i])
+                    self._remember(word, ids)
+        return [b"".join(map(found.__getitem__, words)) for words in texts]
 
     def decode(self, ids: bytes) -> bytes:
-        return self.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False).encode()
+        """The decoded text in UTF-8."""
+        return b" ".join(self.tokens[np.frombuffer(ids, "<u4")].tolist())
 
 
 def check_tokenizer(spec: str) -> None:
@@ -125,13 +147,13 @@ def check_tokenizer(spec: str) -> None:
         raise ValueError("the tokenizer must drop white space between words and join tokens by spaces")
 
 
-def _piece(data: bytes, encoder: Encoder) -> tuple[bytes, bytes, bytes, bool]:
-    """(ids of the whole words, partial word at the start, partial word at the end, no white space at all)."""
+def _piece(data: bytes) -> tuple[list[bytes], bytes, bytes, bool]:
+    """(whole words, partial word at the start, partial word at the end, no white space at all)."""
     words = data.split()
     lead = words.pop(0) if words and not data[:1].isspace() else b""
     solid = not words and lead == data
     trail = words.pop() if words and not data[-1:].isspace() else b""
-    return encoder.words(words)[0], lead, trail, solid
+    return words, lead, trail, solid
 
 
 def _digests(ids: bytes, text: bytes) -> tuple[int, str, str]:
@@ -180,10 +202,11 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text: str
         with Encoder.of_task(json_text.value) as encoder:
             bits, arrow = bitmap.value, _arrow(part_schema)
             for batch in batches:
-                for start in range(0, batch.num_rows, 200):
-                    part = batch.slice(start, 200)
+                for start in range(0, batch.num_rows, _SLICE):
+                    part = batch.slice(start, _SLICE)
                     index: list[int] = []
                     found: list[tuple] = []
+                    words: list[list[bytes]] = []
                     for n, value in enumerate(part.column(1)):
                         data = value.as_py().encode()
                         cut = [(c, chunk_key(c)) for c in chunks(data)]
@@ -192,7 +215,8 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text: str
                         row = uuid.uuid4().hex
                         if not any(alike):
                             index.append(n)
-                            found.append((row, -1, None, None, None, None, None, None, None, *_digests(*encoder.words(data.split()))))
+                            found.append((row, -1))
+                            words.append(data.split())
                             continue
                         own = b""
                         for (chunk, key), out in zip([*cut, (b"", None)], [*alike, True]):
@@ -200,13 +224,21 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text: str
                                 own += chunk
                                 continue
                             if own:
-                                ids, lead, trail, solid = _piece(own, encoder)
+                                whole_words, *ends = _piece(own)
                                 index.append(n)
-                                found.append((row, len(index), None, None, None, zlib.compress(ids, 1), lead, trail, solid, None, None, None))
+                                found.append((row, len(index), *ends))
+                                words.append(whole_words)
                                 own = b""
                             if key:
                                 index.append(n)
                                 found.append((row, len(index), *key, zlib.compress(chunk, 1), None, None, None, None, None, None, None))
+                    encoded = iter(encoder.ids(words))
+                    for at, f in enumerate(found):
+                        if len(f) == 2:
+                            ids = next(encoded)
+                            found[at] = (*f, None, None, None, None, None, None, None, *_digests(ids, encoder.decode(ids)))
+                        elif len(f) == 5:
+                            found[at] = (*f[:2], None, None, None, zlib.compress(next(encoded), 1), *f[2:], None, None, None)
                     columns = [pa.array([f[i] for f in found], kind.type) for i, kind in enumerate(arrow)]
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(index, pa.int64())), *columns], names=["doc_id", *arrow.names])
@@ -217,12 +249,15 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text: str
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Encoder.of_task(json_text.value) as encoder:
             for batch in batches:
-                found = [_piece(zlib.decompress(d.as_py()), encoder) for d in batch.column(2)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([zlib.compress(f[0], 1) for f in found], pa.binary()),
-                     pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.binary()),
-                     pa.array([f[3] for f in found], pa.bool_())],
-                    names=["k1", "k2", "ids", "lead", "trail", "solid"])
+                for start in range(0, batch.num_rows, _SLICE):
+                    part = batch.slice(start, _SLICE)
+                    found = [_piece(zlib.decompress(d.as_py())) for d in part.column(2)]
+                    ids = encoder.ids([f[0] for f in found])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(1), pa.array([zlib.compress(i, 1) for i in ids], pa.binary()),
+                         pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.binary()),
+                         pa.array([f[3] for f in found], pa.bool_())],
+                        names=["k1", "k2", "ids", "lead", "trail", "solid"])
 
     sent = cut.where("k1 is not null")
     encoded = cut_lineage(
@@ -237,24 +272,31 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text: str
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Encoder.of_task(json_text.value) as encoder:
             for batch in batches:
-                found = []
-                for parts_ in batch.column(1):
-                    ids, carry = [], b""
-                    for p in parts_.as_py():
-                        carry += p["lead"]
-                        if p["solid"]:
-                            continue
+                for start in range(0, batch.num_rows, _SLICE):
+                    part = batch.slice(start, _SLICE)
+                    texts, met = [], []  # a text's ids in pieces, None for a word that cuts ran through
+                    for parts_ in part.column(1):
+                        ids, carry = [], b""
+                        for p in parts_.as_py():
+                            carry += p["lead"]
+                            if p["solid"]:
+                                continue
+                            if carry:
+                                ids.append(None)
+                                met.append([carry])
+                            ids.append(p["ids"])
+                            carry = p["trail"]
                         if carry:
-                            ids.append(encoder.words([carry])[0])
-                        ids.append(zlib.decompress(p["ids"]))
-                        carry = p["trail"]
-                    if carry:
-                        ids.append(encoder.words([carry])[0])
-                    joined_ids = b"".join(ids)
-                    found.append(_digests(joined_ids, encoder.decode(joined_ids)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *[pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                            ids.append(None)
+                            met.append([carry])
+                        texts.append(ids)
+                    joints, found = iter(encoder.ids(met)), []
+                    for ids in texts:
+                        joined_ids = b"".join([next(joints) if i is None else zlib.decompress(i) for i in ids])
+                        found.append(_digests(joined_ids, encoder.decode(joined_ids)))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), *[pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]],
+                        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     result = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string(_DONE)])
     return done.unionByName(whole.select("doc_id", "parts").mapInArrow(assemble, result))
