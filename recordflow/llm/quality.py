@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -102,13 +103,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", held: tuple
     labelled rows every score is 1.
     """
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"],
-                                "stats": [statistics(t) for t in batch["text"]]})
+            stats = pa.array([statistics(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), stats], names=["doc_id", "label", "stats"])
 
     rows = cut_lineage(
-        labelled(docs, labels, column, held, most).mapInPandas(measure, "doc_id long, label double, stats array<double>")
+        labelled(docs, labels, column, held, most).select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(measure, "doc_id long, label double, stats array<double>")
         .withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 0), "quality-stats")
     figures = [F.col("stats")[i] for i in range(NAMES)]
     moments = rows.agg(F.count("*"), *[F.avg(c) for c in figures], *[F.stddev_pop(c) for c in figures]).first()

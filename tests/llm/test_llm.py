@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from compare import differences, duck
-from recordflow.llm import bpe_chunks, exact_dedup, graph, line_dedup, mixing, pii, plans, quality, simhash, topk, toxicity, url_filter
+from recordflow.llm import bpe_chunks, common, exact_dedup, graph, line_dedup, mixing, pii, plans, quality, simhash, topk, toxicity, url_filter
 
 DOCS = "doc_id long, text string, source string, fingerprint string, _maybe int, score double"
 SPEC = public_tokenizers.path("word_bpe_49k.json")
@@ -418,3 +418,37 @@ def test_pipeline(spark, sf_dir):
     for r in docs.collect():
         wanted[(r["doc_id"], len(tokenizer.encode(r["text"], add_special_tokens=False).ids))] += 1
     assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == wanted
+
+
+def test_places_of_wanted_terms(spark):
+    texts = ["É 王小明 a1😀b " + "word " * 700 + "明 b", "Kim " + "x İy\n" * 400 + "kim!", "", "kim", "  ", "王小明"]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in table.select("t", pii.term_places(F.col("t")), pii.term_places(F.col("t"), lambda x: x.isin("kim", "b", "小明"))).collect():
+        assert r[2] == [p for p in r[1] if p["term"] in ("kim", "b", "小明")] and all(r[0][p["start"]:p["end"]].lower() == p["term"] for p in r[2])
+        assert len(r[2]) == len(re.findall(r"(?i)\bkim\b|\bb\b|小明|(?<=😀)b", r[0]))
+
+
+def test_encoder_keeps_words_in_use(monkeypatch):
+    monkeypatch.setattr(bpe_chunks, "MEMO_BYTES", 40_000)
+    encoder, seen, plain = bpe_chunks.Encoder(bpe_chunks.tokenizer_spec(SPEC)), Counter(), Tokenizer.from_file(SPEC)
+
+    class Counting:
+        def encode_batch_fast(self, words, **options):
+            seen.update(words)
+            return plain.encode_batch_fast(words, **options)
+
+    encoder.tokenizer = Counting()
+    for n in range(60):
+        texts = [["often", f"w{n}x{i}"] for i in range(20)] + [[]]
+        for words, ids in zip(texts, encoder.ids([[w.encode() for w in t] for t in texts])):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(" ".join(words), add_special_tokens=False).ids
+            assert encoder.decode(ids).decode() == plain.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+    assert seen["often"] == 1 and len(encoder.memo) + len(encoder.older) < 300
+
+
+def test_texts_are_judged_in_slices(spark):
+    table = spark.range(3_000).selectExpr("id doc_id", "if(id % 7 = 0, null, concat('text ', id)) text").coalesce(1)
+    sizes = common.by_text(table, "text", "n", "long", lambda texts: [len(found := list(texts))] * len(found))
+    rows = sizes.collect()
+    assert len(rows) == 3_000 and max(r["n"] for r in rows) <= 500 and sizes.columns == ["doc_id", "text", "n"]
+    assert {(r["doc_id"], r["text"]) for r in rows} == {(r["doc_id"], r["text"]) for r in table.collect()}
