@@ -1,9 +1,8 @@
-"""Line dedup by an exact set-similarity join: rarity order, prefix, length and positional filters, verification."""
+"""Line dedup by an exact set-similarity join: rarity order, prefix, length and positional filters, verification in groups."""
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,67 +23,110 @@ BUCKETS = 1 << 23          # of the sketch of token counts, four bytes each: 32
 _SLICES = 64
 _HASH_BITS = 56
 _MOST = 2**32 - 1
-MEMO_WORDS = 1_000_000     # words whose hash a task remembers before it starts anew
-
-
-class Tokens:
-    """Hashes of words, remembered within a task."""
-
-    def __init__(self, counts: np.ndarray | None = None):
-        self.counts, self.memo = counts, {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        """The distinct hashes of a line's words."""
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = [w for w in words if w not in memo]
-        for w in new:
-            memo[w] = xxhash.xxh3_64_intdigest(w) & ((1 << _HASH_BITS) - 1)
-        return np.unique(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
-
-    def ranked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct tokens from rare to frequent, and how often each one's bucket was counted.
+MEMO_KEYS = 1_000_000      # keys of lines that a task has sent, remembered before it starts anew
+BLOCK = 4_096              # members of a token's group that are compared in one piece; larger groups are cut
+_SLICE = 200               # texts whose words are hashed together
+_AT_ONCE = 500_000         # tokens looked up together when pairs are verified
+_SHORT = 32                # bytes of a word that are hashed eight at a time
+_SOLID = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x * _ODD[1]
+    x ^= x >> np.uint64(32)
+    x *= _ODD[2]
+    return x ^ (x >> np.uint64(29))
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line and hash of every word, A-Z lower-cased, and the first line of every text; lines count on over the texts."""
+    data = b"\n".join(texts).lower() + b" " * _SHORT
+    buf = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(_SOLID[buf], prepend=False, append=False))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    hashes = sizes.astype(np.uint64) * _ODD[0]
+    for done in range(0, _SHORT, 8):
+        at = np.flatnonzero(sizes > done)
+        part = eight[starts[at] + done] & _MASKS[np.minimum(sizes[at] - done, 8)]
+        hashes[at] = _mix(hashes[at] ^ part)
+    for i in np.flatnonzero(sizes > _SHORT).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i]:starts[i] + sizes[i]])
+    lines = np.searchsorted(np.flatnonzero(buf == 10), starts)
+    first = np.cumsum([0, *[t.count(b"\n") + 1 for t in texts]])
+    return lines, hashes & np.uint64((1 << _HASH_BITS) - 1), first
+
+
+class Lines:
+    """The lines with words of some texts as sets of tokens, in one array after the other.
+
+    A token is its word's hash below the level of its bucket's count, so that numbers sort by rarity; a
+    line's tokens are sorted. ``key`` is a hash of the set, ``parity`` the parity of its tokens in 61 classes:
+    sets that differ in d tokens differ in d bits at most.
+    """
 
-        A token is its hash below the level of its bucket's count, so that numbers sort by rarity.
-        """
-        hashes = self.hashes(words)
-        seen = self.counts[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
+    def __init__(self, texts: list[bytes], counts: np.ndarray):
+        lines, hashes, first = _words(texts)
+        seen = counts[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
         level = np.minimum(np.floor(np.log2(np.maximum(seen, 1)) * 4), 127).astype(np.uint64)
         tokens = (level << np.uint64(_HASH_BITS)) | hashes
-        order = np.argsort(tokens)
-        return tokens[order], seen[order]
-
-
-def _lines(text: str) -> Iterator[tuple[int, list[bytes]]]:
-    """Lines with words in them: number from 0, words with A-Z lower-cased."""
-    for number, line in enumerate(text.encode().lower().split(b"\n")):
-        words = line.split()
-        if words:
-            yield number, words
-
-
-def _key(tokens: np.ndarray) -> int:
-    value = xxhash.xxh3_64_intdigest(np.sort(tokens & np.uint64((1 << _HASH_BITS) - 1)).tobytes())
-    return value - (1 << 64) if value >> 63 else value
+        order = np.lexsort((tokens, lines))
+        tokens, lines, seen = tokens[order], lines[order], seen[order]
+        new = np.ones(len(tokens), dtype=bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (lines[1:] != lines[:-1])
+        self.tokens, self.seen, lines = tokens[new], seen[new], lines[new]
+        self.start = np.flatnonzero(np.diff(lines, prepend=-1))
+        self.size = np.diff(self.start, append=len(lines))
+        line = lines[self.start]
+        self.text = np.searchsorted(first, line, side="right") - 1
+        self.number = line - first[self.text]
+        none = np.zeros(0, np.uint64)
+        classes = np.uint64(1) << (self.tokens % np.uint64(61))
+        known = _mix(self.tokens & np.uint64((1 << _HASH_BITS) - 1))
+        self.key = (np.add.reduceat(known, self.start) if len(line) else none).view(np.int64)
+        self.parity = (np.bitwise_xor.reduceat(classes, self.start) if len(line) else none).view(np.int64)
+
+    def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token of the lines ``at``: its line's place in ``at``, and its own place in all tokens."""
+        return _ragged(self.start[at], self.size[at])
+
+
+def _ragged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + start[which]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, _SLICE):
+            part = batch.slice(start, _SLICE)
+            yield part, part.column(column).cast(pa.binary()).to_pylist()
+
+
+def _unsent(key: np.ndarray, done: set[int]) -> np.ndarray:
+    """Places of the keys that are met for the first time, each once."""
+    if len(done) > MEMO_KEYS:
+        done.clear()
+    at = [i for i in np.sort(np.unique(key, return_index=True)[1]).tolist() if int(key[i]) not in done]
+    done.update(key[at].tolist())
+    return np.array(at, dtype=np.int64)
 
 
 def token_counts(texts: DataFrame) -> np.ndarray:
-    """For each bucket of token hashes: in how many lines its tokens stand, 2 ** 32 - 1 at most.
+    """For each bucket of token hashes: how often its tokens stand in the texts, 2 ** 32 - 1 at most.
 
-    Every task counts its own lines; slices of the sketches are added up in parallel. The sketch has a
+    Every task counts its own words; slices of the sketches are added up in parallel. The sketch has a
     fixed size, so the whole of it may reach the driver and be broadcast.
     """
     width = BUCKETS // _SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = Tokens(), np.zeros(BUCKETS, dtype=np.uint32)
-        for batch in batches:
-            for text in batch.column(0):
-                found = [tokens.hashes(words) for _, words in _lines(text.as_py())]
-                if found:
-                    places, n = np.unique((np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
-                    counts[places] = np.minimum(_MOST, counts[places].astype(np.int64) + n)
+        counts = np.zeros(BUCKETS, dtype=np.uint32)
+        for _, found in _slices(batches, 0):
+            places, n = np.unique((_words(found)[1] % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
+            counts[places] = np.minimum(_MOST, counts[places].astype(np.int64) + n)
         used = [i for i in range(_SLICES) if counts[i * width:(i + 1) * width].any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int32()), pa.array([zlib.compress(counts[i * width:(i + 1) * width].tobytes(), 1) for i in used], pa.binary())],
@@ -106,10 +148,51 @@ def token_counts(texts: DataFrame) -> np.ndarray:
     return whole
 
 
-def _signature(tokens: np.ndarray) -> int:
-    """Parity of the tokens in 64 classes: sets that differ in d tokens differ in d bits at most."""
-    value = int(np.bitwise_xor.reduce(np.uint64(1) << (tokens % np.uint64(61))))
-    return value - (1 << 64) if value >> 63 else value
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, sorted by their first two columns, in batches that end where a group does."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, cell = (batch.column(i).to_numpy() for i in (0, 1))
+        if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (t[0], cell[0]):
+            yield joined()
+            held = []
+        change = np.flatnonzero((t[1:] != t[:-1]) | (cell[1:] != cell[:-1])) + 1
+        if len(change):
+            held.append(batch.slice(0, int(change[-1])))
+            yield joined()
+            held = [batch.slice(int(change[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield joined()
+
+
+def _candidates(batch: pa.RecordBatch, by_size: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group (t, cell) that pass the length, positional and parity filters."""
+    t, cell, k, meta, sig = (batch.column(i).to_numpy() for i in range(5))
+    size, pos, side = meta >> 32, (meta & 0xFFFFFFFF) >> 2, meta & 3
+    i, step = np.arange(batch.num_rows), 0
+    while len(i):
+        step += 1
+        i = i[i + step < batch.num_rows]
+        j = i + step
+        go = (t[i] == t[j]) & (cell[i] == cell[j])
+        if by_size:
+            go &= size[j] * NUM <= size[i] * DEN
+        i, j = i[go], j[go]
+        both = size[i] + size[j]
+        need = (both * NUM + NUM + DEN - 1) // (NUM + DEN)
+        ok = (np.bitwise_count((sig[i] ^ sig[j]).view(np.uint64)) <= both - 2 * need) & (k[i] != k[j])
+        ok &= np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
+        ok &= (side[i] == 2) | (side[i] != side[j])
+        if ok.any():
+            yield i[ok], j[ok]
 
 
 def line_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,10 +212,13 @@ def _matches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
     Sets are the nodes of the join, so copies of a line are one. Tokens are ordered by a count sketch of
     fixed size, any consistent order being right; tokens whose bucket was counted once meet nobody and are
-    left out of the index. Prefix, length, positional and parity filters leave candidate pairs of sets,
-    which are verified on their whole sets. Sets are known by 64-bit hashes. Lines without words stay.
-    Null texts have one empty line; null ids come first; rows that share an id are one document for
-    matches; an empty table gives no rows; other columns are ignored.
+    left out of the index. The sets that hold a token in their prefix form its group; a large group is cut into
+    blocks, and every two blocks meet. Length, positional and parity filters leave the sets that have a
+    candidate in a group; those alone are fetched whole, and a group verifies its pairs and gives each set's number
+    of links and earliest match, so pairs are never rows. A pair counts in the group of its first common token. Sets
+    are known by 64-bit hashes. Lines without words stay. Null texts have one empty line; null ids come
+    first; rows that share an id are one document for matches; an empty table gives no rows; other columns
+    are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(f"`{text}`").alias("text"))
@@ -140,98 +226,108 @@ def _matches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     counts = spark.sparkContext.broadcast(token_counts(texts).tobytes())
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(np.frombuffer(counts.value, np.uint32))
-        for batch in batches:
-            index, row, line, key, size, text_key = [], [], [], [], [], []
-            for n, value in enumerate(batch.column(1)):
-                name, body = uuid.uuid4().hex, value.as_py()
-                found = [(number, tokens.hashes(words)) for number, words in _lines(body)]
-                index += [n] * (len(found) + 1)
-                row += [name] * (len(found) + 1)
-                line += [-1, *[number for number, _ in found]]
-                key += [None, *[_key(t) for _, t in found]]
-                size += [body.count("\n") + 1, *[len(t) for _, t in found]]
-                text_key += [hashlib.sha256(body.encode()).hexdigest(), *[None] * len(found)]
+        sketch = np.frombuffer(counts.value, np.uint32)
+        for part, found in _slices(batches, 2):
+            at, n = Lines(found, sketch), len(found)
+            index = pa.array(np.concatenate([np.arange(n), at.text]))
+            own = pa.nulls(len(at.text), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(index, pa.int64())), pa.array(row, pa.string()), pa.array(line, pa.int32()),
-                 pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(text_key, pa.string())],
+                [part.column(0).take(index), part.column(1).take(index),
+                 pa.array(np.concatenate([np.full(n, -1), at.number]).astype(np.int32)),
+                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(at.key)]),
+                 pa.array(np.concatenate([[t.count(b"\n") + 1 for t in found], at.size]).astype(np.int64)),
+                 pa.concat_arrays([pa.array([hashlib.sha256(t).hexdigest() for t in found], pa.string()), own])],
                 names=["doc_id", "row", "line", "k", "size", "text_key"])
 
+    numbered = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     schema = rows.select("doc_id").withColumns({
-        "row": F.lit("").cast("string"), "line": F.lit(None).cast("int"), "k": F.lit(None).cast("long"), "size": F.lit(None).cast("long"),
+        "row": F.lit(0).cast("long"), "line": F.lit(None).cast("int"), "k": F.lit(None).cast("long"), "size": F.lit(None).cast("long"),
         "text_key": F.lit(None).cast("string")}).schema
-    table = cut_lineage(rows.mapInArrow(lines, schema), "lines")
+    table = cut_lineage(numbered.mapInArrow(lines, schema), "lines")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, done = Tokens(np.frombuffer(counts.value, np.uint32)), set()
-        for batch in batches:
-            t, k, size, pos, sig = [], [], [], [], []
-            for value in batch.column(0):
-                for _, words in _lines(value.as_py()):
-                    ranked, seen = tokens.ranked(words)
-                    n = len(ranked)
-                    prefix = n - (NUM * n + DEN - 1) // DEN + 1
-                    useful = np.flatnonzero(seen[:prefix] > 1)
-                    if not len(useful):
-                        continue
-                    key = _key(ranked)
-                    if key in done:
-                        continue
-                    if len(done) > MEMO_WORDS:
-                        done.clear()
-                    done.add(key)
-                    t += ranked[useful].astype(np.int64).tolist()
-                    pos += useful.tolist()
-                    k += [key] * len(useful)
-                    size += [n] * len(useful)
-                    sig += [_signature(ranked)] * len(useful)
+        sketch, done = np.frombuffer(counts.value, np.uint32), set()
+        for _, found in _slices(batches, 0):
+            at = Lines(found, sketch)
+            sent = _unsent(at.key, done)
+            n = at.size[sent]
+            which, place = _ragged(at.start[sent], n - (NUM * n + DEN - 1) // DEN + 1)
+            useful = at.seen[place] > 1
+            which, place = which[useful], place[useful]
+            line, pos = sent[which], place - at.start[sent[which]]
+            t, k, sig = at.tokens[place].view(np.int64), at.key[line], at.parity[line]
+            blocks = (at.seen[place].astype(np.int64) + BLOCK - 1) // BLOCK
+            which, other = _ragged(np.zeros(len(t), np.int64), blocks)
+            block = k[which] % blocks[which]
+            cell = np.minimum(block, other) * blocks[which] + np.maximum(block, other)
+            side = np.where(block == other, 2, block > other)
+            meta = (at.size[line][which] << 32) | (pos[which] << 2) | side
             yield pa.RecordBatch.from_arrays(
-                [pa.array(t, pa.int64()), pa.array(k, pa.int64()), pa.array(size, pa.int32()), pa.array(pos, pa.int32()), pa.array(sig, pa.int64())],
-                names=["t", "k", "size", "pos", "sig"])
-
-    postings = texts.mapInArrow(index, "t long, k long, size int, pos int, sig long").groupBy("t", "k").agg(
-        F.max("size").alias("size"), F.max("pos").alias("pos"), F.max("sig").alias("sig"))
-    a, b = postings.alias("a"), postings.alias("b")
-    both = F.col("a.size") + F.col("b.size")
-    need = F.floor((both * NUM + NUM + DEN - 1) / (NUM + DEN))
-    reach = 1 + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos")) - 1
-    near = (
-        (F.least("a.size", "b.size") * DEN >= F.greatest("a.size", "b.size") * NUM)
-        & (reach >= need) & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= both - 2 * need))
-    pairs = cut_lineage(
-        a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.k") < F.col("b.k")) & near)
-        .select(F.col("a.k").alias("x"), F.col("b.k").alias("y")).distinct(), "candidates")
-    met = pairs.select(F.col("x").alias("k")).unionByName(pairs.select(F.col("y").alias("k")))
-    wanted = spark.sparkContext.broadcast(bitmap_bytes(bitmap_of(met, "k")))
+                [pa.array(x) for x in (t[which], cell, k[which], meta, sig[which])], names=["t", "cell", "k", "meta", "sig"])
+
+    def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches):
+            met = np.zeros(batch.num_rows, dtype=bool)
+            for i, j in _candidates(batch, by_size=True):
+                met[i] = met[j] = True
+            yield batch.filter(pa.array(met))
+
+    posting = "t long, cell long, k long, meta long, sig long"
+    postings = texts.mapInArrow(index, posting).repartition("t", "cell").sortWithinPartitions("t", "cell", "meta")
+    members = cut_lineage(postings.mapInArrow(live, posting).distinct(), "members")
+    wanted = spark.sparkContext.broadcast(bitmap_bytes(bitmap_of(members.select("k"), "k")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, bits, done = Tokens(), wanted.value, set()
-        for batch in batches:
-            k, found = [], []
-            for value in batch.column(0):
-                for _, words in _lines(value.as_py()):
-                    hashes = tokens.hashes(words)
-                    key = _key(hashes)
-                    place = key % (len(bits) * 8)
-                    if bits[place >> 3] >> (place & 7) & 1 and key not in done:
-                        if len(done) > MEMO_WORDS:
-                            done.clear()
-                        done.add(key)
-                        k.append(key)
-                        found.append(hashes.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["k", "v"])
-
-    whole = cut_lineage(texts.mapInArrow(sets, "k long, v array<long>").groupBy("k").agg(F.first("v").alias("v")), "sets")
-    shared = F.size(F.array_intersect("v", "w"))
-    links = cut_lineage(
-        pairs.join(whole.select(F.col("k").alias("x"), "v"), "x").join(whole.select(F.col("k").alias("y"), F.col("v").alias("w")), "y")
-        .where(shared * (NUM + DEN) >= (F.size("v") + F.size("w")) * NUM).select("x", "y"), "line-links")
+        sketch, done = np.frombuffer(counts.value, np.uint32), set()
+        bits = np.frombuffer(wanted.value, np.uint8)
+        for _, found in _slices(batches, 0):
+            at = Lines(found, sketch)
+            place = at.key % (len(bits) * 8)
+            hit = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            hit = hit[_unsent(at.key[hit], done)]
+            tokens = at.tokens[at.places(hit)[1]].view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(at.size[hit])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at.key[hit]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], names=["k", "v"])
 
     order = F.struct("doc_id", "line")
     first = cut_lineage(table.where("line >= 0").groupBy("k").agg(F.min(order).alias("first"), F.count("*").alias("n")), "first-lines")
-    ways = links.select(F.col("x").alias("k"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("k"), F.col("x").alias("other")))
-    linked = ways.join(first.select(F.col("k").alias("other"), F.col("first").alias("theirs")), "other").groupBy("k").agg(
-        F.min("theirs").alias("theirs"), F.count("*").alias("links"))
+    whole = texts.mapInArrow(sets, "k long, v array<long>").groupBy("k").agg(F.first("v").alias("v"))
+    nodes = cut_lineage(whole.join(first.select("k", "first"), "k"), "sets")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches):
+            lists = batch.column(5)
+            start = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
+            size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            names, tokens = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            held = np.repeat(np.arange(len(size)), size) * len(names) + tokens  # ascending: rows, then a row's tokens
+            here = np.searchsorted(names, batch.column(0).to_numpy())
+            links, theirs = np.zeros(len(size), np.int64), np.full(len(size), len(size))
+            for left, right in _candidates(batch, by_size=False):
+                cuts = np.flatnonzero(np.diff((np.cumsum(size[left]) - 1) // _AT_ONCE, prepend=0))
+                for i, j in zip(np.split(left, cuts), np.split(right, cuts)):
+                    if not len(i):
+                        continue
+                    which, place = _ragged(start[i], size[i])
+                    asked = j[which] * len(names) + tokens[place]
+                    hit = held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked
+                    begin = np.cumsum(size[i]) - size[i]
+                    shared = np.add.reduceat(hit.astype(np.int64), begin)
+                    earliest = np.minimum.reduceat(np.where(hit, tokens[place], len(names)), begin)
+                    ok = (shared * (NUM + DEN) >= (size[i] + size[j]) * NUM) & (earliest == here[i])
+                    i, j = i[ok], j[ok]
+                    for x, y in ((i, j), (j, i)):
+                        links += np.bincount(x, minlength=len(size))
+                        np.minimum.at(theirs, x, y)  # rows are sorted by the place of their first line
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(2).take(pa.array(some)), pa.array(links[some]), batch.column(6).take(pa.array(theirs[some]))], names=["k", "links", "theirs"])
+
+    linked_schema = nodes.select("k", F.col("k").alias("links"), F.col("first").alias("theirs")).schema
+    groups = members.join(nodes, "k").select("t", "cell", "k", "meta", "sig", "v", "first")
+    linked = (
+        groups.repartition("t", "cell").sortWithinPartitions("t", "cell", "first").mapInArrow(verify, linked_schema)
+        .groupBy("k").agg(F.min("theirs").alias("theirs"), F.sum("links").alias("links")))
     known = cut_lineage(
         first.join(linked, "k", "left").where("n > 1 OR links > 0").select(
             "k", F.coalesce("links", F.lit(0)).alias("links"), F.least("first", F.coalesce("theirs", "first")).alias("match")), "matches")

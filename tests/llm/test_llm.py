@@ -452,3 +452,27 @@ def test_texts_are_judged_in_slices(spark):
     rows = sizes.collect()
     assert len(rows) == 3_000 and max(r["n"] for r in rows) <= 500 and sizes.columns == ["doc_id", "text", "n"]
     assert {(r["doc_id"], r["text"]) for r in rows} == {(r["doc_id"], r["text"]) for r in table.collect()}
+
+
+def test_line_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    base = [f"word{i}" for i in range(20)] + ["é" * 20, "a\0b", "x" * 40]
+    rows = [(i, " ".join(base[:i % 23] + [f"own{i}"] + base[i % 23:]) + ("\n" + " ".join(base) if i % 3 else "")) for i in range(70)] + [(None, " ".join(base).upper())]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = [(d, i, frozenset(x.split())) for d, t in rows for i, x in enumerate(t.encode().lower().split(b"\n"))]
+    distinct = {s for *_, s in sets}
+    links = {s: sum(t != s and 5 * len(s & t) >= 4 * len(s | t) for t in distinct) for s in distinct}
+    wanted = Counter()
+    for d, _, s in sets:
+        wanted[d] += links[s]
+    got = line_dedup.line_matches(table).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == wanted and max(wanted.values()) > 70
+    assert all(r["removed"] == ("" if r["doc_id"] is None else "0>null:0,1>null:0" if r["doc_id"] % 3 else "0>null:0") for r in got)
+
+
+def test_words_in_bulk():
+    texts = [b"One\ttwo  one\r\n\n THREE \x0b" + b"y" * 31 + b" " + b"y" * 32 + b" " + b"y" * 33, b"", "été ÉtÉ".encode(), b"\n", b"last one"]
+    lines, hashes, first = line_dedup._words(texts)
+    wanted = [(n, w) for n, line in enumerate(b"\n".join(texts).lower().split(b"\n")) for w in line.split()]
+    assert lines.tolist() == [n for n, _ in wanted] and first.tolist() == [0, 3, 4, 5, 7, 8]
+    assert len(set(zip(hashes.tolist(), [w for _, w in wanted]))) == len(set(hashes.tolist())) == len({w for _, w in wanted})
