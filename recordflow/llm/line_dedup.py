@@ -26,6 +26,7 @@ _MOST = 2**32 - 1
 MEMO_KEYS = 1_000_000      # keys of lines that a task has sent, remembered before it starts anew
 BLOCK = 4_096              # members of a token's group that are compared in one piece; larger groups are cut
 _SLICE = 200               # texts whose words are hashed together
+_ROWS, _BYTES = 65_536, 16 << 20  # members compared together, whole groups
 _AT_ONCE = 500_000         # tokens looked up together when pairs are verified
 _SHORT = 32                # bytes of a word that are hashed eight at a time
 _SOLID = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
@@ -59,6 +60,17 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lines, hashes & np.uint64((1 << _HASH_BITS) - 1), first
 
 
+def _by_line(lines: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The order by line, then token: by their leading bits, unless these are equal for different tokens."""
+    bits = int(lines[-1]).bit_length() if len(lines) else 0
+    leading = (lines.astype(np.uint64) << np.uint64(63 - bits)) | (tokens >> np.uint64(bits)) if bits else tokens
+    order = np.argsort(leading)
+    same = leading[order[1:]] == leading[order[:-1]]
+    if (tokens[order[1:]][same] != tokens[order[:-1]][same]).any():
+        return np.lexsort((tokens, lines))
+    return order
+
+
 class Lines:
     """The lines with words of some texts as sets of tokens, in one array after the other.
 
@@ -72,7 +84,7 @@ class Lines:
         seen = counts[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
         level = np.minimum(np.floor(np.log2(np.maximum(seen, 1)) * 4), 127).astype(np.uint64)
         tokens = (level << np.uint64(_HASH_BITS)) | hashes
-        order = np.lexsort((tokens, lines))
+        order = _by_line(lines, tokens)
         tokens, lines, seen = tokens[order], lines[order], seen[order]
         new = np.ones(len(tokens), dtype=bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (lines[1:] != lines[:-1])
@@ -148,8 +160,19 @@ def token_counts(texts: DataFrame) -> np.ndarray:
     return whole
 
 
+def _group(token: np.ndarray, seen: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The group of a token in which two blocks of its members meet; a token of one block is its own group."""
+    blocks = _blocks(seen)
+    cell = (np.minimum(one, other) * blocks + np.maximum(one, other) + 1).astype(np.uint64)
+    return np.where(blocks > 1, _mix(token.view(np.uint64) ^ _mix(cell)), token.view(np.uint64)).view(np.int64)
+
+
+def _blocks(seen: np.ndarray) -> np.ndarray:
+    return np.maximum(1, (seen.astype(np.int64) + BLOCK - 1) // BLOCK)
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows, sorted by their first two columns, in batches that end where a group does."""
+    """The rows, sorted by their first column, in larger batches that end where a group does."""
     held: list[pa.RecordBatch] = []
 
     def joined() -> pa.RecordBatch:
@@ -158,41 +181,48 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         if not batch.num_rows:
             continue
-        t, cell = (batch.column(i).to_numpy() for i in (0, 1))
-        if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (t[0], cell[0]):
-            yield joined()
-            held = []
-        change = np.flatnonzero((t[1:] != t[:-1]) | (cell[1:] != cell[:-1])) + 1
-        if len(change):
-            held.append(batch.slice(0, int(change[-1])))
-            yield joined()
-            held = [batch.slice(int(change[-1]))]
-        else:
-            held.append(batch)
+        if held and (sum(b.num_rows for b in held) >= _ROWS or sum(b.nbytes for b in held) >= _BYTES):
+            g = batch.column(0).to_numpy()
+            change = np.flatnonzero(np.diff(g, prepend=held[-1].column(0)[-1].as_py()))
+            if len(change):
+                if change[0]:
+                    held.append(batch.slice(0, int(change[0])))
+                yield joined()
+                held = []
+                batch = batch.slice(int(change[0]))
+        held.append(batch)
     if held:
         yield joined()
 
 
-def _candidates(batch: pa.RecordBatch, by_size: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one group (t, cell) that pass the length, positional and parity filters."""
-    t, cell, k, meta, sig = (batch.column(i).to_numpy() for i in range(5))
-    size, pos, side = meta >> 32, (meta & 0xFFFFFFFF) >> 2, meta & 3
+def _candidates(batch: pa.RecordBatch, order: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group that pass the length, positional and parity filters.
+
+    Rows whose prefixes have the token before in common as well meet in its group. ``order`` is by
+    group and size, if it is given; then a row looks no further than its size allows.
+    """
+    g, k, meta, sig, before = (batch.column(i).to_numpy() for i in range(5))
+    at = np.arange(batch.num_rows) if order is None else order
+    g, k, sig, before = g[at], k[at], sig[at].view(np.uint64), before[at]
+    size, pos, side = meta[at] >> 32, (meta[at] & 0xFFFFFFFF) >> 2, meta[at] & 3
     i, step = np.arange(batch.num_rows), 0
     while len(i):
         step += 1
-        i = i[i + step < batch.num_rows]
+        i = i[:np.searchsorted(i, batch.num_rows - step)]
         j = i + step
-        go = (t[i] == t[j]) & (cell[i] == cell[j])
-        if by_size:
+        go = g[i] == g[j]
+        if order is not None:
             go &= size[j] * NUM <= size[i] * DEN
-        i, j = i[go], j[go]
+        i = i[go]
+        j = i + step
         both = size[i] + size[j]
         need = (both * NUM + NUM + DEN - 1) // (NUM + DEN)
-        ok = (np.bitwise_count((sig[i] ^ sig[j]).view(np.uint64)) <= both - 2 * need) & (k[i] != k[j])
-        ok &= np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
-        ok &= (side[i] == 2) | (side[i] != side[j])
+        ok = np.flatnonzero(np.bitwise_count(sig[i] ^ sig[j]) <= both - 2 * need)
+        x, y, need = i[ok], j[ok], need[ok]
+        ok = (k[x] != k[y]) & ((before[x] != before[y]) | (before[x] < 0)) & ((side[x] == 2) | (side[x] != side[y]))
+        ok &= np.minimum(size[x] - pos[x], size[y] - pos[y]) >= need
         if ok.any():
-            yield i[ok], j[ok]
+            yield at[x[ok]], at[y[ok]]
 
 
 def line_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,7 +244,7 @@ def _matches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     fixed size, any consistent order being right; tokens whose bucket was counted once meet nobody and are
     left out of the index. The sets that hold a token in their prefix form its group; a large group is cut into
     blocks, and every two blocks meet. Length, positional and parity filters leave the sets that have a
-    candidate in a group; those alone are fetched whole, and a group verifies its pairs and gives each set's number
+    candidate in a group whose token before is not common too; those alone are fetched whole, and a group verifies its pairs and gives each set's number
     of links and earliest match, so pairs are never rows. A pair counts in the group of its first common token. Sets
     are known by 64-bit hashes. Lines without words stay. Null texts have one empty line; null ids come
     first; rows that share an id are one document for matches; an empty table gives no rows; other columns
@@ -254,26 +284,26 @@ def _matches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             which, place = _ragged(at.start[sent], n - (NUM * n + DEN - 1) // DEN + 1)
             useful = at.seen[place] > 1
             which, place = which[useful], place[useful]
-            line, pos = sent[which], place - at.start[sent[which]]
-            t, k, sig = at.tokens[place].view(np.int64), at.key[line], at.parity[line]
-            blocks = (at.seen[place].astype(np.int64) + BLOCK - 1) // BLOCK
-            which, other = _ragged(np.zeros(len(t), np.int64), blocks)
-            block = k[which] % blocks[which]
-            cell = np.minimum(block, other) * blocks[which] + np.maximum(block, other)
+            before = np.where(np.diff(which, prepend=-1) == 0, np.roll(at.tokens[place].view(np.int64), 1), -1)
+            line, pos, seen = sent[which], place - at.start[sent[which]], at.seen[place]
+            t, k, sig = at.tokens[place], at.key[line], at.parity[line]
+            which, other = _ragged(np.zeros(len(t), np.int64), _blocks(seen))
+            block = k[which] % _blocks(seen[which])
             side = np.where(block == other, 2, block > other)
             meta = (at.size[line][which] << 32) | (pos[which] << 2) | side
+            group = _group(t[which], seen[which], block, other)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (t[which], cell, k[which], meta, sig[which])], names=["t", "cell", "k", "meta", "sig"])
+                [pa.array(x) for x in (group, k[which], meta, sig[which], before[which])], names=["g", "k", "meta", "sig", "before"])
 
     def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
             met = np.zeros(batch.num_rows, dtype=bool)
-            for i, j in _candidates(batch, by_size=True):
+            for i, j in _candidates(batch, np.lexsort((batch.column(2).to_numpy(), batch.column(0).to_numpy()))):
                 met[i] = met[j] = True
             yield batch.filter(pa.array(met))
 
-    posting = "t long, cell long, k long, meta long, sig long"
-    postings = texts.mapInArrow(index, posting).repartition("t", "cell").sortWithinPartitions("t", "cell", "meta")
+    posting = "g long, k long, meta long, sig long, before long"
+    postings = texts.mapInArrow(index, posting).repartition("g").sortWithinPartitions("g")
     members = cut_lineage(postings.mapInArrow(live, posting).distinct(), "members")
     wanted = spark.sparkContext.broadcast(bitmap_bytes(bitmap_of(members.select("k"), "k")))
 
@@ -292,18 +322,18 @@ def _matches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     order = F.struct("doc_id", "line")
     first = cut_lineage(table.where("line >= 0").groupBy("k").agg(F.min(order).alias("first"), F.count("*").alias("n")), "first-lines")
     whole = texts.mapInArrow(sets, "k long, v array<long>").groupBy("k").agg(F.first("v").alias("v"))
-    nodes = cut_lineage(whole.join(first.select("k", "first"), "k"), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.frombuffer(counts.value, np.uint32)
         for batch in _whole_groups(batches):
-            lists = batch.column(5)
+            lists, group, k = batch.column(5), batch.column(0).to_numpy(), batch.column(1).to_numpy()
             start = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
             size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             names, tokens = np.unique(lists.flatten().to_numpy(), return_inverse=True)
             held = np.repeat(np.arange(len(size)), size) * len(names) + tokens  # ascending: rows, then a row's tokens
-            here = np.searchsorted(names, batch.column(0).to_numpy())
+            seen = sketch[(names & ((1 << _HASH_BITS) - 1)) % BUCKETS]
             links, theirs = np.zeros(len(size), np.int64), np.full(len(size), len(size))
-            for left, right in _candidates(batch, by_size=False):
+            for left, right in _candidates(batch):
                 cuts = np.flatnonzero(np.diff((np.cumsum(size[left]) - 1) // _AT_ONCE, prepend=0))
                 for i, j in zip(np.split(left, cuts), np.split(right, cuts)):
                     if not len(i):
@@ -314,19 +344,22 @@ def _matches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                     begin = np.cumsum(size[i]) - size[i]
                     shared = np.add.reduceat(hit.astype(np.int64), begin)
                     earliest = np.minimum.reduceat(np.where(hit, tokens[place], len(names)), begin)
-                    ok = (shared * (NUM + DEN) >= (size[i] + size[j]) * NUM) & (earliest == here[i])
+                    ok = shared * (NUM + DEN) >= (size[i] + size[j]) * NUM
+                    i, j, earliest = i[ok], j[ok], earliest[ok]
+                    blocks = _blocks(seen[earliest])
+                    ok = _group(names[earliest], seen[earliest], k[i] % blocks, k[j] % blocks) == group[i]
                     i, j = i[ok], j[ok]
                     for x, y in ((i, j), (j, i)):
                         links += np.bincount(x, minlength=len(size))
                         np.minimum.at(theirs, x, y)  # rows are sorted by the place of their first line
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2).take(pa.array(some)), pa.array(links[some]), batch.column(6).take(pa.array(theirs[some]))], names=["k", "links", "theirs"])
+                [batch.column(1).take(pa.array(some)), pa.array(links[some]), batch.column(6).take(pa.array(theirs[some]))], names=["k", "links", "theirs"])
 
-    linked_schema = nodes.select("k", F.col("k").alias("links"), F.col("first").alias("theirs")).schema
-    groups = members.join(nodes, "k").select("t", "cell", "k", "meta", "sig", "v", "first")
+    linked_schema = first.select("k", F.col("k").alias("links"), F.col("first").alias("theirs")).schema
+    groups = members.join(whole, "k").join(first.select("k", "first"), "k").select("g", "k", "meta", "sig", "before", "v", "first")
     linked = (
-        groups.repartition("t", "cell").sortWithinPartitions("t", "cell", "first").mapInArrow(verify, linked_schema)
+        groups.repartition("g").sortWithinPartitions("g", "first").mapInArrow(verify, linked_schema)
         .groupBy("k").agg(F.min("theirs").alias("theirs"), F.sum("links").alias("links")))
     known = cut_lineage(
         first.join(linked, "k", "left").where("n > 1 OR links > 0").select(
