@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordflow.llm.common import bitmap_bytes, bitmap_of, ship, text_or_empty
@@ -305,6 +305,10 @@ def _matches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     posting = "g long, k long, meta long, sig long, before long"
     postings = texts.mapInArrow(index, posting).repartition("g").sortWithinPartitions("g")
     members = cut_lineage(postings.mapInArrow(live, posting).distinct(), "members")
+    # Tokens without a candidate no longer stand between others, so that more pairs have the one before in common.
+    earlier = Window.partitionBy("k").orderBy(F.shiftright(F.col("meta").bitwiseAND(F.lit(2**32 - 1)), 2)).rangeBetween(Window.unboundedPreceding, -1)
+    closer = members.withColumn("before", F.coalesce(F.last("g").over(earlier), F.lit(-1)))
+    members = cut_lineage(closer.repartition("g").sortWithinPartitions("g").mapInArrow(live, posting), "members")
     wanted = spark.sparkContext.broadcast(bitmap_bytes(bitmap_of(members.select("k"), "k")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
