@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -25,6 +26,7 @@ BANDWIDTH = 3.0        # of the Gaussian kernel over standardised statistics
 RIDGE = 1.0
 THRESHOLD = 0.7
 _PARTS = 8             # partitions of the fit
+_SLICES = 64           # of the sums, added up on their own
 
 _UPPER = re.compile(r"[A-ZÀ-Þ]")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -98,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", held: tuple
     """Fit on at most ``most`` labelled documents, whole texts.
 
     Random Fourier features approximate a Gaussian kernel over standardised statistics; each partition
-    sums its normal equations and only the sums of a fixed number of partitions reach the driver. Every
+    sums its normal equations, the sums are added up slice by slice, and only the total reaches the driver,
+    whatever the number of partitions. Every
     fifth document by hash is left out of the ridge fit and calibrates it by isotonic regression. Without
     labelled rows every score is 1.
     """
@@ -123,17 +126,29 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", held: tuple
     blank = QualityModel(mean, scale, waves, phase, np.zeros(size), (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram, moment = np.zeros((size, size)), np.zeros(size)
+        gram, moment, rows = np.zeros((size, size)), np.zeros(size), 0
         for batch in batches:
             x = blank.fourier(np.array(batch["stats"].tolist(), dtype=float).reshape(-1, NAMES))
             gram += x.T @ x
             moment += x.T @ batch["label"].to_numpy()
-        yield pd.DataFrame({"gram": [gram.tobytes()], "moment": [moment.tobytes()]})
+            rows += len(x)
+        parts = np.array_split(np.column_stack([gram, moment]), _SLICES) if rows else []
+        yield pd.DataFrame({"slice": range(len(parts)), "part": TaskContext.get().partitionId(), "sums": [p.tobytes() for p in parts]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, packed in zip(batch["slice"], batch["sums"]):
+                totals[at] = totals.get(at, 0) + np.frombuffer(packed)
+        yield pd.DataFrame({"slice": list(totals), "sums": [t.tobytes() for t in totals.values()]})
 
     fits = rows.where("not calibrates")
-    parts = fits.repartition(_PARTS, "doc_id").mapInPandas(sums, "gram binary, moment binary").collect()
-    gram = sum(np.frombuffer(p["gram"]).reshape(size, size) for p in parts)
-    moment = sum(np.frombuffer(p["moment"]) for p in parts)
+    parts = fits.repartition(_PARTS, "doc_id").mapInPandas(sums, "slice int, part int, sums binary")
+    added = parts.repartition(_SLICES, "slice").sortWithinPartitions("part").mapInPandas(add, "slice int, sums binary")
+    whole = np.zeros((size, size + 1))
+    for total, row in zip(np.array_split(whole, _SLICES), sorted(added.collect(), key=lambda r: r["slice"])):
+        total += np.frombuffer(row["sums"]).reshape(total.shape)
+    gram, moment = whole[:, :size], whole[:, size]
     weights = np.linalg.solve(gram + RIDGE * np.eye(size), moment)
     model = QualityModel(mean, scale, waves, phase, weights, blank.steps)
 

@@ -476,3 +476,22 @@ def test_words_in_bulk():
     wanted = [(n, w) for n, line in enumerate(b"\n".join(texts).lower().split(b"\n")) for w in line.split()]
     assert lines.tolist() == [n for n, _ in wanted] and first.tolist() == [0, 3, 4, 5, 7, 8]
     assert len(set(zip(hashes.tolist(), [w for _, w in wanted]))) == len(set(hashes.tolist())) == len({w for _, w in wanted})
+
+
+def test_quality_fit_gathers_totals_only(spark, monkeypatch):
+    texts = ["A calm sentence number %d, with words." % i if i % 2 else "BUY!! NOW!! %d!! BUY!!" % i for i in range(400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    few, kind, gathered = quality.fit(table, labels), type(table), []
+
+    def collect(frame, plain=kind.collect):
+        rows = plain(frame)
+        gathered.append(sum(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray)))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", collect)
+    monkeypatch.setattr(quality, "_PARTS", 40)
+    many = quality.fit(table, labels)
+    size = quality.FEATURES + 1
+    assert sum(gathered) == 8 * size * (size + 1)
+    assert np.allclose(many.weights, few.weights) and np.allclose(many.scores(texts), few.scores(texts)) and few.weights.any()
