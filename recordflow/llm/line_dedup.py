@@ -75,8 +75,8 @@ class Lines:
     """The lines with words of some texts as sets of tokens, in one array after the other.
 
     A token is its word's hash below the level of its bucket's count, so that numbers sort by rarity; a
-    line's tokens are sorted. ``key`` is a hash of the set, ``parity`` the parity of its tokens in 61 classes:
-    sets that differ in d tokens differ in d bits at most.
+    line's tokens are sorted. ``key`` is a hash of the set, ``parity`` the parity of its tokens in 128 classes,
+    as two numbers: sets that differ in d tokens differ in d bits at most.
     """
 
     def __init__(self, texts: list[bytes], counts: np.ndarray):
@@ -95,10 +95,12 @@ class Lines:
         self.text = np.searchsorted(first, line, side="right") - 1
         self.number = line - first[self.text]
         none = np.zeros(0, np.uint64)
-        classes = np.uint64(1) << (self.tokens % np.uint64(61))
+        classes, second = np.uint64(1) << (self.tokens & np.uint64(63)), (self.tokens & np.uint64(64)) > 0
         known = _mix(self.tokens & np.uint64((1 << _HASH_BITS) - 1))
         self.key = (np.add.reduceat(known, self.start) if len(line) else none).view(np.int64)
-        self.parity = (np.bitwise_xor.reduceat(classes, self.start) if len(line) else none).view(np.int64)
+        self.parity = [
+            (np.bitwise_xor.reduceat(np.where(second == half, classes, np.uint64(0)), self.start) if len(line) else none).view(np.int64)
+            for half in (False, True)]
 
     def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each token of the lines ``at``: its line's place in ``at``, and its own place in all tokens."""
@@ -201,9 +203,9 @@ def _candidates(batch: pa.RecordBatch, order: np.ndarray | None = None) -> Itera
     Rows whose prefixes have the token before in common as well meet in its group. ``order`` is by
     group and size, if it is given; then a row looks no further than its size allows.
     """
-    g, k, meta, sig, before = (batch.column(i).to_numpy() for i in range(5))
+    g, k, meta, sig, more, before = (batch.column(i).to_numpy() for i in range(6))
     at = np.arange(batch.num_rows) if order is None else order
-    g, k, sig, before = g[at], k[at], sig[at].view(np.uint64), before[at]
+    g, k, sig, more, before = g[at], k[at], sig[at].view(np.uint64), more[at].view(np.uint64), before[at]
     size, pos, side = meta[at] >> 32, (meta[at] & 0xFFFFFFFF) >> 2, meta[at] & 3
     i, step = np.arange(batch.num_rows), 0
     while len(i):
@@ -217,7 +219,9 @@ def _candidates(batch: pa.RecordBatch, order: np.ndarray | None = None) -> Itera
         j = i + step
         both = size[i] + size[j]
         need = (both * NUM + NUM + DEN - 1) // (NUM + DEN)
-        ok = np.flatnonzero(np.bitwise_count(sig[i] ^ sig[j]) <= both - 2 * need)
+        most = both - 2 * need
+        ok = np.flatnonzero(np.bitwise_count(sig[i] ^ sig[j]) <= most)
+        ok = ok[np.bitwise_count(sig[i[ok]] ^ sig[j[ok]]) + np.bitwise_count(more[i[ok]] ^ more[j[ok]]) <= most[ok]]
         x, y, need = i[ok], j[ok], need[ok]
         ok = (k[x] != k[y]) & ((before[x] != before[y]) | (before[x] < 0)) & ((side[x] == 2) | (side[x] != side[y]))
         ok &= np.minimum(size[x] - pos[x], size[y] - pos[y]) >= need
@@ -286,14 +290,15 @@ def _matches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             which, place = which[useful], place[useful]
             before = np.where(np.diff(which, prepend=-1) == 0, np.roll(at.tokens[place].view(np.int64), 1), -1)
             line, pos, seen = sent[which], place - at.start[sent[which]], at.seen[place]
-            t, k, sig = at.tokens[place], at.key[line], at.parity[line]
+            t, k, sig, more = at.tokens[place], at.key[line], *(half[line] for half in at.parity)
             which, other = _ragged(np.zeros(len(t), np.int64), _blocks(seen))
             block = k[which] % _blocks(seen[which])
             side = np.where(block == other, 2, block > other)
             meta = (at.size[line][which] << 32) | (pos[which] << 2) | side
             group = _group(t[which], seen[which], block, other)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (group, k[which], meta, sig[which], before[which])], names=["g", "k", "meta", "sig", "before"])
+                [pa.array(x) for x in (group, k[which], meta, sig[which], more[which], before[which])],
+                names=["g", "k", "meta", "sig", "more", "before"])
 
     def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
@@ -302,7 +307,7 @@ def _matches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 met[i] = met[j] = True
             yield batch.filter(pa.array(met))
 
-    posting = "g long, k long, meta long, sig long, before long"
+    posting = "g long, k long, meta long, sig long, more long, before long"
     postings = texts.mapInArrow(index, posting).repartition("g").sortWithinPartitions("g")
     members = cut_lineage(postings.mapInArrow(live, posting).distinct(), "members")
     wanted = spark.sparkContext.broadcast(bitmap_bytes(bitmap_of(members.select("k"), "k")))
@@ -326,7 +331,7 @@ def _matches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.frombuffer(counts.value, np.uint32)
         for batch in _whole_groups(batches):
-            lists, group, k = batch.column(5), batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lists, group, k = batch.column(6), batch.column(0).to_numpy(), batch.column(1).to_numpy()
             start = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
             size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             names, tokens = np.unique(lists.flatten().to_numpy(), return_inverse=True)
@@ -354,10 +359,10 @@ def _matches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                         np.minimum.at(theirs, x, y)  # rows are sorted by the place of their first line
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1).take(pa.array(some)), pa.array(links[some]), batch.column(6).take(pa.array(theirs[some]))], names=["k", "links", "theirs"])
+                [batch.column(1).take(pa.array(some)), pa.array(links[some]), batch.column(7).take(pa.array(theirs[some]))], names=["k", "links", "theirs"])
 
     linked_schema = first.select("k", F.col("k").alias("links"), F.col("first").alias("theirs")).schema
-    groups = members.join(whole, "k").join(first.select("k", "first"), "k").select("g", "k", "meta", "sig", "before", "v", "first")
+    groups = members.join(whole, "k").join(first.select("k", "first"), "k").select("g", "k", "meta", "sig", "more", "before", "v", "first")
     linked = (
         groups.repartition("g").sortWithinPartitions("g", "first").mapInArrow(verify, linked_schema)
         .groupBy("k").agg(F.min("theirs").alias("theirs"), F.sum("links").alias("links")))

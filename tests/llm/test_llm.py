@@ -495,3 +495,17 @@ def test_quality_fit_gathers_totals_only(spark, monkeypatch):
     size = quality.FEATURES + 1
     assert sum(gathered) == 8 * size * (size + 1)
     assert np.allclose(many.weights, few.weights) and np.allclose(many.scores(texts), few.scores(texts)) and few.weights.any()
+
+
+def test_long_lines_of_other_words_are_no_candidates():
+    draw = random.Random(3)
+    one = [f"v{draw.randrange(10**6)}" for _ in range(126)]
+    texts = [" ".join([*one[:8], *(f"{i}w{n}" for n in range(118))]) for i in range(40)] + [" ".join(one), " ".join([*one[3:], "new"])]
+    lines = line_dedup.Lines([t.encode() for t in texts], np.ones(line_dedup.BUCKETS, np.uint32))
+    n = len(texts)
+    columns = [np.zeros(n, np.int64), lines.key, lines.size << 32 | 2, *np.atleast_2d(lines.parity), np.full(n, -1)]
+    batch = line_dedup.pa.RecordBatch.from_arrays([line_dedup.pa.array(c) for c in columns], names=list("abcdef")[:len(columns)])
+    assert [(i.tolist(), j.tolist()) for i, j in line_dedup._candidates(batch)] == [([40], [41])]
+    for i, j in itertools.combinations(range(n), 2):
+        differ = len(set(texts[i].split()) ^ set(texts[j].split()))
+        assert sum(np.bitwise_count((half[i] ^ half[j]).view(np.uint64)) for half in np.atleast_2d(lines.parity)) <= differ
