@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ _SLICE = 200               # texts whose words are hashed together
 _ROWS, _BYTES = 65_536, 16 << 20  # members compared together, whole groups
 _AT_ONCE = 500_000         # tokens looked up together when pairs are verified
 _SHORT = 32                # bytes of a word that are hashed eight at a time
-_SOLID = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
+_SOLID = bytes(b not in b" \t\n\v\f\r" for b in range(256))
 _MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -45,17 +46,19 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Line and hash of every word, A-Z lower-cased, and the first line of every text; lines count on over the texts."""
     data = b"\n".join(texts).lower() + b" " * _SHORT
     buf = np.frombuffer(data, np.uint8)
-    edges = np.flatnonzero(np.diff(_SOLID[buf], prepend=False, append=False))
+    solid = np.frombuffer(b"\0" + data.translate(_SOLID), np.bool_)  # data ends in blanks
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
     starts, sizes = edges[::2], edges[1::2] - edges[::2]
     eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
     hashes = sizes.astype(np.uint64) * _ODD[0]
     for done in range(0, _SHORT, 8):
-        at = np.flatnonzero(sizes > done)
+        at = np.flatnonzero(sizes > done) if done else slice(None)
         part = eight[starts[at] + done] & _MASKS[np.minimum(sizes[at] - done, 8)]
         hashes[at] = _mix(hashes[at] ^ part)
     for i in np.flatnonzero(sizes > _SHORT).tolist():
         hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i]:starts[i] + sizes[i]])
-    lines = np.searchsorted(np.flatnonzero(buf == 10), starts)
+    before = np.searchsorted(starts, np.flatnonzero(buf == 10))  # words before each line feed
+    lines = np.repeat(np.arange(len(before) + 1), np.diff(before, prepend=0, append=len(starts)))
     first = np.cumsum([0, *[t.count(b"\n") + 1 for t in texts]])
     return lines, hashes & np.uint64((1 << _HASH_BITS) - 1), first
 
@@ -65,8 +68,9 @@ def _by_line(lines: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     bits = int(lines[-1]).bit_length() if len(lines) else 0
     leading = (lines.astype(np.uint64) << np.uint64(63 - bits)) | (tokens >> np.uint64(bits)) if bits else tokens
     order = np.argsort(leading)
-    same = leading[order[1:]] == leading[order[:-1]]
-    if (tokens[order[1:]][same] != tokens[order[:-1]][same]).any():
+    leading = leading[order]
+    same = np.flatnonzero(leading[1:] == leading[:-1])
+    if (tokens[order[same + 1]] != tokens[order[same]]).any():
         return np.lexsort((tokens, lines))
     return order
 
@@ -95,12 +99,14 @@ class Lines:
         self.text = np.searchsorted(first, line, side="right") - 1
         self.number = line - first[self.text]
         none = np.zeros(0, np.uint64)
-        classes, second = np.uint64(1) << (self.tokens & np.uint64(63)), (self.tokens & np.uint64(64)) > 0
         known = _mix(self.tokens & np.uint64((1 << _HASH_BITS) - 1))
         self.key = (np.add.reduceat(known, self.start) if len(line) else none).view(np.int64)
-        self.parity = [
-            (np.bitwise_xor.reduceat(np.where(second == half, classes, np.uint64(0)), self.start) if len(line) else none).view(np.int64)
-            for half in (False, True)]
+
+    @cached_property
+    def parity(self) -> list[np.ndarray]:
+        classes, second = np.uint64(1) << (self.tokens & np.uint64(63)), (self.tokens & np.uint64(64)) > 0
+        halves = [np.where(second == half, classes, np.uint64(0)) for half in (False, True)]
+        return [(np.bitwise_xor.reduceat(x, self.start) if len(x) else x).view(np.int64) for x in halves]
 
     def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each token of the lines ``at``: its line's place in ``at``, and its own place in all tokens."""
@@ -303,7 +309,8 @@ def _matches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
             met = np.zeros(batch.num_rows, dtype=bool)
-            for i, j in _candidates(batch, np.lexsort((batch.column(2).to_numpy(), batch.column(0).to_numpy()))):
+            group = np.cumsum(np.diff(batch.column(0).to_numpy(), prepend=0) != 0)
+            for i, j in _candidates(batch, np.argsort((group << 32) | (batch.column(2).to_numpy() >> 32))):
                 met[i] = met[j] = True
             yield batch.filter(pa.array(met))
 
