@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordflow.llm.common import WORD, fresh, text_or_empty, total_before
-from recordflow.runtime import cut_lineage, distributed_rank
+from recordflow.runtime import by_shuffle, cut_lineage, distributed_rank
 
 WEIGHTS = (5, 2, 1)    # of the sources by code point, repeating; null is the last source
 SHARE = 1.5            # words of the mix for each word there is
@@ -140,7 +140,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     sources = cut_lineage(targets(rows), "targets")
     packed = _packed(rows, sources)
     picks = draw(sources, block, shard, seed=seed).groupBy("rank", "block").agg(F.count("*").alias("picks"))
-    taken = _pieces(packed, block).join(picks, ["rank", "block"]).groupBy("rank", "offset").agg(
+    taken = by_shuffle(_pieces(packed, block)).join(by_shuffle(picks), ["rank", "block"]).groupBy("rank", "offset").agg(
         F.sum(F.col("words") * F.col("picks")).alias("words"))
     return packed.join(taken, ["rank", "offset"], "left").select(
         "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
@@ -159,8 +159,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sources = cut_lineage(targets(rows), "targets")
     packed = _packed(rows, sources)
     picks = draw(sources, block, shard, seed=seed)
+    sized = packed.select("rank", "offset", "size", "doc_id", "tie", "source").where("size > 0")
     taken = (
-        _pieces(packed, block).join(picks, ["rank", "block"]).join(packed.select("rank", "offset", "size", "doc_id", "tie", "source").where("size > 0"), ["rank", "offset"])
+        by_shuffle(_pieces(packed, block)).join(by_shuffle(picks), ["rank", "block"]).join(by_shuffle(sized), ["rank", "offset"])
         .groupBy("rank", "offset", "pass", "doc_id", "tie", "source", "size")
         .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("runs"), F.sum("words").alias("words")))
     tag = {n: fresh(docs, n) for n in ("_id", "_tie", "_source", "_runs", "_pass", "_whole", "_body")}
@@ -169,7 +170,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         F.col("runs").alias(tag["_runs"]), F.col("pass").alias(tag["_pass"]), (F.col("words") == F.col("size")).alias(tag["_whole"])), "mix-runs")
     body = text_or_empty(f"`{text}`")
     keyed = docs.withColumn(tag["_body"], F.xxhash64(body))
-    joined = keyed.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col(tag["_id"])) & (F.col(tag["_body"]) == F.col(tag["_tie"]))
+    joined = keyed.join(by_shuffle(chosen), F.col(f"`{id_col}`").eqNullSafe(F.col(tag["_id"])) & (F.col(tag["_body"]) == F.col(tag["_tie"]))
                         & F.col(f"`{source}`").cast("string").eqNullSafe(F.col(tag["_source"])))
     words = F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform(F.col(tag["_runs"]), lambda r: F.slice(words, r["first"].cast("int") + 1, r["words"].cast("int")))), "")

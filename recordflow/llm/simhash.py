@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recordflow.llm.common import bitmap_of, by_text, fresh, in_bitmap, ship
 from recordflow.llm.graph import components
-from recordflow.runtime import cut_lineage
+from recordflow.runtime import by_shuffle, cut_lineage
 
 ship(__name__)
 
@@ -94,7 +94,7 @@ def links(prints: DataFrame, fingerprint: str = "fingerprint", max_bits: int = M
                  F.xxhash64(F.lit(i), F.lit(j), F.col("f").bitwiseAND(F.lit(masks[i])), F.col("f").bitwiseAND(F.lit(masks[j]))).alias("key"))
         for j in range(_BLOCKS) for i in range(j)])
     rows = prints.where(value.isNotNull()).select(value.alias("f"), *packed).select("*", F.inline(keys))
-    left, right = rows.alias("x"), rows.alias("y")
+    left, right = by_shuffle(rows).alias("x"), rows.alias("y")
     differ = F.col("x.f").bitwiseXOR(F.col("y.f"))
     near = []
     for k in range(pivots):

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from compare import differences, duck
+from recordflow import runtime
 from recordflow.llm import bpe_chunks, common, exact_dedup, graph, line_dedup, mixing, pii, plans, quality, simhash, topk, toxicity, url_filter
 
 DOCS = "doc_id long, text string, source string, fingerprint string, _maybe int, score double"
@@ -133,6 +134,36 @@ def test_mixing(spark, docs, empty, sf_dir):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def _broadcast_keys(df):
+    """Names of the keys by which the run plan of ``df`` joins with a broadcast side."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [re.findall(r"(\w+)#", keys) for keys in re.findall(r"BroadcastHashJoin \[(.*?)\]", plan)]
+
+
+def test_mixing_sends_no_slots_or_pieces_to_the_driver(spark, monkeypatch):
+    texts = [(i, " ".join(["w"] * (40 + 60 * i)), f"s{i % 2}") for i in range(20)] + [(20, None, None), (None, "one two", "s1"), (21, "", "s0")]
+    table = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    stored = []
+
+    def kept(df, label="step"):
+        stored.append((label, df))
+        return runtime.cut_lineage(df, label)
+
+    monkeypatch.setattr(mixing, "cut_lineage", kept)
+    rows, cut = mixing.mix(table, block=4, shard=16), mixing.mixed_documents(table, block=4, shard=16)
+    runs = [df for label, df in stored if label == "mix-runs"]
+    assert len(runs) == 1
+    for df in [rows, *runs]:
+        assert not [k for k in _broadcast_keys(df) if "block" in k]
+    assert not [k for k in _broadcast_keys(runs[0]) if "offset" in k] and _broadcast_keys(cut) == []
+    taken = {r["doc_id"]: r["taken"] for r in rows.collect()}
+    words = Counter()
+    for r in cut.collect():
+        words[r["doc_id"]] += len(r["text"].split())
+    assert {i: n for i, n in taken.items() if n} == words and sum(words.values()) > 1_000
+
+
 def test_draw_with_many_small_sources(spark):
     rng = random.Random(3)
     wanted = {1: 200_000 * 0.1, **{r: 2.0 for r in range(2, 302)}, **{r: rng.random() * 4 for r in range(302, 400)}}
@@ -383,6 +414,13 @@ def test_simhash(spark, docs, empty, sf_dir):
     assert simhash.near_duplicates(docs).count() == docs.count()
 
 
+def test_simhash_keys_are_not_broadcast(spark):
+    values = spark.range(200).select(F.xxhash64("id").alias("fingerprint")).unionByName(
+        spark.range(200).select(F.xxhash64("id").bitwiseXOR(F.lit(5)).alias("fingerprint")))
+    found = simhash.links(values)
+    assert _broadcast_keys(found) == [] and found.count() == 200
+
+
 def test_simhash_links_are_all_found(spark):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(0, 1 << 63, 40)]
